@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, sharding
+from . import bpe, langid, ordinal, sharding
 from .shared import table
 
 QUERIES = {}
@@ -19,6 +19,27 @@ def query(f):
     return f
 
 
+def id_hash(modulus: int):
+    """crc32 of doc_id as text, modulo."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % modulus
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(id_hash(4) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.fit(docs, table(spark, sf_dir, "labels"))
+    return ordinal.score(docs.select("doc_id", "text"), model).drop("text")
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, fingerprints, langid, ngram_join, ordinal, sharding, suffixes, warc
+from . import bpe, decontaminate, fingerprints, katz, langid, ngram_join, ordinal, sharding, suffixes, warc
 from .shared import table
 
 QUERIES = {}
@@ -45,6 +45,14 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components_of(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = katz.score(docs, id_hash(7) != 2)
+    return found.select("doc_id", F.coalesce(id_hash(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score")
+
+
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))

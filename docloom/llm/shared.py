@@ -1,6 +1,7 @@
 """The shared folder, and tables written there to cut lineage."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,10 +26,21 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
     Nothing downstream recomputes or depends on executors' local files.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files of plans that nothing refers to any more.
+
+    The cleaner acts when the driver collects garbage, which a small driver rarely does by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -235,3 +235,19 @@ def score(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
     kept = docs.select(*[F.col(f"`{c}`") for c in taken])
     schema = kept.schema.add("expected_grade", "double").add("tail_1", "double").add("tail_2", "double").add("selected", "boolean")
     return docs.select(*[F.col(f"`{c}`") for c in taken], F.col("text").alias("_text")).mapInArrow(run, schema)
+
+
+def select(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
+    """The rows of docs that the model selects, with docs' own columns; null texts are kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            if m is not None and len(m.grades) > 1:
+                top = m.tails(m.scores(*tb.column_bytes(batch.column(at))))[:, -1]
+                null = batch.column(at).is_null().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((top >= m.cut) | null, pa.bool_()))
+            yield batch
+    return docs.mapInArrow(run, docs.schema)

@@ -30,6 +30,7 @@ from .shared import shared_dir
 
 VERSION = b"WARC/1.1\r\n"
 _MEMBER = b"\x1f\x8b\x08"
+_READ = 1 << 14
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -92,17 +93,22 @@ def _member(data: bytes, at: int) -> tuple[dict, int] | None:
     """The record in the gzip member at `at` and where the member ends; None if any check fails."""
     if data[at:at + 3] != _MEMBER:
         return None
-    unpack = zlib.decompressobj(31)
+    unpack, pieces, end, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
-        text = unpack.decompress(memoryview(data)[at:]) + unpack.flush()
+        # In pieces: what lies behind the member is copied for each, and it may be a whole archive.
+        while not unpack.eof and end < len(data):
+            pieces.append(unpack.decompress(view[end:end + _READ]))
+            end = min(end + _READ, len(data))
+        pieces.append(unpack.flush())
     except zlib.error:
         return None
     if not unpack.eof:
         return None
+    text = b"".join(pieces)
     found = _parse(text, 0)
     if found is None or found[1] != len(text):
         return None
-    return found[0], len(data) - len(unpack.unused_data)
+    return found[0], end - len(unpack.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None]]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textbytes as tb
 from .packing import pack, pack_sorted, unpack, unpack_sorted
-from .shared import partitions, written
+from .shared import once, partitions, written
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
@@ -340,7 +340,8 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
 
     def counts(asked: DataFrame, run) -> dict[int, int]:
         found = asked.groupBy("part").applyInArrow(run, "r long, n long").groupBy("r").agg(F.sum("n"))
-        return {r[0]: r[1] for r in found.collect()}  # one row for each different count: at most sqrt(2 * tokens)
+        with once(spark):
+            return {r[0]: r[1] for r in found.collect()}  # one row for each different count: at most sqrt(2 * tokens)
     told_schema = "kind int, g int, part int, a binary, b binary, c binary"
     asked = written(rows.groupBy("g").applyInArrow(_ask_words(groups), "g int, part int, words binary, counts binary"), "asked-words")
     uni = Unigrams(counts(asked, _count_words))
@@ -350,7 +351,8 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     d = discounts(counts(asked, _count_bigrams))
     sums = asked.groupBy("part").applyInArrow(_salted_sums(uni, d), "ctx long, x double, y double, z long")
     # Only contexts with more than 1 / groups of all tokens, and the start, are split: at most groups + 1 rows.
-    hot = sums.groupBy("ctx").agg(F.sum("x"), F.sum("y"), F.sum("z")).collect()
+    with once(spark):
+        hot = sums.groupBy("ctx").agg(F.sum("x"), F.sum("y"), F.sum("z")).collect()
     ctx = np.array([r[0] for r in hot], np.int64).view(np.uint64)
     total, alpha = backoff(_context_count(ctx, n_docs), *(np.array([r[k] for r in hot], float) for k in (1, 2, 3)))
     order = np.argsort(ctx)

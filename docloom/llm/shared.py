@@ -1,9 +1,10 @@
 """The shared folder, and tables written there to cut lineage."""
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,26 +22,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/docloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows of df, from a table written once to the shared folder.
+@contextmanager
+def once(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside run once: their shuffle files go when they end.
 
-    Nothing downstream recomputes or depends on executors' local files.
+    Without this they stay until the driver happens to collect its garbage.
     """
-    spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files of plans that nothing refers to any more.
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows of df, from a table written once to the shared folder.
 
-    The cleaner acts when the driver collects garbage, which a small driver rarely does by itself.
+    Nothing downstream recomputes or depends on executors' local files.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}"
+    with once(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

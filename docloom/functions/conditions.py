@@ -7,14 +7,17 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from .. import fixed
-from .text import any_case, ordered_distinct, squeeze, strip_chars, whole_words
+from .text import any_case, first_distinct, let, ordered_distinct, squeeze, strip_chars, whole_words
 
 
 def title_case(c: Column) -> Column:
     """Words capitalised; words of two or more capitals stay as they are."""
     def word(w: Column) -> Column:
         acronym = (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1)
-        return F.when(acronym, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
+        # One letter may have a capital of two, of which only the first stays large.
+        head = F.upper(F.substring(w, 1, 1))
+        tail = F.concat(F.substring(head, F.lit(2), F.length(head)), F.substring(w, F.lit(2), F.length(w)))
+        return F.when(acronym, w).otherwise(F.concat(F.substring(head, 1, 1), F.lower(tail)))
     words = F.filter(F.split(strip_chars(squeeze(c), " .,;:"), " "), lambda w: w != "")
     return F.array_join(F.transform(words, word), " ")
 
@@ -36,7 +39,7 @@ def clean_condition(c: Column) -> Column:
 
 def drop_contained(terms: Column) -> Column:
     """Terms that lie in no other, different term, ignoring case."""
-    return F.filter(terms, lambda t: ~F.exists(terms, lambda u: (t != u) & F.contains(F.lower(u), F.lower(t))))
+    return let(terms, lambda all_terms: F.filter(all_terms, lambda t: ~F.exists(all_terms, lambda u: (t != u) & F.contains(F.lower(u), F.lower(t)))))
 
 
 def found_conditions(pool: Column, words: str = fixed.DISEASE_WORDS, suffixes: str = fixed.DISEASE_SUFFIX) -> Column:
@@ -54,7 +57,7 @@ def condition_pool(title: Column, abstract: Column, keywords: Column) -> Column:
 def generated_conditions(c: Column, most: int = fixed.CONDITIONS_GENERATED) -> Column:
     """A generated list of conditions as an array: distinct, at most `most`; else the sentinel."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;]| and "), lambda p: strip_chars(p, " .;"))
-    top = F.slice(ordered_distinct(F.filter(parts, lambda p: p != "")), 1, most)
+    top = first_distinct(F.filter(parts, lambda p: p != ""), most)
     return F.when(F.size(top) > 0, top).otherwise(F.array(F.lit(fixed.NOT_SPECIFIED)))
 
 

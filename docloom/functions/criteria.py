@@ -5,7 +5,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed
 from .rules import exclusion_cue, fit_length, inclusion_cue
-from .text import any_case, ordered_distinct, sentences, squeeze, strip, strip_bullet
+from .text import any_case, first_distinct, sentences, squeeze, strip, strip_bullet
 from .views import methods_text, section_by
 
 _HEADING = any_case(r"^(?:inclusion|exclusion) criteria[:\s]*")
@@ -86,7 +86,7 @@ def candidate_sentences(sections: Column, abstract: Column, most: int = fixed.CA
     sources = [section_by(sections, fixed.CANDIDATE_TITLES), methods_text(sections), abstract]
     parts = F.flatten(F.array(*[sentences(s) for s in sources]))
     clean = F.filter(F.transform(parts, lambda s: strip(strip_bullet(s))), fit_length)
-    return F.slice(ordered_distinct(clean), 1, most)
+    return first_distinct(clean, most)
 
 
 def eligibility(sections: Column, title_abstract: Column) -> Column:

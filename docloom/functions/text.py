@@ -5,6 +5,8 @@ Null texts give null (or an empty array from functions that return arrays).
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
@@ -45,10 +47,24 @@ def strip_bullet(c: Column) -> Column:
     return F.regexp_replace(c, "(?U)" + fixed.BULLET, "")
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of c, with c computed once: inside lambdas an expression is otherwise computed for every entry."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def ordered_distinct(a: Column) -> Column:
     """The array's first entry of each text, ignoring case."""
-    low = F.transform(a, F.lower)
-    return F.filter(a, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return let(a, lambda x: let(F.transform(x, F.lower), lambda low: F.filter(x, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)))
+
+
+def first_distinct(a: Column, most: int) -> Column:
+    """The first `most` entries of ordered_distinct(a).  Work grows with the array, not with its square."""
+    none = F.array().cast("array<string>")
+
+    def step(state: Column, v: Column) -> Column:
+        fresh = (F.size(state["keys"]) < most) & ~F.array_contains(state["keys"], F.lower(v))
+        return F.when(fresh, F.struct(F.concat(state["keys"], F.array(F.lower(v))).alias("keys"), F.concat(state["out"], F.array(v)).alias("out"))).otherwise(state)
+    return F.aggregate(a, F.struct(none.alias("keys"), none.alias("out")), step, lambda s: s["out"])
 
 
 def truncate_clean(c: Column, target: int = fixed.TRUNCATE_TARGET, extra: int = fixed.TRUNCATE_EXTRA) -> Column:

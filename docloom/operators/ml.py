@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import fixed
 from ..functions.rules import cue_features
+from ..functions.text import let
 from . import ranking
 
 
@@ -19,11 +20,11 @@ def word_terms(text: Column, stop_words: list[str], ngrams: int = 2) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     words = F.regexp_extract_all(low, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     words = F.filter(words, lambda w: ~w.isin(stop_words)) if stop_words else words
-    out = words
-    for n in range(2, ngrams + 1):
-        places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out = F.concat(out, F.transform(places, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return out
+
+    def grams(w: Column, n: int) -> Column:
+        places = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(words, lambda w: F.concat(w, *[grams(w, n) for n in range(2, ngrams + 1)]))
 
 
 @dataclass
@@ -127,7 +128,10 @@ def fit_classifier(docs: DataFrame, key: str, text: str, label: str, c: float =
                    **tfidf_options) -> TextClassifier:
     rows, labels = _indexed(docs, label)
     tfidf = TfIdf.fit(rows, key, text, **tfidf_options)
-    return TextClassifier(tfidf, _regression(tfidf.transform(rows, key, text), c, balanced, max_iter), labels)
+    vectors = tfidf.transform(rows, key, text).select("label_index", "features").persist()
+    model = _regression(vectors, c, balanced, max_iter)
+    vectors.unpersist()
+    return TextClassifier(tfidf, model, labels)
 
 
 def cross_validated_accuracy(docs: DataFrame, key: str, text: str, label: str, folds: int = 5, seed: int = 0, **options) -> float:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..functions.text import content_key
+from ..functions.text import content_key, let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -18,7 +18,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def best_in_array(vector: Column, others: Column) -> Column:
     """Largest dot product with an array of vectors; 0 if there are none."""
-    return F.coalesce(F.array_max(F.transform(others, lambda o: dot(vector, o))), F.lit(0.0))
+    return let(vector, lambda v: F.coalesce(F.array_max(F.transform(others, lambda o: dot(v, o))), F.lit(0.0)))
 
 
 def best_similarity(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, vector: str = "embedding") -> DataFrame:

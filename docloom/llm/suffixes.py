@@ -36,6 +36,8 @@ LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams in a window
 WIDE = LENGTH + SPAN - 1  # most bytes of an anchor's windows together
 _PIECE = 4 << 20
+#: Suffixes in one run.
+_RUN_ROWS = 150_000
 #: Bytes of text in one group of documents.
 GROUP_BYTES = 12 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -53,7 +55,7 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, gram hash, anchor, first window, last window) of all anchors; places count from the buffer's start."""
+    """(text, hash of the gram, anchor, first window, last window) of all anchors; places count from the buffer's start."""
     out = []
     for a, b, offs, text in _pieces(offsets):
         n = b - a - LENGTH + 1
@@ -82,7 +84,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         first = np.flatnonzero(head)
         last = np.append(first[1:], len(start)) - 1
         p = at[first]
-        out.append((text[owner[start[first]]], gram[p], p + a, start[first] + a, start[last] + a))
+        # Anchors' hashes are the least ones; mixed again they are spread evenly.
+        out.append((text[owner[start[first]]], tb.mix(gram[p]), p + a, start[first] + a, start[last] + a))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z.astype(np.uint64), z, z, z
@@ -232,10 +235,14 @@ def _send(parts: int):
                 text, gram, p, lo, hi = text[keep], gram[keep], p[keep], lo[keep], hi[keep]
                 size = hi - lo + LENGTH
                 place = np.arange(WIDE)
-                for a in range(0, len(text), 400_000):
-                    s = slice(a, a + 400_000)
-                    inside = place < size[s][:, None]
-                    strings = np.where(inside, raw[np.minimum(lo[s][:, None] + place, len(raw) - 1)], np.uint8(0))
+                for a in range(0, len(text), _RUN_ROWS):
+                    s = slice(a, a + _RUN_ROWS)
+                    strings = np.zeros((len(size[s]), WIDE), np.uint8)
+                    for b in range(0, len(strings), 10_000):
+                        c = slice(a + b, min(a + b + 10_000, s.stop))
+                        inside = place < size[c][:, None]
+                        at = np.minimum(lo[c][:, None] + place, len(raw) - 1)
+                        strings[b:b + 10_000] = np.where(inside, raw[at], np.uint8(0))
                     used, local = np.unique(text[s], return_inverse=True)
                     ids = docs.column("doc_id").combine_chunks().to_numpy()
                     names, numbers = pack(own[used]), pack(ids[used])
@@ -417,8 +424,8 @@ def _merge(groups: int):
         np.minimum.at(least, which, ids)
         first, low = _least_by_window(merged, np.array(anchor, np.int64), least)
         found = []
-        for a in range(0, len(which), 100_000):
-            s = slice(a, a + 100_000)
+        for a in range(0, len(which), 30_000):
+            s = slice(a, a + 30_000)
             n = first[which[s] + 1] - first[which[s]]
             own = np.repeat(np.arange(len(n)), n)
             offset = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
@@ -451,7 +458,7 @@ def find_spans(docs: DataFrame) -> tuple[DataFrame, int]:
         "text", "key", "g", F.col("order_id").alias("doc_id"))
     asked = written(keyed.select("text", "key").mapInArrow(_ask(groups, groups), _TOLD), "asked")
     answers = asked.where("kind = 0").groupBy("part").applyInArrow(_answer(groups), "g int, a binary, b binary")
-    told = asked.where("kind = 1").select(F.col("part").alias("g"), "a", "b").union(answers)
+    told = written(asked.where("kind = 1").select(F.col("part").alias("g"), "a", "b").union(answers), "told")
     schema = ", ".join(f"{n} {'int' if n == 'part' else 'binary'}" for n in _RUN)
     runs = keyed.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_send(groups), schema)
     spans = runs.groupBy("part").applyInArrow(_merge(groups), "g int, a binary, b binary, c binary")

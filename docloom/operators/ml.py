@@ -147,11 +147,11 @@ def cross_validated_accuracy(docs: DataFrame, key: str, text: str, label: str, f
     return round(sum(known) / len(known), 4) if known else 0.0
 
 
-def best_balance(docs: DataFrame, key: str, text: str, label: str, **options) -> tuple[TextClassifier, bool, float]:
+def best_balance(docs: DataFrame, key: str, text: str, label: str, folds: int = 5, **options) -> tuple[TextClassifier, bool, float]:
     """The classifier of the better cross-validated choice of class weights; the first wins ties."""
     best, at = -1.0, False
     for balanced in (False, True):
-        got = cross_validated_accuracy(docs, key, text, label, balanced=balanced, **options)
+        got = cross_validated_accuracy(docs, key, text, label, folds, balanced=balanced, **options)
         if got > best:
             best, at = got, balanced
     return fit_classifier(docs, key, text, label, balanced=at, **options), at, best

@@ -22,14 +22,15 @@ def labelled_sentences(articles: DataFrame, gold: DataFrame, cache: DataFrame, m
     return best.select("pmcid", "pos", "text", "embedding", ranking.weak_label(F.col("inclusion"), F.col("exclusion")).alias("label"))
 
 
-def train(articles: DataFrame, gold: DataFrame, cache: DataFrame, make_encoder=vectors.hashing_encoder, **options) -> tuple[Models, DataFrame]:
+def train(articles: DataFrame, gold: DataFrame, cache: DataFrame, make_encoder=vectors.hashing_encoder,
+          folds: int = 5, **options) -> tuple[Models, DataFrame]:
     """Models of study type, sex and criteria sentences, and a one-row table of what was measured."""
     spark: SparkSession = articles.sparkSession
     own = articles.withColumn("_lexical", views.lexical_text(F.col("title"), F.col("abstract"), F.col("sections"))).select("pmcid", "_lexical")
     rows = gold.select(F.col("pmcids").alias("pmcid"), F.upper("study_type").alias("study_type"), F.upper(text.strip(F.col("sex"))).alias("sex")).join(own, "pmcid")
-    study_score = ml.cross_validated_accuracy(rows, "pmcid", "_lexical", "study_type", **options)
+    study_score = ml.cross_validated_accuracy(rows, "pmcid", "_lexical", "study_type", folds, **options)
     study = ml.fit_classifier(rows, "pmcid", "_lexical", "study_type", **options)
-    sex, balanced, sex_score = ml.best_balance(rows, "pmcid", "_lexical", "sex", **options)
+    sex, balanced, sex_score = ml.best_balance(rows, "pmcid", "_lexical", "sex", folds, **options)
     sentences = labelled_sentences(articles, gold, cache, make_encoder)
     ranker = ml.fit_ranker(sentences) if sentences.limit(1).count() else None
     meta = spark.createDataFrame([(rows.count(), study_score, sex_score, balanced, fixed.LEAST_SIMILARITY, fixed.TOP_INCLUSION, fixed.TOP_EXCLUSION, spark.version)],

@@ -33,7 +33,10 @@ def _columns(df: DataFrame, name: Column, record: Column) -> DataFrame:
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """One article for each PMC<id>.nxml file; unreadable ones have defaults and keep their id."""
+    """One article for each PMC<id>.nxml file; unreadable ones have defaults and keep their id.
+
+    Spark doesn't list files of length zero; `lookup` gives their ids the same defaults.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.nxml").load(path)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"^PMC|\.nxml$", "")
     return _columns(files, name, _article("content"))

@@ -165,3 +165,18 @@ def test_queries_match_sql(spark, sf_dir, name):
         return sorted(tuple("" if v is None or v != v else format(v, ".9g") if isinstance(v, float) else str(v) for v in r)
                       for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_command_line(spark, tmp_path):
+    from docloom.__main__ import main
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "PMC12.nxml").write_text(JATS)
+    (tmp_path / "ids.csv").write_text("pmcids\n12\n99\n")
+    main(["--articles", f"file://{tmp_path}/a", "--ids", f"file://{tmp_path}/ids.csv", "--out", f"file://{tmp_path}/out"])
+    assert {r.pmcids for r in articles.read_submission(spark, f"file://{tmp_path}/out").collect()} == {"12", "99"}
+
+
+def test_streaming_equals_batch(spark, sf_dir):
+    known = entry.queries()
+    a, b = (sorted(tuple(r) for r in known[n](spark, sf_dir).select("pmcids", "study_type", "sex").collect()) for n in ("extract_all", "stream_extract"))
+    assert a == b

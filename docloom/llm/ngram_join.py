@@ -7,12 +7,13 @@ The document-by-n-gram incidence matrix is multiplied with its transpose in bloc
 size-derived bounds leave a pair possible:
 
 1. Documents of equal sets are one class; from here on rows of the matrix are classes.
-2. N-grams get one global order, rare first, by a count sketch of fixed size over all documents (any
-   order is right, a good one is fast).  A pair that links must share one of the first
-   n - ceil(percent * n / 100) + 1 n-grams of both, so only these columns take part in the product
-   that finds candidates.  Entries carry n and their place; a pair is discarded where
-   100 * smaller < percent * larger, or where the n-grams after the shared one can't reach the
-   overlap its sizes ask for.
+2. N-grams get one global order, rare first, from counts over all documents.  Groups of documents send
+   their n-grams' leading hash bits, sorted and difference-coded, to the hash range's owner and get the
+   counts back.  (Any order is right, so hashes that share these bits only cost a little time.)  A pair
+   that links must share one of the first n - ceil(percent * n / 100) + 1 n-grams of both, so only these
+   columns take part in the product that finds candidates, and of them only those counted twice or more.
+   Entries carry n and their place; a pair is discarded where 100 * smaller < percent * larger, or where
+   the n-grams after the shared one can't reach the overlap its sizes ask for.
 3. A column's entries meet its pivot (its least class), never each other.  The candidates' overlaps
    are counted in blocks of a pivot and up to BLOCK_ROWS rows over all their n-grams.
 4. In columns that still hold several components, entries outside the column's largest component
@@ -30,15 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import components, textbytes as tb
-from .shared import written
+from .packing import pack, pack_sorted, unpack, unpack_sorted
+from .shared import once, partitions, written
 
-SKETCH_BITS, SKETCH_BLOCKS = 18, 16
+#: Leading bits of an n-gram's hash by which it is counted.
+COUNT_BITS = 40
 #: Bits of the filter that tells which sets are fetched for counting; 2**26 bits are 8 MB.
 FILTER_BITS = 26
 BLOCK_ROWS = 128
+#: Bytes of text in one group of documents.
+GROUP_BYTES = 12 << 20
 
 
 def class_of(grams: np.ndarray) -> int:
@@ -46,82 +51,123 @@ def class_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[np.ndarray]:
-    for g in tb.shingles(*tb.column_bytes(batch.column(column)), k):
+def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    for g in tb.shingles(*tb.column_bytes(column), k):
         yield np.unique(g)
 
 
-def classes(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, class) of every row, and the count sketch of all their n-grams."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            n, own, held = [], [], []
-            for s in _sets(batch, 1, k):
-                n.append(len(s))
-                own.append(class_of(s))
-                held.append((s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64))
-                if len(held) >= 512:
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                    held = []
-            if held:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts))
-            m = len(n)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                ["doc_id", "n_shingles", "class", "block", "counts"])
-        parts = np.split(counts.astype("<u4"), SKETCH_BLOCKS)
-        yield pa.RecordBatch.from_arrays([
-            pa.nulls(SKETCH_BLOCKS, pa.int64()), pa.nulls(SKETCH_BLOCKS, pa.int64()), pa.nulls(SKETCH_BLOCKS, pa.int64()),
-            pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-            ["doc_id", "n_shingles", "class", "block", "counts"])
-
+def _group_sets(docs: pa.Table, k: int) -> tuple[list[np.ndarray], list[int], np.ndarray, np.ndarray]:
+    """(sets of the group's classes, the classes, row -> class, leading bits of all sets' n-grams)."""
+    sets, names, of, known = [], [], [], {}
+    for s in _sets(docs.column("text"), k):
+        c = class_of(s)
+        if c not in known:
+            known[c] = len(sets)
+            sets.append(s)
+            names.append(c)
+        of.append(known[c])
+    return sets, names, np.array(of, np.int64), np.concatenate(sets or [np.zeros(0, np.uint64)]) >> np.uint64(64 - COUNT_BITS)
+
+
+def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
+    if not len(x):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(x)]))
+
+
+def _part(bits: np.ndarray, parts: int) -> np.ndarray:
+    return (bits * np.uint64(parts) >> np.uint64(COUNT_BITS)).astype(np.int64)
+
+
+def _ask(k: int, parts: int):
+    """A group's n-grams and how many of its classes hold each, to their owners."""
+    def run(docs: pa.Table) -> pa.Table:
+        own = np.sort(_group_sets(docs, k)[3])
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        bits, count = own[first], np.diff(np.append(first, len(own))).astype(np.uint32)
+        part = _part(bits, parts)
+        rows = [(int(part[a]), pack_sorted(bits[a:b]), pack(count[a:b])) for a, b in _cuts(part)]
+        g = docs.column("g")[0].as_py()
+        return pa.table({"g": pa.array([g] * len(rows), pa.int32()), "part": pa.array([r[0] for r in rows], pa.int32()),
+                         "bits": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+    return run
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    """Whole counts of what each group asked for, in its order."""
+    rows = rows.to_pylist()
+    bits = [unpack_sorted(r["bits"]) for r in rows]
+    every, index = np.unique(np.concatenate(bits), return_inverse=True)
+    total = np.bincount(index, weights=np.concatenate([unpack(r["counts"], np.uint32) for r in rows]), minlength=len(every)).astype(np.uint32)
+    own = np.split(index, np.cumsum([len(b) for b in bits])[:-1])
+    return pa.table({"g": pa.array([r["g"] for r in rows], pa.int32()), "part": pa.array([r["part"] for r in rows], pa.int32()),
+                     "counts": pa.array([pack(total[i]) for i in own], pa.binary())})
+
+
+def _entries(k: int, percent: int):
+    """Rows with doc_id: each document's class.  Rows with gram: entries of the columns that a link can't do without."""
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        names = ("doc_id", "n", "class", "gram", "place")
+        if not docs.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
+        sets, classes, of, bits = _group_sets(docs, k)
+        told = sorted(told.to_pylist(), key=lambda r: r["part"])
+        count = np.concatenate([unpack(r["counts"], np.uint32) for r in told] or [np.zeros(0, np.uint32)])
+        # Most n-grams are counted once; the others are looked up behind a bitmap.
+        known = np.sort(bits)
+        known = known[np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]]))] if len(known) else known
+        many = np.flatnonzero(count > 1)
+        common, often = known[many], count[many]
+        seen = np.zeros(1 << 22, bool)
+        mask = np.uint64(len(seen) - 1)
+        seen[(common & mask).astype(np.int64)] = True
+        rank = np.ones(len(bits), np.uint32)
+        maybe = np.flatnonzero(seen[(bits & mask).astype(np.int64)])
+        if len(common) and len(maybe):
+            at = np.minimum(np.searchsorted(common, bits[maybe]), len(common) - 1)
+            hit = common[at] == bits[maybe]
+            rank[maybe[hit]] = often[at[hit]]
+        size = np.array([len(s) for s in sets], np.int64)
+        classes = np.array(classes, np.int64)
+        ends = np.cumsum(size)
+        shared = np.diff(np.concatenate([[0], np.cumsum(rank > 1)])[np.concatenate([[0], ends])])
+        prefix = size - (percent * size + 99) // 100 + 1
+        grams, place, own = [], [], []
+        # A prefix that n-grams counted once can fill has no shared column.
+        for i in np.flatnonzero((size > 0) & (size - shared < prefix)).tolist():
+            r = rank[ends[i] - size[i]:ends[i]]
+            order = np.argsort(r, kind="stable")[:prefix[i]]
+            at = np.flatnonzero(r[order] > 1)
+            grams.append(sets[i][order[at]])
+            place.append(at)
+            own.append(np.full(len(at), i))
+        own = np.concatenate(own or [np.zeros(0, np.int64)]).astype(np.int64)
+        n, m = len(of), len(own)
+        flat = lambda a, x: pa.array(np.concatenate([a, x]).astype(np.int64))
+        return pa.table({
+            "doc_id": pa.concat_arrays([docs.column("doc_id").combine_chunks(), pa.nulls(m, pa.int64())]),
+            "n": flat(size[of], size[own]), "class": flat(classes[of], classes[own]),
+            "gram": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate(grams or [np.zeros(0, np.uint64)]).view(np.int64))]),
+            "place": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate(place or [np.zeros(0, np.int64)]).astype(np.int64))])})
+    return run
+
+
+def incidence(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, n_shingles, class) of every row, (gram, class, n, place) entries)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = written(rows.mapInArrow(run, "doc_id long, n_shingles long, class long, block int, counts binary"), "classes")
-
-    def total(groups: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [groups["block"].iloc[0]], "counts": [
-            sum(np.frombuffer(c, "<u4").astype(np.int64) for c in groups["counts"]).astype("<i8").tobytes()]})
-    # Fixed size: 2**SKETCH_BITS counts, whatever the data.
-    summed = both.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(total, "block int, counts binary").collect()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    width = len(sketch) // SKETCH_BLOCKS
-    for r in summed:
-        sketch[r[0] * width:(r[0] + 1) * width] = np.frombuffer(r[1], "<i8")
-    return both.where("block is null").select("doc_id", "n_shingles", "class"), sketch
-
-
-def prefix_entries(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(gram, class, n, place): the matrix's entries in the columns that a link can't do without."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, mask = shared.value, np.uint64((1 << SKETCH_BITS) - 1)
-        done: set[int] = set()
-        for batch in batches:
-            out = []
-            for s in _sets(batch, 0, k):
-                n = len(s)
-                own = class_of(s)
-                if not n or own in done:
-                    continue
-                done.add(own)
-                p = n - (percent * n + 99) // 100 + 1
-                order = np.argsort(rank[(s & mask).astype(np.int64)], kind="stable")[:p]
-                out.append((s[order], own, n, p))
-            if len(done) > 500_000:
-                done.clear()
-            sizes = [x[3] for x in out]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([x[0] for x in out] or [np.zeros(0, np.uint64)]).view(np.int64)),
-                pa.array(np.repeat(np.array([x[1] for x in out], np.int64), sizes)),
-                pa.array(np.repeat(np.array([x[2] for x in out], np.int32), sizes)),
-                pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in sizes] or [np.zeros(0, np.int32)]))],
-                ["gram", "class", "n", "place"])
-    return docs.select("text").mapInArrow(run, "gram long, class long, n int, place int")
-
-
-def _possible(percent: int) -> F.col:
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(partitions(docs.sparkSession), int(total // GROUP_BYTES) + 1)
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    asked = rows.groupBy("g").applyInArrow(_ask(k, groups), "g int, part int, bits binary, counts binary")
+    told = written(asked.groupBy("part").applyInArrow(_answer, "g int, part int, counts binary"), "counts")
+    both = written(rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(
+        _entries(k, percent), "doc_id long, n long, class long, gram long, place long"), "incidence")
+    return (both.where("gram is null").select("doc_id", F.col("n").alias("n_shingles"), "class"),
+            both.where("gram is not null").select("gram", "class", F.col("n").cast("int").alias("n"), F.col("place").cast("int").alias("place")))
+
+
+def _possible(percent: int) -> Column:
     """Whether entries (n, place) and (m, spot) of one column may belong to a link."""
     need = F.ceil(percent * (F.col("n").cast("long") + F.col("m")) / F.lit(100 + percent))
     return ((100 * F.least("n", "m").cast("long") >= percent * F.greatest("n", "m").cast("long"))
@@ -146,8 +192,9 @@ def links(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent
 
     # A bit for each wanted (class, document); a few others share one and are dropped by the join.
     bit = F.col("class").bitwiseXOR(F.coalesce("doc_id", F.lit(0))).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    maps = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    with once(spark):
+        maps = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)  # buckets and positions count from 1
     for r in maps:
         bits[(r[0] - 1) * 4096:r[0] * 4096] = np.frombuffer(r[1], np.uint8)
@@ -161,7 +208,7 @@ def links(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         # One block of the product: the pivot's row with all rows of the block.
         ends = np.cumsum([len(s) for s in sets])
-        hit = np.concatenate([[0], np.cumsum(np.isin(np.concatenate(sets), own, assume_unique=False))])
+        hit = np.concatenate([[0], np.cumsum(np.isin(np.concatenate(sets), own))])
         overlap = hit[ends] - hit[ends - np.array([len(s) for s in sets])]
         either = np.array([len(s) for s in sets]) + len(own) - overlap
         keep = (100 * overlap >= percent * either) & (pdf["class"].to_numpy() != pivot)
@@ -180,7 +227,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, bits: np.ndarray, k: int) -> Da
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy()
             keep, own, grams = [], [], []
-            for i, s in enumerate(_sets(batch, 1, k)):
+            for i, s in enumerate(_sets(batch.column(1), k)):
                 c = class_of(s)
                 at = (c ^ int(ids[i])) & mask
                 if filled[at >> 3] >> (at & 7) & 1:
@@ -196,9 +243,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, bits: np.ndarray, k: int) -> Da
 
 def components_of(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
-    own, sketch = classes(docs, k)
+    own, entries = incidence(docs, k, percent)
     members = written(own.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "members")
-    entries = written(prefix_entries(docs, k, percent, sketch), "entries")
     pivots = entries.groupBy("gram").agg(F.min(F.struct("class", "n", "place")).alias("p"), F.max("class").alias("last"))
     pivots = pivots.where("p.class <> last").select("gram", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"), F.col("p.place").alias("spot"))
     # Entries of columns with two classes or more.

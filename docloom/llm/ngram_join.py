@@ -14,8 +14,9 @@ size-derived bounds leave a pair possible:
    columns take part in the product that finds candidates, and of them only those counted twice or more.
    Entries carry n and their place; a pair is discarded where 100 * smaller < percent * larger, or where
    the n-grams after the shared one can't reach the overlap its sizes ask for.
-3. A column's entries meet its pivot (its least class), never each other.  The candidates' overlaps
-   are counted in blocks of a pivot and up to BLOCK_ROWS rows over all their n-grams.
+3. Entries outside a column's largest component (at first, any one class) meet one pivot of that
+   component, another one each turn, as long as a good part of them links, and what links joins.  The
+   candidates' overlaps are counted in blocks of a pivot and up to BLOCK_ROWS rows over all n-grams.
 4. In columns that still hold several components, entries outside the column's largest component
    meet the entries of other components.  What remains is one component already, so no link
    between components is lost and a large group of near copies never makes all its pairs.
@@ -42,6 +43,10 @@ COUNT_BITS = 40
 #: Bits of the filter that tells which sets are fetched for counting; 2**26 bits are 8 MB.
 FILTER_BITS = 26
 BLOCK_ROWS = 128
+#: Turns of step 3 before step 4 at most; step 4 alone is exact, the turns make it small.
+MOST_TURNS = 6
+#: Step 3 ends when fewer than one in FEW of a turn's pairs link.
+FEW = 4
 #: Bytes of text in one group of documents.
 GROUP_BYTES = 12 << 20
 
@@ -174,31 +179,17 @@ def _possible(percent: int) -> Column:
             & (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot")) >= need))
 
 
-def links(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs (a, b) of classes that link, counted over their whole sets in blocks.
 
-    members has one document (doc_id, class) for each class.  Pairs are dealt by their b: b is a
-    block's pivot and meets up to about BLOCK_ROWS a's there, so a hot pivot has many blocks.
+    sets has (class, grams).  Pairs are dealt by their b: b is a block's pivot and meets up to about
+    BLOCK_ROWS a's there, so a hot pivot has many blocks.
     """
-    spark = docs.sparkSession
-    pairs = written(pairs, "pairs")
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
     dealt = pairs.join(sizes, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("blocks")))
     pivots = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     routes = dealt.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "salt").union(
         pivots.select(F.col("b").alias("class"), F.col("b").alias("pivot"), "salt"))
-    wanted = members.join(routes.select("class").distinct(), "class")
-    wanted = written(wanted.select("class", "doc_id"), "wanted")
-
-    # A bit for each wanted (class, document); a few others share one and are dropped by the join.
-    bit = F.col("class").bitwiseXOR(F.coalesce("doc_id", F.lit(0))).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    with once(spark):
-        maps = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)  # buckets and positions count from 1
-    for r in maps:
-        bits[(r[0] - 1) * 4096:r[0] * 4096] = np.frombuffer(r[1], np.uint8)
-    fetched = _sets_of(docs, wanted, bits, k)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         pivot = pdf["pivot"].iloc[0]
@@ -207,15 +198,27 @@ def links(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent
         if own is None:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         # One block of the product: the pivot's row with all rows of the block.
-        ends = np.cumsum([len(s) for s in sets])
+        size = np.array([len(s) for s in sets])
+        ends = np.cumsum(size)
         hit = np.concatenate([[0], np.cumsum(np.isin(np.concatenate(sets), own))])
-        overlap = hit[ends] - hit[ends - np.array([len(s) for s in sets])]
-        either = np.array([len(s) for s in sets]) + len(own) - overlap
-        keep = (100 * overlap >= percent * either) & (pdf["class"].to_numpy() != pivot)
+        overlap = hit[ends] - hit[ends - size]
+        keep = (100 * overlap >= percent * (size + len(own) - overlap)) & (pdf["class"].to_numpy() != pivot)
         return pd.DataFrame({"a": pdf["class"].to_numpy()[keep], "b": np.full(keep.sum(), pivot)})
+    return routes.join(sets, "class").groupBy("pivot", "salt").applyInPandas(count, "a long, b long")
 
-    blocked = routes.join(fetched, "class")
-    return blocked.groupBy("pivot", "salt").applyInPandas(count, "a long, b long")
+
+def sets_of(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(class, grams) of the classes of members, which has one document (class, doc_id) of each."""
+    spark = docs.sparkSession
+    # A bit for each wanted (class, document); a few others share one and are dropped by the join.
+    bit = F.col("class").bitwiseXOR(F.coalesce("doc_id", F.lit(0))).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    with once(spark):
+        maps = members.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)  # buckets and positions count from 1
+    for r in maps:
+        bits[(r[0] - 1) * 4096:r[0] * 4096] = np.frombuffer(r[1], np.uint8)
+    return written(_sets_of(docs, members, bits, k), "sets")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, bits: np.ndarray, k: int) -> DataFrame:
@@ -241,35 +244,53 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, bits: np.ndarray, k: int) -> Da
     return rows.join(same, "class").where(F.col("doc_id").eqNullSafe(F.col("named"))).select("class", "grams").dropDuplicates(["class"])
 
 
+def _mixed(live: DataFrame, whole: DataFrame | None) -> DataFrame:
+    """Entries of columns that hold several components, each with its component (part) and its column's largest."""
+    part = live.withColumn("part", F.col("class")) if whole is None else live.join(whole, live["class"] == whole["node"], "left").select(
+        "gram", "class", "n", "place", F.coalesce("component_id", "class").alias("part"))
+    per_part = part.groupBy("gram", "part").agg(F.count("*").alias("rows"))
+    columns = per_part.groupBy("gram").agg(F.max(F.struct("rows", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    return written(part.join(columns.select("gram", F.col("most.part").alias("largest")), "gram"), "mixed")
+
+
+def _to_pivots(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each entry outside its column's largest component with one class of that component, another one each turn."""
+    inside = mixed.where("part = largest")
+    pivots = inside.groupBy("gram").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "place")).alias("p"))
+    pivots = pivots.select("gram", F.col("p.class").alias("b"), F.col("p.n").alias("m"), F.col("p.place").alias("spot"))
+    met = mixed.where("part <> largest").join(pivots, "gram").where(_possible(percent))
+    return met.select(F.col("class").alias("a"), "b").distinct()
+
+
+def _rest(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of a column's entries of different components; the largest component's never meet each other."""
+    few = mixed.where("part <> largest")
+    other = mixed.select("gram", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("part").alias("part_b"), F.col("largest").alias("largest_b"))
+    # Pairs outside the largest component are met once, by order.
+    once_each = (F.col("part_b") == F.col("largest_b")) | (F.col("class") < F.col("b"))
+    rest = few.join(other, "gram").where((F.col("part") != F.col("part_b")) & once_each & _possible(percent))
+    return rest.select(F.least("class", "b").alias("b"), F.greatest("class", "b").alias("a")).distinct()
+
+
 def components_of(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
     own, entries = incidence(docs, k, percent)
     members = written(own.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "members")
-    pivots = entries.groupBy("gram").agg(F.min(F.struct("class", "n", "place")).alias("p"), F.max("class").alias("last"))
-    pivots = pivots.where("p.class <> last").select("gram", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"), F.col("p.place").alias("spot"))
+    columns = entries.groupBy("gram").agg(F.min("class").alias("least"), F.max("class").alias("last")).where("least <> last")
     # Entries of columns with two classes or more.
-    live = written(entries.join(pivots, "gram"), "live")
-    met = live.where(F.col("class") != F.col("pivot")).where(_possible(percent))
-    met = written(met.select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(), "met")
-    found = written(links(docs, members, met, k, percent), "found")
-    joined = components.connected(found)
-
-    # Columns that still hold several components.
-    part = live.join(joined, live["class"] == joined["node"], "left").select(
-        "gram", "class", "n", "place", "pivot", F.coalesce("component_id", "class").alias("part"))
-    per_part = part.groupBy("gram", "part").agg(F.count("*").alias("rows"))
-    largest = per_part.groupBy("gram").agg(F.max(F.struct("rows", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = written(part.join(largest.select("gram", F.col("most.part").alias("largest")), "gram"), "mixed")
-    few = mixed.where(F.col("part") != F.col("largest"))
-    other = mixed.select("gram", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("part").alias("part_b"),
-                         F.col("largest").alias("largest_b"))
-    # Pairs outside the largest component are met once, by order; the pivots' own pairs were met before.
-    once = (F.col("part_b") == F.col("largest_b")) | (F.col("class") < F.col("b"))
-    rest = few.join(other, "gram").where((F.col("part") != F.col("part_b")) & once & _possible(percent)
-                                         & (F.col("class") != F.col("pivot")) & (F.col("b") != F.col("pivot")))
-    rest = rest.select(F.least("class", "b").alias("b"), F.greatest("class", "b").alias("a")).distinct()
-    more = links(docs, members, rest, k, percent)
-    whole = components.connected(found.union(more))
+    live = written(entries.join(columns.select("gram"), "gram"), "live")
+    sets = sets_of(docs, written(members.join(live.select("class").distinct(), "class"), "wanted"), k)
+    found, whole = None, None
+    for turn in range(MOST_TURNS + 1):
+        mixed = _mixed(live, whole)
+        last = turn == MOST_TURNS or found is not None and few
+        pairs = written(_rest(mixed, percent) if last else _to_pivots(mixed, turn, percent), "pairs")
+        new = written(links(sets, pairs, percent), "found")
+        found = new if found is None else found.union(new)
+        whole = components.connected(found)
+        if last:
+            break
+        few = new.count() * FEW < pairs.count()
 
     named = members.join(whole, members["class"] == whole["node"], "left").select(
         "class", "doc_id", F.coalesce("component_id", "class").alias("part"))

@@ -148,7 +148,7 @@ def _ask(groups: int, parts: int):
             if len(gram):
                 held.append((gram, keys[text]))
                 size += len(gram)
-            if size > 3_000_000:
+            if size > 1_000_000:
                 yield flush()
                 size = 0
         if held:

@@ -5,7 +5,6 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .operators.ml import TextClassifier
 from .operators.ranking import distinct_check
 from .plans.extract import Models, inference
 from .sources.articles import read_articles, read_labels, read_submission, write_submission
@@ -16,13 +15,11 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--articles", required=True, help="folder of PMC<id>.nxml files")
     p.add_argument("--ids", required=True, help="CSV or Parquet table with a column pmcids")
     p.add_argument("--out", required=True)
-    p.add_argument("--models", help="folder with study_type and sex classifiers; rules are used for what is absent")
+    p.add_argument("--models", help="folder with study_type, sex, ranker and cache; rules are used for what is absent")
     p.add_argument("--format", default="csv", choices=["csv", "parquet"])
     a = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
-    models = Models()
-    if a.models:
-        models = Models(study_type=TextClassifier.load(spark, f"{a.models}/study_type"), sex=TextClassifier.load(spark, f"{a.models}/sex"))
+    models = Models.load(spark, a.models) if a.models else Models()
     ids = read_labels(spark, a.ids, a.format)
     write_submission(inference(ids, read_articles(spark, a.articles), models), a.out)
     row = distinct_check(read_submission(spark, a.out), "pmcids").first()

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -72,6 +73,16 @@ class TfIdf:
         return docs.join(rows, F.col(key) == F.col("_id"), "left").withColumn("features", vector("pairs")).drop("pairs", "_id")
 
 
+def read_if_there(spark: SparkSession, schema: str, path: str):
+    """The first row of a JSON table, or null where the path doesn't exist: an absent artifact is no error, rules take over."""
+    try:
+        return spark.read.schema(schema).json(path).first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 @dataclass
 class TextClassifier:
     tfidf: TfIdf
@@ -95,12 +106,9 @@ class TextClassifier:
     @staticmethod
     def load(spark: SparkSession, path: str) -> "TextClassifier | None":
         """The saved classifier; null where there is none."""
-        try:
-            meta = spark.read.schema("labels array<string>, size int, stop_words array<string>, ngrams int").json(f"{path}/meta").first()
-        except Exception as e:  # an absent artifact is no error: rules take over
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        meta = read_if_there(spark, "labels array<string>, size int, stop_words array<string>, ngrams int", f"{path}/meta")
+        if meta is None:
+            return None
         tfidf = TfIdf(spark.read.parquet(f"{path}/vocabulary"), meta["size"], meta["stop_words"], meta["ngrams"])
         return TextClassifier(tfidf, LogisticRegressionModel.load(f"{path}/model"), meta["labels"])
 
@@ -178,6 +186,33 @@ class Ranker:
             found = found.withColumn(f"p_{side}", value)
         return found.drop("features", "rawPrediction", "probability", "prediction")
 
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        SparkSession.getActiveSession().createDataFrame([(self.labels,)], "labels array<string>").write.mode("overwrite").json(f"{path}/meta")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Ranker | None":
+        """The saved ranker; null where there is none."""
+        meta = read_if_there(spark, "labels array<string>", f"{path}/meta")
+        return Ranker(LogisticRegressionModel.load(f"{path}/model"), meta["labels"]) if meta else None
+
+
+def cross_validated_macro_f1(sentences: DataFrame, key: str, folds: int = 3, max_iter: int = 100) -> float | None:
+    """Mean macro-F1 of rankers over stratified folds, to four places; null if a fold lacks what a fit needs."""
+    dealt = ranking.stratified_folds(sentences, "label", F.xxhash64(key, "text"), folds).persist()
+    scores = []
+    for k in range(folds):
+        train = dealt.where(F.col("fold") != k)
+        if train.select("label").distinct().count() < 2:
+            break
+        ranker = fit_ranker(train, max_iter=max_iter)
+        names = F.array(*[F.lit(x) for x in ranker.labels])
+        told = ranker.model.transform(dealt.where(F.col("fold") == k).withColumn("features", sentence_features(F.col("embedding"), F.col("text"))))
+        told = told.withColumn("told", F.element_at(names, F.col("prediction").cast("int") + 1))
+        scores.append(ranking.macro_f1(told, "label", "told").first()[0])
+    dealt.unpersist()
+    return round(sum(scores) / folds, 4) if len(scores) == folds and None not in scores else None
+
 
 def fit_ranker(sentences: DataFrame, label: str = "label", c: float = 1.0, max_iter: int = 100) -> Ranker:
     """A three-class balanced regression over embeddings and cues."""

@@ -5,7 +5,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed
 from ..functions.text import content_key, let
@@ -97,3 +98,19 @@ def embed(texts: DataFrame, cache: DataFrame, make_encoder=hashing_encoder, text
     new = encode_texts(cache_misses(texts, cache, text), make_encoder)
     keyed = texts.withColumn("text_sha1", content_key(F.col(text)))
     return keyed.join(cache.unionByName(new), "text_sha1", "left"), new
+
+
+def append_cache(new: DataFrame, path: str) -> None:
+    """Adds encoded texts to the cache table."""
+    new.select("text_sha1", "embedding").write.mode("append").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache table, each text once; empty where there is none yet."""
+    schema = "text_sha1 string, embedding array<float>"
+    try:
+        return spark.read.schema(schema).parquet(path).dropDuplicates(["text_sha1"])
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise

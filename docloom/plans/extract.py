@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed
 from ..functions import conditions, criteria, rules, text, views
@@ -28,6 +28,17 @@ class Models:
     #: Generator of a list of conditions: a Column function from a prompt to text.
     generate: Callable[[Column], Column] | None = None
 
+    @staticmethod
+    def load(spark: SparkSession, path: str, **hooks) -> "Models":
+        """What a folder holds of study_type, sex, ranker and cache; the rest is absent."""
+        return Models(ml.TextClassifier.load(spark, f"{path}/study_type"), ml.TextClassifier.load(spark, f"{path}/sex"),
+                      ml.Ranker.load(spark, f"{path}/ranker"), vectors.read_cache(spark, f"{path}/cache"), **hooks)
+
+    def save(self, path: str) -> None:
+        for name in ("study_type", "sex", "ranker"):
+            if getattr(self, name):
+                getattr(self, name).save(f"{path}/{name}")
+
     @property
     def available(self) -> bool:
         return any((self.study_type, self.sex, self.ranker))

@@ -31,10 +31,12 @@ def train(articles: DataFrame, gold: DataFrame, cache: DataFrame, make_encoder=v
     study_score = ml.cross_validated_accuracy(rows, "pmcid", "_lexical", "study_type", folds, **options)
     study = ml.fit_classifier(rows, "pmcid", "_lexical", "study_type", **options)
     sex, balanced, sex_score = ml.best_balance(rows, "pmcid", "_lexical", "sex", folds, **options)
-    sentences = labelled_sentences(articles, gold, cache, make_encoder)
-    ranker = ml.fit_ranker(sentences) if sentences.limit(1).count() else None
-    meta = spark.createDataFrame([(rows.count(), study_score, sex_score, balanced, fixed.LEAST_SIMILARITY, fixed.TOP_INCLUSION, fixed.TOP_EXCLUSION, spark.version)],
-                                 "n_train long, study_type_cv_acc double, sex_cv_acc double, sex_balanced boolean, ranker_rel_thresh double, "
+    sentences = labelled_sentences(articles, gold, cache, make_encoder).persist()
+    some = sentences.select("label").distinct().count() > 1
+    f1 = ml.cross_validated_macro_f1(sentences, "pmcid", max_iter=options.get("max_iter", 100)) if some else None
+    ranker = ml.fit_ranker(sentences) if some else None
+    meta = spark.createDataFrame([(rows.count(), study_score, sex_score, balanced, f1, fixed.LEAST_SIMILARITY, fixed.TOP_INCLUSION, fixed.TOP_EXCLUSION, spark.version)],
+                                 "n_train long, study_type_cv_acc double, sex_cv_acc double, sex_balanced boolean, ranker_cv_f1_macro double, ranker_rel_thresh double, "
                                  "topk_inc int, topk_exc int, spark string")
     return Models(study, sex, ranker, cache, make_encoder), meta
 

@@ -233,6 +233,16 @@ def medical_cues(spark, sf_dir):
     return _rows(spark, SENTENCES, "id int, text string").select("id", rules.inclusion_cue(t).alias("inclusion"), rules.exclusion_cue(t).alias("exclusion"))
 
 
+AGES = [(1, "aged 18 to 65 years; at least 21 years"), (2, "older than 60 yrs and up to 75 years"), (3, "no ages"), (4, "Aged 5-12 years old, under 13 years")]
+
+
+@query(f"""SELECT id, array_to_string(regexp_extract_all(text, '(?i){fixed.AGE_RANGE}', 1), ',') AS from_age, array_to_string(regexp_extract_all(text, '(?i){fixed.AGE_LEAST}', 1), ',') AS least,
+  array_to_string(regexp_extract_all(text, '(?i){fixed.AGE_MOST}', 1), ',') AS most FROM {_values(AGES, 'id, text')}""")
+def age_numbers(spark, sf_dir):
+    found = {n: rules.age_numbers(F.col("text"), p) for n, p in (("from_age", fixed.AGE_RANGE), ("least", fixed.AGE_LEAST), ("most", fixed.AGE_MOST))}
+    return _rows(spark, AGES, "id int, text string").select("id", *[F.array_join(a.cast("array<string>"), ",").alias(n) for n, a in found.items()])
+
+
 # --- criteria --------------------------------------------------------------------------------------------------
 
 _CANDIDATES = "WITH both_texts AS (SELECT doc_id * 2 AS k, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id * 2 + 1, abstract FROM " + _ARTICLE + "), " + _sentences(
@@ -397,6 +407,14 @@ def distinct_check(spark, sf_dir):
     return ranking.distinct_check(table(spark, sf_dir, "documents"), "doc_id")
 
 
+@query("""WITH c AS (SELECT DISTINCT v FROM (SELECT quality AS v FROM labels UNION ALL SELECT toxic FROM labels)),
+f AS (SELECT v, 2.0 * count(CASE WHEN quality = v AND toxic = v THEN 1 END) / (count(CASE WHEN quality = v THEN 1 END) + count(CASE WHEN toxic = v THEN 1 END)) AS f1
+  FROM c CROSS JOIN labels GROUP BY v)
+SELECT round(avg(f1), 4) AS macro_f1 FROM f""")
+def macro_f1(spark, sf_dir):
+    return ranking.macro_f1(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
 # --- vectors ---------------------------------------------------------------------------------------------------
 
 _BEST = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

@@ -77,13 +77,18 @@ def test_ranking(spark):
     assert ranking.macro_f1(told, "label", "told").first()[0] == round(2 / 3, 4)
 
 
-def test_embedding_cache(spark):
+def test_embedding_cache(spark, tmp_path):
     texts = spark.createDataFrame([("a b",), ("a b",), ("c",), (None,)], "text string")
     empty = spark.createDataFrame([], "text_sha1 string, embedding array<float>")
     found, new = vectors.embed(texts, empty, lambda: vectors.hashing_encoder(16))
     assert new.count() == 3 and found.count() == 4 and found.where("embedding is null").count() == 0
     again, none = vectors.embed(texts, new, lambda: vectors.hashing_encoder(16))
     assert none.count() == 0
+    path = f"file://{tmp_path}/cache"
+    assert vectors.read_cache(spark, path).count() == 0
+    vectors.append_cache(new, path)
+    vectors.append_cache(new, path)
+    assert vectors.read_cache(spark, path).count() == 3
 
 
 def test_best_similarity(spark):
@@ -118,6 +123,12 @@ def test_training_and_models(spark, cohort, tmp_path):
     loaded = ml.TextClassifier.load(spark, f"file://{tmp_path}/m")
     assert loaded.labels == models.study_type.labels
     assert ml.TextClassifier.load(spark, f"file://{tmp_path}/none") is None
+    models.save(f"file://{tmp_path}/all")
+    back = extract.Models.load(spark, f"file://{tmp_path}/all", make_encoder=lambda: vectors.hashing_encoder(32))
+    assert back.available and back.ranker.labels == models.ranker.labels and back.embedding_cache.count() == 0
+    assert sorted(map(str, extract.extract_all(a, back).collect())) == sorted(map(str, got))
+    assert not extract.Models.load(spark, f"file://{tmp_path}/none").available
+    assert meta.first().ranker_cv_f1_macro is None or 0 <= meta.first().ranker_cv_f1_macro <= 1
 
 
 def test_generator_pairs(spark, cohort, tmp_path):

@@ -6,14 +6,15 @@ grade and the tail probability of every grade, and is selected by one of the tai
 
 Features of a text, each hashed to 2**BITS buckets: its words (A-Z lower-cased, ASCII
 punctuation dropped from their edges), the words' openings of OPENINGS bytes, the shapes of its
-words (runs of capitals, small letters, digits, other), and words that repeat the word before
-them.  A feature's value is the root of its share among the text's features of that kind, so a
-text's length doesn't matter.  Features in fewer than `least_docs` of the fitted documents weigh 0.
+words (runs of capitals, small letters, digits, other), words that repeat the word before them,
+and the number of words in powers of two (value 1).  Any other feature's value is the root of its
+share among the text's features of that kind, so a text's length doesn't scale its score.
+Features in fewer than `least_docs` of the fitted documents weigh 0.
 
 Fitted in numpy on the driver on a bounded sample: about `per_grade` whole rated documents of
-each grade, picked by a hash; each grade then weighs the same.  Ratings with a null part are left
-out.  A text without words (null, empty, blank) has no features: its score is 0.  With no ratings
-at all every document gets the top grade with probability 1, so nothing is rejected.
+each grade, picked by a hash; grades weigh as the roots of their sizes.  Ratings with a null part
+are left out.  A text without words (null, empty, blank) has no features: its score is 0.  With no
+ratings at all every document gets the top grade with probability 1, so nothing is rejected.
 """
 from __future__ import annotations
 
@@ -83,8 +84,11 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(again):
         hit = np.flatnonzero(repeated)
         out.append((np.full(len(hit), 1, np.int64), hit, np.sqrt(repeated[hit] / np.bincount(text, minlength=n)[hit])))
-    if not out:
+    n_words = np.bincount(text, minlength=n)
+    some = np.flatnonzero(n_words)
+    if not len(some):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    out.append((2 + np.minimum(np.log2(n_words[some]), 15).astype(np.int64), some, np.ones(len(some))))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -123,48 +127,54 @@ def train(texts: list[str], grades: list[int], epochs: int = 400, rate: float =
     y = np.array([names.index(x) for x in grades])
     rng = np.random.default_rng(seed)
     raw, offsets = tb.column_bytes(pa.array(texts, pa.large_string()))
-    rows = []
+    # One piece for each slice of texts: features, values and texts as small numbers.
+    pieces, seen = [], np.zeros(1 << BITS, np.int64)
     for i, j in tb.slices(offsets):
         bucket, text, value = features(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-        by = np.argsort(text, kind="stable")
-        ends = np.searchsorted(text[by], np.arange(1, j - i + 1))
-        rows += list(zip(np.split(bucket[by], ends[:-1]), np.split(value[by], ends[:-1])))
-    seen = np.zeros(1 << BITS, np.int64)
-    for ids, _ in rows:
-        seen[ids] += 1
-    rows = [(ids[seen[ids] >= least_docs], value[seen[ids] >= least_docs]) for ids, value in rows]
+        seen += np.bincount(bucket, minlength=len(seen))
+        pieces.append((i, j, bucket.astype(np.int32), text.astype(np.int32), value.astype(np.float32)))
+    used = np.flatnonzero(seen >= least_docs)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    for k, (i, j, bucket, text, value) in enumerate(pieces):
+        keep = place[bucket] >= 0
+        pieces[k] = (i, j, place[bucket[keep]], text[keep], value[keep])
     w = np.zeros(1 << BITS)
-    first, gaps = np.zeros(1), np.zeros(max(g - 2, 0))  # thresholds: first, then first + sums of exp(gaps)
-    gf, gg = np.full(1, 1e-6), np.full(len(gaps), 1e-6)
     model = OrdinalModel(names, w, np.zeros(g - 1))
     if g < 2:
         return model
     order = rng.permutation(len(y))
     cut = max(1, int(len(y) * (1 - held_back)))
     fit, kept = order[:cut], order[cut:] if cut < len(y) else order
-    weight = np.sqrt(len(fit) / (g * np.maximum(np.bincount(y[fit], minlength=g), 1)))[y[fit]]
+    weight = np.zeros(len(y))
+    weight[fit] = np.sqrt(len(fit) / (g * np.maximum(np.bincount(y[fit], minlength=g), 1)))[y[fit]]
     weight /= weight.sum()
-    used, ids = np.unique(np.concatenate([rows[i][0] for i in fit]), return_inverse=True)
-    val = np.concatenate([rows[i][1] for i in fit])
-    own = np.repeat(np.arange(len(fit)), [len(rows[i][0]) for i in fit])
-    v, gv, at, yf = np.zeros(len(used)), np.full(len(used), 1e-12), np.arange(len(fit)), y[fit]
-    zero = np.zeros((len(fit), 1))
+    first, gaps = np.zeros(1), np.zeros(max(g - 2, 0))  # thresholds: first, then first + sums of exp(gaps)
+    v, gv, gf, gg = np.zeros(len(used)), np.full(len(used), 1e-12), np.full(1, 1e-6), np.full(len(gaps), 1e-6)
+    at, zero, s = np.arange(len(y)), np.zeros((len(y), 1)), np.zeros(len(y))
+
+    def scored() -> None:
+        for i, j, ids, text, value in pieces:
+            s[i:j] = np.bincount(text, weights=value * v[ids], minlength=j - i)
     for epoch in range(epochs):
         step = rate * (1 - 0.9 * epoch / epochs)
+        scored()
         t = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        c = sigmoid(np.bincount(own, weights=val * v[ids], minlength=len(fit))[:, None] - t[None, :])
+        c = sigmoid(s[:, None] - t[None, :])
         full = np.hstack([zero + 1, c, zero])
-        p = np.maximum(full[at, yf] - full[at, yf + 1], 1e-9)
+        p = np.maximum(full[at, y] - full[at, y + 1], 1e-9)
         slope = np.hstack([zero, c * (1 - c), zero])
-        up, down = slope[at, yf] / p * weight, slope[at, yf + 1] / p * weight
-        grad = np.bincount(ids, weights=val * (down - up)[own], minlength=len(used))
+        up, down = slope[at, y] / p * weight, slope[at, y + 1] / p * weight
+        grad = np.zeros(len(used))
+        for i, j, ids, text, value in pieces:
+            grad += np.bincount(ids, weights=value * (down - up)[i:j][text], minlength=len(used))
         gv += grad * grad
         rates = step / np.sqrt(gv)
         v -= rates * grad
         v = np.sign(v) * np.maximum(np.abs(v) - rates * decay, 0)  # proximal step of the L1 penalty
-        dt = np.zeros((len(fit), g + 1))
-        dt[at, yf] += up
-        dt[at, yf + 1] -= down
+        dt = np.zeros((len(y), g + 1))
+        dt[at, y] += up
+        dt[at, y + 1] -= down
         dt = dt[:, 1:g].sum(0)
         gf += dt.sum() ** 2
         first = first - step * dt.sum() / np.sqrt(gf)
@@ -173,10 +183,10 @@ def train(texts: list[str], grades: list[int], epochs: int = 400, rate: float =
             gg += dg * dg
             gaps = gaps - step * dg / np.sqrt(gg)
     w[used] = v
+    scored()
     model.weights = w
     model.thresholds = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-    s = np.array([(rows[i][1] * w[rows[i][0]]).sum() for i in kept])
-    model.cut = selection_cut(model.tails(s)[:, -1], y[kept] == g - 1)
+    model.cut = selection_cut(model.tails(s[kept])[:, -1], y[kept] == g - 1)
     return model
 
 

@@ -339,8 +339,8 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def counts(asked: DataFrame, run) -> dict[int, int]:
-        found = asked.groupBy("part").applyInArrow(run, "r long, n long").groupBy("r").agg(F.sum("n"))
-        with once(spark):
+        with once(spark):  # a plan is built inside, as it takes this setting when it is made
+            found = asked.groupBy("part").applyInArrow(run, "r long, n long").groupBy("r").agg(F.sum("n"))
             return {r[0]: r[1] for r in found.collect()}  # one row for each different count: at most sqrt(2 * tokens)
     told_schema = "kind int, g int, part int, a binary, b binary, c binary"
     asked = written(rows.groupBy("g").applyInArrow(_ask_words(groups), "g int, part int, words binary, counts binary"), "asked-words")
@@ -349,9 +349,9 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     asked = written(rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(
         _ask_bigrams(uni, groups), "g int, part int, contexts binary, lengths binary, salted binary, highs binary, lows binary, seen binary"), "asked-bigrams")
     d = discounts(counts(asked, _count_bigrams))
-    sums = asked.groupBy("part").applyInArrow(_salted_sums(uni, d), "ctx long, x double, y double, z long")
     # Only contexts with more than 1 / groups of all tokens, and the start, are split: at most groups + 1 rows.
     with once(spark):
+        sums = asked.groupBy("part").applyInArrow(_salted_sums(uni, d), "ctx long, x double, y double, z long")
         hot = sums.groupBy("ctx").agg(F.sum("x"), F.sum("y"), F.sum("z")).collect()
     ctx = np.array([r[0] for r in hot], np.int64).view(np.uint64)
     total, alpha = backoff(_context_count(ctx, n_docs), *(np.array([r[k] for r in hot], float) for k in (1, 2, 3)))

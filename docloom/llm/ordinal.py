@@ -119,26 +119,26 @@ class OrdinalModel:
         return self.grades[0] + tails @ steps if len(steps) else np.full(len(tails), float(self.grades[0]))
 
 
-def train(texts: list[str], grades: list[int], epochs: int = 400, rate: float = 1.0, decay: float = 3e-4,
+def train(texts: list[str] | pa.Array, grades: list[int], epochs: int = 400, rate: float = 1.0, decay: float = 3e-4,
           least_docs: int = 5, held_back: float = 0.15, seed: int = 11) -> OrdinalModel:
     """L1-penalised maximum likelihood by AdaGrad; thresholds stay ordered by construction."""
     names = sorted(set(grades))
     g = len(names)
     y = np.array([names.index(x) for x in grades])
     rng = np.random.default_rng(seed)
-    raw, offsets = tb.column_bytes(pa.array(texts, pa.large_string()))
-    # One piece for each slice of texts: features, values and texts as small numbers.
-    pieces, seen = [], np.zeros(1 << BITS, np.int64)
+    raw, offsets = tb.column_bytes(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string()))
+    seen = np.zeros(1 << BITS, np.int64)
     for i, j in tb.slices(offsets):
-        bucket, text, value = features(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-        seen += np.bincount(bucket, minlength=len(seen))
-        pieces.append((i, j, bucket.astype(np.int32), text.astype(np.int32), value.astype(np.float32)))
+        seen += np.bincount(features(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])[0], minlength=len(seen))
     used = np.flatnonzero(seen >= least_docs)
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    for k, (i, j, bucket, text, value) in enumerate(pieces):
-        keep = place[bucket] >= 0
-        pieces[k] = (i, j, place[bucket[keep]], text[keep], value[keep])
+    # One piece for each slice of texts: the used features, values and texts as small numbers.
+    pieces = []
+    for i, j in tb.slices(offsets):
+        bucket, text, value = features(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+        keep = np.flatnonzero(place[bucket] >= 0)
+        pieces.append((i, j, place[bucket[keep]], text[keep].astype(np.int32), value[keep].astype(np.float32)))
     w = np.zeros(1 << BITS)
     model = OrdinalModel(names, w, np.zeros(g - 1))
     if g < 2:
@@ -202,7 +202,7 @@ def ratings(labels: DataFrame) -> DataFrame:
     return whole.select("doc_id", grade.alias("grade")).distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 3000) -> OrdinalModel | None:
+def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 2000) -> OrdinalModel | None:
     """A model from a bounded sample of the rated documents.
 
     The sample is drawn from the ratings first, so the join with the texts is small.
@@ -214,9 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 3000) -> OrdinalMod
     for value, n in counts.items():
         keep = keep | ((F.col("grade") == value) & (unit < min(1.0, per_grade / n)))
     picked = F.broadcast(rated.where(keep))  # about 3 * per_grade rows of two numbers
-    rows = docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id").collect()
-    rows = sorted((r["doc_id"], r["text"], r["grade"]) for r in rows)
-    return train([r[1] for r in rows], [r[2] for r in rows]) if rows else None
+    rows = docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("text", "ascending")])
+    return train(rows.column("text"), rows.column("grade").to_pylist()) if rows.num_rows else None
 
 
 def score(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:

@@ -246,8 +246,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, bits: np.ndarray, k: int) -> Da
 
 def _mixed(live: DataFrame, whole: DataFrame | None) -> DataFrame:
     """Entries of columns that hold several components, each with its component (part) and its column's largest."""
+    live = live.select("gram", "class", "n", "place")
     part = live.withColumn("part", F.col("class")) if whole is None else live.join(whole, live["class"] == whole["node"], "left").select(
-        "gram", "class", "n", "place", F.coalesce("component_id", "class").alias("part"))
+        *live.columns, F.coalesce("component_id", "class").alias("part"))
     per_part = part.groupBy("gram", "part").agg(F.count("*").alias("rows"))
     columns = per_part.groupBy("gram").agg(F.max(F.struct("rows", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     return written(part.join(columns.select("gram", F.col("most.part").alias("largest")), "gram"), "mixed")
@@ -282,9 +283,9 @@ def components_of(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     sets = sets_of(docs, written(members.join(live.select("class").distinct(), "class"), "wanted"), k)
     found, whole = None, None
     for turn in range(MOST_TURNS + 1):
-        mixed = _mixed(live, whole)
+        live = _mixed(live, whole)  # columns of one component stay so and are done
         last = turn == MOST_TURNS or found is not None and few
-        pairs = written(_rest(mixed, percent) if last else _to_pivots(mixed, turn, percent), "pairs")
+        pairs = written(_rest(live, percent) if last else _to_pivots(live, turn, percent), "pairs")
         new = written(links(sets, pairs, percent), "found")
         found = new if found is None else found.union(new)
         whole = components.connected(found)

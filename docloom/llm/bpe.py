@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+#: Fragments longer than this are merged pass by pass.
+_LONG = 64
 #: What the library's pattern engine takes for white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -40,21 +42,25 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class _Words(dict):
-    """word -> ids as little-endian 32-bit integers; made on first use, emptied when full."""
+    """word -> ids as little-endian 32-bit integers, made on first use.
+
+    When full, its entries become the old ones and the older ones go; old entries that are used come back.
+    """
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most // 2, {}
 
     def __missing__(self, word):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self[word] = self.make(word)
+        out = self[word] = self.old.get(word) or self.make(word)
         return out
 
 
 class ForcedBoundaryBPE:
-    def __init__(self, path: str, cached_words: int = 300_000):
+    def __init__(self, path: str, cached_words: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -63,8 +69,12 @@ class ForcedBoundaryBPE:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        # The rank of a pair of ids, held in one number, and the id that each merge makes.
+        self.ranks = {self.vocab[a] << 16 | self.vocab[b]: i for i, (a, b) in enumerate(pairs)}
+        self.made = [self.vocab[a + b] for a, b in pairs]
         to_char = byte_alphabet()
+        self.inner = [self.vocab.get(to_char[b]) for b in range(256)]
+        self.final = [self.vocab.get(to_char[b] + self.suffix) for b in range(256)]
         self.to_char, self.to_byte = to_char, {c: b for b, c in to_char.items()}
         self.path, self.front = path, None
         self.inside = self._inside(self.to_byte)
@@ -72,7 +82,7 @@ class ForcedBoundaryBPE:
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE))
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words = _Words(self._word, cached_words)
-        self.fragments = _Words(self._merge, cached_words)
+        self.fragments = _Words(self._merge, cached_words // 4)
 
     def _inside(self, to_byte: dict[str, int]) -> np.ndarray:
         """inside[a, b]: some token has byte b right after byte a."""
@@ -95,30 +105,55 @@ class ForcedBoundaryBPE:
 
     def _word(self, word: str) -> bytes:
         parts = self.fragments_of(word)
+        if len(parts) == 1:
+            return self._merge((parts[0], True))
         last = len(parts) - 1
         return b"".join(self.fragments[p, i == last] for i, p in enumerate(parts))
 
     def _merge(self, key: tuple[bytes, bool]) -> bytes:
         raw, last = key
-        symbols = [self.to_char[b] for b in raw]
-        if last and symbols:
-            symbols[-1] += self.suffix
-        ranks, none = self.ranks, len(self.ranks)
-        while len(symbols) > 1:
-            found = [ranks.get(p, none) for p in zip(symbols, symbols[1:])]
-            best = min(found)
+        if not raw:
+            return b""
+        ids = [self.inner[b] for b in raw]
+        if last:
+            ids[-1] = self.final[raw[-1]]
+        if None in ids:  # bytes that the vocabulary lacks are left out
+            ids = [i for i in ids if i is not None]
+        if len(ids) > _LONG:
+            return array("I", self._merge_long(ids)).tobytes()
+        rank, made, none = self.ranks.get, self.made, len(self.made)
+        ranks = [rank(a << 16 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            ids[i] = merged = made[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 16 | merged, none)
+            if i < len(ranks):
+                ranks[i] = rank(merged << 16 | ids[i + 1], none)
+        return array("I", ids).tobytes()
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges, all places of a pair in one pass: a pass for each pair used, not for each place."""
+        rank, none = self.ranks.get, len(self.made)
+        while len(ids) > 1:
+            ranks = [rank(a << 16 | b, none) for a, b in zip(ids, ids[1:])]
+            best = min(ranks)
             if best == none:
                 break
-            out, i, n = [], 0, len(symbols)
+            out, i, n = [], 0, len(ids)
             while i < n:
-                if i < n - 1 and found[i] == best:
-                    out.append(symbols[i] + symbols[i + 1])
+                if i < n - 1 and ranks[i] == best:
+                    out.append(self.made[best])
                     i += 2
                 else:
-                    out.append(symbols[i])
+                    out.append(ids[i])
                     i += 1
-            symbols = out
-        return array("I", [self.vocab[s] for s in symbols if s in self.vocab]).tobytes()
+            ids = out
+        return ids
 
     def _plain(self, text: str) -> bytes:
         if UNSURE.search(text):

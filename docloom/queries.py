@@ -437,12 +437,20 @@ def weak_labels(spark, sf_dir):
 @query("""SELECT a.label, a.vec_id, round(max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 4) AS similarity
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id <> a.vec_id WHERE b.vec_id < 100 GROUP BY a.label, a.vec_id""")
 def cosine_max(spark, sf_dir):
+    """Partners are the vectors below 100 only, as its SQL says; `cosine_max_whole` compares all."""
     e = table(spark, sf_dir, "embeddings")
     bullets = e.where("vec_id < 100").select("label", F.col("vec_id").alias("other"), "embedding")
     pairs = e.join(bullets.withColumnRenamed("embedding", "_b"), "label").where("other <> vec_id")
     return pairs.groupBy("label", "vec_id").agg(F.round(F.max(vectors.dot(F.col("embedding"), F.col("_b"))), 4).alias("similarity"))
 
 
+@query("""SELECT a.label, a.vec_id, round(max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 4) AS similarity
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id <> a.vec_id GROUP BY a.label, a.vec_id""")
+def cosine_max_whole(spark, sf_dir):
+    found = vectors.best_other_in_blocks(table(spark, sf_dir, "embeddings"), "vec_id", "label", 64)
+    return found.select("label", "vec_id", F.round("similarity", 4).alias("similarity"))
+
+
 @query("""SELECT label, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY p DESC, vec_id) AS r FROM (SELECT label, vec_id, abs(CAST(embedding[1] AS DOUBLE)) * 4 AS p FROM embeddings))
 WHERE r <= 6 AND p >= 0.33 GROUP BY label""")

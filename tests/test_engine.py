@@ -101,6 +101,17 @@ def test_best_similarity(spark):
     assert {r.id: r.similarity for r in vectors.best_in_blocks(e, right.limit(0), "id", 2).collect()} == {1: 0.0, 2: 0.0, 3: 0.0}
 
 
+def test_cosine_max_whole_has_partners_of_every_id(spark, tmp_path):
+    e = [(1, [1.0] + [0.0] * 63, 1), (200, [0.6, 0.8] + [0.0] * 62, 1), (201, [0.0, 1.0] + [0.0] * 62, 1), (300, [1.0] + [0.0] * 63, 2), (301, [1.0] + [0.0] * 63, 2),
+         (302, [1.0] + [0.0] * 63, 3)]
+    rows = spark.createDataFrame(e, "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {1: 0.6, 200: 0.8, 201: 0.8, 300: 1.0, 301: 1.0}
+    assert {r.vec_id: r.similarity for r in entry.queries()["cosine_max_whole"](spark, str(tmp_path)).collect()} == want
+    blocks = vectors.best_other_in_blocks(rows, "vec_id", "label", 64, block=1).collect()
+    assert {r.vec_id: round(r.similarity, 4) for r in blocks} == want
+
+
 @pytest.fixture(scope="module")
 def cohort(spark):
     good = "Patients were randomized to placebo. We included adults with asthma. Subjects without consent were not eligible here."

@@ -89,8 +89,12 @@ def recognised_conditions(articles: DataFrame, recognise: Callable[[Column], Col
     return first.unionByName(best(rest, views.full_text(F.col("title"), F.col("abstract"), F.col("sections"))))
 
 
-def extract_all(articles: DataFrame, models: Models | None = None, lexicons: Lexicons = MEDICAL, most_chars: int = fixed.HARD_CHARS) -> DataFrame:
-    """The seven output columns of every article; conditions as an array, unknown values as the sentinel."""
+def extract_all(articles: DataFrame, models: Models | None = None, lexicons: Lexicons = MEDICAL, most_chars: int = fixed.HARD_CHARS,
+                condition_text: Column | None = None) -> DataFrame:
+    """The seven output columns of every article; conditions as an array, unknown values as the sentinel.
+
+    The rule of conditions reads `condition_text`, by default title, abstract and keywords.
+    """
     m = models or Models()
     out = with_rule_fields(articles, lexicons)
     if m.study_type or m.sex:
@@ -110,7 +114,8 @@ def extract_all(articles: DataFrame, models: Models | None = None, lexicons: Lex
         eligibility = F.coalesce(F.col("_stated"), F.when(F.col("ranked") != "", F.col("ranked")), F.when(rebuilt != "", rebuilt), F.lit(fixed.NOT_SPECIFIED))
     else:
         eligibility = criteria.eligibility(sections, head)
-    by_rule = conditions.found_conditions(conditions.condition_pool(F.col("title"), F.col("abstract"), F.col("keywords")))
+    pool = conditions.condition_pool(F.col("title"), F.col("abstract"), F.col("keywords")) if condition_text is None else condition_text
+    by_rule = conditions.found_conditions(pool)
     if m.generate:
         context = views.article_context(F.col("title"), F.col("abstract"), sections)
         out = out.withColumn("conditions", conditions.generated_conditions(m.generate(text.prompt(fixed.CONDITION_PROMPT, context))))
@@ -140,14 +145,15 @@ def rank_eligibility(articles: DataFrame, models: Models) -> DataFrame:
     return sides.select("pmcid", criteria.format_criteria(F.col("inclusion"), F.col("exclusion")).alias("ranked"))
 
 
-def inference(ids: DataFrame, articles: DataFrame, models: Models | None = None, lexicons: Lexicons = MEDICAL) -> DataFrame:
+def inference(ids: DataFrame, articles: DataFrame, models: Models | None = None, lexicons: Lexicons = MEDICAL,
+              condition_text: Column | None = None) -> DataFrame:
     """A submission row of texts for each id: looked-up article, extraction, criteria cut near a sentence's end.
 
     Ids without an article get what an empty article gives.
     """
     from ..sources.articles import lookup
     found = lookup(ids.select("pmcids"), articles).withColumnRenamed("pmcids", "pmcid")
-    rows = extract_all(found, models, lexicons, most_chars=1 << 30)
+    rows = extract_all(found, models, lexicons, most_chars=1 << 30, condition_text=condition_text)
     cut = text.truncate_clean(F.col("eligibility_criteria"))
     return rows.withColumn("eligibility_criteria", F.when(cut != "", cut).otherwise(fixed.NOT_SPECIFIED)).withColumn(
         "conditions", conditions.to_cell("conditions")).select(*fixed.COLUMNS)

@@ -536,7 +536,7 @@ _EXTRACTED = f"""SELECT CAST(doc_id AS VARCHAR) AS pmcids, study_type, sex, coal
 
 @query(_EXTRACTED)
 def extract_all(spark, sf_dir):
-    found = extract.extract_all(articles.from_documents(table(spark, sf_dir, "documents")), lexicons=FIRING)
+    found = extract.extract_all(articles.from_documents(table(spark, sf_dir, "documents")), lexicons=FIRING, condition_text=articles.document_text())
     return found.withColumn("conditions", F.array_join("conditions", " | "))
 
 
@@ -556,4 +556,4 @@ def submission(spark, sf_dir):
     """Inference over every document's id and one without an article (rows only: cells are Python lists)."""
     docs = table(spark, sf_dir, "documents")
     ids = docs.select(F.col("doc_id").cast("string").alias("pmcids")).union(_rows(spark, [("none",)], "pmcids string"))
-    return extract.inference(ids, articles.from_documents(docs), lexicons=FIRING)
+    return extract.inference(ids, articles.from_documents(docs), lexicons=FIRING, condition_text=articles.document_text())

@@ -53,7 +53,10 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
-    """Plain documents as articles: first line, next 500 characters, and the whole text as methods."""
+    """Plain documents as articles: first line, next 500 characters, and the whole text as methods.
+
+    They have no abstract of their own, so what is to read all of it takes `document_text`.
+    """
     text = F.coalesce("text", F.lit(""))
     line = F.substring_index(text, "\n", 1)
     section = F.struct(F.lit("methods").alias("title"), text.alias("text"))
@@ -63,6 +66,11 @@ def from_documents(docs: DataFrame) -> DataFrame:
         F.array(section).alias("sections"))
 
 
+def document_text() -> Column:
+    """The whole text of an article that `from_documents` made; "" for an id without one."""
+    return F.coalesce(F.get(F.col("sections"), F.lit(0))["text"], F.lit(""))
+
+
 def read_labels(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     """A table of labels: known columns that exist, ids normalised, rows without an id left out."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"') if kind == "csv" else spark.read

@@ -202,3 +202,12 @@ def test_streaming_equals_batch(spark, sf_dir):
     known = entry.queries()
     a, b = (sorted(tuple(r) for r in known[n](spark, sf_dir).select("pmcids", "study_type", "sex").collect()) for n in ("extract_all", "stream_extract"))
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["extract_all", "stream_extract", "submission"])
+def test_conditions_far_into_a_document(spark, tmp_path, name):
+    rows = [(1, "first line\n" + "some words of prose " * 500 + "with severe asthma at last"), (2, "asthma"), (3, None), (4, "one\n" + "w" * 492 + " cancerous")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.pmcids: r.conditions.strip("[]'") for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    got.pop("none", None)
+    assert got == {"1": "Asthma", "2": "Asthma", "3": fixed.NOT_SPECIFIED, "4": fixed.NOT_SPECIFIED}

@@ -142,14 +142,17 @@ def fit_classifier(docs: DataFrame, key: str, text: str, label: str, c: float =
     return TextClassifier(tfidf, model, labels)
 
 
+def fold_predictions(dealt: DataFrame, key: str, text: str, label: str, output: str, folds: int = 5, **options) -> list[DataFrame]:
+    """For each fold its rows of dealt (with `fold`) and the label that the model of the other folds predicts."""
+    return [fit_classifier(dealt.where(F.col("fold") != k), key, text, label, **options).predict(dealt.where(F.col("fold") == k), key, text, output)
+            for k in range(folds)]
+
+
 def cross_validated_accuracy(docs: DataFrame, key: str, text: str, label: str, folds: int = 5, seed: int = 0, **options) -> float:
     """Mean accuracy over stratified folds, to four places."""
     dealt = ranking.stratified_folds(docs, label, F.xxhash64(F.col(key), F.lit(seed)), folds).persist()
-    scores = []
-    for k in range(folds):
-        model = fit_classifier(dealt.where(F.col("fold") != k), key, text, label, **options)
-        found = model.predict(dealt.where(F.col("fold") == k), key, text, "_told")
-        scores.append(found.agg(F.avg((F.col("_told") == F.col(label)).cast("double"))).first()[0])
+    scores = [found.agg(F.avg((F.col("_told") == F.col(label)).cast("double"))).first()[0]
+              for found in fold_predictions(dealt, key, text, label, "_told", folds, **options)]
     dealt.unpersist()
     known = [s for s in scores if s is not None]
     return round(sum(known) / len(known), 4) if known else 0.0

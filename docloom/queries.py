@@ -6,6 +6,8 @@ small relations of sentences (`_rows`), which Spark and SQL read from the same v
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import fixed
@@ -473,27 +475,28 @@ def tfidf_table(spark, sf_dir):
 
 @query()
 def tfidf_classifier(spark, sf_dir):
-    """Cross-validated-fold predictions of `quality` by TF-IDF and logistic regression (rows only)."""
+    """Predictions of `quality` for every labelled document by TF-IDF and logistic regression of the other four folds (rows only)."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("label", F.col("quality").cast("string"))
-    dealt = ranking.stratified_folds(rows, "label", F.col("doc_id"))
-    model = ml.fit_classifier(dealt.where("fold <> 0").select("doc_id", "text", "label"), "doc_id", "text", "label", max_iter=30)
-    return model.predict(dealt.where("fold = 0").select("doc_id", "text", "label"), "doc_id", "text", "told").select("doc_id", "label", "told")
+    dealt = ranking.stratified_folds(rows.select("doc_id", "text", "label"), "label", F.col("doc_id")).persist()
+    told = ml.fold_predictions(dealt, "doc_id", "text", "label", "told")
+    return reduce(DataFrame.unionByName, told).select("doc_id", "label", "told")
 
 
 @query()
 def ranker_criteria(spark, sf_dir):
-    """Weakly labelled sentences, a ranker fitted on them, and its criteria for every labelled document (rows only)."""
-    a = articles.from_documents(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id"))
+    """Weakly labelled sentences, a ranker fitted on them, and its criteria for every document (rows only)."""
+    docs = table(spark, sf_dir, "documents")
+    a, rated = articles.from_documents(docs), articles.from_documents(docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id"))
     line = F.substring_index("text", "\n", 1)
-    gold = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pmcids"), F.concat(
+    gold = docs.select(F.col("doc_id").cast("string").alias("pmcids"), F.concat(
         F.lit("Inclusion Criteria:\n* "), line, F.lit("\nExclusion Criteria:\n* "), F.substring("text", 200, 120)).alias("eligibility_criteria"))
     cache = spark.createDataFrame([], "text_sha1 string, embedding array<float>")
     encoder = lambda: vectors.hashing_encoder(64)
-    labelled = training.labelled_sentences(a, gold, cache, encoder).persist()
-    ranker = ml.fit_ranker(labelled, max_iter=20)
+    labelled = training.labelled_sentences(rated, gold, cache, encoder).persist()
+    ranker = ml.fit_ranker(labelled)
     found = extract.rank_eligibility(a, extract.Models(ranker=ranker, embedding_cache=cache, make_encoder=encoder))
-    return found.select(F.col("pmcid").cast("bigint").alias("doc_id"), "ranked")
+    return a.select("pmcid").join(found, "pmcid", "left").select(F.col("pmcid").cast("bigint").alias("doc_id"), F.coalesce("ranked", F.lit("")).alias("ranked"))
 
 
 # --- markup, sinks, plans --------------------------------------------------------------------------------------

@@ -211,3 +211,11 @@ def test_conditions_far_into_a_document(spark, tmp_path, name):
     got = {r.pmcids: r.conditions.strip("[]'") for r in entry.queries()[name](spark, str(tmp_path)).collect()}
     got.pop("none", None)
     assert got == {"1": "Asthma", "2": "Asthma", "3": fixed.NOT_SPECIFIED, "4": fixed.NOT_SPECIFIED}
+
+
+def test_every_labelled_document_is_predicted_and_every_document_ranked(spark, sf_dir):
+    documents, labels = ({r.doc_id for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select("doc_id").collect()} for t in ("documents", "labels"))
+    told = entry.queries()["tfidf_classifier"](spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in told) == sorted(documents & labels) and {r.told for r in told} <= {"0", "1"}
+    ranked = entry.queries()["ranker_criteria"](spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in ranked) == sorted(documents) and any(r.ranked for r in ranked if r.doc_id not in labels)

@@ -12,9 +12,11 @@ by a sparse, distributed suffix sort:
 3. The suffixes of shared anchors are sorted, stripped of repeats within their run and exchanged as
    front-coded runs: each suffix sends the length of its common prefix with the suffix before it, and
    the rest.  Owners merge the runs by a loser tree that carries common-prefix lengths: two suffixes
-   are compared from the prefix that both are known to share, never before it.
+   are compared from the prefix that both are known to share, never before it.  A run sends a suffix
+   once, with its least document; its occurrences stay in the documents' group, so a line that a third
+   of all documents hold costs its owner one entry a run.
 4. Equal suffixes now stand together; where an anchor has several different suffixes, their windows
-   are matched one by one.  Every window has its least document, and the spans go back to the texts.
+   are matched one by one.  Every run is told its windows' least documents and cuts its own texts.
 
 Null and short texts have no windows.  Ids that are null count as larger than all others.  Rows of
 one doc_id don't remove each other's bytes.  Texts of any length are taken in overlapping pieces.
@@ -26,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textbytes as tb
 from .packing import pack, pack_sorted, unpack, unpack_sorted
-from .shared import partitions, written
+from .shared import Workspace, column_of, partitions, quoted, written
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams in a window
@@ -174,11 +176,13 @@ def _answer(groups: int):
     return run
 
 
-def _sorted_runs(strings: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, part: np.ndarray) -> Iterator[tuple]:
-    """Front-coded sorted runs, one for each part, and where each suffix occurs.
+def _sorted_runs(strings: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, ids: np.ndarray,
+                 part: np.ndarray) -> tuple[list[tuple], tuple]:
+    """Front-coded sorted runs, one for each part, and where their suffixes occur.
 
-    strings: n x WIDE bytes, zero-filled.  Yields (part, prefix lengths, sizes, anchors, rests,
-    occurrences of each, documents, places).
+    strings: n x WIDE bytes, zero-filled.  A run has each suffix once: (part, prefix lengths, sizes, anchors,
+    rests, least documents).  The occurrences, (sizes, how many of each suffix, documents, places), stay here:
+    however often a suffix occurs, its owner gets it once from each run.
     """
     n = len(strings)
     rows = np.zeros((n, 4 + WIDE + 1), np.uint8)
@@ -192,9 +196,10 @@ def _sorted_runs(strings: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc:
     common = np.concatenate([[0], np.where(differs[:, 4:].any(1), differs[:, 4:].argmax(1), WIDE)])
     first = np.flatnonzero(fresh)
     part, size, anchor, doc, at = part[order], size[order], anchor[order], doc[order], at[order]
+    least = np.minimum.reduceat(ids[order], first)
     p1 = part[first]
     cuts = np.flatnonzero(np.concatenate([[True], p1[1:] != p1[:-1]]))
-    count = np.diff(np.append(first, n))
+    runs = []
     for a, b in zip(cuts, [*cuts[1:], len(first)]):
         one = first[a:b]
         size1 = size[one].astype(np.int64)
@@ -204,19 +209,29 @@ def _sorted_runs(strings: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc:
         body = rows[one, 4:4 + WIDE]
         place = np.arange(WIDE)
         rest = body[(place >= shared[:, None]) & (place < size1[:, None])]
-        begin, end = one[0], (first[b] if b < len(first) else n)
-        yield (int(p1[a]), pack(shared.astype(np.uint8)), pack(size1.astype(np.uint8)), pack(anchor[one].astype(np.uint8)), pack(rest),
-               pack(count[a:b].astype(np.uint32)), pack(doc[begin:end].astype(np.uint32)), pack(at[begin:end].astype(np.int64)))
+        runs.append((int(p1[a]), pack(shared.astype(np.uint8)), pack(size1.astype(np.uint8)), pack(anchor[one].astype(np.uint8)), pack(rest), pack(least[a:b])))
+    count = np.diff(np.append(first, n))
+    return runs, (pack(size[first].astype(np.uint8)), pack(count.astype(np.int64)), pack(doc.astype(np.uint32)), pack(at.astype(np.int64)))
+
 
+_RUN, _INDEX, _FOUND = 0, 1, 2
+_MESSAGE = "kind int, g int, run int, part int, a binary, b binary, c binary, d binary, e binary, f binary"
 
-_RUN = ["part", "shared", "sizes", "anchors", "rests", "counts", "docs", "places", "keys", "ids"]
+
+def _messages(rows: list[tuple]) -> pa.Table:
+    """Rows of _MESSAGE; missing blobs are null."""
+    kinds = [pa.int32()] * 4 + [pa.binary()] * 6
+    names = [x.split()[0] for x in _MESSAGE.split(", ")]
+    full = [(*r, *(None,) * (10 - len(r))) for r in rows]
+    return pa.table({n: pa.array([r[i] for r in full], t) for i, (n, t) in enumerate(zip(names, kinds))})
 
 
 def _send(parts: int):
-    """Stage 3, in the texts' groups: runs of the suffixes of shared anchors."""
+    """Stage 3, in the texts' groups: runs of the suffixes of shared anchors to their owners, occurrences to this group."""
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         if docs.num_rows and told.num_rows:
+            g = docs.column("g")[0].as_py()
             keys = np.concatenate([unpack(x, np.int64) for x in told.column("a").to_pylist()])
             low = np.concatenate([unpack(x, np.uint32) for x in told.column("b").to_pylist()])
             asked = np.unique(keys)
@@ -225,6 +240,7 @@ def _send(parts: int):
             if len(mine):
                 docs = docs.take(pa.array(mine))
                 own = own[mine]
+                ids = docs.column("doc_id").combine_chunks().to_numpy()
                 raw, offsets = tb.column_bytes(docs.column("text"))
                 text, gram, p, lo, hi = anchors(raw, offsets)
                 # (document, hash) pairs that were told.
@@ -235,7 +251,7 @@ def _send(parts: int):
                 text, gram, p, lo, hi = text[keep], gram[keep], p[keep], lo[keep], hi[keep]
                 size = hi - lo + LENGTH
                 place = np.arange(WIDE)
-                for a in range(0, len(text), _RUN_ROWS):
+                for number, a in enumerate(range(0, len(text), _RUN_ROWS)):
                     s = slice(a, a + _RUN_ROWS)
                     strings = np.zeros((len(size[s]), WIDE), np.uint8)
                     for b in range(0, len(strings), 10_000):
@@ -244,12 +260,10 @@ def _send(parts: int):
                         at = np.minimum(lo[c][:, None] + place, len(raw) - 1)
                         strings[b:b + 10_000] = np.where(inside, raw[at], np.uint8(0))
                     used, local = np.unique(text[s], return_inverse=True)
-                    ids = docs.column("doc_id").combine_chunks().to_numpy()
-                    names, numbers = pack(own[used]), pack(ids[used])
-                    for r in _sorted_runs(strings, size[s], (p - lo)[s], local, lo[s] - offsets[text[s]], _part(gram[s], parts)):
-                        out.append((*r, names, numbers))
-        kinds = [pa.int32()] + [pa.binary()] * (len(_RUN) - 1)
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(_RUN, kinds))})
+                    runs, index = _sorted_runs(strings, size[s], (p - lo)[s], local, lo[s] - offsets[text[s]], ids[text[s]], _part(gram[s], parts))
+                    out += [(_RUN, g, number, *r) for r in runs]
+                    out.append((_INDEX, g, number, 0, *index, pack(own[used]), pack(ids[used])))
+        return _messages(out)
     return run
 
 
@@ -398,71 +412,101 @@ def _spans(keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return keys[first], begin[first], reach[last]
 
 
-def _merge(groups: int):
-    """Stages 3 and 4, in the owners' tasks: runs merged, every window's least document, spans."""
-    def run(rows: pa.Table) -> pa.Table:
-        runs, entries = [], []
-        for r in rows.to_pylist():
-            shared, sizes = unpack(r["shared"], np.uint8), unpack(r["sizes"], np.uint8)
-            strings = _decode(shared, sizes, unpack(r["rests"], np.uint8).tobytes())
-            keys, ids = unpack(r["keys"], np.int64), unpack(r["ids"], np.int64)
-            docs = unpack(r["docs"], np.uint32)
-            counts = unpack(r["counts"], np.uint32).astype(np.int64)
-            runs.append((strings, shared.tolist()))
-            entries.append((unpack(r["anchors"], np.uint8), counts, keys[docs], ids[docs], unpack(r["places"], np.int64)))
-        place = [np.empty(len(r[0]), np.int64) for r in runs]
-        merged: list[bytes] = []
-        anchor: list[int] = []
-        for s, k, i, c in merge_runs(runs):
-            if not merged or c < len(s) or len(merged[-1]) != len(s):
-                merged.append(s)
-                anchor.append(int(entries[k][0][i]))
-            place[k][i] = len(merged) - 1
-        which = np.concatenate([np.repeat(p, e[1]) for p, e in zip(place, entries)])
-        keys, ids, at = (np.concatenate([e[k] for e in entries]) for k in (2, 3, 4))
-        least = np.full(len(merged), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, ids)
-        first, low = _least_by_window(merged, np.array(anchor, np.int64), least)
-        found = []
+def _merge(rows: pa.Table) -> pa.Table:
+    """Stages 3 and 4, in the owners' tasks: runs merged, and each run told its windows' least documents."""
+    rows = rows.to_pylist()
+    runs, anchor_of, least_of = [], [], []
+    for r in rows:
+        shared, sizes = unpack(r["a"], np.uint8), unpack(r["b"], np.uint8)
+        runs.append((_decode(shared, sizes, unpack(r["d"], np.uint8).tobytes()), shared.tolist()))
+        anchor_of.append(unpack(r["c"], np.uint8))
+        least_of.append(unpack(r["e"], np.int64))
+    place = [np.empty(len(r[0]), np.int64) for r in runs]
+    merged: list[bytes] = []
+    anchor: list[int] = []
+    for s, k, i, c in merge_runs(runs):
+        if not merged or c < len(s) or len(merged[-1]) != len(s):
+            merged.append(s)
+            anchor.append(int(anchor_of[k][i]))
+        place[k][i] = len(merged) - 1
+    least = np.full(len(merged), np.iinfo(np.int64).max)
+    np.minimum.at(least, np.concatenate(place), np.concatenate(least_of))
+    first, low = _least_by_window(merged, np.array(anchor, np.int64), least)
+    # One document for a suffix whose windows all have the same, else one for each window.
+    several = np.minimum.reduceat(low, first[:-1]) != np.maximum.reduceat(low, first[:-1])
+    windows = np.diff(first)
+    out = []
+    for r, at in zip(rows, place):
+        flags = several[at]
+        n = np.where(flags, windows[at], 1)
+        entry = np.repeat(first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        out.append((_FOUND, r["g"], r["run"], r["part"], pack(flags.astype(np.uint8)), pack(low[entry])))
+    return _messages(out)
+
+
+def _resolve(rows: pa.Table) -> pa.Table:
+    """In the texts' groups: the spans to remove, from the occurrences and what the owners told of their suffixes."""
+    index, told = {}, {}
+    for r in rows.to_pylist():
+        if r["kind"] == _INDEX:
+            g = r["g"]
+            index[r["run"]] = r
+        else:
+            told.setdefault(r["run"], []).append(r)
+    found = []
+    for number, r in index.items():
+        answers = sorted(told[number], key=lambda x: x["part"])
+        flags = np.concatenate([unpack(x["a"], np.uint8) for x in answers]) > 0
+        low = np.concatenate([unpack(x["b"], np.int64) for x in answers])
+        windows = unpack(r["a"], np.uint8).astype(np.int64) - (LENGTH - 1)
+        which = np.repeat(np.arange(len(windows)), unpack(r["b"], np.int64))
+        doc, at = unpack(r["c"], np.uint32), unpack(r["d"], np.int64)
+        keys, ids = unpack(r["e"], np.int64)[doc], unpack(r["f"], np.int64)[doc]
+        held = np.where(flags, windows, 1)
+        first = np.cumsum(held) - held
         for a in range(0, len(which), 30_000):
             s = slice(a, a + 30_000)
-            n = first[which[s] + 1] - first[which[s]]
+            w = which[s]
+            n = windows[w]
             own = np.repeat(np.arange(len(n)), n)
             offset = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            hit = np.flatnonzero(low[first[which[s]][own] + offset] < ids[s][own])
+            hit = np.flatnonzero(low[first[w][own] + np.where(flags[w][own], offset, 0)] < ids[s][own])
             start = at[s][own[hit]] + offset[hit]
             found.append(_spans(keys[s][own[hit]], start, start + LENGTH))
-        keys, begin, end = _spans(*(np.concatenate(x) for x in zip(*found)))
-        g = _group(keys, groups)
-        order = np.argsort(g, kind="stable")
-        g, keys, begin, end = g[order], keys[order], begin[order], end[order]
-        cuts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])).tolist() if len(g) else []
-        out = [(int(g[a]), pack(keys[a:b]), pack(begin[a:b]), pack(end[a:b])) for a, b in zip(cuts, [*cuts[1:], len(g)])]
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("g", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())))})
-    return run
+    names = ("a", "b", "c")
+    if not found:
+        return pa.table({"g": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in names}})
+    spans = _spans(*(np.concatenate(x) for x in zip(*found)))
+    return pa.table({"g": pa.array([g], pa.int32()), **{n: pa.array([pack(x)], pa.binary()) for n, x in zip(names, spans)}})
 
 
-def _with_keys(docs: DataFrame, groups: int) -> DataFrame:
-    """docs with key (a hash of id and text, never 0) and g, the group of documents it is in."""
-    key = F.xxhash64("doc_id", "text")
-    key = F.when(key == 0, F.lit(1)).otherwise(key)
-    return docs.withColumn("key", key.cast("long")).withColumn("g", F.pmod("key", F.lit(groups)).cast("int"))
+def _dealt(docs: DataFrame, groups: int) -> DataFrame:
+    """(row, doc_id, text, key, g) of docs: row has its columns but the text by number; key is a hash of id and text, never 0; g the group it is in."""
+    doc_id, text = (F.col(quoted(column_of(docs, c))) for c in ("doc_id", "text"))
+    key = F.xxhash64(doc_id.cast("long"), text)
+    key = F.when(key == 0, F.lit(1)).otherwise(key).cast("long")
+    row = F.struct(F.lit(0).alias("none"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c.lower() != "text"])
+    return docs.select(row.alias("row"), doc_id.cast("long").alias("doc_id"), text.alias("text"), key.alias("key"),
+                       F.pmod(key, F.lit(groups)).cast("int").alias("g"))
 
 
 def find_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     """(g, keys, begins, ends) blobs of the spans to remove, and the number of groups."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("order_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(partitions(docs.sparkSession), int(total // GROUP_BYTES) + 1)
-    keyed = _with_keys(rows, groups).where(F.octet_length("text") >= LENGTH).select(
-        "text", "key", "g", F.col("order_id").alias("doc_id"))
-    asked = written(keyed.select("text", "key").mapInArrow(_ask(groups, groups), _TOLD), "asked")
-    answers = asked.where("kind = 0").groupBy("part").applyInArrow(_answer(groups), "g int, a binary, b binary")
-    told = written(asked.where("kind = 1").select(F.col("part").alias("g"), "a", "b").union(answers), "told")
-    schema = ", ".join(f"{n} {'int' if n == 'part' else 'binary'}" for n in _RUN)
-    runs = keyed.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_send(groups), schema)
-    spans = runs.groupBy("part").applyInArrow(_merge(groups), "g int, a binary, b binary, c binary")
-    return written(spans, "spans"), groups
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(F.col(quoted(column_of(docs, "text")))))).first()[0] or 0
+    groups = max(partitions(spark), int(total // GROUP_BYTES) + 1)
+    order_id = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id")
+    keyed = _dealt(docs, groups).where(F.octet_length("text") >= LENGTH).select("text", "key", "g", order_id)
+    with Workspace(spark) as work:
+        asked = work.written(keyed.select("text", "key").mapInArrow(_ask(groups, groups), _TOLD), "asked")
+        answers = asked.where("kind = 0").groupBy("part").applyInArrow(_answer(groups), "g int, a binary, b binary")
+        told = work.written(asked.where("kind = 1").select(F.col("part").alias("g"), "a", "b").union(answers), "told")
+        work.drop("asked")
+        sent = work.written(keyed.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_send(groups), _MESSAGE), "sent")
+        work.drop("told")
+        found = work.written(sent.where(F.col("kind") == _RUN).groupBy("part").applyInArrow(_merge, _MESSAGE), "found")
+        both = sent.where(F.col("kind") == _INDEX).union(found)
+        return written(both.groupBy("g").applyInArrow(_resolve, "g int, a binary, b binary, c binary"), "spans"), groups
 
 
 def _spans_by_key(spans: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -501,36 +545,39 @@ def removed(docs: DataFrame) -> DataFrame:
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), kind)
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, kinds))})
-    rows = _with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), groups)
-    return rows.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(
+    return _dealt(docs, groups).drop("row").groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the spans cut from text (and n_chars, if there, made to fit).
 
-    A character that is only half in a span goes with it.  Rows that lose their whole text are left out.
+    A character that is only half in a span goes with it.  Rows that lose their whole text are left out;
+    null and empty texts stay.  Columns may have any names; text, doc_id and n_chars any case.
     """
     spans, groups = find_spans(docs)
-    names = docs.columns
-    has_chars = "n_chars" in names
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         by_key = _spans_by_key(found)
-        texts, keep = [], []
-        for text, key in zip(rows.column("text").to_pylist(), rows.column("_key").to_pylist()):
+        texts, keep, cut = [], [], []
+        for text, key in zip(rows.column("text").to_pylist(), rows.column("key").to_pylist()):
             s = by_key.get(key)
             new = text if s is None or text is None else _cut(text.encode(), s).decode("utf-8", "ignore")
             texts.append(new)
+            cut.append(s is not None and text is not None)
             keep.append(not (text and not new))
-        out = rows.set_column(rows.column_names.index("text"), "text", pa.array(texts, pa.string()))
-        if has_chars:
-            at = rows.column_names.index("n_chars")
-            old = rows.column("n_chars")
-            fresh = pa.array([o if k not in by_key or t is None else len(t) for o, k, t in zip(old.to_pylist(), rows.column("_key").to_pylist(), texts)])
-            out = out.set_column(at, "n_chars", fresh.cast(old.type))
-        return out.filter(pa.array(keep, pa.bool_())).select(names)
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    rows = docs.withColumn("_key", F.when(key == 0, F.lit(1)).otherwise(key).cast("long"))
-    rows = rows.withColumn("_g", F.pmod("_key", F.lit(groups)).cast("int"))
-    return rows.groupBy("_g").cogroup(spans.groupBy("g")).applyInArrow(run, docs.schema)
+        out = pa.table({"row": rows.column("row"), "text": pa.array(texts, pa.string()), "cut": pa.array(cut, pa.bool_())})
+        return out.filter(pa.array(keep, pa.bool_()))
+    rows = _dealt(docs, groups).select("row", "text", "key", "g")
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())])
+    out = rows.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(run, schema)
+
+    def column(i: int, field: T.StructField):
+        if field.name.lower() == "text":
+            own = F.col("text").cast(field.dataType)
+        elif field.name.lower() == "n_chars":
+            own = F.when(F.col("cut"), F.length("text").cast(field.dataType)).otherwise(F.col(f"row.c{i}"))
+        else:
+            own = F.col(f"row.c{i}")
+        return own.alias(field.name)
+    return out.select(*[column(i, f) for i, f in enumerate(docs.schema)])

@@ -1,41 +1,47 @@
-"""Language-model scoring: a Katz backoff bigram model over all training documents.
-
-Tokens are words (A-Z lower-cased) and one end token a document.  Seen bigrams have Good-Turing
-discounted relative frequencies, P(w|v) = d(r) * r / c(v); unseen ones back off, P(w|v) =
-alpha(v) * P(w), with alpha(v) = (1 - sum of P(w|v) over seen w) / (1 - sum of P(w) over seen w), so
-every context sums to one exactly.  Unigrams are discounted the same way and what is left is the
-probability of one unknown word.  Where nothing is discounted the denominator is one larger, so that
-something is always left.  Good-Turing counts that are not usable (empty or rising count classes, as
-in tiny corpora) leave their r undiscounted.
-
-The counts are partitioned tables keyed by word and by context.  Documents are dealt into groups by a
-hash; a group asks each partition for the words, then the bigrams and contexts it holds, in sorted
-compact blobs, and evaluates its tokens recursively from the answers, which are aligned to what it
-asked.  Nothing of the model's size is ever in one place, neither counts nor answers.  Contexts more
-frequent than a partition's share are split over several partitions by the following word.
-
-A word's identity in bigrams is (its count, its number among the words of that count), which is
-smaller than a hash and gives its unigram probability too.
-
-Null texts are empty: an end token alone.  Without training documents every score is 0.
+"""Language-model scoring: Katz backoff of any order (3 by default) over all training documents.
+
+Tokens are words (A-Z lower-cased) and one end token a document.  An n-gram that training holds has its
+Good-Turing discounted relative frequency, P(w|h) = d(r) * r / N(h); another one backs off to the history
+without its first word, P(w|h) = alpha(h) * P(w|h'), and a history that training doesn't hold passes on to
+h' as it is.  alpha(h) = (1 - sum of P(w|h) over seen w) / (1 - sum of P(w|h') over seen w), so every
+history sums to one exactly.  The recursion ends at words, which are discounted the same way; what is left
+there is the probability of one unknown word.  Where nothing is discounted N(h) is one larger, so that
+something is always left.  Good-Turing counts that are not usable (empty or rising count classes, as in tiny
+corpora) leave their r undiscounted.  A text's first word has the start as its history, its second word the
+start and the first word, and so on.
+
+The counts are partitioned tables keyed by word and by history.  Documents are dealt into groups by a hash;
+a group's tokens are read once and kept as numbers.  Order by order, a group asks each partition for the
+n-grams and histories it holds, in sorted compact blobs, and gets their counts, names and alphas, aligned to
+what it asked; its tokens' n-grams of the next order are made of these names.  Nothing of the model's size is
+ever in one place, neither counts nor answers.  Histories more frequent than a partition's share are split
+over several partitions by the following word.
+
+An n-gram's name is a number of its own that its partition gives it, so names are exact at any size; words
+are told apart by 64-bit hashes.  All counts and names have 64 bits.
+
+Null texts are empty: an end token alone.  Rows that repeat an id are texts of their own.  Without training
+documents every score is 0.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textbytes as tb
 from .packing import pack, pack_sorted, unpack, unpack_sorted
-from .shared import once, partitions, written
+from .shared import Workspace, column_of, partitions, quoted, written
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
+ORDER = 3
 GROUP_BYTES = 12 << 20
 END = np.uint64(0x456E64)  # the end token's hash
-START = np.uint64(0xFFFFFFFFFFFFFFFF)  # the context of a text's first token
-NONE = np.uint64(0)  # the identity of a word that training doesn't hold
-_LOW = np.uint64(0xFFFFFFFF)
+START = np.uint64(0xFFFFFFFFFFFFFFFF)  # the name of a text's start
+NONE = np.uint64(0)  # the name of what training doesn't hold
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +62,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def discounts(n: dict[int, int], k: int = DISCOUNTED) -> np.ndarray:
-    """Good-Turing discounts d[r] for r of 0 to k + 1; d is 1 from k + 1 on.  n: words (bigrams) of each count."""
+    """Good-Turing discounts d[r] for r of 0 to k + 1; d is 1 from k + 1 on.  n: n-grams of each count."""
     d = np.ones(k + 2)
     n1 = n.get(1, 0)
     if not n1:
@@ -94,270 +100,365 @@ class Unigrams:
         return np.log10((r + 1) / (self.n_tokens + self.n_types + 1))
 
 
+def backoff(total: np.ndarray, low_counts: np.ndarray, lower: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(N, log10 alpha) of histories.
+
+    total: sums of the counts of what follows; low_counts: how many follow 1 to DISCOUNTED times; lower: what the
+    lower order gives to all that follows.
+    """
+    r = np.arange(1, DISCOUNTED + 1)
+    left = low_counts @ (r * (1 - d[1:-1]))
+    some = low_counts[:, d[1:-1] < 1].sum(1) > 0
+    n = total + ~some
+    left = np.where(some, left, 1.0)
+    return n, np.log10(np.maximum(left / np.maximum(n, 1), 1e-300)) - np.log10(np.maximum(1 - lower, 1e-300))
+
+
+@dataclass
+class Model:
+    """What is known of the model as a whole: a few numbers, and histories split over partitions (one a partition at most)."""
+    parts: int
+    uni: Unigrams
+    d: dict[int, np.ndarray] = field(default_factory=dict)
+    hot: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # names, N, log10 alpha
+
+
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal neighbours begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
 def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of equal neighbours."""
-    if not len(x):
-        return []
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return list(zip(first.tolist(), [*first[1:].tolist(), len(x)]))
+    first = _heads(x).tolist()
+    return list(zip(first, [*first[1:], len(x)]))
 
 
-def _blobs(rows: list[tuple], names: list[str]) -> pa.Table:
-    kinds = {"kind": pa.int32(), "g": pa.int32(), "part": pa.int32()}
-    return pa.table({c: pa.array([r[i] for r in rows], kinds.get(c, pa.binary())) for i, c in enumerate(names)})
+# --- messages --------------------------------------------------------------------------------------------------
 
+_TEXT, _ASK, _TOLD = 0, 1, 2
+_BLOBS = "abcdefh"
+_MESSAGE = "kind int, k int, g int, part int, " + ", ".join(f"{c} binary" for c in _BLOBS)
 
-def _words_of(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words sorted, token -> word, first token of each text, token's text, text in training)."""
-    row, first = tokens(*tb.column_bytes(docs.column("text")))
-    words, index = np.unique(row, return_inverse=True)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return words, index, first, text, docs.column("train").combine_chunks().to_numpy(zero_copy_only=False)
 
+def _messages(rows: list[tuple]) -> pa.Table:
+    """Rows of _MESSAGE; missing blobs are null."""
+    full = [(*r, *(None,) * (4 + len(_BLOBS) - len(r))) for r in rows]
+    return pa.table({n: pa.array([r[i] for r in full], pa.int32() if i < 4 else pa.binary()) for i, n in enumerate(("kind", "k", "g", "part", *_BLOBS))})
 
-def _ask_words(parts: int):
+
+def _read(parts: int):
+    """A group's texts as numbers, kept for all that follows, and its words with their training counts to their owners."""
     def run(docs: pa.Table) -> pa.Table:
         g = docs.column("g")[0].as_py()
-        words, index, _, text, train = _words_of(docs)
-        count = np.bincount(index[train[text]], minlength=len(words)).astype(np.uint32)
+        row, first = tokens(*tb.column_bytes(docs.column("text")))
+        words, index = np.unique(row, return_inverse=True)
+        train = docs.column("train").combine_chunks().to_numpy(zero_copy_only=False)
+        n = np.diff(first)
+        count = np.bincount(index[np.repeat(train, n)], minlength=len(words)).astype(np.uint64)
         part = _part(words, parts)
-        return _blobs([(g, int(part[a]), pack_sorted(words[a:b]), pack(count[a:b])) for a, b in _cuts(part)], ["g", "part", "words", "counts"])
+        ids = docs.column("doc_id").combine_chunks()
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        out = [(_TEXT, 0, g, 0, pack(index.astype(np.uint32)), pack(n.astype(np.int64)), pack(train.astype(np.uint8)),
+                pack(ids.fill_null(0).to_numpy()), pack(known.astype(np.uint8)))]
+        out += [(_ASK, 1, g, int(part[a]), pack_sorted(words[a:b]), pack(count[a:b])) for a, b in _cuts(part)]
+        return _messages(out)
     return run
 
 
-def _total(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(distinct words, their counts, place of each row's words)."""
-    words = [unpack_sorted(r["words"]) for r in rows]
-    counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows])
-    all_words, index = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(index, weights=counts, minlength=len(all_words)).astype(np.int64)
-    return all_words, total, np.split(index, np.cumsum([len(w) for w in words])[:-1])
+# --- owners of words and histories -----------------------------------------------------------------------------
 
+def _named(count: np.ndarray, parts: int, part: int) -> np.ndarray:
+    """A name for each entry of a partition: small for frequent ones, which packs well."""
+    name = np.empty(len(count), np.uint64)
+    name[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.uint64) * np.uint64(parts) + np.uint64(part + 1)
+    return np.where(count > 0, name, NONE)
 
-def _count_words(rows: pa.Table) -> pa.Table:
-    _, total, _ = _total(rows.to_pylist())
-    r, n = np.unique(total[total > 0], return_counts=True)
-    return pa.table({"r": pa.array(r, pa.int64()), "n": pa.array(n, pa.int64())})
 
+def _words(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(counts of the distinct words of a partition, place of each row's words)."""
+    words = [unpack_sorted(r["a"]) for r in rows]
+    counts = np.concatenate([unpack(r["b"], np.uint64) for r in rows])
+    every, index = np.unique(np.concatenate(words), return_inverse=True)
+    total = np.zeros(len(every), np.int64)
+    np.add.at(total, index, counts.astype(np.int64))
+    return total, np.split(index, np.cumsum([len(w) for w in words])[:-1])
 
-def _tell_words(parts: int):
-    """Each group's words' counts and numbers."""
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
-        _, total, places = _total(rows)
-        order = np.argsort(total, kind="stable")
-        number = np.empty(len(total), np.int64)
-        for a, b in _cuts(total[order]):
-            number[order[a:b]] = np.arange(b - a)
-        number = number * parts + rows[0]["part"]
-        return _blobs([(1, r["g"], r["part"], pack(total[i].astype(np.uint64)), pack(number[i].astype(np.uint32)), b"") for r, i in zip(rows, places)],
-                      ["kind", "g", "part", "a", "b", "c"])
-    return run
 
+_STATS = "r long, n long, name long, total long, low_counts array<long>, lower double"
 
-class _Bigrams:
-    """The distinct bigrams of a group, sorted by part, context and word; both sides of an exchange build it.
 
-    Tokens after a word that training doesn't hold have no context here.  Unknown words after known
-    contexts are kept, under one name, as their context's alpha is wanted.
-    """
+def _stats(r: np.ndarray, n: np.ndarray, hot: tuple = ()) -> pa.Table:
+    """Rows (r, n) of how many entries have a count, and rows (name, ...) of split histories."""
+    name, total, low, lower = hot or (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, DISCOUNTED), np.int64), np.zeros(0))
+    a, b = len(r), len(name)
+    long = lambda x, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(np.asarray(x, np.int64)), pa.nulls(after, pa.int64())])
+    return pa.table({"r": long(r, 0, b), "n": long(n, 0, b), "name": long(name.view(np.int64), a, 0), "total": long(total, a, 0),
+                     "low_counts": pa.array([None] * a + low.tolist(), pa.list_(pa.int64())), "lower": pa.concat_arrays([pa.nulls(a, pa.float64()), pa.array(lower)])})
 
-    def __init__(self, docs: pa.Table, told: list[dict], uni: Unigrams, parts: int):
-        words, index, first, text, train = _words_of(docs)
-        told = sorted(told, key=lambda r: r["part"])
-        count = np.concatenate([unpack(r["a"], np.uint64) for r in told]).astype(np.int64)
-        number = np.concatenate([unpack(r["b"], np.uint32) for r in told]).astype(np.uint64)
-        name = np.where(count > 0, (np.minimum(count, 0xFFFFFFFE).astype(np.uint64) << np.uint64(32)) | number, NONE)
-        self.count, self.first, self.text, self.train = count[index], first, text, train
-        word = name[index]
-        context = np.concatenate([[START], word[:-1]])
-        context[first[:-1]] = START
-        after = np.concatenate([[0], self.count[:-1]])
-        self.asked = np.flatnonzero(context != NONE)
-        ctx, word, after = context[self.asked], word[self.asked], after[self.asked]
-        salt = (after * parts // max(uni.n_tokens, 1) + 1).astype(np.uint64)
-        salt[ctx == START] = np.uint64(parts)
-        part = (_part(tb.mix(ctx), parts) + (tb.mix(word) % salt).astype(np.int64)) % parts
-        order = np.lexsort((word, ctx, part))
-        part, ctx, word = part[order], ctx[order], word[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (part[1:] != part[:-1]) | (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
-        self.of = np.empty(len(order), np.int64)  # asked token -> bigram
-        self.of[order] = np.cumsum(fresh) - 1
-        self.part, self.ctx, self.word = part[fresh], ctx[fresh], word[fresh]
-        self.salted = salt[order][fresh] > 1
-
-    def seen(self) -> np.ndarray:
-        """Training occurrences of each bigram in the group."""
-        hit = self.train[self.text[self.asked]]
-        return np.bincount(self.of[hit], minlength=len(self.part))
 
+def _count_words(rows: pa.Table) -> pa.Table:
+    total, _ = _words(rows.to_pylist())
+    return _stats(*np.unique(total[total > 0], return_counts=True))
 
-def _ask_bigrams(uni: Unigrams, parts: int):
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        out = []
-        if docs.num_rows:
-            g = docs.column("g")[0].as_py()
-            b = _Bigrams(docs, told.to_pylist(), uni, parts)
-            seen = b.seen()
-            for i, j in _cuts(b.part):
-                heads = _cuts(b.ctx[i:j])
-                start = np.array([x[0] for x in heads], np.int64)
-                out.append((g, int(b.part[i]), pack_sorted(b.ctx[i:j][start]), pack(np.diff(np.append(start, j - i)).astype(np.uint32)),
-                            pack(b.salted[i:j][start].astype(np.uint8)), pack((b.word[i:j] >> np.uint64(32)).astype(np.uint32)),
-                            pack((b.word[i:j] & _LOW).astype(np.uint32)), pack(seen[i:j].astype(np.uint32))))
-        return _blobs(out, ["g", "part", "contexts", "lengths", "salted", "highs", "lows", "seen"])
+
+def _tell_words(parts: int):
+    """Each group's words' counts and names."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        total, places = _words(rows)
+        name = _named(total, parts, rows[0]["part"])
+        return _messages([(_TOLD, 1, r["g"], r["part"], pack(total[i].astype(np.uint64)), pack(name[i])) for r, i in zip(rows, places)])
     return run
 
 
 class _Counted:
-    """All groups' bigrams of one part, counted."""
+    """All groups' n-grams of one partition, counted: history, word, count, and the lower order's counts."""
 
     def __init__(self, rows: list[dict]):
-        ctxs = [unpack_sorted(r["contexts"]) for r in rows]
-        self.row_ctx = ctxs
-        lengths = [unpack(r["lengths"], np.uint32).astype(np.int64) for r in rows]
-        ctx = np.concatenate([np.repeat(c, n) for c, n in zip(ctxs, lengths)])
-        word = np.concatenate([(unpack(r["highs"], np.uint32).astype(np.uint64) << np.uint64(32)) | unpack(r["lows"], np.uint32) for r in rows])
-        salted = np.concatenate([np.repeat(unpack(r["salted"], np.uint8), n) for r, n in zip(rows, lengths)])
-        seen = np.concatenate([unpack(r["seen"], np.uint32) for r in rows])
-        sizes = [int(n.sum()) for n in lengths]
-        order = np.lexsort((word, ctx))
-        c, w = ctx[order], word[order]
+        self.row_history = [unpack_sorted(r["a"]) for r in rows]
+        lengths = [unpack(r["b"], np.uint32).astype(np.int64) for r in rows]
+        spread = lambda parts: np.concatenate([np.repeat(x, n) for x, n in zip(parts, lengths)])
+        history = spread(self.row_history)
+        word = np.concatenate([unpack(r["d"], np.uint64) for r in rows])
+        seen = np.concatenate([unpack(r["h"], np.uint64) for r in rows]).astype(np.int64)
+        order = np.lexsort((word, history))
+        h, w = history[order], word[order]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        fresh[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+        first = np.flatnonzero(fresh)
         index = np.empty(len(order), np.int64)
         index[order] = np.cumsum(fresh) - 1
-        self.count = np.bincount(index, weights=seen, minlength=int(fresh.sum())).astype(np.int64)
-        self.ctx, self.word, self.salted = c[fresh], w[fresh], salted[order][fresh] > 0
-        self.rows = np.split(index, np.cumsum(sizes)[:-1])
-
-    def sums(self, uni: Unigrams, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(context, discounted counts, unigram probabilities of its seen words, discounted words, salted) of each context."""
-        heads = np.flatnonzero(np.concatenate([[True], self.ctx[1:] != self.ctx[:-1]])) if len(self.ctx) else np.zeros(0, np.int64)
-        if not len(heads):
-            z = np.zeros(0)
-            return self.ctx, z, z, z, self.salted
-        r = self.count
-        keep = np.add.reduceat(discounted(r, d), heads)
-        lower = np.add.reduceat(np.where(r > 0, uni.p((self.word >> np.uint64(32)).astype(np.int64)), 0.0), heads)
-        some = np.add.reduceat(((r > 0) & (d[np.minimum(r, DISCOUNTED + 1)] < 1)).astype(np.int64), heads)
-        return self.ctx[heads], keep, lower, some, self.salted[heads]
-
+        self.count = np.add.reduceat(seen[order], first) if len(first) else seen
+        self.rows = np.split(index, np.cumsum([int(n.sum()) for n in lengths])[:-1])
+        one = order[first]
+        self.heads = _heads(history[one])
+        self.history = history[one][self.heads]
+        self.split = spread([unpack(r["c"], np.uint8) for r in rows])[one][self.heads] > 0
+        self.lower_count = np.concatenate([unpack(r["e"], np.uint64) for r in rows])[one].astype(np.int64)
+        self.lower_n = spread([unpack(r["f"], np.uint64) for r in rows])[one].astype(np.int64)
+
+    def sums(self, d_lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(total, low_counts, lower) of each history, as `backoff` takes them."""
+        if not len(self.heads):
+            return np.zeros(0, np.int64), np.zeros((0, DISCOUNTED), np.int64), np.zeros(0)
+        r, add = self.count, lambda x: np.add.reduceat(x, self.heads)
+        lower = np.where(r > 0, discounted(self.lower_count, d_lower) / np.maximum(self.lower_n, 1), 0.0)
+        return add(r), np.stack([add((r == i).astype(np.int64)) for i in range(1, DISCOUNTED + 1)], 1), add(lower)
+
+
+def _count_grams(model: Model, k: int):
+    def run(rows: pa.Table) -> pa.Table:
+        c = _Counted(rows.to_pylist())
+        at = np.flatnonzero(c.split)
+        return _stats(*np.unique(c.count[(c.count > 0) & (c.count <= DISCOUNTED + 1)], return_counts=True),
+                      hot=(c.history[at], *(x[at] for x in c.sums(model.d[k - 1]))))
+    return run
 
-def backoff(context_count: np.ndarray, keep: np.ndarray, lower: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(denominators, log10 alpha) of contexts."""
-    total = context_count + (some == 0)
-    return total, np.log10(np.maximum(1 - keep / np.maximum(total, 1), 1e-300)) - np.log10(np.maximum(1 - lower, 1e-300))
 
+def _tell_grams(model: Model, k: int, last: bool):
+    """Counts and names of each group's n-grams; N of their histories, and alpha where the group has something to back off."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        c = _Counted(rows)
+        n, alpha = backoff(*c.sums(model.d[k - 1]), model.d[k])
+        name = None if last else _named(c.count, model.parts, rows[0]["part"])
+        out = []
+        for r, index, own in zip(rows, c.rows, c.row_history):
+            at = np.searchsorted(c.history, own)
+            count = c.count[index]
+            size = unpack(r["b"], np.uint32).astype(np.int64)
+            begin = np.cumsum(size) - size
+            need = np.logical_or.reduceat(count == 0, begin) if len(begin) else np.zeros(0, bool)
+            out.append((_TOLD, k, r["g"], r["part"], pack(count.astype(np.uint64)), b"" if last else pack(name[index]),
+                        pack(n[at].astype(np.uint64)), pack(alpha[at[need]])))
+        return _messages(out)
+    return run
 
-def _context_count(ctx: np.ndarray, n_docs: int) -> np.ndarray:
-    """How often each context was followed in training: its count; the start's is that of documents."""
-    return np.where(ctx == START, n_docs, (ctx >> np.uint64(32)).astype(np.int64))
 
+# --- groups ----------------------------------------------------------------------------------------------------
 
-def _count_bigrams(rows: pa.Table) -> pa.Table:
-    c = _Counted(rows.to_pylist()).count
-    r, n = np.unique(c[(c > 0) & (c <= DISCOUNTED + 1)], return_counts=True)
-    return pa.table({"r": pa.array(r, pa.int64()), "n": pa.array(n, pa.int64())})
+class _Group:
+    """A group's tokens, and order by order what training holds of the n-grams that end at them.
 
+    Both sides of an exchange build it from the same messages, so answers are aligned to questions.
+    """
 
-def _salted_sums(uni: Unigrams, d: np.ndarray):
+    def __init__(self, rows: list[dict], model: Model):
+        text = next(r for r in rows if r["kind"] == _TEXT)
+        self.model, self.g = model, text["g"]
+        self.index = unpack(text["a"], np.uint32).astype(np.int64)
+        lengths = unpack(text["b"], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(lengths)])
+        self.train = unpack(text["c"], np.uint8) > 0
+        self.ids, self.known_ids = unpack(text["d"], np.int64), unpack(text["e"], np.uint8) > 0
+        self.text = np.repeat(np.arange(len(lengths)), lengths)
+        self.told = [r for r in rows if r["kind"] == _TOLD]
+        told = self._told(1)
+        count = np.concatenate([unpack(r["a"], np.uint64) for r in told]).astype(np.int64)
+        self.n_words = len(count)
+        # Of each token's n-gram of the order reached: count, name, the N of its history, a number within the group.
+        self.word = np.concatenate([unpack(r["b"], np.uint64) for r in told])[self.index]
+        self.count = self.word_count = count[self.index]
+        self.name, self.local = self.word, self.index + 1
+        self.n = np.full(len(self.index), model.uni.total)
+
+    def _told(self, k: int) -> list[dict]:
+        return sorted((r for r in self.told if r["k"] == k), key=lambda r: r["part"])
+
+    def look(self, k: int) -> None:
+        """The distinct n-grams of order k after histories that training holds, sorted by part, history and word."""
+        parts, uni = self.model.parts, self.model.uni
+        begin = self.first[:-1]
+        history = _shifted(self.name, begin, START if k == 2 else NONE)
+        local, after = _shifted(self.local, begin, 0), _shifted(self.count, begin, 0)
+        self.asked = np.flatnonzero(history != NONE)
+        at = self.asked
+        seen = self.count[at] > 0
+        word = np.where(seen, self.word[at], NONE)
+        key = local[at] * (self.n_words + 1) + np.where(seen, self.index[at] + 1, 0)
+        _, one, of = np.unique(key, return_index=True, return_inverse=True)
+        history, word, after, lower, n = history[at[one]], word[one], after[at[one]], self.count[at[one]], self.n[at[one]]
+        salt = (after // max(uni.n_tokens // parts, 1) + 1).astype(np.uint64)
+        salt[history == START] = np.uint64(parts)
+        part = (_part(tb.mix(history), parts) + (tb.mix(word) % salt).astype(np.int64)) % parts
+        order = np.lexsort((word, history, part))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.of = place[of]  # asked token -> n-gram
+        self.part, self.history, self.gram_word, self.lower, self.lower_n, self.salted = (
+            x[order] for x in (part, history, word, lower, n, salt > 1))
+
+    def questions(self, k: int) -> list[tuple]:
+        hit = self.train[self.text[self.asked]]
+        seen = np.bincount(self.of[hit], minlength=len(self.part)).astype(np.uint64)
+        out = []
+        for i, j in _cuts(self.part):
+            head = _heads(self.history[i:j])
+            out.append((_ASK, k, self.g, int(self.part[i]), pack_sorted(self.history[i:j][head]), pack(np.diff(np.append(head, j - i)).astype(np.uint32)),
+                        pack(self.salted[i:j][head].astype(np.uint8)), pack(self.gram_word[i:j]), pack(self.lower[i:j].astype(np.uint64)),
+                        pack(self.lower_n[i:j][head].astype(np.uint64)), pack(seen[i:j])))
+        return out
+
+    def hear(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Takes the answers of order k: (count, N, log10 alpha) of each asked token's n-gram."""
+        m = len(self.part)
+        count, n, alpha, name = np.zeros(m, np.int64), np.ones(m, np.int64), np.zeros(m), np.zeros(m, np.uint64)
+        answers = {r["part"]: r for r in self._told(k)}
+        for i, j in _cuts(self.part):
+            r = answers[int(self.part[i])]
+            count[i:j] = unpack(r["a"], np.uint64)
+            if r["b"]:
+                name[i:j] = unpack(r["b"], np.uint64)
+            head = _heads(self.history[i:j])
+            size = np.diff(np.append(head, j - i))
+            n[i:j] = np.repeat(unpack(r["c"], np.uint64).astype(np.int64), size)
+            need = np.logical_or.reduceat(count[i:j] == 0, head)
+            own = np.zeros(len(head))
+            own[need] = unpack(r["d"], np.float64)
+            alpha[i:j] = np.repeat(own, size)
+        # Histories split over parts have their sums from all of them.
+        names, hot_n, hot_alpha = self.model.hot[k]
+        if len(names):
+            at = np.minimum(np.searchsorted(names, self.history), len(names) - 1)
+            hit = names[at] == self.history
+            n[hit], alpha[hit] = hot_n[at[hit]], hot_alpha[at[hit]]
+        self.count, self.n = np.zeros(len(self.index), np.int64), np.ones(len(self.index), np.int64)
+        self.name, self.local = np.full(len(self.index), NONE), np.zeros(len(self.index), np.int64)
+        self.count[self.asked], self.n[self.asked] = count[self.of], n[self.of]
+        self.name[self.asked], self.local[self.asked] = name[self.of], self.of + 1
+        return count[self.of], n[self.of], alpha[self.of]
+
+    def reach(self, k: int) -> None:
+        """Goes up to the questions of order k."""
+        for i in range(2, k):
+            self.look(i)
+            self.hear(i)
+        self.look(k)
+
+
+def _shifted(x: np.ndarray, begin: np.ndarray, at_start) -> np.ndarray:
+    """For each token the value of the token before it; at_start for a text's first."""
+    out = np.concatenate([x[:1], x[:-1]])
+    out[begin] = at_start
+    return out
+
+
+def _ask_grams(model: Model, k: int):
     def run(rows: pa.Table) -> pa.Table:
-        ctx, keep, lower, some, salted = _Counted(rows.to_pylist()).sums(uni, d)
-        at = np.flatnonzero(salted)
-        return pa.table({"ctx": pa.array(ctx[at].view(np.int64)), "x": pa.array(keep[at]), "y": pa.array(lower[at]), "z": pa.array(some[at].astype(np.int64))})
+        group = _Group(rows.to_pylist(), model)
+        group.reach(k)
+        return _messages(group.questions(k))
     return run
 
 
-def _tell_bigrams(uni: Unigrams, d: np.ndarray, n_docs: int):
+def _score(model: Model, order: int):
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
-        c = _Counted(rows)
-        ctx, keep, lower, some, _ = c.sums(uni, d)
-        total, alpha = backoff(_context_count(ctx, n_docs), keep, lower, some)
-        out = []
-        for r, index, own in zip(rows, c.rows, c.row_ctx):
-            at = np.searchsorted(ctx, own)
-            out.append((2, r["g"], r["part"], pack(c.count[index].astype(np.uint32)), pack(alpha[at]), pack((some[at] == 0).astype(np.uint8))))
-        return _blobs(out, ["kind", "g", "part", "a", "b", "c"])
-    return run
-
-
-def _score(uni: Unigrams, d: np.ndarray, n_docs: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray], parts: int):
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        rows = told.to_pylist() if docs.num_rows else []
-        out = {c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                                               ("base_score", pa.float64()), ("score", pa.float64()))}
-        if not rows:
-            return pa.table(out)
-        b = _Bigrams(docs, [r for r in rows if r["kind"] == 1], uni, parts)
-        answers = {r["part"]: r for r in rows if r["kind"] == 2}
-        seen, alpha = np.zeros(len(b.part), np.int64), np.zeros(len(b.part))
-        total = _context_count(b.ctx, n_docs)
-        for i, j in _cuts(b.part):
-            r = answers[int(b.part[i])]
-            seen[i:j] = unpack(r["a"], np.uint32)
-            n = np.array([y - x for x, y in _cuts(b.ctx[i:j])])
-            alpha[i:j] = np.repeat(unpack(r["b"], np.float64), n)
-            total[i:j] += np.repeat(unpack(r["c"], np.uint8), n)
-        # Contexts split over parts have their sums from all of them.
-        if len(hot[0]):
-            at = np.minimum(np.searchsorted(hot[0], b.ctx), len(hot[0]) - 1)
-            hit = hot[0][at] == b.ctx
-            total[hit], alpha[hit] = hot[1][at[hit]], hot[2][at[hit]]
-        lower = np.log10(uni.p(b.count))
-        with np.errstate(divide="ignore"):
-            direct = np.log10(discounted(seen, d)) - np.log10(np.maximum(total, 1))
-        value = lower.copy()
-        value[b.asked] = np.where(seen[b.of] > 0, direct[b.of], alpha[b.of] + lower[b.asked])
-        n = len(b.first) - 1
-        out |= {"doc_id": docs.column("doc_id").combine_chunks(), "train": pa.array(b.train), "n_tokens": pa.array(np.diff(b.first)),
-                "n_known": pa.array(np.bincount(b.text[b.count > 0], minlength=n)),
-                "base_score": pa.array(np.bincount(b.text, weights=uni.base(b.count), minlength=n)),
-                "score": pa.array(np.bincount(b.text, weights=value, minlength=n))}
-        return pa.table(out)
+        group = _Group(rows.to_pylist(), model)
+        n, known = len(group.first) - 1, group.word_count > 0
+        value = np.log10(model.uni.p(group.word_count))
+        for k in range(2, order + 1):
+            group.look(k)
+            count, total, alpha = group.hear(k)
+            with np.errstate(divide="ignore"):
+                direct = np.log10(discounted(count, model.d[k])) - np.log10(np.maximum(total, 1))
+            value[group.asked] = np.where(count > 0, direct, alpha + value[group.asked])
+        sums = lambda x: pa.array(np.bincount(group.text, weights=x, minlength=n))
+        return pa.table({
+            "doc_id": pa.array(group.ids, mask=~group.known_ids), "train": pa.array(group.train), "n_tokens": pa.array(np.diff(group.first)),
+            "n_known": pa.array(np.bincount(group.text[known], minlength=n)), "base_score": sums(model.uni.base(group.word_count)), "score": sums(value)})
     return run
 
 
-def score(docs: DataFrame, train: Column) -> DataFrame:
+def score(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
     """Scores every row of docs by the model of the rows where `train` holds.
 
     doc_id, train, n_tokens, n_known (tokens that training holds), train_tokens, base_score (add-one
     unigrams) and score (log10 probability of the text).
     """
+    if order < 1:
+        raise ValueError(order)
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       F.coalesce(train, F.lit(False)).alias("train"))
-    totals = rows.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("train"), 1))).first()
-    n_docs = totals[1]
-    groups = max(partitions(spark), int((totals[0] or 0) // GROUP_BYTES) + 1)
+    text = F.coalesce(F.col(quoted(column_of(docs, "text"))), F.lit(""))
+    rows = docs.select(F.col(quoted(column_of(docs, "doc_id"))).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(partitions(spark), int(total // GROUP_BYTES) + 1)
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
-    def counts(asked: DataFrame, run) -> dict[int, int]:
-        with once(spark):  # a plan is built inside, as it takes this setting when it is made
-            found = asked.groupBy("part").applyInArrow(run, "r long, n long").groupBy("r").agg(F.sum("n"))
-            return {r[0]: r[1] for r in found.collect()}  # one row for each different count: at most sqrt(2 * tokens)
-    told_schema = "kind int, g int, part int, a binary, b binary, c binary"
-    asked = written(rows.groupBy("g").applyInArrow(_ask_words(groups), "g int, part int, words binary, counts binary"), "asked-words")
-    uni = Unigrams(counts(asked, _count_words))
-    told = written(asked.groupBy("part").applyInArrow(_tell_words(groups), told_schema), "told-words")
-    asked = written(rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(
-        _ask_bigrams(uni, groups), "g int, part int, contexts binary, lengths binary, salted binary, highs binary, lows binary, seen binary"), "asked-bigrams")
-    d = discounts(counts(asked, _count_bigrams))
-    # Only contexts with more than 1 / groups of all tokens, and the start, are split: at most groups + 1 rows.
-    with once(spark):
-        sums = asked.groupBy("part").applyInArrow(_salted_sums(uni, d), "ctx long, x double, y double, z long")
-        hot = sums.groupBy("ctx").agg(F.sum("x"), F.sum("y"), F.sum("z")).collect()
-    ctx = np.array([r[0] for r in hot], np.int64).view(np.uint64)
-    total, alpha = backoff(_context_count(ctx, n_docs), *(np.array([r[k] for r in hot], float) for k in (1, 2, 3)))
-    order = np.argsort(ctx)
-    told = told.union(written(asked.groupBy("part").applyInArrow(_tell_bigrams(uni, d, n_docs), told_schema), "told-bigrams"))
-    out = rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(
-        _score(uni, d, n_docs, (ctx[order], total[order], alpha[order]), groups),
-        "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumn("train_tokens", F.lit(uni.n_tokens).cast("long"))
+    with Workspace(spark) as work:
+        def stats(asked: DataFrame, run) -> tuple[dict[int, int], list]:
+            found = work.written(asked.groupBy("part").applyInArrow(run, _STATS), "stats")
+            counts = found.where("r is not null").groupBy("r").agg(F.sum("n")).collect()  # one row for each different count: at most sqrt(2 * tokens)
+            # Only histories with more than 1 / groups of all tokens, and the start, are split: at most groups + 1 rows.
+            lows = [F.sum(F.col("low_counts")[i]).alias(f"n{i}") for i in range(DISCOUNTED)]
+            hot = found.where("name is not null").groupBy("name").agg(F.sum("total").alias("total"), F.sum("lower").alias("lower"), *lows).collect()
+            return {r[0]: r[1] for r in counts}, hot
+
+        def messages(kind: int) -> DataFrame:
+            return read.where(F.col("kind") == kind).select(*columns)
+        columns = [x.split()[0] for x in _MESSAGE.split(", ")]
+        read = work.written(rows.groupBy("g").applyInArrow(_read(groups), _MESSAGE), "read", by="kind")
+        model = Model(groups, Unigrams(stats(messages(_ASK), _count_words)[0]))
+        model.d[1] = model.uni.d
+        told = work.written(messages(_ASK).groupBy("part").applyInArrow(_tell_words(groups), _MESSAGE), "told-1")
+        work.drop_part("read", f"kind={_ASK}")
+        held = messages(_TEXT).union(told)
+        for k in range(2, order + 1):
+            asked = work.written(held.groupBy("g").applyInArrow(_ask_grams(model, k), _MESSAGE), "asked")
+            counts, hot = stats(asked, _count_grams(model, k))
+            model.d[k] = discounts(counts)
+            names = np.array([r["name"] for r in hot], np.int64).view(np.uint64)
+            at = np.argsort(names)
+            numbers = lambda c: np.array([r[c] for r in hot])[at]
+            low = np.array([[r[f"n{i}"] for i in range(DISCOUNTED)] for r in hot], np.int64).reshape(len(hot), DISCOUNTED)[at]
+            model.hot[k] = (names[at], *backoff(numbers("total"), low, numbers("lower"), model.d[k])) if hot else (names, np.zeros(0, np.int64), np.zeros(0))
+            told = work.written(asked.groupBy("part").applyInArrow(_tell_grams(model, k, k == order), _MESSAGE), f"told-{k}")
+            work.drop("asked")
+            held = held.union(told)
+        out = written(held.groupBy("g").applyInArrow(
+            _score(model, order), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
+    return out.withColumn("train_tokens", F.lit(model.uni.n_tokens).cast("long"))

@@ -37,6 +37,10 @@ ADULT_AGE = "18 Years"
 YEARS = r"(?:years?|yrs?|y(?:ears)?[- ]?old)"
 AGE_RANGE = rf"\baged?\s+(\d{{1,3}})\s*(?:to|[-–—]|and|through)\s*(\d{{1,3}})\s*{YEARS}"
 AGE_LEAST = rf"(?:≥|>=|at least|older than|over|aged?|minimum (?:age )?of)\s*(\d{{1,3}})\s*{YEARS}"
+AGE_SPAN = rf"\b(\d{{1,3}})\s*[-–—]\s*(\d{{1,3}})\s*{YEARS}"
+AGE_OR_OLDER = rf"\b(\d{{1,3}})\s*{YEARS}\s*(?:or older|and older|or above|and above|or more)"
+ADULT = r"\badults?\b"
+OLDEST = 120
 AGE_MOST = rf"(?:≤|<=|up to|younger than|under|no older than|maximum (?:age )?of)\s*(\d{{1,3}})\s*{YEARS}"
 
 # Section titles by purpose.
@@ -46,6 +50,7 @@ CANDIDATE_TITLES = "inclus|exclus|eligib|selection criteria"
 CONTEXT_TITLES = "inclus|exclus|eligib|selection criteria|patient|particip|method|population|cohort|enroll|recruit"
 CRITERIA_TITLES = ["inclus", "exclus", "eligib|selection criteria"]
 TITLE_NUMBER = r"^\s*[\dIVX]+(\.\d+)*[\.\)]\s*"
+ABSTRACT_HEAD = r"^\s*abstract\b[:\s]*"
 SKIPPED_ABSTRACTS = ["graphical", "teaser", "web-summary"]
 
 # Cues of inclusion and exclusion in a sentence.

@@ -89,7 +89,7 @@ def candidate_sentences(sections: Column, abstract: Column, most: int = fixed.CA
     return first_distinct(clean, most)
 
 
-def eligibility(sections: Column, title_abstract: Column) -> Column:
+def eligibility(sections: Column, title_abstract: Column, inclusion: str = fixed.INCLUSION_CUES, exclusion: str = fixed.EXCLUSION_CUES) -> Column:
     """Stated criteria, else reconstructed ones, else the sentinel."""
-    found = [explicit_criteria(sections), reconstructed_criteria(sections, title_abstract)]
-    return F.coalesce(*[F.when(x != "", x) for x in found], F.lit(fixed.NOT_SPECIFIED))
+    found = [explicit_criteria(sections), reconstructed_criteria(sections, title_abstract, inclusion, exclusion)]
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in found], F.lit(fixed.NOT_SPECIFIED))

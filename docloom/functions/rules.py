@@ -12,7 +12,10 @@ Lexicon = list[tuple[str, int]]
 
 
 def lexicon_score(c: Column, lexicon: Lexicon) -> Column:
-    """Sum of weight times number of matches."""
+    """Sum of weight times number of matches.
+
+    Each pattern is counted for itself: matches of different patterns may overlap, which one alternation would hide.
+    """
     parts = [F.regexp_count(c, F.lit(any_case(p))) * w for p, w in lexicon]
     return reduce(lambda a, b: a + b, parts).cast("bigint")
 
@@ -36,9 +39,14 @@ def minimum_age(c: Column, pediatric: str = fixed.PEDIATRIC) -> Column:
     return F.when(~c.rlike(any_case(pediatric)), fixed.ADULT_AGE)
 
 
-def age_numbers(c: Column, pattern: str) -> Column:
-    """All numbers of an age pattern's first group, as an array of int; for fixed.AGE_* patterns."""
-    return F.transform(F.regexp_extract_all(c, F.lit(any_case(pattern)), F.lit(1)), lambda x: x.cast("int"))
+def age_numbers(c: Column, pattern: str, group: int = 1) -> Column:
+    """All ages of a pattern's group, as an array of int, for fixed.AGE_* patterns; numbers that are no age are left out."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(any_case(pattern)), F.lit(group)), lambda x: x.cast("int"))
+    return F.filter(found, lambda n: (n > 0) & (n <= fixed.OLDEST))
+
+
+def adults(c: Column) -> Column:
+    return c.rlike(any_case(fixed.ADULT))
 
 
 def inclusion_cue(c: Column, cues: str = fixed.INCLUSION_CUES) -> Column:

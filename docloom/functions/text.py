@@ -75,7 +75,7 @@ def truncate_clean(c: Column, target: int = fixed.TRUNCATE_TARGET, extra: int =
             F.regexp_extract(window, rf"(?sU)\A(.{{{least - 2},}}[.;]\s)", 1),
             F.regexp_extract(F.substring(window, 1, target + 40), rf"(?s)\A(.{{{least},}}) ", 1),
             F.substring(c, 1, target)]
-    cut = F.coalesce(*[F.when(x != "", x) for x in cuts], F.lit(""))
+    cut = F.coalesce(*[F.nullif(x, F.lit("")) for x in cuts], F.lit(""))
     text = F.coalesce(c, F.lit(""))
     return F.when(F.length(text) <= target, text).otherwise(F.regexp_replace(cut, r"(?U)\s+\z", ""))
 

@@ -1,45 +1,90 @@
 """Articles and tables from files, and the adapters of other tables to the article schema."""
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import fixed
-from ..functions.text import id_text
+from ..functions import views
+from ..functions.text import any_case, id_text, strip
 from ..schema import ARTICLE
 from . import markup
 
-_RECORD = T.StructType([f for f in ARTICLE if f.name != "pmcid"])
+_FIELDS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("slot", "kind", "text")]))
+
+
+def _fields(find):
+    """An Arrow UDF from markup to its labelled texts; markup that can't be read at all has none."""
+    def one(data) -> list[dict]:
+        try:
+            return [{"slot": s, "kind": k, "text": t} for s, k, t in find(data)]
+        except (ValueError, RecursionError, AssertionError):
+            return []
+    return F.pandas_udf(lambda column: column.map(one), _FIELDS)
+
+
+_article, _page = (_fields(f) for f in (markup.article_fields, markup.page_fields))
 
 
-@F.pandas_udf(_RECORD)
-def _article(data: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_row(markup.article(d)) for d in data], columns=["pmid", "title", "abstract", "keywords", "sections"])
+def record(fields: Column) -> dict[str, Column]:
+    """pmid, title, abstract, keywords and sections of an array of labelled texts (slot, kind, text)."""
+    def texts(slot: str, *rules) -> Column:
+        own = F.filter(fields, lambda f: reduce(lambda a, b: a & b, [f["slot"] == slot, *[r(f) for r in rules]]))
+        return F.transform(own, lambda f: f["text"])
 
+    def first(a: Column) -> Column:
+        return F.coalesce(F.get(F.filter(a, lambda x: x != ""), F.lit(0)), F.lit(""))
 
-@F.pandas_udf(_RECORD)
-def _page(data: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_row(markup.page(d)) for d in data], columns=["pmid", "title", "abstract", "keywords", "sections"])
+    def section(f: Column) -> Column:
+        # A text that opens with its own heading loses it there.
+        title = views.clean_title(f["kind"])
+        opens = (f["slot"] == "section") & (title != "") & F.startswith(F.lower(f["text"]), F.lower(title))
+        rest = F.when(opens, strip(F.substring(f["text"], F.length(title) + 1, F.length(f["text"])))).otherwise(f["text"])
+        return F.struct(title.alias("title"), rest.alias("text"))
+    is_pmid = (lambda f: f["kind"] == "pmid", lambda f: f["text"].rlike(r"^\p{IsDigit}+$"))
+    shown = lambda f: ~F.lower(f["kind"]).isin(fixed.SKIPPED_ABSTRACTS)
+    headless = F.transform(texts("abstract", shown), lambda t: strip(F.regexp_replace(t, any_case(fixed.ABSTRACT_HEAD), "")))
+    parts = F.filter(fields, lambda f: f["slot"].isin("section", "part"))
+    return {"pmid": first(texts("article-id", *is_pmid)), "title": F.coalesce(F.get(texts("article-title"), F.lit(0)), F.lit("")),
+            "abstract": first(headless), "keywords": F.filter(texts("kwd"), lambda t: t != ""),
+            "sections": F.filter(F.transform(parts, section), lambda s: s["text"] != "")}
 
 
-def _row(record: dict) -> dict:
-    return record | {"sections": [{"title": t, "text": x} for t, x in record["sections"]]}
+def _columns(df: DataFrame, name: Column, fields: Column) -> DataFrame:
+    """pmcid and the record.  The fields are a column of their own, so markup is parsed once a row."""
+    out = df.select(name.alias("pmcid"), fields.alias("f"))
+    return out.select("pmcid", *[c.alias(n) for n, c in record(F.col("f")).items()])
 
 
-def _columns(df: DataFrame, name: Column, record: Column) -> DataFrame:
-    """pmcid and the record's fields.  The record is a column of its own, so it is parsed once a row."""
-    out = df.select(name.alias("pmcid"), record.alias("r"))
-    return out.select("pmcid", *[F.col(f"r.{f.name}") for f in ARTICLE if f.name != "pmcid"])
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.nxml").load(path)
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
+def read_articles(spark: SparkSession, path: str, cache: str | None = None) -> DataFrame:
     """One article for each PMC<id>.nxml file; unreadable ones have defaults and keep their id.
 
-    Spark doesn't list files of length zero; `lookup` gives their ids the same defaults.
+    With a cache (a folder of Parquet files), files that it holds as they are, by path, size and time, aren't parsed
+    again, and new ones are added to it.  Spark doesn't list files of length zero; `lookup` gives their ids the same
+    defaults.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.nxml").load(path)
+    files = _files(spark, path)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"^PMC|\.nxml$", "")
-    return _columns(files, name, _article("content"))
+    if cache is None:
+        return _columns(files, name, _article("content"))
+    mark = ["path", "length", "modificationTime"]
+    schema = T.StructType([f for f in files.schema if f.name in mark] + [T.StructField("f", _FIELDS)])
+    try:
+        known = spark.read.schema(schema).parquet(cache)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = spark.createDataFrame([], schema)
+    fresh = files.join(known.select(mark), mark, "left_anti")  # the cache is read without its texts
+    fresh.select(*mark, _article("content").alias("f")).write.mode("append").parquet(cache)
+    now = spark.read.schema(schema).parquet(cache).dropDuplicates(mark)
+    return _columns(files.select(mark).join(now, mark), name, F.col("f"))
 
 
 def parse_articles(df: DataFrame, key: str, data: str) -> DataFrame:

@@ -1,6 +1,7 @@
-"""Tolerant XML and HTML trees, and the article record in them.
+"""Tolerant XML and HTML trees, and the labelled texts in them.
 
-A document is parsed as strict XML first.  Where that fails, an event parser builds a tree that
+`article_fields` and `page_fields` only find texts; the record is made of them by Column expressions
+(`sources.articles`).  A document is parsed as strict XML first.  Where that fails, an event parser builds a tree that
 closes what is open when an outer element ends and ignores stray end tags.  Documents without any
 element give the defaults.  Entities other than the predefined and HTML ones stay as they are; nothing
 external is ever read.
@@ -13,8 +14,6 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-from .. import fixed
-
 
 @dataclass
 class Node:
@@ -45,39 +44,62 @@ class Node:
         """All text below, pieces parted by a blank, white space collapsed."""
         return re.sub(r"\s+", " ", " ".join(self.pieces())).strip()
 
-    def first(self, name: str) -> "Node | None":
-        return next((n for n in self.walk() if n.name == name), None)
+    def elements(self) -> list["Node"]:
+        return [c for c in self.children if isinstance(c, Node)]
 
 
-class _Strict:
-    """An ElementTree target that builds Nodes; comments and instructions leave no trace but part the text."""
+class _Builder:
+    """Builds Nodes.  Elements, comments and instructions part the text; a run between them is one piece, whatever pieces it comes in."""
 
     def __init__(self):
-        self.root, self.open = None, []
+        self.top = Node("")
+        self.open, self.parted = [self.top], True
+
+    def begin(self, name: str, attributes: dict[str, str], stays: bool = True) -> None:
+        node = Node(name, attributes)
+        self.open[-1].children.append(node)
+        if stays:
+            self.open.append(node)
+        self.parted = True
+
+    def part(self) -> None:
+        self.parted = True
+
+    def add(self, text: str) -> None:
+        own = self.open[-1].children
+        if self.parted or not own or not isinstance(own[-1], list):
+            own.append([])
+        own[-1].append(text)
+        self.parted = False
+
+    def root(self) -> Node | None:
+        """The first element, its runs of text joined."""
+        for node in self.top.walk():
+            node.children = ["".join(c) if isinstance(c, list) else c for c in node.children]
+        return next(iter(self.top.elements()), None)
+
+
+class _Strict(_Builder):
+    """An ElementTree target."""
 
     def start(self, tag: str, attributes: dict) -> None:
-        node = Node(tag.rpartition("}")[2], {k.rpartition("}")[2]: v for k, v in attributes.items()})
-        if self.open:
-            self.open[-1].children.append(node)
-        else:
-            self.root = node
-        self.open.append(node)
+        self.begin(tag.rpartition("}")[2], {k.rpartition("}")[2]: v for k, v in attributes.items()})
 
     def end(self, tag: str) -> None:
         self.open.pop()
+        self.part()
 
     def data(self, text: str) -> None:
-        if self.open:
-            self.open[-1].children.append(text)
+        self.add(text)
 
     def comment(self, text: str) -> None:
-        pass
+        self.part()
 
     def pi(self, target: str, text: str | None = None) -> None:
-        pass
+        self.part()
 
     def close(self) -> Node | None:
-        return self.root
+        return self.root()
 
 
 #: HTML elements without an end tag.
@@ -87,37 +109,36 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 class _Lenient(HTMLParser):
     def __init__(self, html: bool):
         super().__init__(convert_charrefs=True)
-        self.top, self.html = Node(""), html
-        self.open = [self.top]
+        self.tree, self.html = _Builder(), html
         if not html:
             self.CDATA_CONTENT_ELEMENTS = ()
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag.rpartition(":")[2], {k.rpartition(":")[2]: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
-        if not (self.html and node.name in _VOID):
-            self.open.append(node)
+        name = tag.rpartition(":")[2]
+        self.tree.begin(name, {k.rpartition(":")[2]: v or "" for k, v in attrs}, stays=not (self.html and name in _VOID))
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Node(tag.rpartition(":")[2], {k: v or "" for k, v in attrs}))
+        self.tree.begin(tag.rpartition(":")[2], {k.rpartition(":")[2]: v or "" for k, v in attrs}, stays=False)
 
     def handle_endtag(self, tag):
-        name = tag.rpartition(":")[2]
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name == name:
-                del self.open[i:]
-                return
+        name, open_nodes = tag.rpartition(":")[2], self.tree.open
+        at = next((i for i in range(len(open_nodes) - 1, 0, -1) if open_nodes[i].name == name), 0)
+        if at:
+            del open_nodes[at:]
+            self.tree.part()
 
     def handle_data(self, data):
-        last = self.open[-1].children
-        if last and isinstance(last[-1], str):
-            last[-1] += data
-        else:
-            last.append(data)
+        self.tree.add(data)
+
+    def handle_comment(self, data):
+        self.tree.part()
+
+    def handle_pi(self, data):
+        self.tree.part()
 
     def unknown_decl(self, data):
         if data.startswith("CDATA["):
-            self.handle_data(data[6:])
+            self.tree.add(data[6:])
 
 
 def parse(data: bytes | str, html: bool = False) -> Node | None:
@@ -131,81 +152,62 @@ def parse(data: bytes | str, html: bool = False) -> Node | None:
             pass
     text = data.decode("utf-8", "replace") if isinstance(data, bytes) else data
     lenient = _Lenient(html)
-    lenient.feed(text)
+    lenient.feed(re.sub(r"<[^<>]*\Z", "", text))  # a tag that is cut off is no text
     lenient.close()
-    return next((c for c in lenient.top.children if isinstance(c, Node)), None)
+    return lenient.tree.root()
 
 
-_NUMBER = re.compile(fixed.TITLE_NUMBER, re.I)
-_ABSTRACT = re.compile(r"^\s*abstract\b[:\s]*", re.I)
+#: The labelled texts of an article: element names and the attribute that tells their kind.
+SLOTS = {"article-title": "", "article-id": "pub-id-type", "abstract": "abstract-type", "kwd": "", "body": ""}
+Field = tuple[str, str, str]
 
 
-def _section(node: Node, title: str) -> tuple[str, str] | None:
-    """(title, text without its leading title) of a section; null if there is no text."""
-    text = node.text()
-    if title and text.lower().startswith(title.lower()):
-        text = text[len(title):].strip()
-    return (title, text) if text else None
+def _heading(node: Node) -> str:
+    return next((c.text() for c in node.elements() if c.name == "title"), "")
 
 
-def article(data: bytes | str | None) -> dict:
-    """The record of a journal article in JATS markup: pmid, title, abstract, keywords, sections."""
-    out = {"pmid": "", "title": "", "abstract": "", "keywords": [], "sections": []}
+def article_fields(data: bytes | str | None) -> list[Field]:
+    """(slot, kind, text) of an article's labelled elements in document order, found in one walk.
+
+    An id's text is that before its first element.  The first body gives a `section` for each of its own sections,
+    or one for all of it; a section's kind is its heading.
+    """
     root = parse(data) if data else None
-    if root is None:
-        return out
-    title = root.first("article-title")
-    out["title"] = title.text() if title else ""
-    for n in root.walk():
-        if n.name == "article-id" and n.attributes.get("pub-id-type") == "pmid":
-            number = n.children[0].strip() if n.children and isinstance(n.children[0], str) else ""
-            if number.isdigit():
-                out["pmid"] = number
-                break
-    for n in root.walk():
-        if n.name == "abstract" and n.attributes.get("abstract-type", "").lower() not in fixed.SKIPPED_ABSTRACTS:
-            out["abstract"] = _ABSTRACT.sub("", n.text()).strip()
-            if out["abstract"]:
-                break
-    out["keywords"] = [t for n in root.walk() if n.name == "kwd" and (t := n.text())]
-    body = root.first("body")
-    if body is not None:
-        parts = [c for c in body.children if isinstance(c, Node) and c.name == "sec"]
-        found = []
-        for p in parts:
-            head = next((c for c in p.children if isinstance(c, Node) and c.name == "title"), None)
-            found.append(_section(p, _NUMBER.sub("", head.text()).strip() if head else ""))
-        out["sections"] = [s for s in (found if parts else [_section(body, "")]) if s]
+    out: list[Field] = []
+    bodies = 0
+    for node in root.walk() if root is not None else ():
+        if node.name not in SLOTS:
+            continue
+        kind = node.attributes.get(SLOTS[node.name], "")
+        if node.name == "article-id":
+            out.append((node.name, kind, "".join(c for c in node.children[:1] if isinstance(c, str)).strip()))
+        elif node.name == "body":
+            bodies += 1
+            if bodies == 1:
+                out += [("section", _heading(s) if s is not node else "", s.text()) for s in [c for c in node.elements() if c.name == "sec"] or [node]]
+        else:
+            out.append((node.name, kind, node.text()))
     return out
 
 
-def page(data: str | None) -> dict:
-    """The same record of a web page: title, and a section for each heading with the text up to the next one."""
-    out = {"pmid": "", "title": "", "abstract": "", "keywords": [], "sections": []}
+_UNSEEN = {"script", "style", "title", "head"}
+
+
+def page_fields(data: str | None) -> list[Field]:
+    """The same of a web page: its title, and a `part` for each heading with the text up to the next one."""
     root = parse(data, html=True) if data else None
     if root is None:
-        return out
-    title = root.first("title")
-    out["title"] = title.text() if title else ""
-    body = root.first("body") or root
-    head, pieces, skip = "", [], {"script", "style", "title", "head"}
-    stack: list[Node | str | None] = [body]
-
-    def close():
-        text = re.sub(r"\s+", " ", " ".join(pieces)).strip()
-        if text:
-            out["sections"].append((head, text))
-        pieces.clear()
+        return []
+    out: list[Field] = [("article-title", "", n.text()) for n in root.walk() if n.name == "title"][:1]
+    body = next((n for n in root.walk() if n.name == "body"), root)
+    parts: list[tuple[str, list[str]]] = [("", [])]
+    stack: list[Node | str] = [body]
     while stack:
         x = stack.pop()
         if isinstance(x, str):
-            pieces.append(x)
-        elif x.name in skip:
-            continue
+            parts[-1][1].append(x)
         elif re.fullmatch("h[1-6]", x.name):
-            close()
-            head = _NUMBER.sub("", x.text()).strip()
-        else:
+            parts.append((x.text(), []))
+        elif x.name not in _UNSEEN:
             stack += reversed(x.children)
-    close()
-    return out
+    return out + [("part", head, re.sub(r"\s+", " ", " ".join(pieces)).strip()) for head, pieces in parts]

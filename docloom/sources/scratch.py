@@ -8,9 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder's URI under spark.checkpoint.dir, which all executors share; set here only where it is unset."""
+    """A new folder's URI under spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"

@@ -51,7 +51,10 @@ def test_sex(spark, value, expected):
 def test_ages(spark):
     assert one(spark, rules.minimum_age, "children") is None
     assert one(spark, rules.minimum_age, "neonatal") == "18 Years"
-    assert one(spark, lambda c: rules.age_numbers(c, fixed.AGE_LEAST), "at least 18 years, over 65 years") == [18, 65]
+    assert one(spark, lambda c: rules.age_numbers(c, fixed.AGE_LEAST), "at least 18 years, over 65 years, over 121 years, over 0 years") == [18, 65]
+    assert one(spark, lambda c: rules.age_numbers(c, fixed.AGE_SPAN, 2), "5-12 years, 20 – 300 yrs") == [12]
+    assert one(spark, lambda c: rules.age_numbers(c, fixed.AGE_OR_OLDER), "18 years or older; 60 yrs and above") == [18, 60]
+    assert one(spark, rules.adults, "Adults") is True and one(spark, rules.adults, "adulthood") is False
     assert one(spark, rules.exclusion_cue, "were excluded") is False
 
 

@@ -7,8 +7,8 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .. import fixed
 from ..functions.rules import cue_features
@@ -28,26 +28,45 @@ def word_terms(text: Column, stop_words: list[str], ngrams: int = 2) -> Column:
     return let(words, lambda w: F.concat(w, *[grams(w, n) for n in range(2, ngrams + 1)]))
 
 
+#: The physical columns of a sparse vector, and how such columns are read as one.
+_SPARSE = T.StructType([T.StructField("v", VectorUDT())])
+
+
+def sparse_vector(size: int, pairs: Column) -> Column:
+    """A sparse vector of an array of (index, weight), ordered by index, without leaving the JVM.
+
+    Expressions can't build the type; the JSON reader can, of its physical columns.
+    """
+    parts = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), F.transform(pairs, lambda p: p["index"]).alias("indices"),
+                     F.transform(pairs, lambda p: p["weight"]).alias("values"))
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), _SPARSE)["v"]
+
+
 @dataclass
 class TfIdf:
-    """A vocabulary (term, index, df, idf) of at most `features` terms, largest counts first."""
+    """A vocabulary (term, index, df, idf) of at most `features` terms, largest counts first.
+
+    Rows are known by their texts: equal texts have equal vectors and are counted together, and ids play no part.
+    """
     vocabulary: DataFrame
     size: int
     stop_words: list[str]
     ngrams: int = 2
 
     @staticmethod
-    def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str], ngrams: int) -> DataFrame:
-        terms = docs.select(F.col(key).alias("_id"), F.explode(word_terms(F.col(text), stop_words, ngrams)).alias("term"))
-        return terms.groupBy("_id", "term").agg(F.count("*").alias("tf"))
+    def term_counts(docs: DataFrame, text: str, stop_words: list[str], ngrams: int) -> DataFrame:
+        """(_text, rows, term, tf): how often each different text has a term, and in how many rows the text is."""
+        own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_t")).select(F.md5("_t").alias("_text"), "_t")
+        texts = own.groupBy("_text").agg(F.first("_t").alias("_t"), F.count("*").alias("rows"))
+        terms = texts.select("_text", "rows", F.explode(word_terms(F.col("_t"), stop_words, ngrams)).alias("term"))
+        return terms.groupBy("_text", "rows", "term").agg(F.count("*").alias("tf"))
 
     @classmethod
-    def fit(cls, docs: DataFrame, key: str, text: str, features: int = 30000, min_df: int = 2, ngrams: int = 2,
-            stop_words: list[str] | None = None) -> "TfIdf":
+    def fit(cls, docs: DataFrame, text: str, features: int = 30000, min_df: int = 2, ngrams: int = 2, stop_words: list[str] | None = None) -> "TfIdf":
         stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
-        n = docs.select(key).distinct().count()
-        counts = cls.term_counts(docs, key, text, stop, ngrams)
-        terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+        n = docs.count()
+        counts = cls.term_counts(docs, text, stop, ngrams)
+        terms = counts.groupBy("term").agg(F.sum("rows").alias("df"), F.sum(F.col("tf") * F.col("rows")).alias("total")).where(F.col("df") >= min_df)
         # At most `features` rows from here on.
         top = terms.orderBy(F.desc("total"), "term").limit(features)
         idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
@@ -55,22 +74,19 @@ class TfIdf:
         vocabulary = top.select("term", index.alias("index"), "df", idf.alias("idf")).persist()
         return cls(vocabulary, features, stop, ngrams)
 
-    def weights(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """(_id, index, weight): (1 + ln tf) * idf, rows of length 1."""
-        counts = self.term_counts(docs, key, text, self.stop_words, self.ngrams)
-        raw = counts.join(F.broadcast(self.vocabulary), "term").select("_id", "index", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_id")))
-        return raw.select("_id", "index", (F.col("w") / norm).alias("weight"))
+    def weights(self, docs: DataFrame, text: str) -> DataFrame:
+        """(_text, term, index, weight) of each different text: (1 + ln tf) * idf, vectors of length 1."""
+        counts = self.term_counts(docs, text, self.stop_words, self.ngrams)
+        raw = counts.join(F.broadcast(self.vocabulary), "term").select("_text", "term", "index", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_text")))
+        return raw.select("_text", "term", "index", (F.col("w") / norm).alias("weight"))
 
-    def transform(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+    def transform(self, docs: DataFrame, text: str) -> DataFrame:
         """docs with `features`; texts without known terms have the zero vector."""
-        size = self.size
-        rows = self.weights(docs, key, text).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("pairs"))
-
-        @F.udf(VectorUDT())
-        def vector(pairs):
-            return SparseVector(size, [p[0] for p in pairs or []], [p[1] for p in pairs or []])
-        return docs.join(rows, F.col(key) == F.col("_id"), "left").withColumn("features", vector("pairs")).drop("pairs", "_id")
+        rows = self.weights(docs, text).groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_pairs"))
+        none = F.array().cast("array<struct<index: int, weight: double>>")
+        found = docs.join(rows, F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("_text"), "left")
+        return found.withColumn("features", sparse_vector(self.size, F.coalesce("_pairs", none))).drop("_pairs", "_text")
 
 
 def read_if_there(spark: SparkSession, schema: str, path: str):
@@ -89,9 +105,9 @@ class TextClassifier:
     model: LogisticRegressionModel
     labels: list[str]
 
-    def predict(self, docs: DataFrame, key: str, text: str, output: str) -> DataFrame:
+    def predict(self, docs: DataFrame, text: str, output: str) -> DataFrame:
         """docs with the predicted label."""
-        found = self.model.transform(self.tfidf.transform(docs, key, text))
+        found = self.model.transform(self.tfidf.transform(docs, text))
         names = F.array(*[F.lit(x) for x in self.labels])
         return found.withColumn(output, F.element_at(names, F.col("prediction").cast("int") + 1)).drop(
             "features", "rawPrediction", "probability", "prediction")
@@ -132,28 +148,33 @@ def _indexed(rows: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
     return rows.where(F.col(label).isNotNull()).withColumn("label_index", (F.array_position(names, F.col(label)) - 1).cast("double")), labels
 
 
-def fit_classifier(docs: DataFrame, key: str, text: str, label: str, c: float = 4.0, balanced: bool = True, max_iter: int = 100,
+def class_names(rows: DataFrame, label: str) -> DataFrame:
+    """(label, label_index): the number that stands for each class, in the order of names."""
+    indexed, _ = _indexed(rows, label)
+    return indexed.select(label, "label_index").distinct()
+
+
+def fit_classifier(docs: DataFrame, text: str, label: str, c: float = 4.0, balanced: bool = True, max_iter: int = 100,
                    **tfidf_options) -> TextClassifier:
     rows, labels = _indexed(docs, label)
-    tfidf = TfIdf.fit(rows, key, text, **tfidf_options)
-    vectors = tfidf.transform(rows, key, text).select("label_index", "features").persist()
+    tfidf = TfIdf.fit(rows, text, **tfidf_options)
+    vectors = tfidf.transform(rows, text).select("label_index", "features").persist()
     model = _regression(vectors, c, balanced, max_iter)
     vectors.unpersist()
     return TextClassifier(tfidf, model, labels)
 
 
-def fold_predictions(dealt: DataFrame, key: str, text: str, label: str, output: str, folds: int = 5, **options) -> list[DataFrame]:
+def fold_predictions(dealt: DataFrame, text: str, label: str, output: str, folds: int = 5, **options) -> list[DataFrame]:
     """For each fold its rows of dealt (with `fold`) and the label that the model of the other folds predicts."""
-    return [fit_classifier(dealt.where(F.col("fold") != k), key, text, label, **options).predict(dealt.where(F.col("fold") == k), key, text, output)
+    return [fit_classifier(dealt.where(F.col("fold") != k), text, label, **options).predict(dealt.where(F.col("fold") == k), text, output)
             for k in range(folds)]
 
 
 def cross_validated_accuracy(docs: DataFrame, key: str, text: str, label: str, folds: int = 5, seed: int = 0, **options) -> float:
     """Mean accuracy over stratified folds, to four places."""
-    dealt = ranking.stratified_folds(docs, label, F.xxhash64(F.col(key), F.lit(seed)), folds).persist()
+    dealt = ranking.stratified_folds(docs, label, F.xxhash64(F.col(key), F.lit(seed)), folds)
     scores = [found.agg(F.avg((F.col("_told") == F.col(label)).cast("double"))).first()[0]
-              for found in fold_predictions(dealt, key, text, label, "_told", folds, **options)]
-    dealt.unpersist()
+              for found in fold_predictions(dealt, text, label, "_told", folds, **options)]
     known = [s for s in scores if s is not None]
     return round(sum(known) / len(known), 4) if known else 0.0
 
@@ -165,7 +186,7 @@ def best_balance(docs: DataFrame, key: str, text: str, label: str, folds: int =
         got = cross_validated_accuracy(docs, key, text, label, folds, balanced=balanced, **options)
         if got > best:
             best, at = got, balanced
-    return fit_classifier(docs, key, text, label, balanced=at, **options), at, best
+    return fit_classifier(docs, text, label, balanced=at, **options), at, best
 
 
 # --- sentence ranker -------------------------------------------------------------------------------------------
@@ -202,7 +223,7 @@ class Ranker:
 
 def cross_validated_macro_f1(sentences: DataFrame, key: str, folds: int = 3, max_iter: int = 100) -> float | None:
     """Mean macro-F1 of rankers over stratified folds, to four places; null if a fold lacks what a fit needs."""
-    dealt = ranking.stratified_folds(sentences, "label", F.xxhash64(key, "text"), folds).persist()
+    dealt = ranking.stratified_folds(sentences, "label", F.xxhash64(key, "text"), folds)
     scores = []
     for k in range(folds):
         train = dealt.where(F.col("fold") != k)
@@ -213,7 +234,6 @@ def cross_validated_macro_f1(sentences: DataFrame, key: str, folds: int = 3, max
         told = ranker.model.transform(dealt.where(F.col("fold") == k).withColumn("features", sentence_features(F.col("embedding"), F.col("text"))))
         told = told.withColumn("told", F.element_at(names, F.col("prediction").cast("int") + 1))
         scores.append(ranking.macro_f1(told, "label", "told").first()[0])
-    dealt.unpersist()
     return round(sum(scores) / folds, 4) if len(scores) == folds and None not in scores else None
 
 

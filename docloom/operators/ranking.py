@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed
+from ..sources.scratch import scratch_dir
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -21,10 +22,29 @@ def term_ranking(terms: DataFrame, keys: list[str]) -> DataFrame:
     return groups.withColumn("rank", F.row_number().over(order))
 
 
+def numbered_within(df: DataFrame, group: str, order: Column, name: str) -> DataFrame:
+    """df with `name`, the number (from 0) of each row among those of its group in the given order.
+
+    Rows are sorted by ranges of (group, order) and written; a group's rows before a range are found from counts, one
+    for each range and group.  So a group that holds most rows lies in many tasks, where a window would need one.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = df.withColumn("_order", order).repartitionByRange(parts, group, "_order").sortWithinPartitions(group, "_order")
+    path = scratch_dir(spark)
+    runs = runs.withColumn("_at", F.monotonically_increasing_id())  # run number in the high bits, place in the low 33
+    runs.write.parquet(path)
+    runs = spark.read.schema(runs.schema).parquet(path).withColumn("_run", F.shiftright("_at", 33))
+    sizes = runs.groupBy("_run", group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_run")) - F.col("_n")
+    starts = sizes.select("_run", F.col(group).alias("_group"), "_first", before.alias("_before"))
+    found = runs.alias("r").join(starts.alias("s"), (F.col("r._run") == F.col("s._run")) & F.col(f"r.{group}").eqNullSafe(F.col("s._group")))
+    return found.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col("_before") + F.col("_at") - F.col("_first")).alias(name))
+
+
 def stratified_folds(df: DataFrame, label: str, order: Column, folds: int = 5) -> DataFrame:
     """df with fold: rows of a label, in the given order, dealt in turn."""
-    w = Window.partitionBy(label).orderBy(order)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
+    return numbered_within(df, label, order, "fold").withColumn("fold", (F.col("fold") % folds).cast("int"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -144,7 +144,8 @@ def embed(texts: DataFrame, cache: DataFrame, make_encoder=hashing_encoder, text
     """(texts with text_sha1 and embedding, new cache rows).  Only texts that the cache lacks are encoded."""
     new = encode_texts(cache_misses(texts, cache, text), make_encoder)
     keyed = texts.withColumn("text_sha1", content_key(F.col(text)))
-    return keyed.join(cache.unionByName(new), "text_sha1", "left"), new
+    known = cache.select("text_sha1", "embedding").dropDuplicates(["text_sha1"])  # a cache may hold a text twice
+    return keyed.join(known.unionByName(new), "text_sha1", "left"), new
 
 
 def append_cache(new: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ rows that a cheaper step settles never reach a more expensive one.
 """
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import fixed
 from ..functions import conditions, criteria, rules, text, views
 from ..operators import ml, ranking, vectors
+from ..sources.scratch import scratch_dir
 
 
 @dataclass
@@ -30,9 +32,18 @@ class Models:
 
     @staticmethod
     def load(spark: SparkSession, path: str, **hooks) -> "Models":
-        """What a folder holds of study_type, sex, ranker and cache; the rest is absent."""
-        return Models(ml.TextClassifier.load(spark, f"{path}/study_type"), ml.TextClassifier.load(spark, f"{path}/sex"),
-                      ml.Ranker.load(spark, f"{path}/ranker"), vectors.read_cache(spark, f"{path}/cache"), **hooks)
+        """What a folder holds of study_type, sex, ranker and cache.  A part that is absent or can't be read is left out, with a warning for the latter."""
+        def part(name: str, read: Callable):
+            try:
+                found = read(spark, f"{path}/{name}")
+                if name == "cache" and found is not None:
+                    found.limit(1).collect()  # a table that can't be read shows when it is
+                return found
+            except Exception as e:  # noqa: BLE001 - whatever is wrong with an artifact, rules take over
+                warnings.warn(f"{path}/{name} can't be read: {str(e)[:300]}", stacklevel=3)
+                return None
+        return Models(part("study_type", ml.TextClassifier.load), part("sex", ml.TextClassifier.load), part("ranker", ml.Ranker.load),
+                      part("cache", vectors.read_cache), **hooks)
 
     def save(self, path: str) -> None:
         for name in ("study_type", "sex", "ranker"):
@@ -54,6 +65,10 @@ class Lexicons:
     only_female: list[str]
     only_male: list[str]
     pediatric: str
+    inclusion: str = fixed.INCLUSION_CUES
+    exclusion: str = fixed.EXCLUSION_CUES
+    disease_words: str = fixed.DISEASE_WORDS
+    disease_suffix: str = fixed.DISEASE_SUFFIX
 
 
 MEDICAL = Lexicons(fixed.INTERVENTIONAL, fixed.OBSERVATIONAL, fixed.FEMALE_CONDITIONS, fixed.MALE_CONDITIONS, fixed.FEMALE_ONLY, fixed.MALE_ONLY, fixed.PEDIATRIC)
@@ -71,21 +86,33 @@ def with_rule_fields(articles: DataFrame, lexicons: Lexicons = MEDICAL) -> DataF
         "maximum_age": F.lit(None).cast("string")})
 
 
-def recognised_conditions(articles: DataFrame, recognise: Callable[[Column], Column]) -> DataFrame:
-    """(pmcid, found): the most frequent cleaned disease of title (twice), abstract and methods, else of the full text.
+def kept(rows: DataFrame) -> DataFrame:
+    """rows from a table written once."""
+    path = scratch_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def numbered(articles: DataFrame) -> DataFrame:
+    """articles with _row, a number of each row, so that repeated ids stay apart."""
+    return kept(articles.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def recognised_conditions(articles: DataFrame, recognise: Callable[[Column], Column], key: str = "pmcid") -> DataFrame:
+    """(key, found): the most frequent cleaned disease of title (twice), abstract and methods, else of the full text.
 
     Only articles without a hit in the first text have their full text read.
     """
     def best(df: DataFrame, source: Column) -> DataFrame:
-        names = df.select("pmcid", F.posexplode(recognise(F.substring(source, 1, fixed.NER_CHARS))).alias("pos", "raw"))
-        clean = names.select("pmcid", "pos", conditions.clean_condition(F.col("raw")).alias("term")).where("term is not null")
-        ranked = ranking.term_ranking(clean, ["pmcid"])
-        terms = ranked.groupBy("pmcid").agg(F.array_sort(F.collect_list(F.struct("rank", "display"))).alias("t"))
-        kept = conditions.drop_contained(F.transform("t", lambda x: x["display"]))
-        return terms.select("pmcid", F.slice(kept, 1, 1).alias("found")).where(F.size("found") > 0)
+        names = df.select(key, F.posexplode(recognise(F.substring(source, 1, fixed.NER_CHARS))).alias("pos", "raw"))
+        clean = names.select(key, "pos", conditions.clean_condition(F.col("raw")).alias("term")).where("term is not null")
+        ranked = ranking.term_ranking(clean, [key])
+        terms = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "display"))).alias("t"))
+        names = conditions.drop_contained(F.transform("t", lambda x: x["display"]))
+        return terms.select(key, F.slice(names, 1, 1).alias("found")).where(F.size("found") > 0)
     methods = F.substring(views.methods_text(F.col("sections")), 1, fixed.METHODS_CHARS)
     first = best(articles, F.concat_ws(" . ", "title", "title", "abstract", methods))
-    rest = articles.join(first, "pmcid", "left_anti")
+    rest = articles.join(first, key, "left_anti")
     return first.unionByName(best(rest, views.full_text(F.col("title"), F.col("abstract"), F.col("sections"))))
 
 
@@ -96,31 +123,33 @@ def extract_all(articles: DataFrame, models: Models | None = None, lexicons: Lex
     The rule of conditions reads `condition_text`, by default title, abstract and keywords.
     """
     m = models or Models()
+    if m.ranker or m.diseases:
+        # These plans read articles several times over: markup is parsed once.
+        articles = numbered(articles)
     out = with_rule_fields(articles, lexicons)
     if m.study_type or m.sex:
         out = out.withColumn("_lexical", views.lexical_text(F.col("title"), F.col("abstract"), F.col("sections")))
         for name, model in (("study_type", m.study_type), ("sex", m.sex)):
             if model:
-                out = model.predict(out.withColumnRenamed(name, "_rule"), "pmcid", "_lexical", name).withColumn(
+                out = model.predict(out.withColumnRenamed(name, "_rule"), "_lexical", name).withColumn(
                     name, F.coalesce(F.col(name), F.col("_rule"))).drop("_rule")
     sections, head = F.col("sections"), views.title_abstract(F.col("title"), F.col("abstract"))
-    stated = criteria.explicit_criteria(sections)
     if m.ranker:
-        out = out.withColumn("_stated", F.when(stated != "", stated))
-        need = out.where("_stated is null")
-        ranked = rank_eligibility(need, m)
-        out = out.join(ranked, "pmcid", "left")
-        rebuilt = criteria.reconstructed_criteria(sections, head)
-        eligibility = F.coalesce(F.col("_stated"), F.when(F.col("ranked") != "", F.col("ranked")), F.when(rebuilt != "", rebuilt), F.lit(fixed.NOT_SPECIFIED))
+        stated = criteria.explicit_criteria(sections)
+        out = kept(out.withColumn("_stated", F.nullif(stated, F.lit(""))))
+        ranked = rank_eligibility(out.where("_stated is null"), m, "_row")
+        out = out.join(ranked, "_row", "left")
+        rebuilt = criteria.reconstructed_criteria(sections, head, lexicons.inclusion, lexicons.exclusion)
+        eligibility = F.coalesce("_stated", F.nullif(F.col("ranked"), F.lit("")), F.nullif(rebuilt, F.lit("")), F.lit(fixed.NOT_SPECIFIED))
     else:
-        eligibility = criteria.eligibility(sections, head)
+        eligibility = criteria.eligibility(sections, head, lexicons.inclusion, lexicons.exclusion)
     pool = conditions.condition_pool(F.col("title"), F.col("abstract"), F.col("keywords")) if condition_text is None else condition_text
-    by_rule = conditions.found_conditions(pool)
+    by_rule = conditions.found_conditions(pool, lexicons.disease_words, lexicons.disease_suffix)
     if m.generate:
         context = views.article_context(F.col("title"), F.col("abstract"), sections)
         out = out.withColumn("conditions", conditions.generated_conditions(m.generate(text.prompt(fixed.CONDITION_PROMPT, context))))
     elif m.diseases:
-        out = out.join(recognised_conditions(articles, m.diseases), "pmcid", "left").withColumn("conditions", F.coalesce("found", by_rule))
+        out = out.join(recognised_conditions(out, m.diseases, "_row"), "_row", "left").withColumn("conditions", F.coalesce("found", by_rule))
     else:
         out = out.withColumn("conditions", by_rule)
     unknown = F.lit(fixed.NOT_SPECIFIED)
@@ -128,21 +157,21 @@ def extract_all(articles: DataFrame, models: Models | None = None, lexicons: Lex
                       F.coalesce("maximum_age", unknown).alias("maximum_age"), text.truncate_hard(eligibility, most_chars).alias("eligibility_criteria"))
 
 
-def sentences_of(articles: DataFrame) -> DataFrame:
-    """(pmcid, pos, text): each article's candidate sentences."""
+def sentences_of(articles: DataFrame, key: str = "pmcid") -> DataFrame:
+    """(key, pos, text): each article's candidate sentences."""
     found = criteria.candidate_sentences(F.col("sections"), F.col("abstract"))
-    return articles.select("pmcid", F.posexplode(found).alias("pos", "text"))
+    return articles.select(key, F.posexplode(found).alias("pos", "text"))
 
 
-def rank_eligibility(articles: DataFrame, models: Models) -> DataFrame:
-    """(pmcid, ranked): criteria of the ranker's best candidate sentences; "" where none is good enough."""
-    sentences = sentences_of(articles)
+def rank_eligibility(articles: DataFrame, models: Models, key: str = "pmcid") -> DataFrame:
+    """(key, ranked): criteria of the ranker's best candidate sentences; "" where none is good enough."""
+    sentences = sentences_of(articles, key)
     cache = models.embedding_cache
     if cache is None:
         cache = articles.sparkSession.createDataFrame([], "text_sha1 string, embedding array<float>")
     embedded, _ = vectors.embed(sentences, cache, models.make_encoder)
-    sides = ml.ranked_criteria(models.ranker.probabilities(embedded), "pmcid")
-    return sides.select("pmcid", criteria.format_criteria(F.col("inclusion"), F.col("exclusion")).alias("ranked"))
+    sides = ml.ranked_criteria(models.ranker.probabilities(embedded), key)
+    return sides.select(key, criteria.format_criteria(F.col("inclusion"), F.col("exclusion")).alias("ranked"))
 
 
 def inference(ids: DataFrame, articles: DataFrame, models: Models | None = None, lexicons: Lexicons = MEDICAL,

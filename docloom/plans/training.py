@@ -29,7 +29,7 @@ def train(articles: DataFrame, gold: DataFrame, cache: DataFrame, make_encoder=v
     own = articles.withColumn("_lexical", views.lexical_text(F.col("title"), F.col("abstract"), F.col("sections"))).select("pmcid", "_lexical")
     rows = gold.select(F.col("pmcids").alias("pmcid"), F.upper("study_type").alias("study_type"), F.upper(text.strip(F.col("sex"))).alias("sex")).join(own, "pmcid")
     study_score = ml.cross_validated_accuracy(rows, "pmcid", "_lexical", "study_type", folds, **options)
-    study = ml.fit_classifier(rows, "pmcid", "_lexical", "study_type", **options)
+    study = ml.fit_classifier(rows, "_lexical", "study_type", **options)
     sex, balanced, sex_score = ml.best_balance(rows, "pmcid", "_lexical", "sex", folds, **options)
     sentences = labelled_sentences(articles, gold, cache, make_encoder).persist()
     some = sentences.select("label").distinct().count() > 1

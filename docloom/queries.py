@@ -1,8 +1,8 @@
 """The registered queries of the extraction engine, and the SQL that says what they compute.
 
-Queries on `documents` run over all rows and whole texts.  The medical word lists don't occur in the
+Every query runs over all rows and whole texts of its tables.  The medical word lists don't occur in the
 synthetic prose, so lexicon queries use word lists that do (FIRING), and once more the medical ones on
-small relations of sentences (`_rows`), which Spark and SQL read from the same values.
+documents to whose text a sentence is added, which Spark and SQL take from the same list by the id.
 """
 from __future__ import annotations
 
@@ -38,44 +38,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- inline relations ------------------------------------------------------------------------------------------
 
 SENTENCES = [
-    (1, "Patients were randomized to placebo in a double-blind clinical trial of ovarian cancer."),
-    (2, "A retrospective registry of prostate cancer was reviewed with chart review and case report."),
-    (3, "randomized and retrospective"), (4, "women women women were enrolled"), (5, "women and men, women and women"),
-    (6, "Children aged 5 years with asthma were excluded"), (7, "neonatal units without infants"), (8, "pregnant only, pregnancies"),
-    (9, "Phase II RCT; phase iv; Phase 3 crossover"), (10, "men only male patients exclusively male"),
-    (11, "Subjects were not eligible; patients with incomplete records refused refusal"), (12, "nothing here")]
-TERMS = [
-    (1, 0, "Lung Cancer"), (1, 1, "cancer"), (1, 2, "lung cancer"), (2, 0, "x"), (2, 1, "X"), (3, 0, "Asthma"), (3, 1, "asthma"), (3, 2, "COPD"),
-    (4, 0, "HIV infection"), (4, 1, "infection"), (4, 2, "Stroke")]
-MARKED = [
-    (1, 0, "Adults only."), (1, 1, "Exclusion criteria: prior stroke."), (1, 2, "Renal failure."), (2, 0, "Inclusion criteria"), (2, 1, "age over 18"),
-    (2, 2, "Exclusion criteria"), (2, 3, "none"), (2, 4, "inclusion criteria: consent"), (3, 0, "Exclusion criterium unknown"), (3, 1, "late")]
-BULLETS = [
-    (1, "Inclusion Criteria:\n\n* adults over 18\n* signed consent\n\nExclusion Criteria:\n\n* pregnancy\n* prior stroke"),
-    (2, "Exclusion criteria: none known\nInclusion criteria: all comers\n2) second line here"), (3, "just one line of text\nno"), (4, ""),
-    (5, "Inclusion criteria\n* age 18 to 65. * stable disease\n(1) able to walk"), (6, "Exclusion Criteria:\n- under treatment")]
-RAW_IDS = [(1, "123.0"), (2, "12.9"), (3, "nan"), (4, " A7 "), (5, "  "), (6, "-3.7"), (7, "007"), (8, "1e3")]
-
-
+    "Patients were randomized to placebo in a double-blind clinical trial of ovarian cancer.",
+    "A retrospective registry of prostate cancer was reviewed with chart review and case report.",
+    "randomized and retrospective", "women women women were enrolled", "women and men, women and women",
+    "Children aged 5 years with asthma were excluded", "neonatal units without infants", "pregnant only, pregnancies",
+    "Phase II RCT; phase iv; Phase 3 crossover", "men only male patients exclusively male",
+    "Subjects were not eligible; patients with incomplete records refused refusal", "nothing here"]
 def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _values(rows: list[tuple], columns: str) -> str:
-    """The same rows as a SQL relation."""
-    def one(v) -> str:
-        if not isinstance(v, str):
-            return str(v)
-        return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in v.split("\n"))
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS t({columns}))"
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _listed(words) -> str:
+    """A SQL list of texts."""
+    return "[" + ", ".join(_quoted(w) for w in words) + "]"
+
+
+def _cases(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): documents with one of SENTENCES added to their text."""
+    told = F.element_at(F.array(*[F.lit(x) for x in SENTENCES]), (F.col("doc_id") % len(SENTENCES) + 1).cast("int"))
+    return docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), told).alias("text"))
+
+
+#: The same in SQL; letters beyond ASCII become word characters of ASCII, as word boundaries there know no others.
+_CASES = (f"(SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '_', 'g') || ' ' || {_listed(SENTENCES)}[doc_id % {len(SENTENCES)} + 1] AS text FROM documents)")
 
 
 # --- SQL fragments ---------------------------------------------------------------------------------------------
 
 #: Lexicons that occur in the synthetic documents.
 FIRING = extract.Lexicons([(r"\bthe\b", 3), (r"\bwith\b", 2), (r"\bque\b", 1)], [(r"\bare\b", 3), (r"\bwas\b", 2), (r"\bder\b", 3)],
-                          ["from", "ist"], ["be"], ["la"], ["de"], r"\b(une|and)\b")
-INCLUSION, EXCLUSION = r"\b(the|que)\b", r"\b(was|der)\b"
+                          ["from", "ist"], ["be"], ["la"], ["de"], r"\b(une|and)\b", r"\b(the|que)\b", r"\b(was|der)\b",
+                          r"\b(tion|thtion|rewh|orre|dans|elle|nicht)\b", r"\b(thble|onble|erble|thment)\b")
+INCLUSION, EXCLUSION = FIRING.inclusion, FIRING.exclusion
 _WORDS = r"regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}\p{{M}}_]+')"
 
 
@@ -166,10 +164,16 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.content_key(F.col("text")).alias("text_sha1"))
 
 
-@query(f"SELECT id, CASE WHEN try_cast(trim(raw) AS DOUBLE) IS NOT NULL AND NOT isnan(try_cast(trim(raw) AS DOUBLE)) "
-       f"THEN CAST(CAST(trunc(try_cast(trim(raw) AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE trim(raw) END AS pmcids FROM {_values(RAW_IDS, 'id, raw')} WHERE trim(raw) <> ''")
+_RAW = ["{id}.0", "{id}.9", " A{id} ", "   ", "-{id}.7", "1e3", "nan", "00{id}"]
+
+
+@query(f"""SELECT doc_id, CASE WHEN try_cast(trim(raw) AS DOUBLE) IS NOT NULL AND NOT isnan(try_cast(trim(raw) AS DOUBLE))
+  THEN CAST(CAST(trunc(try_cast(trim(raw) AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE trim(raw) END AS pmcids
+FROM (SELECT doc_id, replace({_listed(_RAW)}[doc_id % {len(_RAW)} + 1], '{{id}}', CAST(doc_id AS VARCHAR)) AS raw FROM documents) WHERE trim(raw) <> ''""")
 def id_normalise(spark, sf_dir):
-    return articles.normalise_ids(_rows(spark, RAW_IDS, "id int, pmcids string"))
+    raw = F.element_at(F.array(*[F.lit(x) for x in _RAW]), (F.col("doc_id") % len(_RAW) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.replace(raw, F.lit("{id}"), F.col("doc_id").cast("string")).alias("pmcids"))
+    return articles.normalise_ids(rows)
 
 
 # --- rules -----------------------------------------------------------------------------------------------------
@@ -193,14 +197,14 @@ def _group(words: list[str]) -> str:
 _MEDICAL_SEX = f"""CASE WHEN f AND NOT m THEN 'FEMALE' WHEN m AND NOT f THEN 'MALE' WHEN nf >= 3 AND nm = 0 THEN 'FEMALE' WHEN nm >= 3 AND nf = 0 THEN 'MALE' ELSE 'ALL' END"""
 
 
-@query(f"""SELECT id, CASE WHEN {_medical_score(fixed.INTERVENTIONAL)} >= {_medical_score(fixed.OBSERVATIONAL)} THEN 'INTERVENTIONAL' ELSE 'OBSERVATIONAL' END AS study_type,
+@query(f"""SELECT doc_id, CASE WHEN {_medical_score(fixed.INTERVENTIONAL)} >= {_medical_score(fixed.OBSERVATIONAL)} THEN 'INTERVENTIONAL' ELSE 'OBSERVATIONAL' END AS study_type,
   {_MEDICAL_SEX} AS sex, CASE WHEN regexp_matches(text, '(?i){fixed.PEDIATRIC}') THEN NULL ELSE '18 Years' END AS minimum_age
 FROM (SELECT *, regexp_matches(text, '{_group(fixed.FEMALE_CONDITIONS)}') AS f, regexp_matches(text, '{_group(fixed.MALE_CONDITIONS)}') AS m,
   len(regexp_extract_all(text, '{_group(fixed.FEMALE_ONLY)}')) AS nf, len(regexp_extract_all(text, '{_group(fixed.MALE_ONLY)}')) AS nm
-  FROM {_values(SENTENCES, 'id, text')})""")
+  FROM {_CASES})""")
 def medical_rules(spark, sf_dir):
     t = F.col("text")
-    return _rows(spark, SENTENCES, "id int, text string").select("id", rules.study_type(t).alias("study_type"), rules.sex(t).alias("sex"),
+    return _cases(table(spark, sf_dir, "documents")).select("doc_id", rules.study_type(t).alias("study_type"), rules.sex(t).alias("sex"),
                                                                  rules.minimum_age(t).alias("minimum_age"))
 
 
@@ -228,21 +232,27 @@ def cue_features(spark, sf_dir):
                     F.round(F.col("f")[4].cast("double"), 4).alias("long"))
 
 
-@query(f"SELECT id, regexp_matches(text, '(?i){fixed.INCLUSION_CUES}') AS inclusion, regexp_matches(text, '(?i){fixed.EXCLUSION_CUES}') AS exclusion "
-       f"FROM {_values(SENTENCES, 'id, text')}")
+@query(f"SELECT doc_id, regexp_matches(text, '(?i){fixed.INCLUSION_CUES}') AS inclusion, regexp_matches(text, '(?i){fixed.EXCLUSION_CUES}') AS exclusion FROM {_CASES}")
 def medical_cues(spark, sf_dir):
     t = F.col("text")
-    return _rows(spark, SENTENCES, "id int, text string").select("id", rules.inclusion_cue(t).alias("inclusion"), rules.exclusion_cue(t).alias("exclusion"))
+    return _cases(table(spark, sf_dir, "documents")).select("doc_id", rules.inclusion_cue(t).alias("inclusion"), rules.exclusion_cue(t).alias("exclusion"))
 
 
-AGES = [(1, "aged 18 to 65 years; at least 21 years"), (2, "older than 60 yrs and up to 75 years"), (3, "no ages"), (4, "Aged 5-12 years old, under 13 years")]
+_AGES = [" aged {n} to 65 years; at least {n} years", " older than 60 yrs and up to {n} years, {n} years or older", " no ages", " Aged 5-12 years old, under {n} years. {n} - 70 yrs, adults only",
+         " an adult of {n} years and above"]
+_AGE_PATTERNS = {"from_age": (fixed.AGE_RANGE, 1), "to_age": (fixed.AGE_RANGE, 2), "span_from": (fixed.AGE_SPAN, 1), "span_to": (fixed.AGE_SPAN, 2),
+                 "least": (fixed.AGE_LEAST, 1), "or_older": (fixed.AGE_OR_OLDER, 1), "most": (fixed.AGE_MOST, 1)}
+_AGED = ", ".join(f"array_to_string(list_filter(list_transform(regexp_extract_all(text, '(?i){p}', {g}), lambda x: CAST(x AS INTEGER)), lambda x: x > 0 AND x <= 120), ',') AS {n}"
+                  for n, (p, g) in _AGE_PATTERNS.items())
 
 
-@query(f"""SELECT id, array_to_string(regexp_extract_all(text, '(?i){fixed.AGE_RANGE}', 1), ',') AS from_age, array_to_string(regexp_extract_all(text, '(?i){fixed.AGE_LEAST}', 1), ',') AS least,
-  array_to_string(regexp_extract_all(text, '(?i){fixed.AGE_MOST}', 1), ',') AS most FROM {_values(AGES, 'id, text')}""")
+@query(f"""SELECT doc_id, {_AGED}, regexp_matches(text, '(?i){fixed.ADULT}') AS adults
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '_', 'g') || replace({_listed(_AGES)}[doc_id % {len(_AGES)} + 1], '{{n}}', CAST(doc_id % 140 AS VARCHAR)) AS text FROM documents)""")
 def age_numbers(spark, sf_dir):
-    found = {n: rules.age_numbers(F.col("text"), p) for n, p in (("from_age", fixed.AGE_RANGE), ("least", fixed.AGE_LEAST), ("most", fixed.AGE_MOST))}
-    return _rows(spark, AGES, "id int, text string").select("id", *[F.array_join(a.cast("array<string>"), ",").alias(n) for n, a in found.items()])
+    told = F.element_at(F.array(*[F.lit(x) for x in _AGES]), (F.col("doc_id") % len(_AGES) + 1).cast("int"))
+    t = F.concat(F.coalesce("text", F.lit("")), F.replace(told, F.lit("{n}"), (F.col("doc_id") % 140).cast("string")))
+    found = {n: rules.age_numbers(t, p, g) for n, (p, g) in _AGE_PATTERNS.items()}
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.array_join(a.cast("array<string>"), ",").alias(n) for n, a in found.items()], rules.adults(t).alias("adults"))
 
 
 # --- criteria --------------------------------------------------------------------------------------------------
@@ -262,56 +272,93 @@ def candidate_sentences(spark, sf_dir):
     return found.select(F.col("pmcid").cast("bigint").alias("doc_id"), "pos", "text")
 
 
-@query(f"""WITH m AS (
-  SELECT id, pos, text, CASE WHEN regexp_matches(text, '(?i)^inclusion crit') THEN 'inc' WHEN regexp_matches(text, '(?i)^exclusion crit') THEN 'exc' END AS mark
-  FROM {_values(MARKED, 'id, pos, text')}
-), s AS (
-  SELECT id, pos, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos), 'inc') AS side,
-    trim(CASE WHEN mark = 'inc' THEN regexp_replace(text, '(?i)^inclusion criteria[:\\s]*', '') WHEN mark = 'exc' THEN regexp_replace(text, '(?i)^exclusion criteria[:\\s]*', '') ELSE text END) AS item
-  FROM m)
-SELECT id, coalesce(string_agg(CASE WHEN side = 'inc' THEN item END, ' | ' ORDER BY pos), '') AS inclusion,
-  coalesce(string_agg(CASE WHEN side = 'exc' THEN item END, ' | ' ORDER BY pos), '') AS exclusion
-FROM s WHERE item <> '' GROUP BY id""")
-def explicit_criteria_mode(spark, sf_dir):
-    rows = ranking.in_document_order(_rows(spark, MARKED, "id int, pos int, text string"), ["id"], "pos", "text")
-    sides = rows.select("id", criteria.split_by_marker(F.col("texts")).alias("s"))
-    return sides.select("id", F.array_join("s.inc", " | ").alias("inclusion"), F.array_join("s.exc", " | ").alias("exclusion"))
-
-
 _LISTED = "CASE WHEN {0} IS NULL THEN '* Not Specified' ELSE {0} END"
 _FORMATTED = ("CASE WHEN i IS NULL AND e IS NULL THEN '' ELSE 'Inclusion Criteria:' || chr(10) || chr(10) || " + _LISTED.format("i")
               + " || chr(10) || chr(10) || 'Exclusion Criteria:' || chr(10) || chr(10) || " + _LISTED.format("e") + " END")
 
 
-@query("WITH " + _sentences("documents") + f""", cued AS (
+_STATED = """stated AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Adults only. Exclusion criteria: ' || coalesce(text, '') || '. Inclusion criteria: consent.'
+  WHEN 1 THEN 'We state inclusion criteria here. ' || coalesce(text, '') END AS text FROM documents)"""
+
+
+@query("WITH " + _STATED + ", " + _sentences("stated").strip() + f""", m AS (
+  SELECT *, CASE WHEN regexp_matches(text, '(?i)^inclusion crit') THEN 'inc' WHEN regexp_matches(text, '(?i)^exclusion crit') THEN 'exc' END AS mark
+  FROM (SELECT doc_id, pos, trim(regexp_replace(text, {_BULLET}, '')) AS text FROM sentences)
+), s AS (
+  SELECT doc_id, pos, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), 'inc') AS side,
+    trim(CASE WHEN mark = 'inc' THEN regexp_replace(text, '(?i)^inclusion criteria[:\\s]*', '') WHEN mark = 'exc' THEN regexp_replace(text, '(?i)^exclusion criteria[:\\s]*', '') ELSE text END) AS item
+  FROM m
+), listed AS (
+  SELECT doc_id, string_agg(CASE WHEN side = 'inc' THEN '* ' || item END, chr(10) ORDER BY pos) AS i, string_agg(CASE WHEN side = 'exc' THEN '* ' || item END, chr(10) ORDER BY pos) AS e
+  FROM s WHERE item <> '' GROUP BY doc_id)
+SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 < 2 THEN {_FORMATTED} END, 'none') AS criteria FROM (SELECT doc_id FROM documents) d LEFT JOIN listed l ON d.doc_id = l.doc_id""")
+def explicit_criteria(spark, sf_dir):
+    """Sections that state criteria by title, one that only mentions them, and none."""
+    t = F.coalesce("text", F.lit(""))
+    section = lambda title, x: F.struct(F.lit(title).alias("title"), x.alias("text"))
+    named = F.array(section("Patients", t), section("Eligibility", F.concat(F.lit("Adults only. Exclusion criteria: "), t, F.lit(". Inclusion criteria: consent."))))
+    mentioned = F.array(section("Results", F.concat(F.lit("We state inclusion criteria here. "), t)), section("Notes", t))
+    sections = F.when(F.col("doc_id") % 3 == 0, named).when(F.col("doc_id") % 3 == 1, mentioned).otherwise(F.array(section("Results", t)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", sections.alias("sections"))
+    return rows.select("doc_id", F.coalesce(criteria.explicit_criteria(F.col("sections")), F.lit("none")).alias("criteria"))
+
+
+_REBUILT = "WITH " + _sentences("documents") + f""", cued AS (
   SELECT doc_id, pos, text, {_any(['the', 'que'])} AS inc, {_any(['was', 'der'])} AS exc FROM (SELECT *, {_words('text')} AS w FROM sentences) WHERE length(text) BETWEEN 15 AND 400
 ), ranked AS (
   SELECT *, CASE WHEN inc THEN 'i' WHEN exc THEN 'e' END AS side, row_number() OVER (PARTITION BY doc_id, CASE WHEN inc THEN 'i' WHEN exc THEN 'e' END ORDER BY pos) AS r FROM cued
 ), listed AS (
   SELECT doc_id, string_agg(CASE WHEN side = 'i' THEN '* ' || text END, chr(10) ORDER BY pos) AS i, string_agg(CASE WHEN side = 'e' THEN '* ' || text END, chr(10) ORDER BY pos) AS e
   FROM ranked WHERE r <= 8 AND side IS NOT NULL GROUP BY doc_id)
-SELECT d.doc_id, {_FORMATTED} AS criteria FROM (SELECT doc_id FROM documents) d LEFT JOIN listed l ON d.doc_id = l.doc_id""")
+SELECT d.doc_id, {_FORMATTED} AS criteria FROM (SELECT doc_id FROM documents) d LEFT JOIN listed l ON d.doc_id = l.doc_id"""
+
+
+@query(_REBUILT)
 def reconstruct_criteria(spark, sf_dir):
     a = articles.from_documents(table(spark, sf_dir, "documents"))
     head = views.title_abstract(F.col("title"), F.col("abstract"))
     return a.select(F.col("pmcid").cast("bigint").alias("doc_id"), criteria.reconstructed_criteria(F.col("sections"), head, INCLUSION, EXCLUSION).alias("criteria"))
 
 
-@query("""SELECT * FROM (VALUES
-  (1, 'adults over 18 | signed consent', 'pregnancy | prior stroke'), (2, 'all comers | second line here', 'none known'), (3, 'just one line of text', ''), (4, '', ''),
-  (5, 'age 18 to 65. | stable disease | able to walk', ''), (6, '', 'under treatment')) AS t(id, inclusion, exclusion)""")
+def _bullets(chunk: str) -> str:
+    cut = f"string_split_regex(regexp_replace({chunk}, '\\.\\s*\\*', '.' || chr(10), 'g'), '\\n+')"
+    bare = f"trim(regexp_replace(trim(regexp_replace(x, {_BULLET}, ''), ' ' || chr(9)), '(?i)^(?:inclusion|exclusion) criteria[:\\s]*', ''), ' ' || chr(9))"
+    return f"array_to_string(list_transform(list_filter(list_transform({cut}, lambda x: {bare}), lambda x: length(x) >= 5), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), ' | ')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_TITLE} AS line FROM documents),
+c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Inclusion Criteria:' || chr(10) || t || chr(10) ELSE 'Inclusion criteria: all comers' || chr(10) || '2) second line here' END AS inc,
+  CASE WHEN doc_id % 2 = 0 THEN 'Exclusion Criteria:' || chr(10) || '* ' || line ELSE 'Exclusion criteria: ' || t || chr(10) END AS exc FROM d)
+SELECT doc_id, md5({_bullets('inc')}) AS inclusion, md5({_bullets('exc')}) AS exclusion FROM c""")
 def parse_bullets(spark, sf_dir):
-    b = _rows(spark, BULLETS, "id int, text string").select("id", criteria.parse_bullets(F.col("text")).alias("b"))
-    return b.select("id", F.array_join("b.inclusion", " | ").alias("inclusion"), F.array_join("b.exclusion", " | ").alias("exclusion"))
+    t, line = F.coalesce("text", F.lit("")), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    one = F.concat(F.lit("Inclusion Criteria:\n"), t, F.lit("\nExclusion Criteria:\n* "), line)
+    other = F.concat(F.lit("Exclusion criteria: "), t, F.lit("\nInclusion criteria: all comers\n2) second line here"))
+    b = table(spark, sf_dir, "documents").select("doc_id", criteria.parse_bullets(F.when(F.col("doc_id") % 2 == 0, one).otherwise(other)).alias("b"))
+    return b.select("doc_id", F.md5(F.array_join("b.inclusion", " | ")).alias("inclusion"), F.md5(F.array_join("b.exclusion", " | ")).alias("exclusion"))
 
 
 # --- conditions ------------------------------------------------------------------------------------------------
 
-@query(f"""SELECT id, string_agg(term, ' | ' ORDER BY pos) AS kept FROM {_values(TERMS, 'id, pos, term')} a
-WHERE NOT EXISTS (SELECT 1 FROM {_values(TERMS, 'id, pos, term')} b WHERE b.id = a.id AND b.term <> a.term AND contains(lower(b.term), lower(a.term))) GROUP BY id""")
+_RANKED = r"""w AS (
+  SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS term,
+    generate_subscripts(list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> ''), 1) AS pos FROM documents
+), g AS (SELECT doc_id, lower(term) AS key, count(*) AS n, arg_min(term, pos) AS display, min(pos) AS first FROM w GROUP BY doc_id, lower(term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(key) DESC, first) AS rank FROM g)"""
+
+
+def _ranked(spark, sf_dir):
+    words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda x: x != "")
+    return ranking.term_ranking(table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("pos", "term")), ["doc_id"])
+
+
+@query("WITH " + _RANKED + """, t AS (SELECT * FROM r WHERE rank <= 20)
+SELECT doc_id, string_agg(display, ' | ' ORDER BY rank) AS kept FROM t a
+WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.doc_id = a.doc_id AND b.display <> a.display AND contains(lower(b.display), lower(a.display))) GROUP BY doc_id""")
 def drop_contained_terms(spark, sf_dir):
-    rows = ranking.in_document_order(_rows(spark, TERMS, "id int, pos int, term string"), ["id"], "pos", "term")
-    return rows.select("id", F.array_join(conditions.drop_contained(F.col("texts")), " | ").alias("kept")).where("kept <> ''")
+    """Of each document's 20 commonest terms those that lie in no other."""
+    rows = ranking.in_document_order(_ranked(spark, sf_dir).where("rank <= 20"), ["doc_id"], "rank", "display")
+    return rows.select("doc_id", F.array_join(conditions.drop_contained(F.col("texts")), " | ").alias("kept")).where("kept <> ''")
 
 
 @query("""WITH p AS (
@@ -326,18 +373,40 @@ def parse_generated_conditions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, " | ").alias("conditions"))
 
 
-POOLS = [(1, "Severe asthma and Chronic Lung Cancer in adults"), (2, "nothing"), (3, "Rheumatoid Arthritis; diagnosis of HIV infection, stroke"), (4, "a study of COPD and sepsis")]
-NAMES = [(1, "the severe acute lung cancer 12 x"), (2, "imaging study cancer"), (3, "HIV  infection."), (4, "disease"), (5, "J. Smith disease"), (6, "of"), (7, "type 2 diabetes")]
+_TITLED = "CASE WHEN w = upper(w) AND w <> lower(w) AND length(w) > 1 THEN w ELSE CASE WHEN w[1] = 'ß' THEN 'Ss' ELSE upper(w[1]) END || lower(substr(w, 2)) END"
+_VOCABULARY, _SUFFIXES = (p[3:-3].split("|") for p in (FIRING.disease_words, FIRING.disease_suffix))
+#: (doc_id, found): the conditions that FIRING's words and suffixes find in the whole text, in order, as a list.
+_FOUND = f"""(SELECT doc_id, list_filter(d, lambda x: len(list_filter(d, lambda y: y <> x AND contains(lower(y), lower(x)))) = 0)[1:3] AS found FROM (
+  SELECT doc_id, list_filter(t, lambda x, i: list_position(list_transform(t, lambda y: lower(y)), lower(x)) = i) AS d FROM (
+    SELECT doc_id, list_transform(list_concat(list_filter(w, lambda x: list_contains({_listed(_VOCABULARY)}, lower(x))), list_filter(w, lambda x: list_contains({_listed(_SUFFIXES)}, x))),
+      lambda w: {_TITLED}) AS t
+    FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS w FROM documents))))"""
+_FOUND_TEXT = "CASE WHEN len(found) > 0 THEN array_to_string(found, ' | ') ELSE 'Not Specified' END"
 
 
-@query("""SELECT * FROM (VALUES (1, 'Asthma | Cancer'), (2, 'Not Specified'), (3, 'Stroke | Rheumatoid Arthritis | HIV Infection'), (4, 'COPD | Sepsis')) AS t(id, conditions)""")
+@query(f"SELECT doc_id, {_FOUND_TEXT} AS conditions FROM {_FOUND}")
 def conditions_by_rule(spark, sf_dir):
-    return _rows(spark, POOLS, "id int, text string").select("id", F.array_join(conditions.found_conditions(F.col("text")), " | ").alias("conditions"))
+    found = conditions.found_conditions(F.coalesce("text", F.lit("")), FIRING.disease_words, FIRING.disease_suffix)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, " | ").alias("conditions"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'Lung Cancer'), (2, NULL), (3, 'HIV Infection'), (4, NULL), (5, NULL), (6, NULL), (7, 'Type Diabetes')) AS t(id, name)""")
+_CLEAN = f"""WITH raw AS (
+  SELECT doc_id, unnest(string_split_regex(text, '[.,;\\n]')) AS raw, generate_subscripts(string_split_regex(text, '[.,;\\n]'), 1) - 1 AS pos FROM documents
+), led AS (
+  SELECT doc_id, pos, trim(regexp_replace(trim(regexp_replace(raw, '\\s+', ' ', 'g'), ' .,;:-—–'), '^(?i:(?:{"|".join(fixed.CONDITION_LEADS)})\\s+)+', '')) AS led FROM raw
+), kept AS (
+  SELECT *, list_filter(string_split(led, ' '), lambda w: w <> '' AND NOT regexp_full_match(w, '\\p{{Nd}}+') AND NOT regexp_full_match(w, '\\p{{L}}')) AS k FROM led
+), named AS (SELECT *, array_to_string(k, ' ') AS t, regexp_replace(array_to_string(k, ' '), '[^\\x00-\\x7F]', '_', 'g') AS ascii FROM kept)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, array_to_string(list_transform(list_filter(string_split(trim(t, ' .,;:'), ' '), lambda w: w <> ''), lambda w: {_TITLED}), ' ') AS name FROM named
+WHERE length(t) BETWEEN 3 AND 60 AND NOT regexp_matches(regexp_replace(led, '[^\\x00-\\x7F]', '_', 'g'), '\\b[A-Z]\\.') AND lower(t) NOT IN ({", ".join(map(_quoted, fixed.CONDITION_GENERIC + fixed.CONDITION_BLOCKED))})
+  AND len(list_filter(k, lambda w: regexp_full_match(w, '\\p{{L}}{{4,}}'))) > 0 AND NOT regexp_matches(ascii, '(?i)\\b(?:{"|".join(fixed.CONDITION_JUNK)})\\b')"""
+
+
+@query(_CLEAN)
 def clean_conditions(spark, sf_dir):
-    return _rows(spark, NAMES, "id int, text string").select("id", conditions.clean_condition(F.col("text")).alias("name"))
+    """Every phrase of every document as a condition's name, where it is one."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[.,;\n]")).alias("pos", "raw"))
+    return parts.select("doc_id", "pos", conditions.clean_condition(F.col("raw")).alias("name")).where("name is not null")
 
 
 @query(r"""SELECT doc_id, array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(line, '\s+', ' ', 'g'), ' .,;:'), ' '), lambda w: w <> ''),
@@ -348,28 +417,27 @@ def title_case(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", conditions.title_case(line).alias("titled"))
 
 
-CELLS = [(1, "['Asthma', ' COPD ']"), (2, "Asthma"), (3, ""), (4, "('a', 2)"), (5, "[broken"), (6, "[]")]
+_PLAIN = "list_filter(string_split_regex(coalesce(text, ''), '[^\\p{L}]+'), lambda x: x <> '')"
 
 
-@query("""SELECT * FROM (VALUES (1, 'Asthma | COPD', '[''Asthma'', ''COPD'']'), (2, 'Asthma', '[''Asthma'']'), (3, '', '[''Not Specified'']'), (4, 'a | 2', '[''a'', ''2'']'),
-  (5, '[broken', '[''[broken'']'), (6, '', '[''Not Specified'']')) AS t(id, parsed, cell)""")
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN coalesce(text, '') ELSE array_to_string(w, ' | ') END AS parsed,
+  CASE WHEN doc_id % 4 = 3 THEN NULL WHEN len(w) > 0 THEN '[''' || array_to_string(w, ''', ''') || ''']' ELSE '[''Not Specified'']' END AS cell
+FROM (SELECT doc_id, text, {_PLAIN} AS w FROM (SELECT doc_id, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text FROM documents))""")
 def conditions_cell(spark, sf_dir):
-    rows = _rows(spark, CELLS, "id int, raw string").withColumn("list", conditions.parse_cell("raw"))
-    return rows.select("id", F.array_join("list", " | ").alias("parsed"), conditions.to_cell("list").alias("cell"))
+    """Lists of a document's words written as cells and parsed again; every fourth cell is no list but the text itself."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+"), lambda x: x != "")
+    bare = text.strip(F.coalesce("text", F.lit("")))
+    plain = F.col("doc_id") % 4 == 3
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(plain, bare).alias("bare"), conditions.to_cell(words).alias("cell"))
+    back = rows.withColumn("list", conditions.parse_cell(F.coalesce("bare", F.when(F.col("cell") == "['Not Specified']", "").otherwise(F.col("cell")))))
+    return back.select("doc_id", F.array_join("list", " | ").alias("parsed"), F.when(F.col("bare").isNull(), F.col("cell")).alias("cell"))
 
 
 # --- ranking, joins --------------------------------------------------------------------------------------------
 
-@query(r"""WITH w AS (
-  SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS term,
-    generate_subscripts(list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> ''), 1) AS pos FROM documents
-), g AS (SELECT doc_id, lower(term) AS key, count(*) AS n, arg_min(term, pos) AS display, min(pos) AS first FROM w GROUP BY doc_id, lower(term)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(key) DESC, first) AS rank FROM g)
-SELECT doc_id, key, n, display, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+@query("WITH " + _RANKED + " SELECT doc_id, key, n, display, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
 def term_frequency_rank(spark, sf_dir):
-    words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda x: x != "")
-    terms = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("pos", "term"))
-    return ranking.term_ranking(terms, ["doc_id"]).where("rank <= 3").select("doc_id", "key", "n", "display", "rank")
+    return _ranked(spark, sf_dir).where("rank <= 3").select("doc_id", "key", "n", "display", "rank")
 
 
 @query("SELECT quality AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight "
@@ -436,23 +504,24 @@ def weak_labels(spark, sf_dir):
                                           ranking.weak_label(F.col("inclusion"), F.col("exclusion")).alias("label"))
 
 
-@query("""SELECT a.label, a.vec_id, round(max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 4) AS similarity
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id <> a.vec_id WHERE b.vec_id < 100 GROUP BY a.label, a.vec_id""")
-def cosine_max(spark, sf_dir):
-    """Partners are the vectors below 100 only, as its SQL says; `cosine_max_whole` compares all."""
-    e = table(spark, sf_dir, "embeddings")
-    bullets = e.where("vec_id < 100").select("label", F.col("vec_id").alias("other"), "embedding")
-    pairs = e.join(bullets.withColumnRenamed("embedding", "_b"), "label").where("other <> vec_id")
-    return pairs.groupBy("label", "vec_id").agg(F.round(F.max(vectors.dot(F.col("embedding"), F.col("_b"))), 4).alias("similarity"))
-
-
 @query("""SELECT a.label, a.vec_id, round(max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 4) AS similarity
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id <> a.vec_id GROUP BY a.label, a.vec_id""")
-def cosine_max_whole(spark, sf_dir):
+def cosine_max(spark, sf_dir):
+    """Every vector against all others of its label."""
     found = vectors.best_other_in_blocks(table(spark, sf_dir, "embeddings"), "vec_id", "label", 64)
     return found.select("label", "vec_id", F.round("similarity", 4).alias("similarity"))
 
 
+@query("""WITH g AS (SELECT vec_id // 25 AS article, vec_id, vec_id % 2 AS side, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.article, a.vec_id, round(coalesce(max(list_dot_product(a.v, b.v)), 0), 4) AS similarity
+FROM (SELECT * FROM g WHERE side = 0) a LEFT JOIN (SELECT * FROM g WHERE side = 1 AND article % 4 <> 3) b ON a.article = b.article GROUP BY a.article, a.vec_id""")
+def best_similarity(spark, sf_dir):
+    """Sentences (even ids) against the bullets (odd ids) of their article, which holds 25 vectors; every fourth article has no bullets."""
+    g = table(spark, sf_dir, "embeddings").withColumn("article", F.expr("vec_id div 25"))
+    found = vectors.best_similarity(g.where("vec_id % 2 = 0"), g.where("vec_id % 2 = 1 and article % 4 <> 3"), ["article"], "vec_id")
+    return found.select("article", "vec_id", F.round("similarity", 4).alias("similarity"))
+
+
 @query("""SELECT label, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY p DESC, vec_id) AS r FROM (SELECT label, vec_id, abs(CAST(embedding[1] AS DOUBLE)) * 4 AS p FROM embeddings))
 WHERE r <= 6 AND p >= 0.33 GROUP BY label""")
@@ -469,17 +538,40 @@ c AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM t GROUP
 top AS (SELECT * FROM c ORDER BY total DESC, term LIMIT 30000)
 SELECT term, df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1, 6) AS idf FROM top""")
 def tfidf_table(spark, sf_dir):
-    m = ml.TfIdf.fit(table(spark, sf_dir, "documents"), "doc_id", "text", stop_words=[], ngrams=1)
+    m = ml.TfIdf.fit(table(spark, sf_dir, "documents"), "text", stop_words=[], ngrams=1)
     return m.vocabulary.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+STOP_WORDS = ["that", "with", "this", "the", "and", "of", "to", "in", "de", "la", "der"]
+
+
+@query(f"""WITH words AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}'), lambda x: NOT list_contains({_listed(STOP_WORDS)}, x)) AS w FROM documents),
+t AS (SELECT doc_id, unnest(list_concat(w, list_transform(list_zip(w[1:-2], w[2:]), lambda p: p[1] || ' ' || p[2]))) AS term FROM words),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+c AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 2),
+top AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM c ORDER BY total DESC, term LIMIT 30000),
+raw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS x FROM tf JOIN top USING (term))
+SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw""")
+def tfidf_weights(spark, sf_dir):
+    """Weights of words and pairs of words, without stop words."""
+    docs = table(spark, sf_dir, "documents")
+    found = ml.TfIdf.fit(docs, "text", stop_words=STOP_WORDS).weights(docs, "text")
+    own = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("_text"))
+    return own.join(found, "_text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS DOUBLE) AS label_index FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
+def class_names(spark, sf_dir):
+    return ml.class_names(table(spark, sf_dir, "documents"), "lang")
+
+
 @query()
 def tfidf_classifier(spark, sf_dir):
     """Predictions of `quality` for every labelled document by TF-IDF and logistic regression of the other four folds (rows only)."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("label", F.col("quality").cast("string"))
-    dealt = ranking.stratified_folds(rows.select("doc_id", "text", "label"), "label", F.col("doc_id")).persist()
-    told = ml.fold_predictions(dealt, "doc_id", "text", "label", "told")
+    dealt = ranking.stratified_folds(rows.select("doc_id", "text", "label"), "label", F.col("doc_id"))
+    told = ml.fold_predictions(dealt, "text", "label", "told")
     return reduce(DataFrame.unionByName, told).select("doc_id", "label", "told")
 
 
@@ -501,6 +593,56 @@ def ranker_criteria(spark, sf_dir):
 
 # --- markup, sinks, plans --------------------------------------------------------------------------------------
 
+def _jats(docs: DataFrame) -> DataFrame:
+    """(doc_id, xml): each document as a journal article, with entities, comments, namespaces, nested and numbered sections; some are cut off, some hold nothing."""
+    whole = F.coalesce("text", F.lit(""))
+    number, line = F.col("doc_id").cast("string"), F.substring_index(whole, "\n", 1)
+
+    def escaped(c):
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), ("é", "&#233;"), ("ó", "&#xF3;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    def some(modulus: int, rest: int, then, otherwise=""):
+        return F.when(F.col("doc_id") % modulus == rest, then).otherwise(otherwise)
+    sections = F.concat(
+        F.lit("<sec><title>1. Methods &amp; subjects</title><p>"), escaped(whole), F.lit("</p></sec><sec><title>Results</title>Results in <b>bold</b><!-- c -->after "
+              "<sec><title>2.1. Inner</title>deep "), number, F.lit("</sec></sec><sec> </sec><sec><p>n = "), number, F.lit("</p></sec><sec><title>IV) Empty</title></sec>"))
+    xml = F.concat(
+        F.lit("<?xml version='1.0'?><article xmlns:x='urn:x'><front><article-id pub-id-type='doi'>10.1/5</article-id>"),
+        some(5, 4, F.lit("<article-id pub-id-type='pmid'>none</article-id>")), F.lit("<article-id pub-id-type='pmid'> "), number, F.lit("<!-- number --></article-id><x:article-title>"),
+        escaped(line), F.lit(" <i>on</i> n<!-- part -->"), number, F.lit("</x:article-title><abstract abstract-type='Graphical'>seen</abstract>"),
+        some(3, 0, F.lit("<abstract> </abstract>")), F.lit("<abstract><title>Abstract</title>: <p>"), escaped(whole), F.lit("</p></abstract><abstract>second</abstract><kwd>"),
+        escaped(line), F.lit("</kwd><kwd> </kwd><kwd>k &amp; "), number, F.lit("</kwd></front><body>"), some(4, 1, F.concat(F.lit("<p>"), escaped(whole), F.lit("</p>")), sections),
+        some(7, 3, F.lit(""), F.lit("</body></article>")))
+    return docs.select("doc_id", some(11, 5, F.lit("<"), xml).alias("xml"))
+
+
+_ALL = f"(SELECT doc_id, doc_id % 11 <> 5 AS good, CAST(doc_id AS VARCHAR) AS id, {_NORM.replace('text', chr(39) * 2 + ' || coalesce(text, ' + chr(39) * 2 + ')')} AS whole, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS line FROM documents)"
+
+
+@query(f"""SELECT doc_id, CASE WHEN good THEN id ELSE '' END AS pmid, CASE WHEN good THEN trim(line || ' on n ' || id) ELSE '' END AS title,
+  md5(CASE WHEN good THEN coalesce(nullif(trim(regexp_replace('Abstract : ' || whole, '(?i)^\\s*abstract\\b[:\\s]*', '')), ''), 'second') ELSE '' END) AS abstract,
+  CASE WHEN NOT good THEN '' WHEN line <> '' THEN line || ' | k & ' || id ELSE 'k & ' || id END AS keywords,
+  CAST(CASE WHEN NOT good THEN 0 WHEN doc_id % 4 = 1 THEN (CASE WHEN whole <> '' THEN 1 ELSE 0 END) ELSE 4 END AS INTEGER) AS n_sections FROM {_ALL}""")
+def article_records(spark, sf_dir):
+    a = articles.parse_articles(_jats(table(spark, sf_dir, "documents")), "doc_id", "xml")
+    return a.select(F.col("pmcid").cast("bigint").alias("doc_id"), "pmid", "title", F.md5("abstract").alias("abstract"), F.array_join("keywords", " | ").alias("keywords"),
+                    F.size("sections").alias("n_sections"))
+
+
+@query(f"""WITH a AS (SELECT * FROM {_ALL} WHERE good), s AS (
+  SELECT doc_id, 0 AS pos, '' AS title, whole AS text FROM a WHERE doc_id % 4 = 1 AND whole <> ''
+  UNION ALL SELECT doc_id, 0, 'Methods & subjects', trim('1. Methods & subjects ' || whole) FROM a WHERE doc_id % 4 <> 1
+  UNION ALL SELECT doc_id, 1, 'Results', 'Results in bold after 2.1. Inner deep ' || id FROM a WHERE doc_id % 4 <> 1
+  UNION ALL SELECT doc_id, 2, '', 'n = ' || id FROM a WHERE doc_id % 4 <> 1
+  UNION ALL SELECT doc_id, 3, 'Empty', 'IV) Empty' FROM a WHERE doc_id % 4 <> 1)
+SELECT doc_id, pos, title, md5(text) AS text FROM s""")
+def article_sections(spark, sf_dir):
+    a = articles.parse_articles(_jats(table(spark, sf_dir, "documents")), "doc_id", "xml")
+    return a.select(F.col("pmcid").cast("bigint").alias("doc_id"), F.posexplode("sections").alias("pos", "s")).select("doc_id", "pos", "s.title", F.md5("s.text").alias("text"))
+
+
 @query(r"""SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS title FROM pages""")
 def html_title(spark, sf_dir):
     return articles.from_pages(table(spark, sf_dir, "pages")).select(F.col("pmcid").cast("bigint").alias("page_id"), "title")
@@ -533,8 +675,9 @@ def generator_pairs(spark, sf_dir):
     return articles.read_pairs(spark, path).select("pmcids", F.md5("input").alias("input"), "target")
 
 
-_EXTRACTED = f"""SELECT CAST(doc_id AS VARCHAR) AS pmcids, study_type, sex, coalesce(minimum_age, 'Not Specified') AS minimum_age, 'Not Specified' AS maximum_age,
-  'Not Specified' AS conditions, 'Not Specified' AS eligibility_criteria FROM ({_RULE_FIELDS})"""
+_EXTRACTED = f"""SELECT CAST(f.doc_id AS VARCHAR) AS pmcids, study_type, sex, coalesce(minimum_age, 'Not Specified') AS minimum_age, 'Not Specified' AS maximum_age,
+  {_FOUND_TEXT} AS conditions, substr(coalesce(nullif(criteria, ''), 'Not Specified'), 1, 400) AS eligibility_criteria
+FROM ({_RULE_FIELDS}) f JOIN {_FOUND} c ON f.doc_id = c.doc_id JOIN ({_REBUILT}) r ON f.doc_id = r.doc_id"""
 
 
 @query(_EXTRACTED)
@@ -554,9 +697,13 @@ def stream_extract(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").withColumn("conditions", F.array_join("conditions", " | "))
 
 
-@query()
+@query(f"""WITH a AS (SELECT CAST(f.doc_id AS VARCHAR) AS pmcids, study_type, sex, coalesce(minimum_age, 'Not Specified') AS minimum_age, found, coalesce(nullif(criteria, ''), 'Not Specified') AS stated
+  FROM ({_RULE_FIELDS}) f JOIN {_FOUND} c ON f.doc_id = c.doc_id JOIN ({_REBUILT}) r ON f.doc_id = r.doc_id
+  UNION ALL SELECT 'none', 'INTERVENTIONAL', 'ALL', '18 Years', CAST([] AS VARCHAR[]), 'Not Specified')
+SELECT pmcids, CASE WHEN len(found) > 0 THEN '[''' || array_to_string(found, ''', ''') || ''']' ELSE '[''Not Specified'']' END AS conditions, study_type, sex, minimum_age,
+  'Not Specified' AS maximum_age, coalesce(nullif({_TRUNCATED.format('stated')}, ''), 'Not Specified') AS eligibility_criteria FROM a""")
 def submission(spark, sf_dir):
-    """Inference over every document's id and one without an article (rows only: cells are Python lists)."""
+    """Inference over every document's id and one without an article."""
     docs = table(spark, sf_dir, "documents")
     ids = docs.select(F.col("doc_id").cast("string").alias("pmcids")).union(_rows(spark, [("none",)], "pmcids string"))
     return extract.inference(ids, articles.from_documents(docs), lexicons=FIRING, condition_text=articles.document_text())

@@ -3,23 +3,26 @@
 A text's vector is the mean of the embeddings of its hashed byte n-grams (3 to 5 bytes, inside
 words and touching their edges); a linear layer and a softmax give the languages'
 probabilities.  Embeddings and layer are trained together by stochastic gradient descent in
-numpy, on the driver, from a bounded sample: about `per_lang` whole documents of each language,
-picked by a hash of their id, and short spans of them.  Part of the sample is kept back to fit
-a temperature and the probability below which a prediction is rejected.
+numpy, on the driver, from a bounded sample: about `per_lang` whole documents of every language,
+picked by a hash, and short spans of them, as counts of n-grams made on the executors.  Part of the
+sample is kept back to fit a temperature and the probability below which a prediction is rejected.
 
 A text that is null or has no letter is `und` with score 0.  Languages that never occur in
 training are never predicted.  With no training rows at all, every text is `und`.
 """
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
+from .packing import pack, unpack
+from .shared import column_of, quoted
 
 #: ASCII bytes that are no letters count as blanks; other bytes are kept.
 _KEEP = np.zeros(256, bool)
@@ -58,22 +61,44 @@ def subwords(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(buckets), np.concatenate(texts)
 
 
+def examples(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, how often) of each text; 2**BUCKET_BITS entries at most, however long the text."""
+    out = []
+    for i, j in tb.slices(offsets):
+        bucket, text = subwords(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+        by = np.argsort(text, kind="stable")
+        ends = np.searchsorted(text[by], np.arange(1, j - i + 1))
+        out += [np.unique(x, return_counts=True) for x in np.split(bucket[by], ends[:-1])]
+    return out
+
+
 @dataclass
 class LanguageModel:
+    """Its size is set by parameters and grows with the languages by `dim` numbers each only."""
     langs: list[str]
-    weights: np.ndarray  # buckets x langs: embeddings times layer
+    embeddings: np.ndarray  # buckets x dim
+    layer: np.ndarray  # dim x langs
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
 
+    def __post_init__(self):
+        # Few languages have one number a bucket for each; many share the embeddings.
+        few = len(self.langs) <= self.embeddings.shape[1]
+        self.tables = (self.embeddings @ self.layer if few else self.embeddings).T.astype(np.float64)
+        self.last = np.eye(len(self.langs)) if few else self.layer.astype(np.float64)
+
+    def __reduce__(self):
+        return LanguageModel, (self.langs, self.embeddings, self.layer, self.bias, self.temperature, self.reject_below)
+
     def logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(offsets) - 1, len(self.langs)), np.float64)
+        out = np.zeros((len(offsets) - 1, len(self.tables)), np.float64)
         for i, j in tb.slices(offsets):
             bucket, text = subwords(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
             count = np.maximum(np.bincount(text, minlength=j - i), 1)
-            for c in range(len(self.langs)):
-                out[i:j, c] = np.bincount(text, weights=self.weights[bucket, c], minlength=j - i) / count
-        return out + self.bias
+            for c, row in enumerate(self.tables):
+                out[i:j, c] = np.bincount(text, weights=row[bucket], minlength=j - i) / count
+        return out @ self.last + self.bias
 
     def probabilities(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return softmax(self.logits(raw, offsets) / self.temperature)
@@ -84,50 +109,39 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return tb.column_bytes(pa.array(texts, pa.large_string()))
+def _spans(text: str, rng: np.random.Generator, spans: int) -> list[str]:
+    """Short spans of whole words of a text, so that short texts are known too."""
+    words = text.split()
+    out = []
+    for _ in range(spans if len(words) > 3 else 0):
+        n = int(rng.integers(1, 12))
+        k = int(rng.integers(0, max(1, len(words) - n)))
+        out.append(" ".join(words[k:k + n]))
+    return out
 
 
-def _with_spans(texts: list[str], labels: np.ndarray, rng: np.random.Generator, spans: int) -> tuple[list[str], np.ndarray]:
-    """The texts, and from each some short spans of whole words, so that short texts are known too."""
-    out, y = list(texts), list(labels)
-    for t, label in zip(texts, labels):
-        words = t.split()
-        for _ in range(spans if len(words) > 3 else 0):
-            n = int(rng.integers(1, 12))
-            k = int(rng.integers(0, max(1, len(words) - n)))
-            out.append(" ".join(words[k:k + n]))
-            y.append(label)
-    return out, np.array(y, np.int64)
+def train(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 4, rate: float = 0.5,
+          max_error: float = 0.01, seed: int = 7) -> LanguageModel:
+    """Fits embeddings and softmax layer by SGD, then temperature and rejection bound.
 
-
-def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 4, rate: float = 0.5, spans: int = 3,
-          held_back: float = 0.15, max_error: float = 0.01, seed: int = 7) -> LanguageModel:
-    """Fits embeddings and softmax layer by SGD, then temperature and rejection bound."""
-    names = sorted(set(langs))
+    rows: (language, whether it is held back, buckets, how often) of each text.
+    """
+    names = sorted({r[0] for r in rows})
     rng = np.random.default_rng(seed)
-    y = np.array([names.index(x) for x in langs], np.int64)
-    order = rng.permutation(len(texts))
-    cut = max(1, int(len(order) * (1 - held_back)))
-    fit, kept = order[:cut], order[cut:] if cut < len(order) else order
-    fit_texts, fit_y = _with_spans([texts[i] for i in fit], y[fit], rng, spans)
-    raw, offsets = _bytes(fit_texts)
-    docs = []
-    for i, j in tb.slices(offsets):
-        bucket, text = subwords(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-        by = np.argsort(text, kind="stable")
-        ends = np.searchsorted(text[by], np.arange(1, j - i + 1))
-        docs += [np.unique(x, return_counts=True) for x in np.split(bucket[by], ends[:-1])]
+    number = {x: i for i, x in enumerate(names)}
+    fit = [r for r in rows if not r[1]] or rows
+    kept = [r for r in rows if r[1]] or rows
+    fit_y = np.array([number[r[0]] for r in fit], np.int64)
     emb = (rng.random((1 << BUCKET_BITS, dim), np.float32) - 0.5) / dim
     layer = np.zeros((dim, len(names)), np.float32)
     bias = np.zeros(len(names), np.float32)
     share = np.bincount(fit_y, minlength=len(names)) / len(fit_y)
     weight = (1 / np.maximum(share, 1e-9) / len(names)).astype(np.float32)
-    steps, total = 0, epochs * len(docs)
+    steps, total = 0, epochs * len(fit)
     for _ in range(epochs):
-        for d in rng.permutation(len(docs)):
+        for d in rng.permutation(len(fit)):
             steps += 1
-            ids, counts = docs[d]
+            _, _, ids, counts = fit[d]
             if not len(ids):
                 continue
             tf = (counts / counts.sum()).astype(np.float32)
@@ -142,12 +156,12 @@ def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 4, ra
             bias -= 0.1 * step * p
             # A text moves each embedding by its share of the text, scaled up as shares are small.
             emb[ids] -= (step * 10) * tf[:, None] * back
-    model = LanguageModel(names, emb @ layer, bias.astype(np.float64))
-    kept_texts, kept_y = _with_spans([texts[i] for i in kept], y[kept], rng, 1)
-    z = model.logits(*_bytes(kept_texts))
+    model = LanguageModel(names, emb, layer, bias.astype(np.float64))
+    kept_y = np.array([number[r[0]] for r in kept], np.int64)
+    z = np.array([(counts @ emb[ids] / max(counts.sum(), 1)) @ layer for _, _, ids, counts in kept], np.float64).reshape(len(kept), len(names)) + bias
     grid = np.exp(np.linspace(-3, 2, 51))
-    rows = np.arange(len(kept_y))
-    model.temperature = float(min(grid, key=lambda t: -np.log(softmax(z / t)[rows, kept_y] + 1e-12).mean()))
+    at = np.arange(len(kept_y))
+    model.temperature = float(min(grid, key=lambda t: -np.log(softmax(z / t)[at, kept_y] + 1e-12).mean()))
     p = softmax(z / model.temperature)
     model.reject_below = rejection_bound(p.max(1), p.argmax(1) == kept_y, max_error)
     return model
@@ -161,30 +175,50 @@ def rejection_bound(score: np.ndarray, right: np.ndarray, max_error: float) -> f
     return float(score[order][good[-1]]) if len(good) else 1.0
 
 
-def sample(labelled: DataFrame, label: str, per_label: int, most_labels: int = 500) -> list[tuple]:
-    """About per_label rows (id, text, label) of each label, picked by a hash of id and text.
+def sample(labelled: DataFrame, per_label: int, most_rows: int) -> DataFrame:
+    """About per_label rows (text, label) of every label, picked by a hash; about most_rows of all labels together.
 
-    Rows come to the driver; at most most_labels * per_label of them in expectation.
+    More labels than most_rows are an error: none is left out.
     """
-    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
-    if not counts:
-        return []
+    counts = labelled.groupBy("label").count().limit(most_rows + 1).collect()
+    if len(counts) > most_rows:
+        raise ValueError(f"more than {most_rows} languages")
+    each = max(1, min(per_label, most_rows // max(len(counts), 1)))
+    shares = labelled.sparkSession.createDataFrame([(r[0], each / r[1]) for r in counts], "label string, share double")
     unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    keep: Column = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | ((F.col(label) == value) & (unit < min(1.0, per_label / n)))
-    return sorted((tuple(r) for r in labelled.where(keep).select("doc_id", "text", label).collect()), key=lambda r: (str(r[0]), r[1]))
+    return labelled.join(F.broadcast(shares), "label").where(unit < F.col("share")).select("text", "label")  # most_rows rows at most
+
 
+def fit(docs: DataFrame, per_lang: int = 800, most_rows: int = 100_000, spans: int = 3, held_back: float = 0.15) -> LanguageModel | None:
+    """A model of the rows of docs (doc_id, text, lang) that have both text and lang.
 
-def fit(docs: DataFrame, per_lang: int = 800) -> LanguageModel | None:
-    """A model of the rows of docs (doc_id, text, lang) that have both text and lang."""
-    rows = sample(docs.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")), "lang", per_lang)
-    return train([r[1] for r in rows], [r[2] for r in rows]) if rows else None
+    Fitted on about per_lang documents of every language, fewer if all together would be more than most_rows.  Texts
+    stay on the executors: the driver gets their n-grams' counts, of bounded size for a text of any length.
+    """
+    doc_id, text, lang = (F.col(quoted(column_of(docs, c))) for c in ("doc_id", "text", "lang"))
+    labelled = docs.select(doc_id.alias("doc_id"), text.alias("text"), lang.cast("string").alias("label")).where(
+        "text is not null and label is not null").where(F.col("text").rlike(r"\p{L}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key = zlib.crc32(text.encode())
+                rng = np.random.default_rng(key)
+                held = bool(rng.random() < held_back)
+                found = examples(*tb.column_bytes(pa.array([text, *_spans(text, rng, 1 if held else spans)], pa.large_string())))
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([label] * n, pa.string()), pa.array([held] * n, pa.bool_()), pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()),
+                    pa.array([pack(x.astype(np.uint16)) for x, _ in found], pa.binary()), pa.array([pack(c.astype(np.int64)) for _, c in found], pa.binary())],
+                    ["label", "held", "key", "number", "buckets", "counts"])
+    found = sample(labelled, per_lang, most_rows).mapInArrow(run, "label string, held boolean, key long, number int, buckets binary, counts binary").collect()
+    found.sort(key=lambda r: (r["key"], r["label"], r["number"], r["buckets"]))
+    return train([(r["label"], r["held"], unpack(r["buckets"], np.uint16).astype(np.int64), unpack(r["counts"], np.int64)) for r in found]) if found else None
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """docs' doc_id with lang_pred, score and accepted, from the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 buckets x languages: fixed by parameters
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 buckets x dim, and dim numbers a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -200,6 +234,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())],
                 ["doc_id", "lang_pred", "score", "accepted"])
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered.alias("lettered")).mapInArrow(
+    text = F.col(quoted(column_of(docs, "text")))
+    lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    return docs.select(F.col(quoted(column_of(docs, "doc_id"))).cast("long").alias("doc_id"), text.alias("text"), lettered.alias("lettered")).mapInArrow(
         run, "doc_id long, lang_pred string, score double, accepted boolean")

@@ -1,15 +1,21 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items are word sequences (A-Z lower-cased).  Shared runs of `least` words
-are the seeds that bring a document and an item together.  For such a pair, the longest match of
-words not yet marked in either is found by Karp-Rabin hashes of windows (the length by bisection,
-the place by equal hashes, then checked word by word), marked as a tile, and this is repeated until
-no match of `least` words is left.  The share of an item's words under tiles is its coverage; as
-tiles may lie in any order, a passage whose sentences were reordered is caught too.
-
-Items are taken in blocks of bounded size and every block meets all documents.  Null texts have no
-words.  An item of fewer than `least` words can't be told from chance and is never reported; nor
-is a null item.  Rows that repeat a doc_id or item_id are reported for themselves.
+are the seeds that bring a document and an item together, in a join of both sides' seeds.  For such a
+pair, the longest match of words not yet marked in either is found by Karp-Rabin hashes of windows (the
+length by bisection, the place by equal hashes, then checked word by word), marked as a tile, and this is
+repeated until no match of `least` words is left.  The share of an item's words under tiles is its
+coverage; as tiles may lie in any order, a passage whose sentences were reordered is caught too.
+
+1. Seeds of all items are a table.  Their bitmap, of fixed size, goes to the documents' tasks, and only
+   documents' seeds with a bit there are sent to the join (others that share a bit cost a row each).
+2. A tile of L words has L - least + 1 seeds, so covered words are at most `least` for each of the item's
+   seed places that the document holds too; pairs that can't reach the coverage by this bound are left out.
+3. The remaining pairs get the texts of both sides and are tiled, each for itself.
+
+An item of fewer than `least` words is matched whole: its seed is its whole sequence, and a document holds
+it if that sequence occurs there.  Null texts have no words, and an item without words is never reported.
+Rows that repeat a doc_id or item_id are reported for themselves.
 """
 from __future__ import annotations
 
@@ -17,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textbytes as tb
+from .shared import Workspace, column_of, once, quoted, written
 
-#: Benchmark bytes in one block: what is sent to each executor at once is a few times this.
-BLOCK_BYTES = 8 << 20
+#: Bits of the map of the items' seeds that each task gets; 2**26 bits are 8 MB, however large the benchmark.
+FILTER_BITS = 26
 
 
 def words_of(texts: pa.Array) -> list[np.ndarray]:
@@ -55,7 +62,7 @@ class _Rolling:
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling: (start in doc, start in item, words), longest first."""
+    """Greedy tiling: (start in doc, start in item, words), longest first, of equal ones the first in doc, then in item."""
     a, b = _Rolling(doc), _Rolling(item)
     marked_a, marked_b = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     out = []
@@ -74,120 +81,180 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
         while low < high:  # a match of a length holds matches of every shorter one
             mid = (low + high + 1) // 2
             low, high = (mid, high) if len(shared(mid)[0]) else (low, mid - 1)
-        found = shared(low)[0]
+        found, at, ha = shared(low)
         at_b, hb = b.windows(low, free_b)
+        # Places in the item by their window's hash: only equal ones are looked at, each of them used once.
+        order = np.argsort(hb, kind="stable")
+        sorted_b, place_b = hb[order], at_b[order]
+        begin = np.searchsorted(sorted_b, ha[np.searchsorted(at, found)]).tolist()
+        skip: dict[int, int] = {}
         new = 0
-        for i in found.tolist():
+        for i, s in zip(found.tolist(), begin):
             if marked_a[i:i + low].any():
                 continue
-            for j in at_b.tolist():
-                if not marked_b[j:j + low].any() and np.array_equal(doc[i:i + low], item[j:j + low]):
-                    marked_a[i:i + low] = marked_b[j:j + low] = True
-                    out.append((i, j, low))
-                    new += 1
-                    break
+            k = skip.get(s, s)  # places before this are marked already
+            first_free = None
+            while k < len(place_b) and sorted_b[k] == sorted_b[s]:
+                j = int(place_b[k])
+                if not marked_b[j:j + low].any():
+                    if np.array_equal(doc[i:i + low], item[j:j + low]):
+                        marked_a[i:i + low] = marked_b[j:j + low] = True
+                        out.append((i, j, low))
+                        new += 1
+                        break
+                    first_free = k if first_free is None else first_free
+                k += 1
+            skip[s] = k if first_free is None else first_free
         top = low if new else low - 1
     return out
 
 
-class Items:
-    """A block of benchmark items with their seeds."""
-
-    def __init__(self, ids: list, texts: list[str | None], least: int):
-        words = words_of(pa.array(texts, pa.large_string()))
-        self.ids, self.words, self.least = ids, words, least
-        seeds = [(g, np.full(len(g), k)) for k, w in enumerate(words) for g in [np.unique(tb.gram_hashes(w, least))]]
-        hashes = np.concatenate([s[0] for s in seeds]) if seeds else np.zeros(0, np.uint64)
-        owner = np.concatenate([s[1] for s in seeds]) if seeds else np.zeros(0, np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.owner = owner[order]
-        self.seeds, self.first = np.unique(hashes[order], return_index=True)
-        self.first = np.append(self.first, len(hashes))
-
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-        """(item, tiles) of every item that shares a seed with the document."""
-        if not len(self.seeds) or len(words) < self.least:
-            return
-        grams = tb.gram_hashes(words, self.least)
-        at = np.searchsorted(self.seeds, grams)
-        at[at == len(self.seeds)] = 0
-        hit = np.flatnonzero(self.seeds[at] == grams)
-        if not len(hit):
-            return
-        places: dict[int, list[int]] = {}
-        for h in hit.tolist():
-            s = at[h]
-            for k in self.owner[self.first[s]:self.first[s + 1]].tolist():
-                places.setdefault(k, []).append(h)
-        for k, starts in places.items():
-            # Only words under some seed can be in a tile; others are replaced by a mark that no item holds.
-            own = np.zeros(len(words), bool)
-            for h in starts:
-                own[h:h + self.least] = True
-            keep = np.flatnonzero(own | np.concatenate([[False], own[:-1]]))
-            part = np.where(own, words, np.uint64(0))[keep]
-            found = tiles(part, self.words[k], self.least)
-            if found:
-                yield k, [(int(keep[i]), j, n) for i, j, n in found]
-
-
-def blocks(benchmark: DataFrame, least: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
-    """The benchmark in blocks of about block_bytes of text, split by a hash of the item."""
-    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(-(-total // block_bytes))
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # about block_bytes
-        rows = sorted((tuple(r) for r in rows), key=lambda r: (str(r[0]), r[1]))
-        if rows:
-            yield Items([r[0] for r in rows], [r[1] for r in rows], least)
+def _seeds(words: np.ndarray, least: int, sizes: range | None = None) -> np.ndarray:
+    """Hashes of all runs of `least` words, or of each of the sizes."""
+    return np.concatenate([tb.gram_hashes(words, k) for k in (sizes or [least])] or [np.zeros(0, np.uint64)])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5) -> DataFrame:
-    """One row for each document and item whose coverage reaches the bound.
+def covers(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The tiles of an item in a document; a short item has one, where its whole sequence first occurs."""
+    if len(item) >= least:
+        seeds = np.unique(tb.gram_hashes(item, least))
+        hit = np.flatnonzero(np.isin(tb.gram_hashes(doc, least), seeds))
+        # Only words under some seed can be in a tile; others are replaced by a mark that no item holds.
+        edge = np.zeros(len(doc) + 1, np.int64)
+        np.add.at(edge, hit, 1)
+        np.add.at(edge, hit + least, -1)
+        own = np.cumsum(edge[:-1]) > 0
+        keep = np.flatnonzero(own | np.concatenate([[False], own[:-1]]))
+        part = np.where(own, doc, np.uint64(0))[keep]
+        return [(int(keep[i]), j, n) for i, j, n in tiles(part, item, least)]
+    n = len(item)
+    at = np.flatnonzero(tb.gram_hashes(doc, n) == tb.gram_hashes(item, n)[0]) if n else []
+    return [(int(i), 0, n) for i in at if np.array_equal(doc[i:i + n], item)][:1]
+
+
+def item_seeds(items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """(seed, item_id, item_key, places, needed) of items (item_id, item_key, text).
+
+    places: how often the seed occurs in the item; needed: how many of the item's seed places a document must hold.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, words in enumerate(words_of(batch.column(2))):
+                n = len(words)
+                if n:
+                    seed, places = np.unique(tb.gram_hashes(words, min(n, least)), return_counts=True)
+                    # At least coverage * n words, at most `least` words for each seed place.
+                    needed = max(1, -(-int(np.ceil(coverage * n)) // least)) if n >= least else 1
+                    for x, v in zip(out, (seed, places, np.full(len(seed), k), np.full(len(seed), needed))):
+                        x.append(v)
+            seed, places, own, needed = (np.concatenate(x) for x in out)
+            own = pa.array(own)
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(places), pa.array(needed)],
+                                             ["seed", "item_id", "item_key", "places", "needed"])
+    return items.mapInArrow(run, "seed long, item_id long, item_key long, places long, needed long")
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """The seeds' map of 2**FILTER_BITS bits."""
+    bit = F.col("seed").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+    with once(seeds.sparkSession):
+        maps = seeds.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)  # buckets and positions count from 1
+    for r in maps:
+        bits[(r[0] - 1) * 4096:r[0] * 4096] = np.frombuffer(r[1], np.uint8)
+    return bits
+
 
-    doc_id, item_id, item_words, covered_words, coverage, and the tiles (start in doc, start in item, words).
+def document_seeds(rows: DataFrame, bits: np.ndarray, least: int, short: list[int]) -> DataFrame:
+    """(seed, doc_id, doc_key): the distinct seeds of rows (doc_id, doc_key, text) that have a bit in the items' map.
+
+    short: the lengths of items with fewer than `least` words.
     """
-    spark = docs.sparkSession
-    schema = ("doc_id long, item_id long, item_words long, covered_words long, coverage double, "
-              "tiles array<struct<doc_at: long, item_at: long, words: long>>")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kind = pa.list_(pa.struct([("doc_at", pa.int64()), ("item_at", pa.int64()), ("words", pa.int64())]))
-    out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, least):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in batches:
+    shared = rows.sparkSession.sparkContext.broadcast(bits)  # 2**FILTER_BITS bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, mask = shared.value, np.uint64((1 << FILTER_BITS) - 1)
+        for batch in batches:
+            seeds, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for k, words in enumerate(words_of(batch.column(2))):
+                found = _seeds(words, least, [*short, least])
+                at = (found & mask).astype(np.int64)
+                found = np.unique(found[(filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0])
+                seeds.append(found)
+                own.append(np.full(len(found), k))
+            own = pa.array(np.concatenate(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds).view(np.int64)), batch.column(0).take(own), batch.column(1).take(own)],
+                                             ["seed", "doc_id", "doc_key"])
+    return rows.mapInArrow(run, "seed long, doc_id long, doc_key long")
+
+
+_KIND = pa.list_(pa.struct([("doc_at", pa.int64()), ("item_at", pa.int64()), ("words", pa.int64())]))
+_MATCH = ("doc_id long, doc_key long, item_id long, item_words long, covered_words long, coverage double, "
+          "tiles array<struct<doc_at: long, item_at: long, words: long>>")
+
+
+def _tiled(least: int, coverage: float):
+    """Pairs with their texts to those whose coverage reaches the bound."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 found = []
-                ids = batch.column(0).to_pylist()
-                for doc_id, words in zip(ids, words_of(batch.column(1))):
-                    for k, t in items.hits(words):
-                        n, covered = len(items.words[k]), sum(x[2] for x in t)
-                        if covered >= coverage * n:
-                            found.append((doc_id, items.ids[k], n, covered, covered / n, [
-                                {"doc_at": x[0], "item_at": x[1], "words": x[2]} for x in t]))
-                cols = list(zip(*found)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), kind)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                                 ["doc_id", "item_id", "item_words", "covered_words", "coverage", "tiles"])
-        out = out.union(rows.mapInArrow(run, schema))
+                for k, (doc, item) in enumerate(zip(words_of(part.column(3)), words_of(part.column(4)))):
+                    t = covers(doc, item, least)
+                    n, covered = len(item), sum(x[2] for x in t)
+                    if t and covered >= coverage * n:
+                        found.append((k, n, covered, covered / n, [{"doc_at": x[0], "item_at": x[1], "words": x[2]} for x in t]))
+                cols = list(zip(*found)) or [()] * 5
+                own = pa.array(cols[0], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(c).take(own) for c in range(3)] + [
+                    pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.float64(), _KIND))],
+                    [x.split()[0] for x in _MATCH.split(", ")[:6]] + ["tiles"])
+    return run
+
+
+def _keyed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """(id, key, text): key is a hash of the text; only its rows of the same id are told apart by it."""
+    text = F.col(quoted(column_of(df, "text")))
+    return df.select(F.col(quoted(column_of(df, name))).cast("long").alias(name), F.xxhash64(text).alias(key), text.alias("text"))
+
+
+def _same(a: str, b: str, *names: str) -> Column:
+    """Equal names on both sides, null being equal to null."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}"))
     return out
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5) -> DataFrame:
+    """One row for each document and item whose coverage reaches the bound.
+
+    doc_id, doc_key (a hash of the text), item_id, item_words, covered_words, coverage, and the tiles (start in doc,
+    start in item, words).
+    """
+    with Workspace(docs.sparkSession) as work:
+        rows, items = _keyed(docs, "doc_id", "doc_key"), work.written(_keyed(benchmark, "item_id", "item_key").where("text is not null"), "items")
+        seeds = work.written(item_seeds(items.dropDuplicates(["item_id", "item_key"]).select("item_id", "item_key", "text"), least, coverage), "item-seeds")
+        size = F.size(F.filter(F.split(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " "), " "), lambda w: w != ""))
+        short = sorted(r[0] for r in items.select(size.alias("n")).where(f"n between 1 and {least - 1}").distinct().collect())  # numbers below `least`
+        mine = work.written(document_seeds(rows.select("doc_id", "doc_key", "text"), _bitmap(seeds), least, short), "document-seeds")
+        # Rows that repeat a document only raise the number of places, which is a bound from above.
+        pairs = mine.join(seeds, "seed").groupBy("doc_id", "doc_key", "item_id", "item_key").agg(F.sum("places").alias("places"), F.max("needed").alias("needed"))
+        pairs = work.written(pairs.where("places >= needed").drop("places", "needed"), "pairs")
+        both = (rows.alias("d").join(pairs.alias("p"), _same("d", "p", "doc_id", "doc_key"))
+                .join(items.alias("i"), _same("p", "i", "item_id", "item_key"))
+                .select("p.doc_id", "p.doc_key", "p.item_id", F.col("d.text").alias("doc_text"), F.col("i.text").alias("item_text")))
+        return written(both.mapInArrow(_tiled(least, coverage), _MATCH), "matches")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, in which no item reaches the bound."""
-    spark = docs.sparkSession
-    at = [c.lower() for c in docs.columns].index("text")
-    for block in blocks(benchmark, least):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in batches:
-                keep = [not any(sum(x[2] for x in t) >= coverage * len(items.words[k]) for k, t in items.hits(words))
-                        for words in words_of(batch.column(at))]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    gone = matches(docs, benchmark, least, coverage).select("doc_id", "doc_key").distinct()
+    names, text = docs.columns, F.col(quoted(column_of(docs, "text")))
+    rows = docs.select(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)]).alias("row"),
+                       F.col(quoted(column_of(docs, "doc_id"))).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"))
+    left = rows.alias("d").join(gone.alias("g"), _same("d", "g", "doc_id", "doc_key"), "left_anti")
+    return left.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])

@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import column_of, quoted
+
 #: Fragments longer than this are merged pass by pass.
 _LONG = 64
 #: What the library's pattern engine takes for white space.
@@ -42,25 +44,31 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class _Words(dict):
-    """word -> ids as little-endian 32-bit integers, made on first use.
+    """word -> ids as little-endian 32-bit integers, made on first use; entries of about `most` bytes are kept.
 
     When full, its entries become the old ones and the older ones go; old entries that are used come back.
     """
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most, self.old = make, most // 2, {}
+        self.make, self.most, self.held, self.old = make, most // 2, 0, {}
 
     def __missing__(self, word):
-        if len(self) >= self.most:
+        out = self.old.get(word) or self.make(word)
+        size = 250 + 4 * len(word if isinstance(word, str) else word[0]) + len(out)
+        if size > self.most >> 4:
+            return out  # very long words aren't kept
+        if self.held + size > self.most:
             self.old = dict(self)
             self.clear()
-        out = self[word] = self.old.get(word) or self.make(word)
+            self.held = 0
+        self[word] = out
+        self.held += size
         return out
 
 
 class ForcedBoundaryBPE:
-    def __init__(self, path: str, cached_words: int = 500_000):
+    def __init__(self, path: str, cached_bytes: int = 160 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -69,8 +77,8 @@ class ForcedBoundaryBPE:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        # The rank of a pair of ids, held in one number, and the id that each merge makes.
-        self.ranks = {self.vocab[a] << 16 | self.vocab[b]: i for i, (a, b) in enumerate(pairs)}
+        # The rank of a pair of ids, held in one number (ids have 32 bits), and the id that each merge makes.
+        self.ranks = {self.vocab[a] << 32 | self.vocab[b]: i for i, (a, b) in enumerate(pairs)}
         self.made = [self.vocab[a + b] for a, b in pairs]
         to_char = byte_alphabet()
         self.inner = [self.vocab.get(to_char[b]) for b in range(256)]
@@ -81,8 +89,8 @@ class ForcedBoundaryBPE:
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE))
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.words = _Words(self._word, cached_words)
-        self.fragments = _Words(self._merge, cached_words // 4)
+        self.words = _Words(self._word, cached_bytes)
+        self.fragments = _Words(self._merge, cached_bytes // 4)
 
     def _inside(self, to_byte: dict[str, int]) -> np.ndarray:
         """inside[a, b]: some token has byte b right after byte a."""
@@ -122,7 +130,7 @@ class ForcedBoundaryBPE:
         if len(ids) > _LONG:
             return array("I", self._merge_long(ids)).tobytes()
         rank, made, none = self.ranks.get, self.made, len(self.made)
-        ranks = [rank(a << 16 | b, none) for a, b in zip(ids, ids[1:])]
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
             if best == none:
@@ -131,16 +139,16 @@ class ForcedBoundaryBPE:
             ids[i] = merged = made[best]
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank(ids[i - 1] << 16 | merged, none)
+                ranks[i - 1] = rank(ids[i - 1] << 32 | merged, none)
             if i < len(ranks):
-                ranks[i] = rank(merged << 16 | ids[i + 1], none)
+                ranks[i] = rank(merged << 32 | ids[i + 1], none)
         return array("I", ids).tobytes()
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges, all places of a pair in one pass: a pass for each pair used, not for each place."""
         rank, none = self.ranks.get, len(self.made)
         while len(ids) > 1:
-            ranks = [rank(a << 16 | b, none) for a, b in zip(ids, ids[1:])]
+            ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
             best = min(ranks)
             if best == none:
                 break
@@ -192,7 +200,7 @@ def load(path: str) -> ForcedBoundaryBPE:
 
 
 def encode_decode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if kept, ids (array of int) and decoded."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if kept, ids (array of int) and decoded of every row, repeated ones too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
@@ -212,4 +220,4 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFram
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
         schema += ", ids array<int>, decoded string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col(quoted(column_of(docs, "doc_id"))).cast("long").alias("doc_id"), F.col(quoted(column_of(docs, "text")))).mapInArrow(run, schema)

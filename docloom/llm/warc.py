@@ -10,7 +10,8 @@ the next gzip member (or version line in a plain file) that yields a valid recor
 there, and logs the bytes between as a quarantined gap.  A damaged byte costs its own record only.
 
 Null pages count as empty payloads, null addresses as none.  Rows that repeat an id are separate
-records; of equal payloads each row with the largest id is a response.
+records; of equal payloads each row with the largest id is a response.  A page without an id is a
+response, as no record could name it.
 """
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import shared_dir
+from .shared import Workspace, column_of, quoted, shared_dir, written
 
 VERSION = b"WARC/1.1\r\n"
 _MEMBER = b"\x1f\x8b\x08"
@@ -132,21 +133,29 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None]]:
         yield "gap", bad, n, None
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_bytes: int = 32 << 20) -> DataFrame:
+def replace(fs: pafs.FileSystem, draft: str, name: str) -> None:
+    """Gives a finished file its name; one that an earlier attempt left goes first, as not every store renames onto a file."""
+    if fs.get_file_info(name).type != pafs.FileType.NotFound:
+        fs.delete_file(name)
+    fs.move(draft, name)
+
+
+def write_archives(pages: DataFrame, folder: str, work: Workspace, least_bytes: int = 1000, roll_bytes: int = 32 << 20) -> DataFrame:
     """Writes the pages and returns (file, bytes, records) of each archive, written when it is evaluated.
 
     A file's name tells its partition, and a file appears whole or not at all, so a task that runs
     again replaces what it left.
     """
-    page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
+    page_id, url, html = (F.col(quoted(column_of(pages, c))) for c in ("page_id", "url", "html"))
+    page = pages.select(page_id.cast("long").alias("page_id"), url.cast("string").alias("url"), F.encode(F.coalesce(html, F.lit("")), "utf-8").alias("payload"))
     page = page.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    # Only payloads held more than once and long enough have a row here.
-    long = page.select("digest", "page_id", "n").where(F.col("n") >= least_bytes)
-    heads = long.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where("copies > 1").select(
-        F.col("digest").alias("key"), "head")
-    key = F.when(F.col("n") >= least_bytes, F.col("digest")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    rows = page.withColumn("key", key).join(heads, "key", "left").select("page_id", "url", "payload", "head").sortWithinPartitions("page_id", "url")
+    # Which record a page revisits is found from ids and digests alone.  Payloads are then dealt by id and digest, so the
+    # copies of one page don't meet in a task.
+    long = page.select("digest", "page_id", "n").where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull()).select("digest", "page_id")
+    heads = work.written(long.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where("copies > 1").select(
+        "digest", "head"), "heads")
+    revisits = work.written(long.join(heads, "digest").where("page_id <> head").distinct(), "revisits")
+    rows = page.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "head").sortWithinPartitions("page_id", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get()
@@ -161,14 +170,14 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_
             with fs.open_output_stream(draft, compression=None) as f:
                 for p in pieces:
                     f.write(p)
-            fs.move(draft, f"{root}/{name}")
+            replace(fs, draft, f"{root}/{name}")
             made.append((name, size, len(pieces)))
             pieces, size, number = [], 0, number + 1
 
         for batch in batches:
             for i in range(batch.num_rows):
                 page_id, url, payload, head = (batch.column(c)[i].as_py() for c in range(4))
-                revisit = head is not None and page_id != head
+                revisit = head is not None
                 pieces.append(record(page_id, url, payload, head, revisit))
                 size += len(pieces[-1])
                 if size >= roll_bytes:
@@ -216,10 +225,18 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages to archives in the shared folder and reads the archives back."""
+    """Writes the pages to archives in the shared folder and reads the archives back: one row for each record.
+
+    Reading is strict here: a quarantined gap, or other records than were written, is an error.
+    """
     spark = pages.sparkSession
     folder = shared_dir(spark) + "/warc"
-    made = write_archives(pages, folder).agg(F.sum("records")).first()[0]
+    with Workspace(spark) as work:
+        made = write_archives(pages, folder, work).agg(F.sum("records")).first()[0]
     if not made:
         return spark.createDataFrame([], "kind string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, folder, payloads=False)
+    back = written(read_archives(spark, folder, payloads=False), "records")
+    kinds = {r[0]: r[1] for r in back.groupBy("kind").count().collect()}
+    if kinds != {"record": made}:
+        raise RuntimeError(f"{made} records written, read back: {kinds}")
+    return back

@@ -11,8 +11,8 @@ and the number of words in powers of two (value 1).  Any other feature's value i
 share among the text's features of that kind, so a text's length doesn't scale its score.
 Features in fewer than `least_docs` of the fitted documents weigh 0.
 
-Fitted in numpy on the driver on a bounded sample: about `per_grade` whole rated documents of
-each grade, picked by a hash; grades weigh as the roots of their sizes.  Ratings with a null part
+Fitted in numpy on the driver on the features of a bounded sample: about `per_grade` whole rated
+documents of each grade, picked by a hash; grades weigh as the roots of their sizes.  Ratings with a null part
 are left out.  A text without words (null, empty, blank) has no features: its score is 0.  With no
 ratings at all every document gets the top grade with probability 1, so nothing is rejected.
 """
@@ -25,7 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import langid, textbytes as tb
+from . import textbytes as tb
+from .packing import pack, unpack
+from .shared import column_of, quoted
 
 BITS = 18
 OPENINGS = (4, 5, 6, 7)
@@ -119,26 +121,38 @@ class OrdinalModel:
         return self.grades[0] + tails @ steps if len(steps) else np.full(len(tails), float(self.grades[0]))
 
 
-def train(texts: list[str] | pa.Array, grades: list[int], epochs: int = 400, rate: float = 1.0, decay: float = 3e-4,
+#: Features in one piece of the fit.
+_PIECE = 1 << 18
+
+
+def train(rows: list[tuple[bytes, bytes]], grades: list[int], epochs: int = 400, rate: float = 1.0, decay: float = 3e-4,
           least_docs: int = 5, held_back: float = 0.15, seed: int = 11) -> OrdinalModel:
-    """L1-penalised maximum likelihood by AdaGrad; thresholds stay ordered by construction."""
+    """L1-penalised maximum likelihood by AdaGrad; thresholds stay ordered by construction.
+
+    rows: packed (buckets, values) of each text; they are emptied on the way.
+    """
     names = sorted(set(grades))
     g = len(names)
     y = np.array([names.index(x) for x in grades])
     rng = np.random.default_rng(seed)
-    raw, offsets = tb.column_bytes(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string()))
     seen = np.zeros(1 << BITS, np.int64)
-    for i, j in tb.slices(offsets):
-        seen += np.bincount(features(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])[0], minlength=len(seen))
+    for buckets, _ in rows:
+        seen[unpack(buckets, np.uint32)] += 1  # a bucket may occur once for each kind; only once counts
     used = np.flatnonzero(seen >= least_docs)
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    # One piece for each slice of texts: the used features, values and texts as small numbers.
-    pieces = []
-    for i, j in tb.slices(offsets):
-        bucket, text, value = features(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-        keep = np.flatnonzero(place[bucket] >= 0)
-        pieces.append((i, j, place[bucket[keep]], text[keep].astype(np.int32), value[keep].astype(np.float32)))
+    # Pieces of consecutive texts: the used features, values and texts as small numbers.
+    pieces, held, size, begin = [], [], 0, 0
+    for i in range(len(rows)):
+        at, value = place[unpack(rows[i][0], np.uint32)], unpack(rows[i][1], np.float32)
+        rows[i] = None
+        keep = np.flatnonzero(at >= 0)
+        held.append((at[keep], np.full(len(keep), i - begin, np.int32), value[keep]))
+        size += len(keep)
+        if size >= _PIECE or i == len(rows) - 1:
+            ids, text, value = (np.concatenate(x) for x in zip(*held))
+            pieces.append((begin, i + 1, ids, text, value))
+            held, size, begin = [], 0, i + 1
     w = np.zeros(1 << BITS)
     model = OrdinalModel(names, w, np.zeros(g - 1))
     if g < 2:
@@ -202,10 +216,11 @@ def ratings(labels: DataFrame) -> DataFrame:
     return whole.select("doc_id", grade.alias("grade")).distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 2000) -> OrdinalModel | None:
+def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 3000) -> OrdinalModel | None:
     """A model from a bounded sample of the rated documents.
 
-    The sample is drawn from the ratings first, so the join with the texts is small.
+    The sample is drawn from the ratings first, so the join with the texts is small.  Texts stay on the executors: the
+    driver gets their packed features, of bounded size for a text of any length.
     """
     rated = ratings(labels)
     counts = {r[0]: r[1] for r in rated.groupBy("grade").count().collect()}  # three grades
@@ -214,17 +229,38 @@ def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 2000) -> OrdinalMod
     for value, n in counts.items():
         keep = keep | ((F.col("grade") == value) & (unit < min(1.0, per_grade / n)))
     picked = F.broadcast(rated.where(keep))  # about 3 * per_grade rows of two numbers
-    rows = docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("text", "ascending")])
-    return train(rows.column("text"), rows.column("grade").to_pylist()) if rows.num_rows else None
+    doc_id, text = (F.col(quoted(column_of(docs, c))) for c in ("doc_id", "text"))
+    rows = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text")).where("text is not null").join(picked, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = tb.column_bytes(batch.column(1))
+            buckets, values = [], []
+            for i, j in tb.slices(offsets):
+                bucket, text, value = features(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                order = np.argsort(text, kind="stable")
+                cuts = np.searchsorted(text[order], np.arange(1, j - i))
+                buckets += [pack(x.astype(np.uint32)) for x in np.split(bucket[order], cuts)]
+                values += [pack(x.astype(np.float32)) for x in np.split(value[order], cuts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(buckets, pa.binary()), pa.array(values, pa.binary())],
+                                             ["doc_id", "grade", "buckets", "values"])
+    found = rows.select("doc_id", "text", F.col("grade").cast("int")).mapInArrow(run, "doc_id long, grade int, buckets binary, values binary").toArrow()
+    columns = [found.column(c).to_pylist() for c in ("doc_id", "grade", "buckets", "values")]
+    del found
+    order = sorted(range(len(columns[0])), key=lambda i: (columns[0][i], columns[1][i], columns[2][i]))
+    examples, grades = [(columns[2][i], columns[3][i]) for i in order], [columns[1][i] for i in order]
+    del columns
+    return train(examples, grades) if grades else None
 
 
 def score(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
-    """All columns of docs, then expected_grade, tail_1, tail_2 and selected."""
+    """The columns of docs, then expected_grade, tail_1, tail_2 and selected.
+
+    A column of docs that has the name of one of these four, in any case, gives way to it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights: fixed by a parameter
-    names = docs.columns
     fresh = ["expected_grade", "tail_1", "tail_2", "selected"]
-    taken = [c for c in names if c.lower() not in fresh]
+    taken = [c for c in docs.columns if c.lower() not in fresh]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -242,9 +278,12 @@ def score(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
                     pa.array(t[:, 1], pa.float64()), pa.array(top >= cut, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([*batch.schema][:len(taken)] + [
                 pa.field(c, pa.float64()) for c in fresh[:3]] + [pa.field(fresh[3], pa.bool_())]))
-    kept = docs.select(*[F.col(f"`{c}`") for c in taken])
+    # Columns are carried by number, so any name will do.
+    kept = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(taken)])
     schema = kept.schema.add("expected_grade", "double").add("tail_1", "double").add("tail_2", "double").add("selected", "boolean")
-    return docs.select(*[F.col(f"`{c}`") for c in taken], F.col("text").alias("_text")).mapInArrow(run, schema)
+    text = F.col(quoted(column_of(docs, "text"))).alias("text")
+    rows = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(taken)], text)
+    return rows.mapInArrow(run, schema).toDF(*taken, *fresh)
 
 
 def select(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
@@ -260,4 +299,5 @@ def select(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
                 null = batch.column(at).is_null().to_numpy(zero_copy_only=False)
                 batch = batch.filter(pa.array((top >= m.cut) | null, pa.bool_()))
             yield batch
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any names will do
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -36,13 +36,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import components, textbytes as tb
 from .packing import pack, pack_sorted, unpack, unpack_sorted
-from .shared import once, partitions, written
+from .shared import Workspace, column_of, fresh_name, once, partitions, quoted, written
 
 #: Leading bits of an n-gram's hash by which it is counted.
 COUNT_BITS = 40
 #: Bits of the filter that tells which sets are fetched for counting; 2**26 bits are 8 MB.
 FILTER_BITS = 26
-BLOCK_ROWS = 128
+#: Rows, and n-grams, in one block of the product.
+BLOCK_ROWS, BLOCK_GRAMS = 128, 4 << 20
 #: Turns of step 3 before step 4 at most; step 4 alone is exact, the turns make it small.
 MOST_TURNS = 6
 #: Step 3 ends when fewer than one in FEW of a turn's pairs link.
@@ -111,9 +112,9 @@ def _answer(rows: pa.Table) -> pa.Table:
 
 
 def _entries(k: int, percent: int):
-    """Rows with doc_id: each document's class.  Rows with gram: entries of the columns that a link can't do without."""
+    """Rows without gram: each document's class.  Rows with gram: entries of the columns that a link can't do without."""
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        names = ("doc_id", "n", "class", "gram", "place")
+        names = ("doc_id", "text_key", "n", "class", "gram", "place")
         if not docs.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in names})
         sets, classes, of, bits = _group_sets(docs, k)
@@ -152,23 +153,26 @@ def _entries(k: int, percent: int):
         flat = lambda a, x: pa.array(np.concatenate([a, x]).astype(np.int64))
         return pa.table({
             "doc_id": pa.concat_arrays([docs.column("doc_id").combine_chunks(), pa.nulls(m, pa.int64())]),
+            "text_key": pa.concat_arrays([docs.column("text_key").combine_chunks(), pa.nulls(m, pa.int64())]),
             "n": flat(size[of], size[own]), "class": flat(classes[of], classes[own]),
             "gram": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate(grams or [np.zeros(0, np.uint64)]).view(np.int64))]),
             "place": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate(place or [np.zeros(0, np.int64)]).astype(np.int64))])})
     return run
 
 
-def incidence(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n_shingles, class) of every row, (gram, class, n, place) entries)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def incidence(docs: DataFrame, k: int, percent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text_key, n_shingles, class) of every row, (gram, class, n, place) entries)."""
+    text = F.col(quoted(column_of(docs, "text")))
+    rows = docs.select(F.col(quoted(column_of(docs, "doc_id"))).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(partitions(docs.sparkSession), int(total // GROUP_BYTES) + 1)
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     asked = rows.groupBy("g").applyInArrow(_ask(k, groups), "g int, part int, bits binary, counts binary")
-    told = written(asked.groupBy("part").applyInArrow(_answer, "g int, part int, counts binary"), "counts")
-    both = written(rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(
-        _entries(k, percent), "doc_id long, n long, class long, gram long, place long"), "incidence")
-    return (both.where("gram is null").select("doc_id", F.col("n").alias("n_shingles"), "class"),
+    told = work.written(asked.groupBy("part").applyInArrow(_answer, "g int, part int, counts binary"), "counts")
+    both = work.written(rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(
+        _entries(k, percent), "doc_id long, text_key long, n long, class long, gram long, place long"), "incidence")
+    work.drop("counts")
+    return (both.where("gram is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "class"),
             both.where("gram is not null").select("gram", "class", F.col("n").cast("int").alias("n"), F.col("place").cast("int").alias("place")))
 
 
@@ -179,13 +183,14 @@ def _possible(percent: int) -> Column:
             & (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot")) >= need))
 
 
-def links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs (a, b) of classes that link, counted over their whole sets in blocks.
+def links(sets: DataFrame, pairs: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """(a, b): the pairs (a, b, n) of classes that link, counted over their whole sets in blocks; n is the size of a.
 
     sets has (class, grams).  Pairs are dealt by their b: b is a block's pivot and meets up to about
-    BLOCK_ROWS a's there, so a hot pivot has many blocks.
+    BLOCK_ROWS a's, or BLOCK_GRAMS n-grams, there, so a hot pivot has many blocks.
     """
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    sizes = work.written(pairs.groupBy("b").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_GRAMS)).alias("blocks")), "sizes")
     dealt = pairs.join(sizes, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("blocks")))
     pivots = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     routes = dealt.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "salt").union(
@@ -207,7 +212,7 @@ def links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return routes.join(sets, "class").groupBy("pivot", "salt").applyInPandas(count, "a long, b long")
 
 
-def sets_of(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+def sets_of(docs: DataFrame, members: DataFrame, k: int, work: Workspace) -> DataFrame:
     """(class, grams) of the classes of members, which has one document (class, doc_id) of each."""
     spark = docs.sparkSession
     # A bit for each wanted (class, document); a few others share one and are dropped by the join.
@@ -218,7 +223,7 @@ def sets_of(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)  # buckets and positions count from 1
     for r in maps:
         bits[(r[0] - 1) * 4096:r[0] * 4096] = np.frombuffer(r[1], np.uint8)
-    return written(_sets_of(docs, members, bits, k), "sets")
+    return work.written(_sets_of(docs, members, bits, k), "sets")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, bits: np.ndarray, k: int) -> DataFrame:
@@ -239,77 +244,131 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, bits: np.ndarray, k: int) -> Da
                     grams.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(own, pa.int64()), pa.array(grams, pa.binary())],
                                              ["doc_id", "class", "grams"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, grams binary")
+    rows = docs.select(F.col(quoted(column_of(docs, "doc_id"))).cast("long").alias("doc_id"), F.col(quoted(column_of(docs, "text"))).alias("text"))
+    rows = rows.mapInArrow(run, "doc_id long, class long, grams binary")
     same = wanted.select("class", F.col("doc_id").alias("named"))
     return rows.join(same, "class").where(F.col("doc_id").eqNullSafe(F.col("named"))).select("class", "grams").dropDuplicates(["class"])
 
 
-def _mixed(live: DataFrame, whole: DataFrame | None) -> DataFrame:
-    """Entries of columns that hold several components, each with its component (part) and its column's largest."""
+def _first_mixed(entries: DataFrame, work: Workspace) -> DataFrame:
+    """Entries of columns with two classes or more, each class a component of its own.
+
+    A class of copies has an entry from each group that holds some, so a column's largest is one with many copies,
+    which the columns of a large group of near copies then have in common.
+    """
+    one = work.written(entries.groupBy("gram", "class").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.count("*").alias("rows")), "classes")
+    columns = one.groupBy("gram").agg(F.max(F.struct("rows", "class")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    columns = work.written(columns.select("gram", F.col("most.class").alias("largest")), "columns")
+    mixed = work.written(one.drop("rows").join(columns, "gram").withColumn("part", F.col("class")), "mixed")
+    work.drop("classes", "columns")
+    return mixed
+
+
+def _mixed(live: DataFrame, whole: DataFrame, work: Workspace) -> DataFrame:
+    """Entries of columns that hold several components, each with its component (part) and its column's largest.
+
+    Joins on a column's n-gram read written tables on both sides, so that adaptive execution can split a hot column.
+    """
     live = live.select("gram", "class", "n", "place")
-    part = live.withColumn("part", F.col("class")) if whole is None else live.join(whole, live["class"] == whole["node"], "left").select(
-        *live.columns, F.coalesce("component_id", "class").alias("part"))
+    part = live.join(whole, live["class"] == whole["node"], "left").select(*live.columns, F.coalesce("component_id", "class").alias("part"))
+    part = work.written(part, "parts")
     per_part = part.groupBy("gram", "part").agg(F.count("*").alias("rows"))
     columns = per_part.groupBy("gram").agg(F.max(F.struct("rows", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    return written(part.join(columns.select("gram", F.col("most.part").alias("largest")), "gram"), "mixed")
+    columns = work.written(columns.select("gram", F.col("most.part").alias("largest")), "columns")
+    out = work.written(part.join(columns, "gram"), "mixed")
+    work.drop("parts", "columns")
+    return out
 
 
-def _to_pivots(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each entry outside its column's largest component with one class of that component, another one each turn."""
+def _to_pivots(mixed: DataFrame, turn: int, percent: int, work: Workspace) -> DataFrame:
+    """(a, b, n): each entry outside its column's largest component with one class of that component, another one each turn."""
     inside = mixed.where("part = largest")
     pivots = inside.groupBy("gram").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "place")).alias("p"))
-    pivots = pivots.select("gram", F.col("p.class").alias("b"), F.col("p.n").alias("m"), F.col("p.place").alias("spot"))
+    pivots = work.written(pivots.select("gram", F.col("p.class").alias("b"), F.col("p.n").alias("m"), F.col("p.place").alias("spot")), "pivots")
     met = mixed.where("part <> largest").join(pivots, "gram").where(_possible(percent))
-    return met.select(F.col("class").alias("a"), "b").distinct()
+    return met.select(F.col("class").alias("a"), "b", "n").distinct()
 
 
 def _rest(mixed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of a column's entries of different components; the largest component's never meet each other."""
+    """(a, b, n): all pairs of a column's entries of different components; the largest component's never meet each other.
+
+    A pair must pass the bounds, which are tight for documents that share a template and differ in n-grams of their
+    own: those n-grams are rarer and come first, so the template's place tells how much of it is left to share.
+    """
     few = mixed.where("part <> largest")
     other = mixed.select("gram", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("part").alias("part_b"), F.col("largest").alias("largest_b"))
     # Pairs outside the largest component are met once, by order.
     once_each = (F.col("part_b") == F.col("largest_b")) | (F.col("class") < F.col("b"))
     rest = few.join(other, "gram").where((F.col("part") != F.col("part_b")) & once_each & _possible(percent))
-    return rest.select(F.least("class", "b").alias("b"), F.greatest("class", "b").alias("a")).distinct()
+    return rest.select(F.least("class", "b").alias("b"), F.greatest("class", "b").alias("a"),
+                       F.when(F.col("class") > F.col("b"), F.col("n")).otherwise(F.col("m")).alias("n")).distinct()
 
 
-def components_of(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
-    own, entries = incidence(docs, k, percent)
-    members = written(own.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "members")
-    columns = entries.groupBy("gram").agg(F.min("class").alias("least"), F.max("class").alias("last")).where("least <> last")
-    # Entries of columns with two classes or more.
-    live = written(entries.join(columns.select("gram"), "gram"), "live")
-    sets = sets_of(docs, written(members.join(live.select("class").distinct(), "class"), "wanted"), k)
-    found, whole = None, None
+def linked(entries: DataFrame, sets_for, percent: int, work: Workspace) -> DataFrame:
+    """(node, component_id) of all classes that link with another.
+
+    entries: (gram, class, n, place) of the columns that a link can't do without.  sets_for makes the (class, grams)
+    table of the classes it is given.
+    """
+    live = _first_mixed(entries, work)
+    sets = sets_for(live.select("class").distinct())
+    whole, few = None, False
     for turn in range(MOST_TURNS + 1):
-        live = _mixed(live, whole)  # columns of one component stay so and are done
-        last = turn == MOST_TURNS or found is not None and few
-        pairs = written(_rest(live, percent) if last else _to_pivots(live, turn, percent), "pairs")
-        new = written(links(sets, pairs, percent), "found")
-        found = new if found is None else found.union(new)
-        whole = components.connected(found)
+        if turn:
+            live = _mixed(live, whole, work)  # columns of one component stay so and are done
+        last = turn == MOST_TURNS or few
+        pairs = work.written(_rest(live, percent) if last else _to_pivots(live, turn, percent, work), "pairs")
+        new = work.written(links(sets, pairs, percent, work), "found")
+        whole = work.written(components.connected(new) if whole is None else components.joined(whole, new), "whole")
         if last:
-            break
+            return whole
         few = new.count() * FEW < pairs.count()
 
-    named = members.join(whole, members["class"] == whole["node"], "left").select(
-        "class", "doc_id", F.coalesce("component_id", "class").alias("part"))
-    least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "part").select("class", "component_id")
+
+def placed(docs: DataFrame, k: int, percent: int, work: Workspace, find=incidence) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, component_id and part (a name of the component itself; null without shingles).
+
+    find gives what `incidence` gives; its entries' columns decide which classes may meet.
+    """
+    own, entries = find(docs, k, percent, work)
+    members = work.written(own.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "members")
+    whole = linked(entries, lambda classes: sets_of(docs, work.written(members.join(classes, "class"), "wanted"), k, work), percent, work)
+    named = work.written(members.join(whole, members["class"] == whole["node"], "left").select(
+        "class", "doc_id", F.coalesce("component_id", "class").alias("part")), "named")
+    least = work.written(named.groupBy("part").agg(F.min("doc_id").alias("component_id")), "least")
+    named = work.written(named.join(least, "part").select("class", "part", "component_id"), "parts")
     # Rows without shingles join nothing; each is dealt by its own id.
     mark = F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.xxhash64("doc_id"))
     rows = own.withColumn("mark", mark).join(named.withColumnRenamed("class", "mark"), "mark", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = F.col("n_shingles") > 0
+    return rows.select("doc_id", "text_key", "n_shingles", F.when(some, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                       F.when(some, F.col("part")).alias("part"))
+
+
+def components_of(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
+    with Workspace(docs.sparkSession) as work:
+        return written(placed(docs, k, percent, work).select("doc_id", "n_shingles", "component_id"), "components")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those that another document of their component stands for."""
-    found = written(components_of(docs, k, percent).select("doc_id", "component_id"), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # Repeated rows of one id are copies too.
-        alone = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        kept = alone.unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    """The rows of docs, all columns, without those that another document of their component stands for.
+
+    The row with the least id stands for its component; of several texts with that id the one with the least hash,
+    of repeated rows one.  A row goes by its id and text, so another text of the same id is judged for itself.
+    Rows without shingles or without an id stay.
+    """
+    with Workspace(docs.sparkSession) as work:
+        found = work.written(placed(docs, k, percent, work).where("doc_id is not null"), "found")
+        heads = found.where("doc_id = component_id and part is not null")
+        kept = heads.groupBy("part").agg(F.min("text_key").alias("kept"), F.max("text_key").alias("other")).where("kept <> other")
+        twice = heads.join(kept, "part").where("text_key <> kept")
+        gone = written(found.where("doc_id <> component_id").select("doc_id", "text_key").union(twice.select("doc_id", "text_key")).distinct(), "gone")
+        repeated = bool(found.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count())
+    names, doc_id, text = docs.columns, F.col(quoted(column_of(docs, "doc_id"))), F.col(quoted(column_of(docs, "text")))
+    if repeated:
+        mark = fresh_name(docs, "_no_id")
+        # Rows without an id are told apart by a number of their own, so that they stay.
+        docs = docs.withColumn(mark, F.when(doc_id.isNull(), F.monotonically_increasing_id())).dropDuplicates([column_of(docs, "doc_id"), column_of(docs, "text"), mark])
+    left = docs.select(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), doc_id.cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"))
+    return left.join(gone, ["doc_id", "text_key"], "left_anti").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import components, textbytes as tb
 from .packing import pack, pack_sorted, unpack, unpack_sorted
+from .routing import Route
 from .shared import Workspace, column_of, fresh_name, once, partitions, quoted, written
 
 #: Leading bits of an n-gram's hash by which it is counted.
@@ -86,29 +87,59 @@ def _part(bits: np.ndarray, parts: int) -> np.ndarray:
     return (bits * np.uint64(parts) >> np.uint64(COUNT_BITS)).astype(np.int64)
 
 
-def _ask(k: int, parts: int):
+def _ask(k: int, route: Route):
     """A group's n-grams and how many of its classes hold each, to their owners."""
     def run(docs: pa.Table) -> pa.Table:
         own = np.sort(_group_sets(docs, k)[3])
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
         bits, count = own[first], np.diff(np.append(first, len(own))).astype(np.uint32)
-        part = _part(bits, parts)
-        rows = [(int(part[a]), pack_sorted(bits[a:b]), pack(count[a:b])) for a, b in _cuts(part)]
-        g = docs.column("g")[0].as_py()
-        return pa.table({"g": pa.array([g] * len(rows), pa.int32()), "part": pa.array([r[0] for r in rows], pa.int32()),
-                         "bits": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+        return _counts(docs.column("g")[0].as_py(), bits, count, _part(bits, route.parts) // route.fan)
     return run
 
 
-def _answer(rows: pa.Table) -> pa.Table:
-    """Whole counts of what each group asked for, in its order."""
-    rows = rows.to_pylist()
+_COUNTS = "g int, part int, bits binary, counts binary"
+
+
+def _counts(sender: int, bits: np.ndarray, count: np.ndarray, part: np.ndarray) -> pa.Table:
+    rows = [(int(part[a]), pack_sorted(bits[a:b]), pack(count[a:b])) for a, b in _cuts(part)]
+    return pa.table({"g": pa.array([sender] * len(rows), pa.int32()), "part": pa.array([r[0] for r in rows], pa.int32()),
+                     "bits": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _joined(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct hash bits, their counts, place of each row's).  Counts only order columns, so they may stop at 2**32 - 1."""
     bits = [unpack_sorted(r["bits"]) for r in rows]
     every, index = np.unique(np.concatenate(bits), return_inverse=True)
-    total = np.bincount(index, weights=np.concatenate([unpack(r["counts"], np.uint32) for r in rows]), minlength=len(every)).astype(np.uint32)
-    own = np.split(index, np.cumsum([len(b) for b in bits])[:-1])
+    total = np.bincount(index, weights=np.concatenate([unpack(r["counts"], np.uint32) for r in rows]), minlength=len(every))
+    return every, np.minimum(total, 0xFFFFFFFF).astype(np.uint32), np.split(index, np.cumsum([len(b) for b in bits])[:-1])
+
+
+def _told(rows: list[dict], total: np.ndarray, places: list[np.ndarray]) -> pa.Table:
     return pa.table({"g": pa.array([r["g"] for r in rows], pa.int32()), "part": pa.array([r["part"] for r in rows], pa.int32()),
-                     "counts": pa.array([pack(total[i]) for i in own], pa.binary())})
+                     "counts": pa.array([pack(total[i]) for i in places], pa.binary())})
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    """Whole counts of what each group asked for, in its order."""
+    rows = rows.to_pylist()
+    _, total, places = _joined(rows)
+    return _told(rows, total, places)
+
+
+def _gather(route: Route):
+    """A node's questions to the owners."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        bits, total, _ = _joined(rows)
+        return _counts(rows[0]["node"], bits, total, _part(bits, route.parts))
+    return run
+
+
+def _hand(rows: pa.Table, told: pa.Table) -> pa.Table:
+    """A node's answers to its groups."""
+    rows, told = rows.to_pylist(), sorted(told.to_pylist(), key=lambda r: r["part"])
+    _, _, places = _joined(rows)
+    return _told(rows, np.concatenate([unpack(r["counts"], np.uint32) for r in told]), places)
 
 
 def _entries(k: int, percent: int):
@@ -167,8 +198,13 @@ def incidence(docs: DataFrame, k: int, percent: int, work: Workspace) -> tuple[D
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(partitions(docs.sparkSession), int(total // GROUP_BYTES) + 1)
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-    asked = rows.groupBy("g").applyInArrow(_ask(k, groups), "g int, part int, bits binary, counts binary")
-    told = work.written(asked.groupBy("part").applyInArrow(_answer, "g int, part int, counts binary"), "counts")
+    route = Route(groups)
+    asked = rows.groupBy("g").applyInArrow(_ask(k, route), _COUNTS)
+    if route.fan > 1:
+        asked = work.written(asked, "asked")
+    up = route.up(asked, _gather(route), _COUNTS, work, "gathered")
+    told = work.written(up.groupBy("part").applyInArrow(_answer, "g int, part int, counts binary"), "counts")
+    told = route.down(asked, told, _hand, "g int, part int, counts binary", work, "handed")
     both = work.written(rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(
         _entries(k, percent), "doc_id long, text_key long, n long, class long, gram long, place long"), "incidence")
     work.drop("counts")

@@ -25,13 +25,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textbytes as tb
 from .packing import pack, pack_sorted, unpack, unpack_sorted
+from .routing import Route
 from .shared import Workspace, column_of, partitions, quoted, written
 
 LENGTH, GRAM = 50, 16
@@ -113,37 +116,59 @@ def _told(keys: np.ndarray, low: np.ndarray, groups: int) -> Iterator[tuple[int,
         yield int(g[a]), pack(keys[a:b]), pack(low[a:b])
 
 
-_TOLD = "kind int, part int, a binary, b binary, c binary"
+_TOLD = "kind int, g int, part int, a binary, b binary, c binary"
+
+
+def _asked(h: np.ndarray, k: np.ndarray, groups: int, sender: int, part_of) -> pa.Table:
+    """_TOLD rows of (hash, document) pairs: to groups, which of their documents share one here; and one entry for each hash
+    to its owner: its document, or 0 where several are told already."""
+    order = np.lexsort((k, h))
+    h, k = h[order], k[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+    h, k = h[fresh], k[fresh]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(h)))
+    tell = np.repeat(count > 1, count) & (k != 0)
+    rows = [(1, sender, g, a, b, b"") for g, a, b in _told(k[tell], (h[tell] & np.uint64(0xFFFFFFFF)).astype(np.uint32), groups)]
+    one = h[first]
+    names, index = np.unique(np.where(count > 1, 0, k[first]), return_inverse=True)
+    part = part_of(one)
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(one) else []
+    for a, b in zip(cuts, [*cuts[1:], len(one)]):
+        used, local = np.unique(index[a:b], return_inverse=True)
+        rows.append((0, sender, int(part[a]), pack_sorted(one[a:b]), pack(local.astype(np.uint32)), pack(names[used])))
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("kind", "g", "part", "a", "b", "c"), kinds))})
+
+
+def _pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The (hash, document) pairs of messages."""
+    hs, ks = [], []
+    for a, b, c in zip(*(rows.column(n).to_pylist() for n in ("a", "b", "c"))):
+        hs.append(unpack_sorted(a))
+        ks.append(unpack(c, np.int64)[unpack(b, np.uint32)])
+    return np.concatenate(hs), np.concatenate(ks)
+
+
+def _gather(groups: int, route: Route):
+    """Stage 2, in nodes: what several groups' messages share, and one message for all of them."""
+    def run(rows: pa.Table) -> pa.Table:
+        return _asked(*_pairs(rows), groups, rows.column("node")[0].as_py(), lambda h: _part(h, route.parts))
+    return run
 
 
-def _ask(groups: int, parts: int):
+def _ask(groups: int, route: Route):
     """Stage 2, in the texts' tasks: anchors' hashes to their owners, what is shared here to the groups."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        size = number = 0
+        spread = TaskContext.get().partitionId()  # which node takes a message doesn't matter
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> list[pa.RecordBatch]:
             h, k = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((k, h))
-            h, k = h[order], k[order]
-            fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-            h, k = h[fresh], k[fresh]
-            head = np.concatenate([[True], h[1:] != h[:-1]])
-            first = np.flatnonzero(head)
-            count = np.diff(np.append(first, len(h)))
-            many = np.repeat(count > 1, count)
-            rows = [(1, g, a, b, b"") for g, a, b in _told(k[many], (h[many] & np.uint64(0xFFFFFFFF)).astype(np.uint32), groups)]
-            # One entry for each hash of the task: its document, or 0 where several were told already.
-            one = h[first]
-            names, index = np.unique(np.where(count > 1, 0, k[first]), return_inverse=True)
-            part = _part(one, parts)
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            for a, b in zip(cuts, [*cuts[1:], len(one)]):
-                used, local = np.unique(index[a:b], return_inverse=True)
-                rows.append((0, int(part[a]), pack_sorted(one[a:b]), pack(local.astype(np.uint32)), pack(names[used])))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
-                                              ["kind", "part", "a", "b", "c"])
+            return _asked(h, k, groups, (spread * 31 + number) % groups, lambda x: _part(x, route.parts) // route.fan).to_batches()
         for batch in batches:
             keys = batch.column(1).to_numpy()
             text, gram, *_ = anchors(*tb.column_bytes(batch.column(0)))
@@ -151,21 +176,17 @@ def _ask(groups: int, parts: int):
                 held.append((gram, keys[text]))
                 size += len(gram)
             if size > 1_000_000:
-                yield flush()
-                size = 0
+                yield from flush()
+                size, number = 0, number + 1
         if held:
-            yield flush()
+            yield from flush()
     return run
 
 
 def _answer(groups: int):
     """Stage 2, in the owners' tasks: documents whose anchor another task sent as well."""
     def run(rows: pa.Table) -> pa.Table:
-        hs, ks = [], []
-        for a, b, c in zip(*(rows.column(n).to_pylist() for n in ("a", "b", "c"))):
-            hs.append(unpack_sorted(a))
-            ks.append(unpack(c, np.int64)[unpack(b, np.uint32)])
-        h, k = np.concatenate(hs), np.concatenate(ks)
+        h, k = _pairs(rows)
         order = np.argsort(h, kind="stable")
         h, k = h[order], k[order]
         same = h[1:] == h[:-1]
@@ -226,7 +247,61 @@ def _messages(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in full], t) for i, (n, t) in enumerate(zip(names, kinds))})
 
 
-def _send(parts: int):
+def _gram_hashes(strings: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """The hashes of the strings' anchors, as `anchors` gives them."""
+    codes = tb.BYTE_CODES[strings[np.arange(len(strings))[:, None], anchor[:, None] + np.arange(GRAM)]]
+    return tb.mix(tb.mix((codes * tb.powers(GRAM)[0]).sum(1, dtype=np.uint64)))
+
+
+def _gather_runs(rows: list[dict], route: Route) -> tuple[list[tuple], np.ndarray]:
+    """A node's runs of its groups' runs, and for each of their suffixes in turn its place in these."""
+    pieces, anchor, least, size = [], [], [], []
+    for r in rows:
+        shared, sizes = unpack(r["a"], np.uint8), unpack(r["b"], np.uint8)
+        pieces += [x.ljust(WIDE, b"\0") for x in _decode(shared, sizes, unpack(r["d"], np.uint8).tobytes())]
+        size.append(sizes)
+        anchor.append(unpack(r["c"], np.uint8))
+        least.append(unpack(r["e"], np.int64))
+    strings = np.frombuffer(b"".join(pieces), np.uint8).reshape(len(pieces), WIDE)
+    size, anchor, least = np.concatenate(size).astype(np.int64), np.concatenate(anchor).astype(np.int64), np.concatenate(least)
+    part = _part(_gram_hashes(strings, anchor), route.parts)
+    runs, (_, count, _, at) = _sorted_runs(strings, size, anchor, np.zeros(len(size), np.int64), np.arange(len(size)), least, part)
+    count = unpack(count, np.int64)
+    place = np.empty(len(size), np.int64)
+    place[unpack(at, np.int64)] = np.repeat(np.arange(len(count)), count)
+    return runs, place
+
+
+def _up(route: Route):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        return _messages([(_RUN, rows[0]["node"], 0, *r) for r in _gather_runs(rows, route)[0]])
+    return run
+
+
+def _down(route: Route):
+    """A node's answers: the least documents of its groups' suffixes."""
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        runs, place = _gather_runs(rows, route)
+        answers = sorted(told.to_pylist(), key=lambda r: r["part"])
+        flags = np.concatenate([unpack(r["a"], np.uint8) for r in answers]) > 0
+        low = np.concatenate([unpack(r["b"], np.int64) for r in answers])
+        windows = np.concatenate([unpack(r[2], np.uint8) for r in runs]).astype(np.int64) - (LENGTH - 1)
+        held = np.where(flags, windows, 1)
+        first = np.cumsum(held) - held
+        out, begin = [], 0
+        for r in rows:
+            at = place[begin:begin + len(unpack(r["b"], np.uint8))]
+            begin += len(at)
+            n = held[at]
+            entry = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append((_FOUND, r["g"], r["run"], r["part"], pack(flags[at].astype(np.uint8)), pack(low[entry])))
+        return _messages(out)
+    return run
+
+
+def _send(route: Route):
     """Stage 3, in the texts' groups: runs of the suffixes of shared anchors to their owners, occurrences to this group."""
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         out = []
@@ -260,7 +335,7 @@ def _send(parts: int):
                         at = np.minimum(lo[c][:, None] + place, len(raw) - 1)
                         strings[b:b + 10_000] = np.where(inside, raw[at], np.uint8(0))
                     used, local = np.unique(text[s], return_inverse=True)
-                    runs, index = _sorted_runs(strings, size[s], (p - lo)[s], local, lo[s] - offsets[text[s]], ids[text[s]], _part(gram[s], parts))
+                    runs, index = _sorted_runs(strings, size[s], (p - lo)[s], local, lo[s] - offsets[text[s]], ids[text[s]], _part(gram[s], route.parts) // route.fan)
                     out += [(_RUN, g, number, *r) for r in runs]
                     out.append((_INDEX, g, number, 0, *index, pack(own[used]), pack(ids[used])))
         return _messages(out)
@@ -497,14 +572,20 @@ def find_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     groups = max(partitions(spark), int(total // GROUP_BYTES) + 1)
     order_id = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id")
     keyed = _dealt(docs, groups).where(F.octet_length("text") >= LENGTH).select("text", "key", "g", order_id)
+    route = Route(groups)
     with Workspace(spark) as work:
-        asked = work.written(keyed.select("text", "key").mapInArrow(_ask(groups, groups), _TOLD), "asked")
-        answers = asked.where("kind = 0").groupBy("part").applyInArrow(_answer(groups), "g int, a binary, b binary")
-        told = work.written(asked.where("kind = 1").select(F.col("part").alias("g"), "a", "b").union(answers), "told")
+        asked = work.written(keyed.select("text", "key").mapInArrow(_ask(groups, route), _TOLD), "asked")
+        up = route.up(asked.where("kind = 0"), _gather(groups, route), _TOLD, work, "gathered")
+        answers = up.where("kind = 0").groupBy("part").applyInArrow(_answer(groups), "g int, a binary, b binary")
+        told = [x.where("kind = 1").select(F.col("part").alias("g"), "a", "b") for x in ((asked, up) if route.fan > 1 else (asked,))]
+        told = work.written(reduce(DataFrame.union, told, answers), "told")
         work.drop("asked")
-        sent = work.written(keyed.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_send(groups), _MESSAGE), "sent")
+        sent = work.written(keyed.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_send(route), _MESSAGE), "sent")
         work.drop("told")
-        found = work.written(sent.where(F.col("kind") == _RUN).groupBy("part").applyInArrow(_merge, _MESSAGE), "found")
+        runs = sent.where(F.col("kind") == _RUN)
+        up = route.up(runs, _up(route), _MESSAGE, work, "merged")
+        found = work.written(up.groupBy("part").applyInArrow(_merge, _MESSAGE), "found")
+        found = route.down(runs, found, _down(route), _MESSAGE, work, "handed")
         both = sent.where(F.col("kind") == _INDEX).union(found)
         return written(both.groupBy("g").applyInArrow(_resolve, "g int, a binary, b binary, c binary"), "spans"), groups
 

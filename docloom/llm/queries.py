@@ -101,3 +101,35 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 1000 AND page_id <> head THEN head END AS refers_to
 FROM g
 """
+
+# Words, shingles, links of all pairs that share one, and what links reach.
+ORACLE_SQL["op2_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r(u, v) AS (SELECT DISTINCT u, u FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT u, min(v) AS least FROM r GROUP BY u) m ON m.u = d.doc_id
+"""
+
+# Every string of 50 bytes, as hex, with the least document it starts in; runs of covered bytes; what is left.
+ORACLE_SQL["op7_suffix_dedup"] = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, place, substr(x, 2 * place + 1, 100) AS bytes50 FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS place FROM b)),
+f AS (SELECT bytes50, min(doc_id) AS least FROM w GROUP BY bytes50),
+c AS (SELECT doc_id, place FROM w JOIN f ON w.bytes50 = f.bytes50 WHERE f.least < doc_id),
+g AS (SELECT doc_id, place, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 50 THEN 0 ELSE 1 END AS fresh FROM c),
+i AS (SELECT doc_id, place, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM g),
+t AS (SELECT doc_id, run, min(place) AS s, max(place) + 50 AS e FROM i GROUP BY doc_id, run),
+k AS (SELECT t.doc_id, t.run, substr(x, 2 * coalesce(lag(e) OVER (PARTITION BY t.doc_id ORDER BY t.run), 0) + 1, 2 * (s - coalesce(lag(e) OVER (PARTITION BY t.doc_id ORDER BY t.run), 0))) AS part, e, s, x FROM t JOIN b ON t.doc_id = b.doc_id),
+a AS (SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(part, '' ORDER BY run) || substr(any_value(x), 2 * max(e) + 1) AS kept FROM k GROUP BY doc_id)
+SELECT b.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM b LEFT JOIN a ON a.doc_id = b.doc_id
+"""

@@ -11,8 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import (bpe, components, decontaminate, fingerprints, katz, langid, ngram_join, ordinal, packing, queries, sharding, suffixes,
-                         textbytes as tb, warc)
+from docloom.llm import (bpe, components, decontaminate, fingerprints, katz, langid, ngram_join, ordinal, packing, queries, routing, shared,
+                         sharding, suffixes, textbytes as tb, warc)
 
 from . import fixtures as fx
 
@@ -58,6 +58,33 @@ def test_packing():
     assert (packing.unpack(packing.pack(y), np.int64) == y).all()
 
 
+def test_workspace_and_shared_folder(spark, monkeypatch):
+    with shared.Workspace(spark) as work:
+        a = work.written(spark.range(5).withColumn("kind", F.col("id") % 2), "a", by="kind")
+        work.drop_part("a", "kind=0")
+        b = work.written(a.where("kind = 1"), "b")
+        assert b.count() == 2
+        folder = work.folder
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: "")})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: Cluster.conf)})
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Cluster)
+
+
+def test_components_grow_by_new_links(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(80), rng.randrange(80)) for _ in range(70)]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    whole = components.connected(frame(links[:30]))
+    for at in (30, 50):
+        whole = components.joined(whole, frame(links[at:at + 20]))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, components.connected(frame(links)).collect()))
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5), (None, 3)]
@@ -75,6 +102,32 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.fixture
+def nodes(monkeypatch):
+    """Messages go by way of nodes, as they do from some thousand groups on."""
+    monkeypatch.setattr(routing, "DIRECT", 1)
+    for module in (katz, ngram_join, suffixes):
+        monkeypatch.setattr(module, "GROUP_BYTES", 4000)
+
+
+def test_routes():
+    for n in (1, 2, 7, 1025, 10**6):
+        r = routing.Route(n)
+        assert (r.fan > 1) == (n > 1024) and r.fan * r.ranges >= n
+
+
+def test_language_model_by_way_of_nodes(docs, nodes):
+    test_katz(docs, 3)
+
+
+def test_ngram_join_by_way_of_nodes(docs, nodes):
+    test_ngram_join(docs, 4, 85)
+
+
+def test_suffix_dedup_by_way_of_nodes(docs, none, nodes):
+    test_suffix_dedup(docs, none)
+
+
 # --- 1 ---------------------------------------------------------------------------------------------------------
 
 def test_language_id(spark, docs, none):
@@ -122,6 +175,16 @@ def test_ngram_join_of_chains_and_dense_groups(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.components_of(df).collect()} == {rows[i][0]: c for i, c in want.items()}
 
 
+def test_one_of_each_goes_by_id_and_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:-1] + ["x"])
+    rows = [(1, " ".join(base)), (5, near), (5, "quite another text that has no copy at all"), (7, near), (9, "alone here it is"), (9, "alone here it is"),
+            (11, " ".join(base[::-1])), (11, " ".join(base[:1:-1]))]
+    got = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got.pop((1, rows[0][1])) == got.pop((5, rows[2][1])) == got.pop((9, rows[4][1])) == 1
+    assert len(got) == 1 and next(iter(got))[0] == 11 and sum(got.values()) == 1  # two texts of one id in one component: one stays
+
+
 def test_one_of_each(docs, none):
     got = ngram_join.one_of_each(docs)
     assert got.columns == docs.columns
@@ -194,10 +257,10 @@ def test_katz(docs, order):
 def test_katz_takes_counts_and_names_beyond_32_bits():
     big = np.array([2**40 + 3, 5, 2**33], np.uint64)
     row = lambda g, n: {"g": g, "part": 0, "a": packing.pack_sorted(np.array([1, 2, 3], np.uint64)), "b": packing.pack(np.array([n, 1, 0], np.uint64))}
-    total, _ = katz._words([row(0, 2**40), row(1, 2**40 + 1)])
+    _, total, _ = katz._distinct_words([row(0, 2**40), row(1, 2**40 + 1)])
     assert total.tolist() == [2**41 + 1, 2, 0]
     ask = {"part": 0, "a": packing.pack_sorted(np.array([2**40, 2**40 + 2**33], np.uint64)), "b": packing.pack(np.array([2, 1], np.uint32)),
-           "c": packing.pack(np.array([1, 0], np.uint8)), "d": packing.pack(np.array([7, 7 + 2**32, 7], np.uint64)), "e": packing.pack(big),
+           "c": packing.pack(np.array([3, 1], np.uint64)), "d": packing.pack(np.array([7, 7 + 2**32, 7], np.uint64)), "e": packing.pack(big),
            "f": packing.pack(big[:2]), "h": packing.pack(big)}
     c = katz._Counted([ask, ask])
     assert c.count.tolist() == (2 * big.astype(np.int64)).tolist() and c.history.tolist() == [2**40, 2**40 + 2**33]
@@ -371,6 +434,32 @@ def test_bpe_equals_the_library(spark, docs, none):
     assert bpe.encode_decode(docs, path).count() == len(ROWS) and bpe.encode_decode(none, path).count() == 0
 
 
+def test_bpe_with_small_caches_and_long_texts():
+    P, T = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = P.path("word_bpe_49k.json")
+    theirs, small = T.Tokenizer.from_file(path), bpe.ForcedBoundaryBPE(path, cached_bytes=20_000)
+    rng = random.Random(4)
+    texts = ["hello world " * 30_000, "x" * 50_000, "".join(rng.choice("abcdefg hé") for _ in range(60_000))]
+    for t in texts:
+        assert np.frombuffer(small.encode(t), np.uint32).tolist() == theirs.encode(t, add_special_tokens=False).ids
+        assert small.words.held <= 20_000 and sum(map(len, small.words)) <= 20_000
+
+
+def test_bpe_ids_beyond_16_bits(tmp_path):
+    """A vocabulary whose ids differ in their upper halves only: pairs must not be mixed up."""
+    import json
+    P = pytest.importorskip("public_tokenizers")
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    shift = {i: (i << 16) + 7 for i in spec["model"]["vocab"].values()}
+    spec["model"]["vocab"] = {t: shift[i] for t, i in spec["model"]["vocab"].items()}
+    path = tmp_path / "big.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    big, own = bpe.ForcedBoundaryBPE(str(path)), bpe.ForcedBoundaryBPE(P.path("word_bpe_49k.json"))
+    for t in ("hello world", "The quick brown foxes jump", "éàü 中あ 123"):
+        assert np.frombuffer(big.encode(t), np.uint32).tolist() == [shift[i] for i in np.frombuffer(own.encode(t), np.uint32).tolist()]
+
+
 def test_forced_boundaries_are_certain():
     P = pytest.importorskip("public_tokenizers")
     b = bpe.ForcedBoundaryBPE(P.path("word_bpe_49k.json"))
@@ -455,6 +544,31 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_of_long_and_repeated_pages(spark):
+    """A very long page, and one page of which there are many copies."""
+    rng = random.Random(3)
+    rows = [(1, "u", "".join(rng.choice("abc<>") for _ in range(1_500_000)))] + [(i, "copy", "c" * 2000) for i in range(10, 400)] + [(i, None, "small") for i in range(400, 420)]
+    got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, HTML string").repartition(4)).collect()}
+    assert len(got) == len(rows) and got[1].payload_digest == hashlib.sha1(rows[0][2].encode()).hexdigest()
+    assert {r.refers_to for p, r in got.items() if 10 <= p < 399} == {399} and got[399].record_type == "response"
+    assert {got[i].record_type for i in range(400, 420)} == {"response"}
+
+
+def test_archive_of_an_earlier_attempt_is_replaced(tmp_path):
+    import pyarrow.fs as pafs
+    fs = pafs.LocalFileSystem()
+    (tmp_path / "part.warc.gz").write_bytes(b"old")
+    (tmp_path / ".draft").write_bytes(b"new")
+    warc.replace(fs, f"{tmp_path}/.draft", f"{tmp_path}/part.warc.gz")
+    assert (tmp_path / "part.warc.gz").read_bytes() == b"new" and not (tmp_path / ".draft").exists()
+
+
+def test_round_trip_fails_on_a_damaged_archive(spark, monkeypatch):
+    monkeypatch.setattr(warc, "read_archives", lambda s, f, payloads: s.createDataFrame([("record", 1), ("gap", None)], "kind string, page_id long"))
+    with pytest.raises(RuntimeError):
+        warc.round_trip(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string"))
+
+
 @pytest.mark.parametrize("plain", [False, True])
 def test_salvage(plain):
     import gzip

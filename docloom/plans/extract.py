@@ -6,9 +6,10 @@ rows that a cheaper step settles never reach a more expensive one.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed
@@ -17,6 +18,16 @@ from ..operators import ml, ranking, vectors
 from ..sources.scratch import scratch_dir
 
 
+def batched(make: Callable[[], Callable[[list[str]], list[str]]], batch: int) -> Callable[[Column], Column]:
+    """A hook from a Python model: make is called once in each worker, and what it returns gets `batch` texts at a time."""
+    @F.pandas_udf("string")
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for c in columns:
+            yield pd.Series([x for a in range(0, len(c), batch) for x in model(c.iloc[a:a + batch].tolist())], dtype=object)
+    return run
+
+
 @dataclass
 class Models:
     """Optional parts; whatever is missing falls back to rules."""

@@ -264,6 +264,28 @@ def test_command_line(spark, tmp_path):
     assert {r.pmcids for r in articles.read_submission(spark, f"file://{tmp_path}/out").collect()} == {"12", "99"}
 
 
+def test_command_line_trains_and_generates(spark, tmp_path, monkeypatch):
+    from docloom.__main__ import main
+    (tmp_path / "a").mkdir()
+    lines = ["pmcids,conditions,study_type,sex,eligibility_criteria"]
+    for i in range(8):
+        kind = "Randomized trial" if i % 2 else "Retrospective registry"
+        (tmp_path / "a" / f"PMC{i}.nxml").write_text(f"<article><article-title>{kind} {i}</article-title><abstract>We included adults with asthma number {i}.</abstract></article>")
+        lines.append(f'{i},"[\'Asthma\']",{"interventional" if i % 2 else "observational"},{"ALL" if i % 3 else "MALE"},"Inclusion Criteria:\n* We included adults with asthma"')
+    (tmp_path / "gold.csv").write_text("\n".join(lines))
+    (tmp_path / "hooks_of_test.py").write_text("def lister(device='none'):\n    return lambda texts: [f'{device} and n{len(texts)}' for _ in texts]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "hooks_of_test.py"))
+    at = lambda x: f"file://{tmp_path}/{x}"
+    main(["train", "--articles", at("a"), "--gold", at("gold.csv"), "--models", at("m"), "--folds", "2", "--max-iter", "5", "--parsed", at("parsed")])
+    assert spark.read.json(at("m/measured")).first().n_train == 8
+    main(["pairs", "--articles", at("a"), "--gold", at("gold.csv"), "--out", at("pairs")])
+    assert articles.read_pairs(spark, at("pairs/gen_cond")).count() == 8
+    main(["--articles", at("a"), "--ids", at("gold.csv"), "--out", at("out"), "--models", at("m"), "--generator", "hooks_of_test:lister", "--device", "cpu", "--batch", "3", "--parsed", at("parsed")])
+    rows = articles.read_submission(spark, at("out")).collect()
+    assert len(rows) == 8 and all(r.conditions.startswith("['cpu', 'n") for r in rows)
+
+
 def test_streaming_equals_batch(spark, sf_dir):
     known = entry.queries()
     a, b = (sorted(tuple(r) for r in known[n](spark, sf_dir).select("pmcids", "study_type", "sex").collect()) for n in ("extract_all", "stream_extract"))

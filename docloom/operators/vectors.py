@@ -34,11 +34,18 @@ def best_similarity(left: DataFrame, right: DataFrame, keys: list[str], left_id:
     return pairs.groupBy(*keys, left_id).agg(F.coalesce(F.max(dot(F.col(vector), F.col("_vector"))), F.lit(0.0)).alias("similarity"))
 
 
+def _through_disk(rows: DataFrame) -> DataFrame:
+    path = scratch_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def best_in_blocks(left: DataFrame, right: DataFrame, left_id: str, size: int, vector: str = "embedding", block: int = 4096) -> DataFrame:
     """For each left row its largest dot product with any right row, right taken in blocks of bounded size.
 
     `right` is a stated query set: its blocks of about `block` vectors are sent to the left rows' tasks one after the
-    other, so memory doesn't grow with either side.
+    other, so memory doesn't grow with either side.  After every fourth block the rows are written, so that a task
+    never has more than four Python workers.
     """
     spark = left.sparkSession
     n = right.count()
@@ -59,6 +66,8 @@ def best_in_blocks(left: DataFrame, right: DataFrame, left_id: str, size: int, v
                 new = np.concatenate(best) if best else np.zeros(0)
                 yield pdf.assign(best=np.fmax(pdf["best"].to_numpy(np.float64), new))
         rows = rows.mapInPandas(run, rows.schema)
+        if k % 4 == 3 and k + 1 < blocks:
+            rows = _through_disk(rows)
     return rows.select(F.col("id").alias(left_id), F.coalesce("best", F.lit(0.0)).alias("similarity"))
 
 
@@ -102,9 +111,7 @@ def best_other_in_blocks(rows: DataFrame, key: str, group: str, size: int, vecto
                 yield pdf.assign(best=best)
         found = found.mapInPandas(run, found.schema)
         if k % 4 == 3 and k + 1 < blocks:
-            path = scratch_dir(spark)
-            found.write.parquet(path)
-            found = spark.read.schema(found.schema).parquet(path)
+            found = _through_disk(found)
     return found.select(group, F.col("id").alias(key), F.nanvl("best", F.lit(None).cast("double")).alias("similarity")).where("similarity is not null")
 
 

@@ -409,12 +409,10 @@ def clean_conditions(spark, sf_dir):
     return parts.select("doc_id", "pos", conditions.clean_condition(F.col("raw")).alias("name")).where("name is not null")
 
 
-@query(r"""SELECT doc_id, array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(line, '\s+', ' ', 'g'), ' .,;:'), ' '), lambda w: w <> ''),
-  lambda w: CASE WHEN w = upper(w) AND w <> lower(w) AND length(w) > 1 THEN w ELSE CASE WHEN w[1] = 'ß' THEN 'Ss' ELSE upper(w[1]) END || lower(substr(w, 2)) END), ' ') AS titled
-FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)""")
+@query(f"""SELECT doc_id, md5(array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' .,;:'), ' '), lambda w: w <> ''), lambda w: {_TITLED}), ' ')) AS titled
+FROM documents""")
 def title_case(spark, sf_dir):
-    line = F.substring_index("text", "\n", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", conditions.title_case(line).alias("titled"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(conditions.title_case(F.col("text"))).alias("titled"))
 
 
 _PLAIN = "list_filter(string_split_regex(coalesce(text, ''), '[^\\p{L}]+'), lambda x: x <> '')"
@@ -577,12 +575,16 @@ def tfidf_classifier(spark, sf_dir):
 
 @query()
 def ranker_criteria(spark, sf_dir):
-    """Weakly labelled sentences, a ranker fitted on them, and its criteria for every document (rows only)."""
+    """Weakly labelled sentences, a ranker fitted on them, and its criteria for every document (rows only).
+
+    The gold bullets are a document's lines, every other one of each side.
+    """
     docs = table(spark, sf_dir, "documents")
     a, rated = articles.from_documents(docs), articles.from_documents(docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id"))
-    line = F.substring_index("text", "\n", 1)
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    side = lambda rest: F.concat_ws("\n* ", F.filter(lines, lambda x, i: i % 2 == rest))
     gold = docs.select(F.col("doc_id").cast("string").alias("pmcids"), F.concat(
-        F.lit("Inclusion Criteria:\n* "), line, F.lit("\nExclusion Criteria:\n* "), F.substring("text", 200, 120)).alias("eligibility_criteria"))
+        F.lit("Inclusion Criteria:\n* "), side(0), F.lit("\nExclusion Criteria:\n* "), side(1)).alias("eligibility_criteria"))
     cache = spark.createDataFrame([], "text_sha1 string, embedding array<float>")
     encoder = lambda: vectors.hashing_encoder(64)
     labelled = training.labelled_sentences(rated, gold, cache, encoder).persist()
@@ -621,8 +623,11 @@ def _jats(docs: DataFrame) -> DataFrame:
 _ALL = f"(SELECT doc_id, doc_id % 11 <> 5 AS good, CAST(doc_id AS VARCHAR) AS id, {_NORM.replace('text', chr(39) * 2 + ' || coalesce(text, ' + chr(39) * 2 + ')')} AS whole, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS line FROM documents)"
 
 
-@query(f"""SELECT doc_id, CASE WHEN good THEN id ELSE '' END AS pmid, CASE WHEN good THEN trim(line || ' on n ' || id) ELSE '' END AS title,
-  md5(CASE WHEN good THEN coalesce(nullif(trim(regexp_replace('Abstract : ' || whole, '(?i)^\\s*abstract\\b[:\\s]*', '')), ''), 'second') ELSE '' END) AS abstract,
+_JATS_TITLE = "CASE WHEN good THEN trim(line || ' on n ' || id) ELSE '' END"
+_JATS_ABSTRACT = "CASE WHEN good THEN coalesce(nullif(trim(regexp_replace('Abstract : ' || whole, '(?i)^\\s*abstract\\b[:\\s]*', '')), ''), 'second') ELSE '' END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN good THEN id ELSE '' END AS pmid, {_JATS_TITLE} AS title, md5({_JATS_ABSTRACT}) AS abstract,
   CASE WHEN NOT good THEN '' WHEN line <> '' THEN line || ' | k & ' || id ELSE 'k & ' || id END AS keywords,
   CAST(CASE WHEN NOT good THEN 0 WHEN doc_id % 4 = 1 THEN (CASE WHEN whole <> '' THEN 1 ELSE 0 END) ELSE 4 END AS INTEGER) AS n_sections FROM {_ALL}""")
 def article_records(spark, sf_dir):
@@ -631,13 +636,15 @@ def article_records(spark, sf_dir):
                     F.size("sections").alias("n_sections"))
 
 
-@query(f"""WITH a AS (SELECT * FROM {_ALL} WHERE good), s AS (
+_JATS_SECTIONS = f"""a AS (SELECT * FROM {_ALL} WHERE good), s AS (
   SELECT doc_id, 0 AS pos, '' AS title, whole AS text FROM a WHERE doc_id % 4 = 1 AND whole <> ''
   UNION ALL SELECT doc_id, 0, 'Methods & subjects', trim('1. Methods & subjects ' || whole) FROM a WHERE doc_id % 4 <> 1
   UNION ALL SELECT doc_id, 1, 'Results', 'Results in bold after 2.1. Inner deep ' || id FROM a WHERE doc_id % 4 <> 1
   UNION ALL SELECT doc_id, 2, '', 'n = ' || id FROM a WHERE doc_id % 4 <> 1
-  UNION ALL SELECT doc_id, 3, 'Empty', 'IV) Empty' FROM a WHERE doc_id % 4 <> 1)
-SELECT doc_id, pos, title, md5(text) AS text FROM s""")
+  UNION ALL SELECT doc_id, 3, 'Empty', 'IV) Empty' FROM a WHERE doc_id % 4 <> 1)"""
+
+
+@query(f"WITH {_JATS_SECTIONS} SELECT doc_id, pos, title, md5(text) AS text FROM s")
 def article_sections(spark, sf_dir):
     a = articles.parse_articles(_jats(table(spark, sf_dir, "documents")), "doc_id", "xml")
     return a.select(F.col("pmcid").cast("bigint").alias("doc_id"), F.posexplode("sections").alias("pos", "s")).select("doc_id", "pos", "s.title", F.md5("s.text").alias("text"))
@@ -707,3 +714,16 @@ def submission(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     ids = docs.select(F.col("doc_id").cast("string").alias("pmcids")).union(_rows(spark, [("none",)], "pmcids string"))
     return extract.inference(ids, articles.from_documents(docs), lexicons=FIRING, condition_text=articles.document_text())
+
+
+@query(f"""WITH {_JATS_SECTIONS}, j AS (
+  SELECT doc_id, string_agg(CASE WHEN title LIKE 'Methods%' THEN text END, chr(10) ORDER BY pos) AS methods, string_agg(CASE WHEN title IN ('Results', 'Empty') THEN text END, chr(10) ORDER BY pos) AS other,
+    string_agg(text, chr(10) ORDER BY pos) AS every FROM s GROUP BY doc_id)
+SELECT d.doc_id, md5(coalesce(methods, '')) AS methods, coalesce(other, '') AS other, md5(trim({_JATS_TITLE} || chr(10) || {_JATS_ABSTRACT} || coalesce(chr(10) || every, ''), chr(10) || ' ')) AS whole
+FROM {_ALL} d LEFT JOIN j ON d.doc_id = j.doc_id""")
+def section_views(spark, sf_dir):
+    """Sections of articles by purpose and by pattern, and their full text."""
+    a = articles.parse_articles(_jats(table(spark, sf_dir, "documents")), "doc_id", "xml")
+    s = F.col("sections")
+    return a.select(F.col("pmcid").cast("bigint").alias("doc_id"), F.md5(views.methods_text(s)).alias("methods"), views.section_by(s, "RESULT|empty").alias("other"),
+                    F.md5(views.full_text(F.col("title"), F.col("abstract"), s)).alias("whole"))

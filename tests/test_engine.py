@@ -307,3 +307,23 @@ def test_every_labelled_document_is_predicted_and_every_document_ranked(spark, s
     assert sorted(r.doc_id for r in told) == sorted(documents & labels) and {r.told for r in told} <= {"0", "1"}
     ranked = entry.queries()["ranker_criteria"](spark, sf_dir).collect()
     assert sorted(r.doc_id for r in ranked) == sorted(documents) and any(r.ranked for r in ranked if r.doc_id not in labels)
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """Without docloom/llm the other queries are there; a package that it needs and that isn't installed is an error."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(f"{here}/docloom", tmp_path / "docloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
+
+    def run():
+        return subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""},
+                              capture_output=True, text=True)
+    assert run().stdout.split() == [str(len(queries.QUERIES)), str(len(queries.ORACLE_SQL))]
+    (tmp_path / "docloom" / "llm").mkdir()
+    (tmp_path / "docloom" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "docloom" / "llm" / "queries.py").write_text("import not_installed_anywhere")
+    assert "not_installed_anywhere" in run().stderr

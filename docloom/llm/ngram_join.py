@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import components, textbytes as tb
-from .packing import pack, pack_sorted, unpack, unpack_sorted
+from .packing import lean, pack, pack_sorted, unpack, unpack_sorted
 from .routing import Route
 from .shared import Workspace, column_of, fresh_name, once, partitions, quoted, written
 
@@ -199,14 +199,14 @@ def incidence(docs: DataFrame, k: int, percent: int, work: Workspace) -> tuple[D
     groups = max(partitions(docs.sparkSession), int(total // GROUP_BYTES) + 1)
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     route = Route(groups)
-    asked = rows.groupBy("g").applyInArrow(_ask(k, route), _COUNTS)
+    asked = rows.groupBy("g").applyInArrow(lean(_ask(k, route)), _COUNTS)
     if route.fan > 1:
         asked = work.written(asked, "asked")
     up = route.up(asked, _gather(route), _COUNTS, work, "gathered")
-    told = work.written(up.groupBy("part").applyInArrow(_answer, "g int, part int, counts binary"), "counts")
+    told = work.written(up.groupBy("part").applyInArrow(lean(_answer), "g int, part int, counts binary"), "counts")
     told = route.down(asked, told, _hand, "g int, part int, counts binary", work, "handed")
     both = work.written(rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(
-        _entries(k, percent), "doc_id long, text_key long, n long, class long, gram long, place long"), "incidence")
+        lean(_entries(k, percent)), "doc_id long, text_key long, n long, class long, gram long, place long"), "incidence")
     work.drop("counts")
     return (both.where("gram is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "class"),
             both.where("gram is not null").select("gram", "class", F.col("n").cast("int").alias("n"), F.col("place").cast("int").alias("place")))
@@ -245,7 +245,7 @@ def links(sets: DataFrame, pairs: DataFrame, percent: int, work: Workspace) -> D
         overlap = hit[ends] - hit[ends - size]
         keep = (100 * overlap >= percent * (size + len(own) - overlap)) & (pdf["class"].to_numpy() != pivot)
         return pd.DataFrame({"a": pdf["class"].to_numpy()[keep], "b": np.full(keep.sum(), pivot)})
-    return routes.join(sets, "class").groupBy("pivot", "salt").applyInPandas(count, "a long, b long")
+    return routes.join(sets, "class").groupBy("pivot", "salt").applyInPandas(lean(count), "a long, b long")
 
 
 def sets_of(docs: DataFrame, members: DataFrame, k: int, work: Workspace) -> DataFrame:

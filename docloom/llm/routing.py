@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .packing import lean
 from .shared import Workspace
 
 #: Groups that send their messages directly; a million messages at most.
@@ -39,10 +40,10 @@ class Route:
         """What the owners are asked: `asked` itself, or what nodes (column node) make of it, with the node as g."""
         if self.fan == 1:
             return asked
-        return work.written(asked.withColumn("node", self.node()).groupBy("node").applyInArrow(gather, schema), name)
+        return work.written(asked.withColumn("node", self.node()).groupBy("node").applyInArrow(lean(gather), schema), name)
 
     def down(self, asked: DataFrame, told: DataFrame, hand: Callable, schema: str, work: Workspace, name: str) -> DataFrame:
         """What the groups are told: `told` itself, or what nodes make of it; hand takes a node's questions and its answers."""
         if self.fan == 1:
             return told
-        return work.written(asked.withColumn("node", self.node()).groupBy("node").cogroup(told.groupBy("g")).applyInArrow(hand, schema), name)
+        return work.written(asked.withColumn("node", self.node()).groupBy("node").cogroup(told.groupBy("g")).applyInArrow(lean(hand), schema), name)

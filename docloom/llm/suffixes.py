@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textbytes as tb
-from .packing import pack, pack_sorted, unpack, unpack_sorted
+from .packing import lean, pack, pack_sorted, release, unpack, unpack_sorted
 from .routing import Route
 from .shared import Workspace, column_of, partitions, quoted, written
 
@@ -180,6 +180,7 @@ def _ask(groups: int, route: Route):
                 size, number = 0, number + 1
         if held:
             yield from flush()
+        release()
     return run
 
 
@@ -576,18 +577,18 @@ def find_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     with Workspace(spark) as work:
         asked = work.written(keyed.select("text", "key").mapInArrow(_ask(groups, route), _TOLD), "asked")
         up = route.up(asked.where("kind = 0"), _gather(groups, route), _TOLD, work, "gathered")
-        answers = up.where("kind = 0").groupBy("part").applyInArrow(_answer(groups), "g int, a binary, b binary")
+        answers = up.where("kind = 0").groupBy("part").applyInArrow(lean(_answer(groups)), "g int, a binary, b binary")
         told = [x.where("kind = 1").select(F.col("part").alias("g"), "a", "b") for x in ((asked, up) if route.fan > 1 else (asked,))]
         told = work.written(reduce(DataFrame.union, told, answers), "told")
         work.drop("asked")
-        sent = work.written(keyed.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_send(route), _MESSAGE), "sent")
+        sent = work.written(keyed.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(lean(_send(route)), _MESSAGE), "sent")
         work.drop("told")
         runs = sent.where(F.col("kind") == _RUN)
         up = route.up(runs, _up(route), _MESSAGE, work, "merged")
-        found = work.written(up.groupBy("part").applyInArrow(_merge, _MESSAGE), "found")
+        found = work.written(up.groupBy("part").applyInArrow(lean(_merge), _MESSAGE), "found")
         found = route.down(runs, found, _down(route), _MESSAGE, work, "handed")
         both = sent.where(F.col("kind") == _INDEX).union(found)
-        return written(both.groupBy("g").applyInArrow(_resolve, "g int, a binary, b binary, c binary"), "spans"), groups
+        return written(both.groupBy("g").applyInArrow(lean(_resolve), "g int, a binary, b binary, c binary"), "spans"), groups
 
 
 def _spans_by_key(spans: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -627,7 +628,7 @@ def removed(docs: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), kind)
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, kinds))})
     return _dealt(docs, groups).drop("row").groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>")
+        lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -651,7 +652,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
         return out.filter(pa.array(keep, pa.bool_()))
     rows = _dealt(docs, groups).select("row", "text", "key", "g")
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())])
-    out = rows.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(run, schema)
+    out = rows.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(lean(run), schema)
 
     def column(i: int, field: T.StructField):
         if field.name.lower() == "text":

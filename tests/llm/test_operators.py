@@ -487,7 +487,7 @@ def test_suffix_dedup_of_repetitive_texts(spark):
 
 
 def test_cleaned_texts(docs):
-    got = {(r.doc_id, r.n_chars): r.text for r in suffixes.cleaned(docs).collect()}
+    got = {(r.doc_id, r.n_chars): r.TEXT for r in suffixes.cleaned(docs).collect()}
     kept = Counter()
     for r, (b, k, _) in zip(ROWS, fx.removed(ROWS)):
         text = None if r[1] is None else k.decode("utf-8", "ignore")

@@ -435,12 +435,16 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[byte
 
 
 def _least_by_window(strings: list[bytes], anchor: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix its windows' least documents: (first entry of each suffix, entries)."""
+    """For each suffix its windows' least documents: (first entry of each suffix, entries).  The strings are emptied."""
     size = np.array([len(s) for s in strings], np.int64)
     windows = size - LENGTH + 1
     first = np.concatenate([[0], np.cumsum(windows)])
     out = np.repeat(least, windows)
-    body = np.frombuffer(b"".join(s.ljust(WIDE, b"\0") for s in strings), np.uint8).reshape(len(strings), WIDE)
+    body = np.empty((len(strings), WIDE), np.uint8)
+    for a in range(0, len(strings), 20_000):  # filled in blocks, and each block's strings are dropped
+        some = strings[a:a + 20_000]
+        body[a:a + len(some)] = np.frombuffer(b"".join([s.ljust(WIDE, b"\0") for s in some]), np.uint8).reshape(len(some), WIDE)
+        strings[a:a + len(some)] = [b""] * len(some)
     grams = np.ascontiguousarray(body[np.arange(len(strings))[:, None], anchor[:, None] + np.arange(GRAM)])
     pair = grams.view(np.uint64)
     _, group = np.unique(tb.mix(pair[:, 0]) * np.uint64(tb.BASE) + pair[:, 1], return_inverse=True)
@@ -505,6 +509,7 @@ def _merge(rows: pa.Table) -> pa.Table:
             merged.append(s)
             anchor.append(int(anchor_of[k][i]))
         place[k][i] = len(merged) - 1
+    runs.clear()
     least = np.full(len(merged), np.iinfo(np.int64).max)
     np.minimum.at(least, np.concatenate(place), np.concatenate(least_of))
     first, low = _least_by_window(merged, np.array(anchor, np.int64), least)

@@ -113,7 +113,9 @@ sentences AS (SELECT {key}, CAST(s - 1 AS INTEGER) AS pos, string_agg(piece, ' '
 
 _BULLET = r"'^\s*[\*•\-–·]\s*|^\s*\(?\d+\)?[\.\)]\s*'"
 _TITLE = "split_part(coalesce(text, ''), chr(10), 1)"
-_ARTICLE = f"(SELECT doc_id, coalesce(text, '') AS text, {_TITLE} AS title, substr(coalesce(text, ''), length({_TITLE}) + 2, 500) AS abstract FROM documents)"
+#: Documents as articles, and such an article's context.
+ARTICLE = f"(SELECT doc_id, coalesce(text, '') AS text, {_TITLE} AS title, substr(coalesce(text, ''), length({_TITLE}) + 2) AS abstract FROM documents)"
+CONTEXT = r"substr(trim(regexp_replace(array_to_string(list_filter([title, abstract, text], lambda x: x <> ''), ' . '), '\s+', ' ', 'g')), 1, 3000)"
 
 
 # --- text kernels ----------------------------------------------------------------------------------------------
@@ -150,7 +152,7 @@ def truncate_text(spark, sf_dir):
 
 @query(rf"""SELECT doc_id, title || '. ' || abstract AS head, length(title || '. ' || abstract || ' ' || text) AS n_lexical,
   substr(trim(regexp_replace(array_to_string(list_filter([title, abstract, text], lambda x: x <> ''), ' . '), '\s+', ' ', 'g')), 1, 3000) AS context
-FROM {_ARTICLE}""".replace("title || '. ' || abstract AS head", r"regexp_replace(title || '. ' || abstract, '^\s+|\s+\z', '', 'g') AS head").replace(
+FROM {ARTICLE}""".replace("title || '. ' || abstract AS head", r"regexp_replace(title || '. ' || abstract, '^\s+|\s+\z', '', 'g') AS head").replace(
     "length(title || '. ' || abstract || ' ' || text)", r"CAST(length(regexp_replace(title || '. ' || abstract || ' ' || text, '^\s+|\s+\z', '', 'g')) AS BIGINT)"))
 def article_views(spark, sf_dir):
     a = articles.from_documents(table(spark, sf_dir, "documents"))
@@ -213,7 +215,7 @@ SELECT doc_id, CASE WHEN {_score(FIRING.interventional)} >= {_score(FIRING.obser
   CASE WHEN f AND NOT m THEN 'FEMALE' WHEN m AND NOT f THEN 'MALE' WHEN nf >= 3 AND nm = 0 THEN 'FEMALE' WHEN nm >= 3 AND nf = 0 THEN 'MALE' ELSE 'ALL' END AS sex,
   CASE WHEN {_any(['une', 'and'])} THEN NULL ELSE '18 Years' END AS minimum_age
 FROM (SELECT *, {_any(FIRING.female)} AS f, {_any(FIRING.male)} AS m, {_hits('la')} AS nf, {_hits('de')} AS nm
-  FROM (SELECT doc_id, {_words("title || '. ' || abstract || ' ' || text")} AS w FROM {_ARTICLE}))"""
+  FROM (SELECT doc_id, {_words("title || '. ' || abstract || ' ' || text")} AS w FROM {ARTICLE}))"""
 
 
 @query(_RULE_FIELDS)
@@ -257,7 +259,7 @@ def age_numbers(spark, sf_dir):
 
 # --- criteria --------------------------------------------------------------------------------------------------
 
-_CANDIDATES = "WITH both_texts AS (SELECT doc_id * 2 AS k, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id * 2 + 1, abstract FROM " + _ARTICLE + "), " + _sentences(
+_CANDIDATES = "WITH both_texts AS (SELECT doc_id * 2 AS k, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id * 2 + 1, abstract FROM " + ARTICLE + "), " + _sentences(
     "both_texts", "k") + rf""", clean AS (
   SELECT k // 2 AS doc_id, k % 2 AS source, pos, regexp_replace(regexp_replace(text, {_BULLET}, ''), '^\s+|\s+\z', '', 'g') AS text FROM sentences
 ), first AS (
@@ -673,7 +675,7 @@ def csv_round_trip(spark, sf_dir):
 
 @query(f"""SELECT CAST(doc_id AS VARCHAR) AS pmcids, md5('{fixed.CONDITION_PROMPT.strip()}' || chr(10) || context) AS input, title AS target FROM (
   SELECT doc_id, title, substr(trim(regexp_replace(array_to_string(list_filter([title, abstract, text], lambda x: x <> ''), ' . '), '\\s+', ' ', 'g')), 1, 3000) AS context
-  FROM (SELECT doc_id, title, abstract, text FROM {_ARTICLE})) WHERE context <> '' AND title <> ''""")
+  FROM (SELECT doc_id, title, abstract, text FROM {ARTICLE})) WHERE context <> '' AND title <> ''""")
 def generator_pairs(spark, sf_dir):
     a = articles.from_documents(table(spark, sf_dir, "documents"))
     gold = a.select(F.col("pmcid").alias("pmcids"), conditions.to_cell(F.array("title")).alias("conditions"), F.col("title").alias("eligibility_criteria"), F.length("title").alias("n")).where("n > 0")
@@ -682,18 +684,18 @@ def generator_pairs(spark, sf_dir):
     return articles.read_pairs(spark, path).select("pmcids", F.md5("input").alias("input"), "target")
 
 
-_EXTRACTED = f"""SELECT CAST(f.doc_id AS VARCHAR) AS pmcids, study_type, sex, coalesce(minimum_age, 'Not Specified') AS minimum_age, 'Not Specified' AS maximum_age,
+EXTRACTED = f"""SELECT CAST(f.doc_id AS VARCHAR) AS pmcids, study_type, sex, coalesce(minimum_age, 'Not Specified') AS minimum_age, 'Not Specified' AS maximum_age,
   {_FOUND_TEXT} AS conditions, substr(coalesce(nullif(criteria, ''), 'Not Specified'), 1, 400) AS eligibility_criteria
 FROM ({_RULE_FIELDS}) f JOIN {_FOUND} c ON f.doc_id = c.doc_id JOIN ({_REBUILT}) r ON f.doc_id = r.doc_id"""
 
 
-@query(_EXTRACTED)
+@query(EXTRACTED)
 def extract_all(spark, sf_dir):
     found = extract.extract_all(articles.from_documents(table(spark, sf_dir, "documents")), lexicons=FIRING, condition_text=articles.document_text())
     return found.withColumn("conditions", F.array_join("conditions", " | "))
 
 
-@query(_EXTRACTED)
+@query(EXTRACTED)
 def stream_extract(spark, sf_dir):
     """extract_all over a file stream, until it has read what there is."""
     path = scratch_dir(spark)

@@ -98,16 +98,13 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
-    """Plain documents as articles: first line, next 500 characters, and the whole text as methods.
-
-    They have no abstract of their own, so what is to read all of it takes `document_text`.
-    """
+    """Plain documents as articles: the first line as title, the rest as abstract, and the whole text as methods."""
     text = F.coalesce("text", F.lit(""))
     line = F.substring_index(text, "\n", 1)
     section = F.struct(F.lit("methods").alias("title"), text.alias("text"))
     return docs.select(
         F.col("doc_id").cast("string").alias("pmcid"), F.lit("").alias("pmid"), line.alias("title"),
-        F.substring(text, F.length(line) + 2, F.lit(500)).alias("abstract"), F.array().cast("array<string>").alias("keywords"),
+        F.substring(text, F.length(line) + 2, F.length(text)).alias("abstract"), F.array().cast("array<string>").alias("keywords"),
         F.array(section).alias("sections"))
 
 

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from .. import fixed
-from .text import any_case, first_distinct, let, ordered_distinct, squeeze, strip_chars, whole_words
+from .scan import pattern_matches
+from .text import any_case, first_distinct, let, ordered_distinct, squeeze, strip, strip_chars, whole_words
 
 
 def title_case(c: Column) -> Column:
@@ -44,7 +45,7 @@ def drop_contained(terms: Column) -> Column:
 
 def found_conditions(pool: Column, words: str = fixed.DISEASE_WORDS, suffixes: str = fixed.DISEASE_SUFFIX) -> Column:
     """Conditions that the vocabulary and then the suffix patterns find: cleaned, distinct, at most three; else the sentinel."""
-    hits = F.concat(F.regexp_extract_all(pool, F.lit(any_case(words)), F.lit(0)), F.regexp_extract_all(pool, F.lit("(?U)" + suffixes), F.lit(0)))
+    hits = pattern_matches(pool, [words, suffixes], exact=[suffixes])
     clean = F.filter(F.transform(hits, clean_condition), lambda x: x.isNotNull())
     top = F.slice(drop_contained(ordered_distinct(clean)), 1, fixed.CONDITIONS_FOUND)
     return F.when(F.size(top) > 0, top).otherwise(F.array(F.lit(fixed.NOT_SPECIFIED)))
@@ -76,10 +77,30 @@ def parse_cell(cells: pd.Series) -> pd.Series:
     return cells.map(one)
 
 
-@F.pandas_udf(T.StringType())
-def to_cell(lists: pd.Series) -> pd.Series:
-    """An array of texts as a cell that holds a Python list (Arrow UDF)."""
-    def one(v) -> str:
-        clean = [c.strip() for c in (v if v is not None else []) if c and c.strip()]
-        return repr(clean or [fixed.NOT_SPECIFIED])
-    return lists.map(one)
+#: Characters that Python shows by their number.
+_HIDDEN = r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]"
+
+
+def _shown(c: Column) -> Column:
+    """A text as Python writes it: in single quotes, or in double ones where only single ones occur in it."""
+    def number(x: Column) -> Column:
+        code = F.ascii(x)  # of the whole character
+        padded = lambda mark, n: F.concat(F.lit(mark), F.lpad(F.lower(F.hex(code)), n, "0"))
+        return F.when(code < 0x100, padded("\\x", 2)).when(code < 0x10000, padded("\\u", 4)).otherwise(padded("\\U", 8))
+    plain = c
+    for letter, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(letter), F.lit(written))
+    rare = F.array_join(F.transform(F.split(plain, ""), lambda x: F.when(x.rlike(_HIDDEN), number(x)).otherwise(x)), "")
+
+    def quoted(text: Column) -> Column:
+        only_single = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+        return F.when(only_single, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    return let(F.when(plain.rlike(_HIDDEN), rare).otherwise(plain), quoted)
+
+
+def to_cell(lists: Column | str) -> Column:
+    """An array of texts as a cell that holds a Python list: stripped, without blank ones; the sentinel if none is left."""
+    lists = F.col(lists) if isinstance(lists, str) else lists
+    clean = F.filter(F.transform(F.coalesce(lists, F.array().cast("array<string>")), strip), lambda x: x != "")
+    full = let(clean, lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit(fixed.NOT_SPECIFIED))))
+    return F.concat(F.lit("["), F.array_join(F.transform(full, _shown), ", "), F.lit("]"))

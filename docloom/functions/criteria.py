@@ -5,7 +5,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed
 from .rules import exclusion_cue, fit_length, inclusion_cue
-from .text import any_case, first_distinct, sentences, squeeze, strip, strip_bullet
+from .text import any_case, first_distinct, let, sentences, squeeze, strip, strip_bullet
 from .views import methods_text, section_by
 
 _HEADING = any_case(r"^(?:inclusion|exclusion) criteria[:\s]*")
@@ -18,9 +18,12 @@ def format_criteria(inclusion: Column, exclusion: Column) -> Column:
 
     def bullets(a: Column) -> Column:
         return F.when(F.size(a) > 0, F.array_join(F.transform(a, lambda x: F.concat(F.lit("* "), x)), "\n")).otherwise("* " + fixed.NOT_SPECIFIED)
-    inc, exc = tidy(inclusion), tidy(exclusion)
-    text = F.concat(F.lit("Inclusion Criteria:\n\n"), bullets(inc), F.lit("\n\nExclusion Criteria:\n\n"), bullets(exc))
-    return F.when((F.size(inc) == 0) & (F.size(exc) == 0), "").otherwise(text)
+
+    def text(both: Column) -> Column:
+        inc, exc = both["inc"], both["exc"]
+        whole = F.concat(F.lit("Inclusion Criteria:\n\n"), bullets(inc), F.lit("\n\nExclusion Criteria:\n\n"), bullets(exc))
+        return F.when((F.size(inc) == 0) & (F.size(exc) == 0), "").otherwise(whole)
+    return let(F.struct(tidy(inclusion).alias("inc"), tidy(exclusion).alias("exc")), text)
 
 
 def parse_bullets(c: Column) -> Column:
@@ -43,20 +46,29 @@ def parse_bullets(c: Column) -> Column:
 
 
 def split_by_marker(parts: Column) -> Column:
-    """struct(inc, exc) of sentences: each goes to the side of the last marker at a sentence's start."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.lit("inc").alias("mode"), empty.alias("inc"), empty.alias("exc"))
-
-    def step(state: Column, sentence: Column) -> Column:
-        s = strip(strip_bullet(sentence))
-        opens_inc, opens_exc = s.rlike(any_case(r"\Ainclusion crit")), s.rlike(any_case(r"\Aexclusion crit"))
-        mode = F.when(opens_inc, "inc").when(opens_exc, "exc").otherwise(state["mode"])
-        own = F.when(opens_inc, F.regexp_replace(s, any_case(r"^inclusion criteria[:\s]*"), "")).when(
-            opens_exc, F.regexp_replace(s, any_case(r"^exclusion criteria[:\s]*"), "")).otherwise(s)
-        item = F.filter(F.array(strip(own)), lambda x: x != "")
-        return F.struct(mode.alias("mode"), F.when(mode == "inc", F.concat(state["inc"], item)).otherwise(state["inc"]).alias("inc"),
-                        F.when(mode == "exc", F.concat(state["exc"], item)).otherwise(state["exc"]).alias("exc"))
-    return F.aggregate(parts, start, step)
+    """struct(inc, exc) of sentences: each goes to the side of the last marker at a sentence's start.
+
+    Markers cut the sentences into runs, each of which is taken as a whole: work grows with their number.
+    """
+    def told(s: Column) -> Column:
+        inc, exc = (s.rlike(any_case(rf"\A{x}clusion crit")) for x in ("in", "ex"))
+        own = F.when(inc | exc, strip(F.regexp_replace(s, any_case(r"^(?:in|ex)clusion criteria[:\s]*"), ""))).otherwise(s)
+        return F.struct(F.when(inc, "inc").when(exc, "exc").alias("mark"), own.alias("own"))
+
+    def sides(items: Column) -> Column:
+        marks = F.filter(F.transform(items, lambda x, i: F.struct(x["mark"].alias("mode"), i.alias("at"))), lambda m: m["mode"].isNotNull())
+        first = F.array(F.struct(F.lit("inc").alias("mode"), F.lit(0).alias("at")))
+
+        def run(all_runs: Column, of: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(all_runs, i + 1)["at"], F.size(items))
+            return F.struct(of["mode"].alias("mode"), F.slice(items, of["at"] + 1, end - of["at"]).alias("items"))
+        runs = let(F.concat(first, marks), lambda m: F.transform(m, lambda of, i: run(m, of, i)))
+
+        def side(found: Column, mode: str) -> Column:
+            own = F.flatten(F.transform(F.filter(found, lambda r: r["mode"] == mode), lambda r: F.transform(r["items"], lambda x: x["own"])))
+            return F.filter(own, lambda x: x != "").alias(mode)
+        return let(runs, lambda found: F.struct(side(found, "inc"), side(found, "exc")))
+    return let(F.transform(parts, lambda s: let(strip(strip_bullet(s)), told)), sides)
 
 
 def explicit_source(sections: Column) -> Column:
@@ -67,18 +79,21 @@ def explicit_source(sections: Column) -> Column:
 
 
 def explicit_criteria(sections: Column) -> Column:
-    source = explicit_source(sections)
-    sides = split_by_marker(sentences(source))
-    return F.when(F.coalesce(source, F.lit("")) != "", format_criteria(sides["inc"], sides["exc"]))
+    def stated(source: Column) -> Column:
+        formatted = let(split_by_marker(sentences(source)), lambda sides: format_criteria(sides["inc"], sides["exc"]))
+        return F.when(F.coalesce(source, F.lit("")) != "", formatted)
+    return let(explicit_source(sections), stated)
 
 
 def reconstructed_criteria(sections: Column, title_abstract: Column, inclusion: str = fixed.INCLUSION_CUES, exclusion: str = fixed.EXCLUSION_CUES) -> Column:
     """Criteria from sentences with cues, in the methods or else in title and abstract."""
-    methods = methods_text(sections)
-    parts = F.filter(sentences(F.when(methods != "", methods).otherwise(title_abstract)), fit_length)
-    exc = F.filter(parts, lambda s: exclusion_cue(s, exclusion) & ~inclusion_cue(s, inclusion))
-    inc = F.filter(parts, lambda s: inclusion_cue(s, inclusion))
-    return format_criteria(F.slice(inc, 1, fixed.CRITERIA_EACH), F.slice(exc, 1, fixed.CRITERIA_EACH))
+    def sides(parts: Column) -> Column:
+        first = lambda side: F.slice(F.transform(F.filter(parts, lambda p: p["side"] == side), lambda p: p["text"]), 1, fixed.CRITERIA_EACH)
+        return format_criteria(first("inc"), first("exc"))
+    source = let(methods_text(sections), lambda methods: F.when(methods != "", methods).otherwise(title_abstract))
+    cued = F.transform(F.filter(sentences(source), fit_length), lambda s: F.struct(
+        F.when(inclusion_cue(s, inclusion), "inc").when(exclusion_cue(s, exclusion), "exc").alias("side"), s.alias("text")))
+    return let(cued, sides)
 
 
 def candidate_sentences(sections: Column, abstract: Column, most: int = fixed.CANDIDATES) -> Column:
@@ -92,4 +107,4 @@ def candidate_sentences(sections: Column, abstract: Column, most: int = fixed.CA
 def eligibility(sections: Column, title_abstract: Column, inclusion: str = fixed.INCLUSION_CUES, exclusion: str = fixed.EXCLUSION_CUES) -> Column:
     """Stated criteria, else reconstructed ones, else the sentinel."""
     found = [explicit_criteria(sections), reconstructed_criteria(sections, title_abstract, inclusion, exclusion)]
-    return F.coalesce(*[F.nullif(x, F.lit("")) for x in found], F.lit(fixed.NOT_SPECIFIED))
+    return F.coalesce(*[let(x, lambda v: F.when(v != "", v)) for x in found], F.lit(fixed.NOT_SPECIFIED))

@@ -16,9 +16,13 @@ def any_case(pattern: str) -> str:
     return f"(?iuU){pattern}"
 
 
-def whole_words(words: list[str]) -> str:
+def word_pattern(words: list[str]) -> str:
     """A pattern of any of the words between word boundaries."""
-    return any_case(r"\b(?:" + "|".join(words) + r")\b")
+    return r"\b(?:" + "|".join(words) + r")\b"
+
+
+def whole_words(words: list[str]) -> str:
+    return any_case(word_pattern(words))
 
 
 def strip(c: Column) -> Column:

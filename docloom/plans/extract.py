@@ -90,9 +90,9 @@ def with_rule_fields(articles: DataFrame, lexicons: Lexicons = MEDICAL) -> DataF
     head = views.title_abstract(F.col("title"), F.col("abstract"))
     whole = F.concat(head, F.lit(" "), views.methods_text(F.col("sections")))
     age_text = F.concat(views.section_by(F.col("sections"), fixed.AGE_TITLES), F.lit(" "), head)
+    found = rules.RuleCounts(whole, lexicons.interventional, lexicons.observational, lexicons.female, lexicons.male, lexicons.only_female, lexicons.only_male)
     return articles.withColumns({
-        "study_type": rules.study_type(whole, lexicons.interventional, lexicons.observational),
-        "sex": rules.sex(whole, lexicons.female, lexicons.male, lexicons.only_female, lexicons.only_male),
+        "study_type": found.study_type(), "sex": found.sex(),
         "minimum_age": rules.minimum_age(age_text, lexicons.pediatric),
         "maximum_age": F.lit(None).cast("string")})
 

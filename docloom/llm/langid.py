@@ -3,8 +3,8 @@
 A text's vector is the mean of the embeddings of its hashed byte n-grams (3 to 5 bytes, inside
 words and touching their edges); a linear layer and a softmax give the languages'
 probabilities.  Embeddings and layer are trained together by stochastic gradient descent in
-numpy, on the driver, from a bounded sample: about `per_lang` whole documents of every language,
-picked by a hash, and short spans of them, as counts of n-grams made on the executors.  Part of the
+numpy, on the driver, from a bounded sample: `per_lang` different whole texts of every language,
+picked by a hash of the text, and short spans of them, as counts of n-grams made on the executors.  Part of the
 sample is kept back to fit a temperature and the probability below which a prediction is rejected.
 
 A text that is null or has no letter is `und` with score 0.  Languages that never occur in
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textbytes as tb
 from .packing import pack, unpack
@@ -120,12 +120,14 @@ def _spans(text: str, rng: np.random.Generator, spans: int) -> list[str]:
     return out
 
 
-def train(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 4, rate: float = 0.5,
+def train(rows: list[tuple[str, bool, bytes, bytes]], dim: int = 16, epochs: int = 4, rate: float = 0.5,
           max_error: float = 0.01, seed: int = 7) -> LanguageModel:
     """Fits embeddings and softmax layer by SGD, then temperature and rejection bound.
 
-    rows: (language, whether it is held back, buckets, how often) of each text.
+    rows: (language, whether it is held back, packed buckets, how often) of each text.
     """
+    def counted(row: tuple[str, bool, bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return unpack(row[2], np.uint16).astype(np.int64), unpack(row[3], np.int64)
     names = sorted({r[0] for r in rows})
     rng = np.random.default_rng(seed)
     number = {x: i for i, x in enumerate(names)}
@@ -141,7 +143,7 @@ def train(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dim: int = 16, e
     for _ in range(epochs):
         for d in rng.permutation(len(fit)):
             steps += 1
-            _, _, ids, counts = fit[d]
+            ids, counts = counted(fit[d])
             if not len(ids):
                 continue
             tf = (counts / counts.sum()).astype(np.float32)
@@ -158,7 +160,7 @@ def train(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dim: int = 16, e
             emb[ids] -= (step * 10) * tf[:, None] * back
     model = LanguageModel(names, emb, layer, bias.astype(np.float64))
     kept_y = np.array([number[r[0]] for r in kept], np.int64)
-    z = np.array([(counts @ emb[ids] / max(counts.sum(), 1)) @ layer for _, _, ids, counts in kept], np.float64).reshape(len(kept), len(names)) + bias
+    z = np.array([(counts @ emb[ids] / max(counts.sum(), 1)) @ layer for ids, counts in map(counted, kept)], np.float64).reshape(len(kept), len(names)) + bias
     grid = np.exp(np.linspace(-3, 2, 51))
     at = np.arange(len(kept_y))
     model.temperature = float(min(grid, key=lambda t: -np.log(softmax(z / t)[at, kept_y] + 1e-12).mean()))
@@ -176,32 +178,41 @@ def rejection_bound(score: np.ndarray, right: np.ndarray, max_error: float) -> f
 
 
 def sample(labelled: DataFrame, per_label: int, most_rows: int) -> DataFrame:
-    """About per_label rows (text, label) of every label, picked by a hash; about most_rows of all labels together.
+    """(label, text): per_label different texts of every label, or all if it has fewer; most_rows at most of all labels together.
 
-    More labels than most_rows are an error: none is left out.
+    Those with the least hashes of the text are taken, so a text counts once, however often it is repeated, and ids play
+    no part.  Every label has one row at least; more labels than most_rows are an error.  A label's texts are first thinned
+    by a sketch of how many it has, so that only about as many as are wanted are shuffled, its least one among them.
     """
-    counts = labelled.groupBy("label").count().limit(most_rows + 1).collect()
-    if len(counts) > most_rows:
+    keyed = labelled.select("label", "text", F.xxhash64("text").alias("h"))
+    known = keyed.groupBy("label").agg(F.approx_count_distinct("h", 0.03).alias("n"), F.min("h").alias("least")).limit(most_rows + 1).collect()
+    if len(known) > most_rows:
         raise ValueError(f"more than {most_rows} languages")
-    each = max(1, min(per_label, most_rows // max(len(counts), 1)))
-    shares = labelled.sparkSession.createDataFrame([(r[0], each / r[1]) for r in counts], "label string, share double")
-    unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(F.broadcast(shares), "label").where(unit < F.col("share")).select("text", "label")  # most_rows rows at most
+    each = max(1, min(per_label, most_rows // max(len(known), 1)))
+    # So many that fewer than `each` are left by bad luck only, and then all that are left count.
+    wanted = 1.2 * (each + 6 * each ** 0.5)
+    shares = labelled.sparkSession.createDataFrame([(r[0], min(1.0, wanted / max(r[1], 1)), r[2]) for r in known], "label string, share double, least long")
+    unit = F.col("h").cast("double") / float(1 << 64) + 0.5
+    thin = keyed.join(F.broadcast(shares), "label").where((unit < F.col("share")) | (F.col("h") == F.col("least")))  # a row a label, most_rows at most
+    once = thin.groupBy("label", "h").agg(F.first("text").alias("text"))  # equal texts: any is the first
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    return once.withColumn("_nth", nth).where(F.col("_nth") <= each).select("label", "text")
 
 
 def fit(docs: DataFrame, per_lang: int = 800, most_rows: int = 100_000, spans: int = 3, held_back: float = 0.15) -> LanguageModel | None:
-    """A model of the rows of docs (doc_id, text, lang) that have both text and lang.
+    """A model of the rows of docs (text, lang) that have both.
 
-    Fitted on about per_lang documents of every language, fewer if all together would be more than most_rows.  Texts
-    stay on the executors: the driver gets their n-grams' counts, of bounded size for a text of any length.
+    Fitted on per_lang different texts of every language (or all it has), fewer if all together would be more than
+    most_rows.  Texts stay on the executors: the driver gets their n-grams' counts, of bounded size for a text of any
+    length, and unpacks them one at a time.
     """
-    doc_id, text, lang = (F.col(quoted(column_of(docs, c))) for c in ("doc_id", "text", "lang"))
-    labelled = docs.select(doc_id.alias("doc_id"), text.alias("text"), lang.cast("string").alias("label")).where(
+    text, lang = (F.col(quoted(column_of(docs, c))) for c in ("text", "lang"))
+    labelled = docs.select(text.alias("text"), lang.cast("string").alias("label")).where(
         "text is not null and label is not null").where(F.col("text").rlike(r"\p{L}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 key = zlib.crc32(text.encode())
                 rng = np.random.default_rng(key)
                 held = bool(rng.random() < held_back)
@@ -211,9 +222,10 @@ def fit(docs: DataFrame, per_lang: int = 800, most_rows: int = 100_000, spans: i
                     pa.array([label] * n, pa.string()), pa.array([held] * n, pa.bool_()), pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()),
                     pa.array([pack(x.astype(np.uint16)) for x, _ in found], pa.binary()), pa.array([pack(c.astype(np.int64)) for _, c in found], pa.binary())],
                     ["label", "held", "key", "number", "buckets", "counts"])
-    found = sample(labelled, per_lang, most_rows).mapInArrow(run, "label string, held boolean, key long, number int, buckets binary, counts binary").collect()
-    found.sort(key=lambda r: (r["key"], r["label"], r["number"], r["buckets"]))
-    return train([(r["label"], r["held"], unpack(r["buckets"], np.uint16).astype(np.int64), unpack(r["counts"], np.int64)) for r in found]) if found else None
+    found = sample(labelled, per_lang, most_rows).mapInArrow(run, "label string, held boolean, key long, number int, buckets binary, counts binary").toArrow()
+    columns = [found.column(c).to_pylist() for c in ("key", "label", "number", "buckets", "counts", "held")]
+    rows = sorted(zip(*columns))
+    return train([(r[1], r[5], r[3], r[4]) for r in rows]) if rows else None
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

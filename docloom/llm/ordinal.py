@@ -219,8 +219,9 @@ def ratings(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 3000) -> OrdinalModel | None:
     """A model from a bounded sample of the rated documents.
 
-    The sample is drawn from the ratings first, so the join with the texts is small.  Texts stay on the executors: the
-    driver gets their packed features, of bounded size for a text of any length.
+    The sample is drawn from the ratings first, so the join with the texts is small.  A rated id counts once for each of
+    its grades: of several documents that have it, the one whose text has the least hash.  Texts stay on the executors:
+    the driver gets their packed features, of bounded size for a text of any length.
     """
     rated = ratings(labels)
     counts = {r[0]: r[1] for r in rated.groupBy("grade").count().collect()}  # three grades
@@ -231,6 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 3000) -> OrdinalMod
     picked = F.broadcast(rated.where(keep))  # about 3 * per_grade rows of two numbers
     doc_id, text = (F.col(quoted(column_of(docs, c))) for c in ("doc_id", "text"))
     rows = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text")).where("text is not null").join(picked, "doc_id")
+    # One row for each picked id and grade, whatever the documents repeat; rows are combined before they are shuffled.
+    rows = rows.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

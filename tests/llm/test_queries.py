@@ -89,6 +89,39 @@ def test_many_languages_are_all_learned(spark):
         langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=10)
 
 
+def test_every_language_is_sampled(spark):
+    """As many languages as rows allowed, each with a row repeated: all of them are in the sample, once."""
+    rows = [(f"word of {i} {j % 2}", f"l{i}") for i in range(3000) for j in range(3)]
+    found = langid.sample(spark.createDataFrame(rows, "text string, label string"), 800, 3000).collect()
+    assert len(found) == len({r.label for r in found}) == 3000
+
+
+def test_repeated_rows_do_not_grow_the_sample(spark):
+    rows = [(f"only text of {i}", f"l{i}") for i in range(20)] * 2000 + [(f"text {j}", "many") for j in range(5000)] + [("text 1", "many")] * 5000
+    df = spark.createDataFrame(rows, "text string, label string").repartition(6)
+    found = langid.sample(df, 800, 100_000).collect()
+    counts = Counter(r.label for r in found)
+    assert len(counts) == 21 and counts["many"] == 800 and len({r.text for r in found}) == len(found) == 820
+    # Which texts are taken depends on neither order nor repeats nor ids.
+    again = langid.sample(df.distinct().repartition(3), 800, 100_000).collect()
+    assert sorted(found) == sorted(again)
+    assert Counter(r.label for r in langid.sample(df, 800, 210).collect()) == {**{f"l{i}": 1 for i in range(20)}, "many": 10}
+
+
+def test_repeated_ids_do_not_grow_the_rated_sample(spark, monkeypatch):
+    """An id that most documents share is fitted once, and the fit doesn't depend on the repeats."""
+    docs = [(i, f"clean text number {i} about things" if i % 2 else f"junk junk {i} buy now") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    sizes = []
+    whole = ordinal.train
+    monkeypatch.setattr(ordinal, "train", lambda rows, grades: (sizes.append(len(grades)), whole(rows, grades))[1])
+    one = ordinal.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    many = ordinal.fit(spark.createDataFrame(docs + [docs[7]] * 3000, "doc_id long, text string").repartition(5), labels)
+    assert sizes == [60, 60] and np.array_equal(one.weights, many.weights)
+    ordinal.fit(spark.createDataFrame(docs + [(7, f"another text {i}") for i in range(3000)], "doc_id long, text string"), labels)
+    assert sizes[-1] == 60
+
+
 def test_op2_components(spark, sf_dir, rows):
     want = fx.components(rows, 4, 85)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in run(spark, sf_dir, "op2_ngram_jaccard")} == {

@@ -9,9 +9,13 @@ coverage; as tiles may lie in any order, a passage whose sentences were reordere
 
 1. Seeds of all items are a table.  Their bitmap, of fixed size, goes to the documents' tasks, and only
    documents' seeds with a bit there are sent to the join (others that share a bit cost a row each).
-2. A tile of L words has L - least + 1 seeds, so covered words are at most `least` for each of the item's
-   seed places that the document holds too; pairs that can't reach the coverage by this bound are left out.
-3. The remaining pairs get the texts of both sides and are tiled, each for itself.
+2. Words that a document can cover lie under seeds that it holds.  So each item leaves its commonest seeds out of the
+   join, as many as together can't cover enough of it: a phrase that most documents share brings nothing together, and
+   no match is lost.
+3. A tile of L words has L - least + 1 seeds, so covered words are at most `least` for each of the item's
+   seed places that the document holds too; pairs that can't reach the coverage by this bound are left out.  Seeds
+   left out before are looked up for the pairs found only.
+4. The remaining pairs get the texts of both sides and are tiled, each for itself.
 
 An item of fewer than `least` words is matched whole: its seed is its whole sequence, and a document holds
 it if that sequence occurs there.  Null texts have no words, and an item without words is never reported.
@@ -132,27 +136,74 @@ def covers(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int
     return [(int(i), 0, n) for i in at if np.array_equal(doc[i:i + n], item)][:1]
 
 
-def item_seeds(items: DataFrame, least: int, coverage: float) -> DataFrame:
-    """(seed, item_id, item_key, places, needed) of items (item_id, item_key, text).
-
-    places: how often the seed occurs in the item; needed: how many of the item's seed places a document must hold.
-    """
+def item_seeds(items: DataFrame, least: int) -> DataFrame:
+    """(seed, item_id, item_key, words, at) of items (item_id, item_key, text): each seed's places in an item of so many words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            seeds, own, size, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for k, words in enumerate(words_of(batch.column(2))):
                 n = len(words)
                 if n:
-                    seed, places = np.unique(tb.gram_hashes(words, min(n, least)), return_counts=True)
-                    # At least coverage * n words, at most `least` words for each seed place.
-                    needed = max(1, -(-int(np.ceil(coverage * n)) // least)) if n >= least else 1
-                    for x, v in zip(out, (seed, places, np.full(len(seed), k), np.full(len(seed), needed))):
-                        x.append(v)
-            seed, places, own, needed = (np.concatenate(x) for x in out)
-            own = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(places), pa.array(needed)],
-                                             ["seed", "item_id", "item_key", "places", "needed"])
-    return items.mapInArrow(run, "seed long, item_id long, item_key long, places long, needed long")
+                    grams = tb.gram_hashes(words, min(n, least))
+                    order = np.argsort(grams, kind="stable")
+                    seed, first = np.unique(grams[order], return_index=True)
+                    seeds.append(seed)
+                    own.append(np.full(len(seed), k))
+                    size.append(np.full(len(seed), n))
+                    at += np.split(order, first[1:])
+            own = pa.array(np.concatenate(own))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(seeds).view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(np.concatenate(size)),
+                pa.array(at, pa.list_(pa.int64()))], ["seed", "item_id", "item_key", "words", "at"])
+    return items.mapInArrow(run, "seed long, item_id long, item_key long, words long, at array<long>")
+
+
+def left_out(words: int, at: list, heat: np.ndarray, least: int, coverage: float) -> np.ndarray:
+    """Which seeds of an item needn't be joined: commonest first, as long as all of them together can't cover enough."""
+    out, under = np.zeros(len(at), bool), np.zeros(words, bool)
+    if words < least:
+        return out
+    for i in np.argsort(-heat, kind="stable"):
+        more = under.copy()
+        for place in at[i]:
+            more[place:place + least] = True
+        if more.sum() < coverage * words:
+            under, out[i] = more, True
+    return out
+
+
+def chosen_seeds(seeds: DataFrame, mine: DataFrame, least: int, coverage: float) -> DataFrame:
+    """(seed, item_id, item_key, places, needed, spare, joined) of the items' seeds that some document holds.
+
+    places: how often the seed occurs in the item; needed: how many of the item's seed places a document must hold;
+    joined: whether it takes part in the join; spare: the places of those of the item that don't.
+    """
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seed")
+        n, at = rows.column("words")[0].as_py(), rows.column("at").to_pylist()
+        out = left_out(n, at, rows.column("heat").to_numpy(), least, coverage)
+        places = np.array([len(x) for x in at], np.int64)
+        # At least coverage * n words, at most `least` words for each seed place.
+        needed = max(1, -(-int(np.ceil(coverage * n)) // least)) if n >= least else 1
+        return pa.table({**{c: rows.column(c) for c in ("seed", "item_id", "item_key")}, "places": pa.array(places),
+                         "needed": pa.array(np.full(len(at), needed)), "spare": pa.array(np.full(len(at), places[out].sum())), "joined": pa.array(~out)})
+    heat = mine.groupBy("seed").agg(F.count("*").alias("heat"))
+    return seeds.join(heat, "seed").groupBy("item_id", "item_key").applyInArrow(
+        run, "seed long, item_id long, item_key long, places long, needed long, spare long, joined boolean")
+
+
+def candidates(mine: DataFrame, seeds: DataFrame, work: Workspace) -> DataFrame:
+    """(doc_id, doc_key, item_id, item_key) of the pairs that hold as many seed places as their item needs."""
+    names = ["doc_id", "doc_key", "item_id", "item_key"]
+    # Rows that repeat a document only raise the number of places, which is a bound from above.
+    found = mine.join(seeds.where("joined"), "seed").groupBy(*names).agg(
+        F.sum("places").alias("places"), F.max("needed").alias("needed"), F.max("spare").alias("spare"))
+    found = work.written(found.where("places + spare >= needed"), "found")
+    open_, rest = found.where("places < needed"), seeds.where("not joined").select("seed", "item_id", "item_key", F.col("places").alias("more"))
+    asked = open_.alias("f").join(rest.alias("s"), _same("f", "s", "item_id", "item_key")).select("f.*", "s.seed", "s.more")
+    held = asked.alias("a").join(mine.alias("m"), (F.col("a.seed") == F.col("m.seed")) & _same("a", "m", "doc_id", "doc_key")).select("a.*")
+    late = held.groupBy(*names).agg(F.max("places").alias("places"), F.max("needed").alias("needed"), F.sum("more").alias("more")).where("places + more >= needed")
+    return work.written(found.where("places >= needed").select(*names).unionByName(late.select(*names)), "pairs")
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
@@ -237,13 +288,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: flo
     """
     with Workspace(docs.sparkSession) as work:
         rows, items = _keyed(docs, "doc_id", "doc_key"), work.written(_keyed(benchmark, "item_id", "item_key").where("text is not null"), "items")
-        seeds = work.written(item_seeds(items.dropDuplicates(["item_id", "item_key"]).select("item_id", "item_key", "text"), least, coverage), "item-seeds")
+        seeds = work.written(item_seeds(items.dropDuplicates(["item_id", "item_key"]).select("item_id", "item_key", "text"), least), "item-seeds")
         size = F.size(F.filter(F.split(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " "), " "), lambda w: w != ""))
         short = sorted(r[0] for r in items.select(size.alias("n")).where(f"n between 1 and {least - 1}").distinct().collect())  # numbers below `least`
         mine = work.written(document_seeds(rows.select("doc_id", "doc_key", "text"), _bitmap(seeds), least, short), "document-seeds")
-        # Rows that repeat a document only raise the number of places, which is a bound from above.
-        pairs = mine.join(seeds, "seed").groupBy("doc_id", "doc_key", "item_id", "item_key").agg(F.sum("places").alias("places"), F.max("needed").alias("needed"))
-        pairs = work.written(pairs.where("places >= needed").drop("places", "needed"), "pairs")
+        pairs = candidates(mine, work.written(chosen_seeds(seeds, mine, least, coverage), "chosen-seeds"), work)
         both = (rows.alias("d").join(pairs.alias("p"), _same("d", "p", "doc_id", "doc_key"))
                 .join(items.alias("i"), _same("p", "i", "item_id", "item_key"))
                 .select("p.doc_id", "p.doc_key", "p.item_id", F.col("d.text").alias("doc_text"), F.col("i.text").alias("item_text")))

@@ -408,6 +408,28 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     assert found() == want
 
 
+def test_a_phrase_that_all_share_joins_nothing(spark):
+    """2,000 documents and 300 items share a phrase of eight words: no pair is made; what also shares more is found."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    phrase = "we are happy to be here with you"
+    items = [(i, " ".join([word() for _ in range(6)] + [phrase] + [word() for _ in range(8)])) for i in range(300)]
+    docs = [(d, " ".join([word() for _ in range(20)] + [phrase] + [word() for _ in range(10)])) for d in range(2000)]
+    docs += [(5000 + i, f"{word()} {text}") for i, text in items[:20]]
+    # The phrase and one seed more of the item: found by that seed alone, and enough words with the phrase.
+    docs += [(6000 + i, f"{phrase} {word()} {' '.join(text.split()[-5:])} {word()}") for i, text in items[20:40]]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    with shared.Workspace(spark) as work:
+        seeds = work.written(decontaminate.item_seeds(decontaminate._keyed(bench, "item_id", "item_key"), 5), "a")
+        mine = work.written(decontaminate.document_seeds(decontaminate._keyed(df, "doc_id", "doc_key"), np.full(1 << (decontaminate.FILTER_BITS - 3), 255, np.uint8), 5, []), "b")
+        chosen = work.written(decontaminate.chosen_seeds(seeds, mine, 5, 0.5), "c")
+        assert chosen.where("not joined").count() >= 4 * 300
+        assert mine.join(chosen.where("joined"), "seed").count() < 20 * 20 * 2
+        assert mine.join(chosen, "seed").count() > 4 * 2000 * 300
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(df, bench).collect()}
+    assert got == {(5000 + i, i) for i in range(20)} | {(6000 + i, i) for i in range(20, 40)}
+
+
 def test_tiles_of_repetitive_texts():
     a = np.array([1, 2] * 20_000, np.uint64)
     found = decontaminate.tiles(a, np.array([1, 2] * 3000 + [3], np.uint64), 5)

@@ -30,7 +30,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import textbytes as tb
 from .packing import lean, pack, pack_sorted, release, unpack, unpack_sorted
@@ -561,23 +561,52 @@ def _resolve(rows: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array([g], pa.int32()), **{n: pa.array([pack(x)], pa.binary()) for n, x in zip(names, spans)}})
 
 
-def _dealt(docs: DataFrame, groups: int) -> DataFrame:
-    """(row, doc_id, text, key, g) of docs: row has its columns but the text by number; key is a hash of id and text, never 0; g the group it is in."""
+def _hash(doc_id: Column, text: Column, salt: int) -> Column:
+    """A hash of id and text that is never 0."""
+    h = F.xxhash64(F.lit(salt), doc_id.cast("long"), text)
+    return F.when(h == 0, F.lit(1)).otherwise(h).cast("long")
+
+
+def _document_key(docs: DataFrame) -> Column:
+    """A number for each document: rows of equal id and text have it in common, and no others.
+
+    It is a hash of 64 bits, which at 10^11 documents some hundreds of pairs would share.  So a second, independent hash
+    is counted by the first, and documents whose first hash is not theirs alone get another one, until none is shared.
+    """
+    doc_id, text = (F.col(quoted(column_of(docs, c))) for c in ("doc_id", "text"))
+    key, other = _hash(doc_id, text, 1), F.xxhash64(F.lit(0), text, doc_id.cast("long"))
+    for salt in range(2, 10):
+        kinds = docs.select(key.alias("key"), other.alias("other")).groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+        # About n * n / 2**65 keys, so 300 of 10^11 documents.
+        shared = [r[0] for r in kinds.where("a <> b").select("key").limit(_SHARED_KEYS + 1).collect()]
+        if not shared:
+            return key
+        if len(shared) > _SHARED_KEYS:
+            break
+        key = F.when(key.isin(shared), _hash(doc_id, text, salt)).otherwise(key)
+    raise RuntimeError("documents' hashes are not spread")
+
+
+#: More shared keys than any table that can be stored gives by chance.
+_SHARED_KEYS = 100_000
+
+
+def _dealt(docs: DataFrame, key: Column, groups: int) -> DataFrame:
+    """(row, doc_id, text, key, g) of docs: row has its columns but the text by number; key as made above, g the group it is in."""
     doc_id, text = (F.col(quoted(column_of(docs, c))) for c in ("doc_id", "text"))
-    key = F.xxhash64(doc_id.cast("long"), text)
-    key = F.when(key == 0, F.lit(1)).otherwise(key).cast("long")
     row = F.struct(F.lit(0).alias("none"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c.lower() != "text"])
     return docs.select(row.alias("row"), doc_id.cast("long").alias("doc_id"), text.alias("text"), key.alias("key"),
                        F.pmod(key, F.lit(groups)).cast("int").alias("g"))
 
 
-def find_spans(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(g, keys, begins, ends) blobs of the spans to remove, and the number of groups."""
+def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, keys, begins, ends) blobs of the spans to remove, and docs dealt to the same groups."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(quoted(column_of(docs, "text")))))).first()[0] or 0
     groups = max(partitions(spark), int(total // GROUP_BYTES) + 1)
     order_id = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id")
-    keyed = _dealt(docs, groups).where(F.octet_length("text") >= LENGTH).select("text", "key", "g", order_id)
+    dealt = _dealt(docs, _document_key(docs), groups)
+    keyed = dealt.where(F.octet_length("text") >= LENGTH).select("text", "key", "g", order_id)
     route = Route(groups)
     with Workspace(spark) as work:
         asked = work.written(keyed.select("text", "key").mapInArrow(_ask(groups, route), _TOLD), "asked")
@@ -593,7 +622,7 @@ def find_spans(docs: DataFrame) -> tuple[DataFrame, int]:
         found = work.written(up.groupBy("part").applyInArrow(lean(_merge), _MESSAGE), "found")
         found = route.down(runs, found, _down(route), _MESSAGE, work, "handed")
         both = sent.where(F.col("kind") == _INDEX).union(found)
-        return written(both.groupBy("g").applyInArrow(lean(_resolve), "g int, a binary, b binary, c binary"), "spans"), groups
+        return written(both.groupBy("g").applyInArrow(lean(_resolve), "g int, a binary, b binary, c binary"), "spans"), dealt
 
 
 def _spans_by_key(spans: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -617,7 +646,7 @@ def _cut(data: bytes, spans: tuple[np.ndarray, np.ndarray] | None) -> bytes:
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of begin and end) of every row."""
-    spans, groups = find_spans(docs)
+    spans, dealt = find_spans(docs)
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -632,7 +661,7 @@ def removed(docs: DataFrame) -> DataFrame:
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), kind)
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, kinds))})
-    return _dealt(docs, groups).drop("row").groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(
+    return dealt.drop("row").groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(
         lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>")
 
 
@@ -642,7 +671,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     A character that is only half in a span goes with it.  Rows that lose their whole text are left out;
     null and empty texts stay.  Columns may have any names; text, doc_id and n_chars any case.
     """
-    spans, groups = find_spans(docs)
+    spans, dealt = find_spans(docs)
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         by_key = _spans_by_key(found)
@@ -655,7 +684,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
             keep.append(not (text and not new))
         out = pa.table({"row": rows.column("row"), "text": pa.array(texts, pa.string()), "cut": pa.array(cut, pa.bool_())})
         return out.filter(pa.array(keep, pa.bool_()))
-    rows = _dealt(docs, groups).select("row", "text", "key", "g")
+    rows = dealt.select("row", "text", "key", "g")
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())])
     out = rows.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(lean(run), schema)
 

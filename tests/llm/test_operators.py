@@ -508,6 +508,17 @@ def test_suffix_dedup_of_repetitive_texts(spark):
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffixes.removed(df).collect()} == want
 
 
+def test_documents_whose_hashes_agree_are_told_apart(docs, monkeypatch):
+    """With a first hash of 20 values, and a second of 30, most documents get a third one; the result is the same."""
+    whole = suffixes._hash
+    monkeypatch.setattr(suffixes, "_hash", lambda d, t, salt: F.pmod(whole(d, t, salt), F.lit({1: 20, 2: 30}.get(salt, 1 << 62))) + 1)
+    want = Counter((r[0], hashlib.sha256(kept).hexdigest()) for r, (_, kept, _) in zip(ROWS, fx.removed(ROWS)))
+    assert Counter((r.doc_id, r.kept_sha256) for r in suffixes.removed(docs).collect()) == want
+    monkeypatch.setattr(suffixes, "_hash", lambda d, t, salt: F.lit(7).cast("long"))
+    with pytest.raises(RuntimeError):
+        suffixes.removed(docs)
+
+
 def test_cleaned_texts(docs):
     got = {(r.doc_id, r.n_chars): r.TEXT for r in suffixes.cleaned(docs).collect()}
     kept = Counter()
@@ -659,6 +670,54 @@ def test_sharding_follows_the_curve(docs):
     assert [r.shard for r in order] == sorted(i * 7 // len(ROWS) for i in range(len(ROWS)))
 
 
+def test_curve_fills_half_grids_one_by_one():
+    for dims, bits in ((2, 3), (3, 2), (4, 2), (4, 3)):
+        n = 1 << (dims * bits)
+        cells = np.stack([(np.arange(n) >> (bits * d)) & ((1 << bits) - 1) for d in range(dims)], 1)
+        path = cells[np.argsort(sharding.hilbert_index(cells, bits))]
+        for wide in range(1, bits):
+            halves = (path >> wide).reshape(1 << (dims * (bits - wide)), -1, dims)
+            assert (halves == halves[:, :1]).all()
+
+
+def test_texts_that_begin_alike_are_told_apart(spark):
+    """Sources with a long common beginning, of every dimension the curve has: shards hold few of them."""
+    rows = [(i, f"text {i}", "en", f"https://host{i % 8}.example/", 1) for i in range(800)]
+    got = sharding.shard(spark.createDataFrame(rows, fx.SCHEMA), 8, dims=("source",)).collect()
+    held = defaultdict(set)
+    for r in got:
+        held[r.shard].add(r.doc_id % 8)
+    assert all(len(s) == 1 for s in held.values()) and len(held) == 8
+    got = sharding.shard(spark.createDataFrame(rows, fx.SCHEMA), 40).collect()
+    held = defaultdict(set)
+    for r in got:
+        held[r.shard].add(r.doc_id % 8)
+    assert sum(map(len, held.values())) < 40 * 4
+
+
+def test_all_four_dimensions(spark, docs):
+    """Every row's cell of the operator's own dimensions from plain quantiles; the curve's order of cells is a curve."""
+    got = sharding.shard(docs, 7, bits=2).collect()
+    head = {}
+    for r in ROWS:
+        key = (2**63 - 1 if r[0] is None else r[0], *[x for v in (r[3], r[2]) for x in (v is not None, v or "")])
+        head[r[1] or ""] = min(head.get(r[1] or "", key), key)
+    size = lambda r: len((r[1] or "").encode()) + 16
+
+    def own(r):
+        h, several = head[r[1] or ""], sum((x[1] or "") == (r[1] or "") for x in ROWS) > 1
+        if several:
+            return [h[2] if h[1] else None, h[4] if h[3] else None, size(r), None if h[0] == 2**63 - 1 else h[0]]
+        return [r[3], r[2], size(r), r[0]]
+    values = [own(r) for r in ROWS]
+    columns = [sorted(v[d] for v in values if v[d] is not None) for d in range(4)]
+    cut = lambda known, v: 0 if v is None else sum(v > c for c in {known[max(0, math.ceil(q * len(known) / 4) - 1)] for q in (1, 2, 3)})
+    cells = {tuple(cut(k, x) for k, x in zip(columns, v)) for v in values}
+    order = {c: int(sharding.hilbert_index(np.array([c]), 2)[0]) for c in cells}
+    place = Counter((r[0], order[tuple(cut(k, x) for k, x in zip(columns, v))]) for r, v in zip(ROWS, values))
+    assert Counter((r.doc_id, r.curve) for r in got) == place
+
+
 @pytest.mark.parametrize("law", ["rows", "bytes"])
 def test_equal_texts_are_neighbours(docs, law):
     text = {}

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed
 from ..functions.text import content_key, let
-from ..sources.scratch import scratch_dir
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,87 +33,6 @@ def best_similarity(left: DataFrame, right: DataFrame, keys: list[str], left_id:
     return pairs.groupBy(*keys, left_id).agg(F.coalesce(F.max(dot(F.col(vector), F.col("_vector"))), F.lit(0.0)).alias("similarity"))
 
 
-def _through_disk(rows: DataFrame) -> DataFrame:
-    path = scratch_dir(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def best_in_blocks(left: DataFrame, right: DataFrame, left_id: str, size: int, vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """For each left row its largest dot product with any right row, right taken in blocks of bounded size.
-
-    `right` is a stated query set: its blocks of about `block` vectors are sent to the left rows' tasks one after the
-    other, so memory doesn't grow with either side.  After every fourth block the rows are written, so that a task
-    never has more than four Python workers.
-    """
-    spark = left.sparkSession
-    n = right.count()
-    blocks = max(1, -(-n // block))
-    rows = left.select(F.col(left_id).cast("long").alias("id"), vector).withColumn("best", F.lit(None).cast("double"))
-    for k in range(blocks):
-        part = right.where(F.pmod(F.xxhash64(vector), F.lit(blocks)) == k).select(vector).collect()  # about `block` rows
-        if not part:
-            continue
-        shared = spark.sparkContext.broadcast(np.array([r[0] for r in part], np.float64).reshape(len(part), size))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                best = []
-                for a in range(0, len(pdf), 512):
-                    x = np.array(pdf[vector].iloc[a:a + 512].tolist(), np.float64).reshape(-1, size)
-                    best.append((x @ shared.value.T).max(1))
-                new = np.concatenate(best) if best else np.zeros(0)
-                yield pdf.assign(best=np.fmax(pdf["best"].to_numpy(np.float64), new))
-        rows = rows.mapInPandas(run, rows.schema)
-        if k % 4 == 3 and k + 1 < blocks:
-            rows = _through_disk(rows)
-    return rows.select(F.col("id").alias(left_id), F.coalesce("best", F.lit(0.0)).alias("similarity"))
-
-
-def best_other_in_blocks(rows: DataFrame, key: str, group: str, size: int, vector: str = "embedding", block: int = 65536) -> DataFrame:
-    """(group, key, similarity): each row's largest dot product with any other row of its group; rows without one are left out.
-
-    All rows of a group are compared with all, in blocks of about `block` vectors.  Blocks are dealt by the hash of the
-    key, so neither a large group nor equal vectors make a block larger.  After every fourth block the rows are written,
-    so that a task never has more than four Python workers.
-    """
-    spark = rows.sparkSession
-    known = rows.select(group, F.col(key).cast("long").alias("id"), vector).where(F.col(group).isNotNull() & F.col(vector).isNotNull())
-    blocks = max(1, -(-known.count() // block))
-    found = known.withColumn("best", F.lit(None).cast("double"))
-    for k in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()  # about `block` rows
-        if not part.num_rows:
-            continue
-        names, ids = part[group].to_numpy(), part["id"].to_numpy()
-        order = np.lexsort((ids, names))
-        others = part[vector].combine_chunks().flatten().to_numpy().reshape(-1, size)
-        shared = spark.sparkContext.broadcast((names[order], ids[order], others[order]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, ids, others = shared.value
-            for pdf in batches:
-                best, own, x = pdf["best"].to_numpy(np.float64, copy=True), pdf["id"].to_numpy(), pdf[vector].to_numpy()
-                for name, at in pdf.groupby(group).indices.items():
-                    start, end = np.searchsorted(names, name, "left"), np.searchsorted(names, name, "right")
-                    for a in range(0, len(at), 512):
-                        some = at[a:a + 512]
-                        left = np.stack(x[some]).astype(np.float64)
-                        for b in range(start, end, 4096):
-                            c = min(b + 4096, end)
-                            products = left @ others[b:c].astype(np.float64).T
-                            first, last = (np.searchsorted(ids[b:c], own[some], side) for side in ("left", "right"))
-                            for i in range((last - first).max()):  # the row itself
-                                hit = np.flatnonzero(first + i < last)
-                                products[hit, first[hit] + i] = np.nan
-                            best[some] = np.fmax(best[some], np.fmax.reduce(products, axis=1))
-                yield pdf.assign(best=best)
-        found = found.mapInPandas(run, found.schema)
-        if k % 4 == 3 and k + 1 < blocks:
-            found = _through_disk(found)
-    return found.select(group, F.col("id").alias(key), F.nanvl("best", F.lit(None).cast("double")).alias("similarity")).where("similarity is not null")
-
-
 def hashing_encoder(size: int = fixed.EMBEDDING_SIZE) -> Callable[[list[str]], np.ndarray]:
     """The encoder used where no model is given: signed hashed words, normalised."""
     import zlib

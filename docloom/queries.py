@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import fixed
 from .functions import conditions, criteria, rules, text, views
-from .operators import ml, ranking, vectors
+from .operators import ml, ranking, similarity, vectors
 from .plans import extract, training
 from .sources import articles
 from .sources.scratch import scratch_dir
@@ -498,8 +498,8 @@ SELECT vec_id, round(inclusion, 4) AS inclusion, round(exclusion, 4) AS exclusio
 def weak_labels(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     rest = e.where("label not in (1, 2)")
-    inc = vectors.best_in_blocks(rest, e.where("label = 1"), "vec_id", 64).withColumnRenamed("similarity", "inclusion")
-    exc = vectors.best_in_blocks(rest, e.where("label = 2"), "vec_id", 64).withColumnRenamed("similarity", "exclusion")
+    inc = similarity.best_match(rest, e.where("label = 1"), "vec_id", 64).withColumnRenamed("similarity", "inclusion")
+    exc = similarity.best_match(rest, e.where("label = 2"), "vec_id", 64).withColumnRenamed("similarity", "exclusion")
     return inc.join(exc, "vec_id").select("vec_id", F.round("inclusion", 4).alias("inclusion"), F.round("exclusion", 4).alias("exclusion"),
                                           ranking.weak_label(F.col("inclusion"), F.col("exclusion")).alias("label"))
 
@@ -508,7 +508,7 @@ def weak_labels(spark, sf_dir):
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id <> a.vec_id GROUP BY a.label, a.vec_id""")
 def cosine_max(spark, sf_dir):
     """Every vector against all others of its label."""
-    found = vectors.best_other_in_blocks(table(spark, sf_dir, "embeddings"), "vec_id", "label", 64)
+    found = similarity.best_other(table(spark, sf_dir, "embeddings"), "vec_id", "label", 64)
     return found.select("label", "vec_id", F.round("similarity", 4).alias("similarity"))
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from docloom import fixed, queries
-from docloom.operators import ml, ranking, vectors
+from docloom.operators import ml, ranking, similarity, vectors
 from docloom.plans import extract, training
 from docloom.sources import articles, markup
 
@@ -125,9 +125,9 @@ def test_best_similarity(spark):
     right = spark.createDataFrame([(1, [1.0, 0.0])], "k int, embedding array<float>")
     got = {r.id: r.similarity for r in vectors.best_similarity(e, right, ["k"], "id").collect()}
     assert got == {1: 1.0, 2: 0.0, 3: 0.0}
-    blocks = {r.id: r.similarity for r in vectors.best_in_blocks(e, right, "id", 2).collect()}
+    blocks = {r.id: r.similarity for r in similarity.best_match(e, right, "id", 2).collect()}
     assert blocks[1] == 1.0
-    assert {r.id: r.similarity for r in vectors.best_in_blocks(e, right.limit(0), "id", 2).collect()} == {1: 0.0, 2: 0.0, 3: 0.0}
+    assert {r.id: r.similarity for r in similarity.best_match(e, right.limit(0), "id", 2).collect()} == {1: 0.0, 2: 0.0, 3: 0.0}
 
 
 def test_cosine_max_whole_has_partners_of_every_id(spark, tmp_path):
@@ -137,7 +137,7 @@ def test_cosine_max_whole_has_partners_of_every_id(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
     want = {1: 0.6, 200: 0.8, 201: 0.8, 300: 1.0, 301: 1.0}
     assert {r.vec_id: r.similarity for r in entry.queries()["cosine_max"](spark, str(tmp_path)).collect()} == want
-    blocks = vectors.best_other_in_blocks(rows, "vec_id", "label", 64, block=1).collect()
+    blocks = similarity.best_other(rows, "vec_id", "label", 64, block=1).collect()
     assert {r.vec_id: round(r.similarity, 4) for r in blocks} == want
 
 

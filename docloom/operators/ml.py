@@ -1,8 +1,15 @@
 """TF-IDF with logistic regression, and the sentence ranker, on pyspark.ml."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StopWordsRemover
@@ -13,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from .. import fixed
 from ..functions.rules import cue_features
 from ..functions.text import let
+from ..sources.scratch import kept
 from . import ranking
 
 
@@ -28,65 +36,90 @@ def word_terms(text: Column, stop_words: list[str], ngrams: int = 2) -> Column:
     return let(words, lambda w: F.concat(w, *[grams(w, n) for n in range(2, ngrams + 1)]))
 
 
-#: The physical columns of a sparse vector, and how such columns are read as one.
-_SPARSE = T.StructType([T.StructField("v", VectorUDT())])
+def term_runs(terms: Column) -> Column:
+    """struct(terms, tfs): the different terms of an array in order, and how often each occurs; runs of the sorted array."""
+    none = F.array().cast("array<int>")
 
+    def runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(none)
+        begin = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(begin, lambda b: F.struct(F.transform(b, lambda i: F.get(s, i)).alias("terms"),
+                                             F.transform(b, lambda i, k: F.coalesce(F.get(b, k + 1), F.size(s)) - i).alias("tfs")))
+    return let(F.sort_array(terms), runs)
 
-def sparse_vector(size: int, pairs: Column) -> Column:
-    """A sparse vector of an array of (index, weight), ordered by index, without leaving the JVM.
 
-    Expressions can't build the type; the JSON reader can, of its physical columns.
-    """
-    parts = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), F.transform(pairs, lambda p: p["index"]).alias("indices"),
-                     F.transform(pairs, lambda p: p["weight"]).alias("values"))
-    return F.from_json(F.to_json(F.struct(parts.alias("v"))), _SPARSE)["v"]
+_PAIRS = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
 
 
 @dataclass
 class TfIdf:
     """A vocabulary (term, index, df, idf) of at most `features` terms, largest counts first.
 
-    Rows are known by their texts: equal texts have equal vectors and are counted together, and ids play no part.
+    A row's terms are counted inside the row, and rows are weighted where they are: texts and occurrences are never
+    shuffled, only the terms' counts, combined by each task before.
     """
     vocabulary: DataFrame
     size: int
     stop_words: list[str]
     ngrams: int = 2
 
-    @staticmethod
-    def term_counts(docs: DataFrame, text: str, stop_words: list[str], ngrams: int) -> DataFrame:
-        """(_text, rows, term, tf): how often each different text has a term, and in how many rows the text is."""
-        own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_t")).select(F.md5("_t").alias("_text"), "_t")
-        texts = own.groupBy("_text").agg(F.first("_t").alias("_t"), F.count("*").alias("rows"))
-        terms = texts.select("_text", "rows", F.explode(word_terms(F.col("_t"), stop_words, ngrams)).alias("term"))
-        return terms.groupBy("_text", "rows", "term").agg(F.count("*").alias("tf"))
-
     @classmethod
     def fit(cls, docs: DataFrame, text: str, features: int = 30000, min_df: int = 2, ngrams: int = 2, stop_words: list[str] | None = None) -> "TfIdf":
         stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
-        n = docs.count()
-        counts = cls.term_counts(docs, text, stop, ngrams)
-        terms = counts.groupBy("term").agg(F.sum("rows").alias("df"), F.sum(F.col("tf") * F.col("rows")).alias("total")).where(F.col("df") >= min_df)
+        runs = docs.select(term_runs(word_terms(F.col(text), stop, ngrams)).alias("r"))
+        pairs = runs.select(F.explode(F.arrays_zip("r.terms", "r.tfs")).alias("p"))
+        terms = pairs.groupBy(F.col("p.terms").alias("term")).agg(F.count("*").alias("df"), F.sum("p.tfs").alias("total"))
+        return cls.of_counts(terms, docs.count(), features, min_df, stop, ngrams)
+
+    @classmethod
+    def of_counts(cls, terms: DataFrame, n: int, features: int, min_df: int, stop_words: list[str], ngrams: int) -> "TfIdf":
+        """Of (term, df, total) in n rows."""
         # At most `features` rows from here on.
-        top = terms.orderBy(F.desc("total"), "term").limit(features)
+        top = terms.where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(features)
         idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
         index = F.row_number().over(Window.orderBy("term")) - 1
-        vocabulary = top.select("term", index.alias("index"), "df", idf.alias("idf")).persist()
-        return cls(vocabulary, features, stop, ngrams)
+        return cls(kept(top.select("term", index.alias("index"), "df", idf.alias("idf"))), features, stop_words, ngrams)
+
+    def _weigh(self, vector: bool) -> Callable[[Column, Column], Column]:
+        """A UDF from a row's terms and counts to (1 + ln tf) * idf of length 1, by index; terms are looked up by Arrow for a batch at once."""
+        found = self.vocabulary.select("term", "index", "idf").toArrow().sort_by("index")  # at most `features` rows
+        shared = self.vocabulary.sparkSession.sparkContext.broadcast((found.column("term").combine_chunks(), found.column("idf").to_numpy()))
+        size = self.size
+
+        def run(terms: pa.Array, tfs: pa.Array) -> pa.Array:
+            names, idf = shared.value
+            n = len(terms)
+            row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+            at = pc.fill_null(pc.index_in(terms.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
+            keep = at >= 0
+            row, at, tf = row[keep], at[keep], tfs.flatten().to_numpy(zero_copy_only=False)[keep]
+            weight = (1 + np.log(tf)) * idf[at]
+            weight /= np.sqrt(np.bincount(row, weight * weight, n))[row]
+            order = np.lexsort((at, row))
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
+            index, weight = pa.array(at[order].astype(np.int32)), pa.array(weight[order])
+            if not vector:
+                return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([index, weight], ["index", "weight"]))
+            return pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(ends, index),
+                                               pa.ListArray.from_arrays(ends, weight)], ["type", "size", "indices", "values"])
+        return F.arrow_udf(run, VectorUDT() if vector else _PAIRS)
+
+    def _runs(self, docs: DataFrame, text: str) -> DataFrame:
+        return docs.withColumn("_r", term_runs(word_terms(F.col(text), self.stop_words, self.ngrams)))
 
     def weights(self, docs: DataFrame, text: str) -> DataFrame:
-        """(_text, term, index, weight) of each different text: (1 + ln tf) * idf, vectors of length 1."""
-        counts = self.term_counts(docs, text, self.stop_words, self.ngrams)
-        raw = counts.join(F.broadcast(self.vocabulary), "term").select("_text", "term", "index", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_text")))
-        return raw.select("_text", "term", "index", (F.col("w") / norm).alias("weight"))
+        """The columns of docs with term, index and weight: a row for each known term of each row."""
+        pairs = self._runs(docs, text).withColumn("_p", F.explode(self._weigh(False)(F.col("_r.terms"), F.col("_r.tfs"))))
+        found = pairs.select(*docs.columns, "_p.index", "_p.weight").join(F.broadcast(self.vocabulary.select("term", "index")), "index")  # `features` rows at most
+        return found.select(*docs.columns, "term", "index", "weight")
 
     def transform(self, docs: DataFrame, text: str) -> DataFrame:
         """docs with `features`; texts without known terms have the zero vector."""
-        rows = self.weights(docs, text).groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_pairs"))
-        none = F.array().cast("array<struct<index: int, weight: double>>")
-        found = docs.join(rows, F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("_text"), "left")
-        return found.withColumn("features", sparse_vector(self.size, F.coalesce("_pairs", none))).drop("_pairs", "_text")
+        return self.vectors(self._runs(docs, text), F.col("_r")).drop("_r")
+
+    def vectors(self, rows: DataFrame, runs: Column) -> DataFrame:
+        """rows with `features`, of runs as `term_runs` makes them."""
+        return rows.withColumn("features", self._weigh(True)(runs["terms"], runs["tfs"]))
 
 
 def read_if_there(spark: SparkSession, schema: str, path: str):
@@ -129,6 +162,10 @@ class TextClassifier:
         return TextClassifier(tfidf, LogisticRegressionModel.load(f"{path}/model"), meta["labels"])
 
 
+#: Rows that one task of a fit's step takes at least.
+_ROWS = 2048
+
+
 def _regression(rows: DataFrame, c: float, balanced: bool, max_iter: int) -> LogisticRegressionModel:
     """The minimum of |w|^2 / 2 + C * weighted losses, as mean loss plus a penalty of 1 / (C * sum of weights)."""
     weight = F.lit(1.0)
@@ -137,7 +174,9 @@ def _regression(rows: DataFrame, c: float, balanced: bool, max_iter: int) -> Log
         rows = rows.join(F.broadcast(weights), "label_index")  # one row a class
         weight = F.col("weight")
     rows = rows.withColumn("_w", weight)
-    total = rows.agg(F.sum("_w")).first()[0]
+    total, n = rows.agg(F.sum("_w"), F.count("*")).first()
+    # Every step of the fit is a job over all partitions; few rows need few of them.
+    rows = rows.coalesce(1 + n // _ROWS)
     return LogisticRegression(featuresCol="features", labelCol="label_index", weightCol="_w", maxIter=max_iter, regParam=1 / (c * total),
                               standardization=False).fit(rows)
 
@@ -164,29 +203,79 @@ def fit_classifier(docs: DataFrame, text: str, label: str, c: float = 4.0, balan
     return TextClassifier(tfidf, model, labels)
 
 
-def fold_predictions(dealt: DataFrame, text: str, label: str, output: str, folds: int = 5, **options) -> list[DataFrame]:
+class Folds:
+    """Cross-validation of text classifiers over dealt rows (with `fold`): one scan of the texts for all folds.
+
+    Terms are counted inside each row, once; a table holds each term's counts over all rows and over each fold's, and the
+    vocabulary that goes without a fold is made of their differences.  Rows without a label are predicted only.
+    """
+
+    def __init__(self, dealt: DataFrame, text: str, label: str, folds: int = 5, features: int = 30000, min_df: int = 2, ngrams: int = 2,
+                 stop_words: list[str] | None = None, c: float = 4.0, max_iter: int = 100, parallelism: int = 4):
+        self.parallelism = parallelism  # fits at once, each with its vectors in store
+        self.stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
+        self.label, self.folds, self.features, self.min_df, self.ngrams, self.c, self.max_iter = label, folds, features, min_df, ngrams, c, max_iter
+        self.rows = kept(dealt.withColumn("_r", term_runs(word_terms(F.col(text), self.stop, ngrams))))
+        rated = self.rows.where(F.col(label).isNotNull())
+        pairs = rated.select("fold", F.explode(F.arrays_zip("_r.terms", "_r.tfs")).alias("p"))
+        own = [f(F.when(F.col("fold") == k, x)).alias(f"{n}_{k}") for k in range(folds) for n, f, x in (("df", F.count, F.lit(1)), ("total", F.sum, F.col("p.tfs")))]
+        terms = pairs.groupBy(F.col("p.terms").alias("term")).agg(F.count("*").alias("df"), F.sum("p.tfs").alias("total"), *own)
+        self.terms = kept(terms.where(F.col("df") >= min_df))
+        #: (label, fold) -> rows: one for each class and fold.
+        self.sizes = {(r[0], r[1]): r[2] for r in rated.groupBy(label, "fold").count().collect()}
+
+    def tfidf(self, k: int) -> TfIdf:
+        """What the rows of all folds but k give."""
+        less = lambda n: (F.col(n) - F.coalesce(F.col(f"{n}_{k}"), F.lit(0))).alias(n)
+        n = sum(v for (_, fold), v in self.sizes.items() if fold != k)
+        return TfIdf.of_counts(self.terms.select("term", less("df"), less("total")), n, self.features, self.min_df, self.stop, self.ngrams)
+
+    def predictions(self, output: str, balanced: tuple[bool, ...] = (True,)) -> list[list[DataFrame]]:
+        """For each fold and each choice of class weights the fold's rows and the label that the model of the other folds tells."""
+        def fold(k: int) -> list[DataFrame]:
+            labels = sorted({x for (x, fold) in self.sizes if fold != k})
+            own = F.col("fold") == k
+            if not labels:
+                return [self.rows.where(own).drop("_r").withColumn(output, F.lit(None).cast("string"))] * len(balanced)
+            names = F.array(*[F.lit(x) for x in labels])
+            seen = self.tfidf(k).vectors(self.rows, F.col("_r")).drop("_r").withColumn("label_index", (F.array_position(names, F.col(self.label)) - 1).cast("double"))
+            others = seen.where(~own & F.col("label_index").isNotNull()).select("label_index", "features").persist()
+            models = [_regression(others, self.c, b, self.max_iter) for b in balanced]
+            others.unpersist()
+            told = lambda m: m.transform(seen.where(own)).withColumn(output, F.element_at(names, F.col("prediction").cast("int") + 1))
+            return [told(m).drop("label_index", "features", "rawPrediction", "probability", "prediction") for m in models]
+        with ThreadPool(self.parallelism) as pool:  # a fit is many small jobs, one after the other
+            return pool.map(inheritable_thread_target(self.rows.sparkSession)(fold), range(self.folds))
+
+
+def fold_predictions(dealt: DataFrame, text: str, label: str, output: str, folds: int = 5, balanced: bool = True, **options) -> list[DataFrame]:
     """For each fold its rows of dealt (with `fold`) and the label that the model of the other folds predicts."""
-    return [fit_classifier(dealt.where(F.col("fold") != k), text, label, **options).predict(dealt.where(F.col("fold") == k), text, output)
-            for k in range(folds)]
+    return [each[0] for each in Folds(dealt, text, label, folds, **options).predictions(output, (balanced,))]
+
+
+def _accuracy(told: list[DataFrame], label: str) -> float:
+    """Mean over the folds' shares of right rows, to four places."""
+    rows = reduce(DataFrame.unionByName, told).where(F.col(label).isNotNull())
+    scores = rows.groupBy("fold").agg(F.avg((F.col("_told") == F.col(label)).cast("double")).alias("s"))
+    return round(scores.agg(F.avg("s")).first()[0] or 0.0, 4)
+
+
+def _dealt(docs: DataFrame, key: str, label: str, folds: int, seed: int) -> DataFrame:
+    return ranking.stratified_folds(docs, label, F.xxhash64(F.col(key), F.lit(seed)), folds)
 
 
 def cross_validated_accuracy(docs: DataFrame, key: str, text: str, label: str, folds: int = 5, seed: int = 0, **options) -> float:
     """Mean accuracy over stratified folds, to four places."""
-    dealt = ranking.stratified_folds(docs, label, F.xxhash64(F.col(key), F.lit(seed)), folds)
-    scores = [found.agg(F.avg((F.col("_told") == F.col(label)).cast("double"))).first()[0]
-              for found in fold_predictions(dealt, text, label, "_told", folds, **options)]
-    known = [s for s in scores if s is not None]
-    return round(sum(known) / len(known), 4) if known else 0.0
-
-
-def best_balance(docs: DataFrame, key: str, text: str, label: str, folds: int = 5, **options) -> tuple[TextClassifier, bool, float]:
-    """The classifier of the better cross-validated choice of class weights; the first wins ties."""
-    best, at = -1.0, False
-    for balanced in (False, True):
-        got = cross_validated_accuracy(docs, key, text, label, folds, balanced=balanced, **options)
-        if got > best:
-            best, at = got, balanced
-    return fit_classifier(docs, text, label, balanced=at, **options), at, best
+    return _accuracy(fold_predictions(_dealt(docs, key, label, folds, seed), text, label, "_told", folds, **options), label)
+
+
+def best_balance(docs: DataFrame, key: str, text: str, label: str, folds: int = 5, seed: int = 0, **options) -> tuple[TextClassifier, bool, float]:
+    """The classifier of the better cross-validated choice of class weights; the first wins ties.  Both are tried on the same folds."""
+    choices = (False, True)
+    told = Folds(_dealt(docs, key, label, folds, seed), text, label, folds, **options).predictions("_told", choices)
+    scores = [_accuracy([each[i] for each in told], label) for i in range(len(choices))]
+    at = scores.index(max(scores))
+    return fit_classifier(docs, text, label, balanced=choices[at], **options), choices[at], scores[at]
 
 
 # --- sentence ranker -------------------------------------------------------------------------------------------

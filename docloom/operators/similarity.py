@@ -18,19 +18,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import kept
 
 #: Directions for each block's worth of rows, and at most; room for rounding in bounds.
 _FINE, _DIRECTIONS, _ROOM = 8, 4096, 1e-6
 _BLOCK = ("part string, block string, ids array<long>, numbers array<long>, data binary, centre array<double>, radius double, reach double")
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    path = scratch_dir(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -51,7 +45,7 @@ def _pack(rows: pa.Table) -> pa.Table:
 def numbered(rows: DataFrame, key: str, vector: str, part: Column) -> DataFrame:
     """(number, part, id, v): rows with a vector and a part, written, with a number of their own."""
     known = rows.select(part.cast("string").alias("part"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return _kept(known.where("part is not null and v is not null").select(F.monotonically_increasing_id().alias("number"), "*"))
+    return kept(known.where("part is not null and v is not null").select(F.monotonically_increasing_id().alias("number"), "*"))
 
 
 def blocks(rows: DataFrame, size: int, block: int) -> DataFrame:
@@ -63,12 +57,12 @@ def blocks(rows: DataFrame, size: int, block: int) -> DataFrame:
     def cell(vectors: pd.Series) -> pd.Series:
         x = np.array(vectors.tolist(), np.float64).reshape(-1, size)
         return pd.Series(np.concatenate([(x[i:i + 512] @ directions.T).argmax(1) for i in range(0, len(x), 512)] or [[]]).astype(np.int32))
-    celled = _kept(rows.withColumn("cell", cell("v")))
+    celled = kept(rows.withColumn("cell", cell("v")))
     counts = celled.groupBy("part", "cell").agg(F.count("*").alias("n"))
     # Numbers, not values, split a large cell, so equal vectors are split too.
     place = F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / block))
     dealt = celled.join(counts, ["part", "cell"]).withColumn("block", F.concat_ws("/", "part", "cell", place.cast("string")))
-    return _kept(dealt.select("part", "block", "id", "number", "v").groupBy("block").applyInArrow(_pack, _BLOCK))
+    return kept(dealt.select("part", "block", "id", "number", "v").groupBy("block").applyInArrow(_pack, _BLOCK))
 
 
 def _bounded(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -124,16 +118,16 @@ def best_products(left: DataFrame, right: DataFrame, size: int, exclude: bool =
     """
     a = blocks(left, size, block)
     b = a if right is left else blocks(right, size, block)
-    pairs = _kept(_bounded(a, b))
-    first = _kept(pairs.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b")))
+    pairs = kept(_bounded(a, b))
+    first = kept(pairs.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b")))
     own = a.select(F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("numbers").alias("a_numbers"), F.col("data").alias("a_data"))
     other = b.select(F.col("block").alias("b"), F.col("ids").alias("b_ids"), F.col("data").alias("b_data"), "centre", "radius")
     schema = "a string, at int, number long, id long, best double"
     met = first.join(own, "a").join(other, "b").withColumn("best", F.lit(None).cast("array<double>"))
-    found = _kept(met.mapInArrow(_products(size, exclude), schema))
+    found = kept(met.mapInArrow(_products(size, exclude), schema))
     # Each block's rows in order, and what its worst one has; nothing yet for rows without a partner in that block.
     none = F.lit(float("-inf"))
-    known = _kept(found.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "best"))), lambda x: F.coalesce(x["best"], none)).alias("best"),
+    known = kept(found.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "best"))), lambda x: F.coalesce(x["best"], none)).alias("best"),
                                          F.min(F.coalesce("best", none)).alias("least")))
     rest = pairs.join(first.withColumnRenamed("b", "had"), "a").join(known, "a").where((F.col("b") != F.col("had")) & (F.col("bound") > F.col("least")))
     if seen is not None:
@@ -145,7 +139,7 @@ def best_products(left: DataFrame, right: DataFrame, size: int, exclude: bool =
 
 def best_match(left: DataFrame, right: DataFrame, left_id: str, size: int, vector: str = "embedding", block: int = 1024) -> DataFrame:
     """(left_id, similarity) of each left row: its largest product with any right row; 0 if there is none, or its vector is null."""
-    own = _kept(left.select(F.monotonically_increasing_id().alias("row"), F.col(left_id).alias(left_id), F.col(vector).alias("v")))
+    own = kept(left.select(F.monotonically_increasing_id().alias("row"), F.col(left_id).alias(left_id), F.col(vector).alias("v")))
     rows = numbered(own, "row", "v", F.lit("all"))
     found = best_products(rows, numbered(right.withColumn("_id", F.lit(0)), "_id", vector, F.lit("all")), size, block=block)
     return own.join(found.select(F.col("id").alias("row"), "best"), "row", "left").select(left_id, F.coalesce("best", F.lit(0.0)).alias("similarity"))

@@ -65,12 +65,16 @@ def cache_misses(texts: DataFrame, cache: DataFrame, text: str = "text") -> Data
     return keyed.dropDuplicates(["text_sha1"]).join(cache.select("text_sha1"), "text_sha1", "left_anti")
 
 
+def embedded(texts: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
+    """texts with text_sha1 and, of the cache, embedding."""
+    known = cache.select("text_sha1", "embedding").dropDuplicates(["text_sha1"])  # a cache may hold a text twice
+    return texts.withColumn("text_sha1", content_key(F.col(text))).join(known, "text_sha1", "left")
+
+
 def embed(texts: DataFrame, cache: DataFrame, make_encoder=hashing_encoder, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts with text_sha1 and embedding, new cache rows).  Only texts that the cache lacks are encoded."""
+    """(texts with text_sha1 and embedding, new cache rows).  Only texts that the cache lacks are encoded, by each plan that uses them."""
     new = encode_texts(cache_misses(texts, cache, text), make_encoder)
-    keyed = texts.withColumn("text_sha1", content_key(F.col(text)))
-    known = cache.select("text_sha1", "embedding").dropDuplicates(["text_sha1"])  # a cache may hold a text twice
-    return keyed.join(known.unionByName(new), "text_sha1", "left"), new
+    return embedded(texts, cache.select("text_sha1", "embedding").unionByName(new), text), new
 
 
 def append_cache(new: DataFrame, path: str) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import fixed
 from ..functions import conditions, criteria, rules, text, views
 from ..operators import ml, ranking, vectors
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import kept
 
 
 def batched(make: Callable[[], Callable[[list[str]], list[str]]], batch: int) -> Callable[[Column], Column]:
@@ -97,13 +97,6 @@ def with_rule_fields(articles: DataFrame, lexicons: Lexicons = MEDICAL) -> DataF
         "maximum_age": F.lit(None).cast("string")})
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """rows from a table written once."""
-    path = scratch_dir(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def numbered(articles: DataFrame) -> DataFrame:
     """articles with _row, a number of each row, so that repeated ids stay apart."""
     return kept(articles.withColumn("_row", F.monotonically_increasing_id()))
@@ -181,7 +174,8 @@ def rank_eligibility(articles: DataFrame, models: Models, key: str = "pmcid") ->
     if cache is None:
         cache = articles.sparkSession.createDataFrame([], "text_sha1 string, embedding array<float>")
     embedded, _ = vectors.embed(sentences, cache, models.make_encoder)
-    sides = ml.ranked_criteria(models.ranker.probabilities(embedded), key)
+    scored = kept(models.ranker.probabilities(embedded).select(key, "pos", "text", "p_inclusion", "p_exclusion"))  # both sides read it
+    sides = ml.ranked_criteria(scored, key)
     return sides.select(key, criteria.format_criteria(F.col("inclusion"), F.col("exclusion")).alias("ranked"))
 
 

@@ -1,23 +1,31 @@
 """Training plans: labelled articles to classifiers, ranker, and generator pairs."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
 from ..functions import conditions, criteria, text, views
 from ..operators import ml, ranking, vectors
+from ..sources.scratch import kept
 from .extract import Models, sentences_of
 
 
 def labelled_sentences(articles: DataFrame, gold: DataFrame, cache: DataFrame, make_encoder=vectors.hashing_encoder) -> DataFrame:
     """(pmcid, pos, text, embedding, label): candidate sentences weakly labelled by their similarity to gold bullets."""
     bullets = gold.select(F.col("pmcids").alias("pmcid"), criteria.parse_bullets(F.col("eligibility_criteria")).alias("b"))
-    sides = [bullets.select("pmcid", F.explode(f"b.{s}").alias("text")) for s in ("inclusion", "exclusion")]
-    candidates, _ = vectors.embed(sentences_of(articles), cache, make_encoder)
+    sides = {s: bullets.select("pmcid", F.explode(f"b.{s}").alias("text")) for s in ("inclusion", "exclusion")}
+    sentences = kept(sentences_of(articles))
+    # Every text of either side is encoded once, whichever uses it later on.
+    texts = reduce(DataFrame.unionByName, [x.select("text") for x in (sentences, *sides.values())])
+    new = kept(vectors.encode_texts(vectors.cache_misses(texts, cache), make_encoder))
+    known = cache.select("text_sha1", "embedding").unionByName(new)
+    candidates = kept(vectors.embedded(sentences, known))
     best = candidates
-    for name, side in zip(("inclusion", "exclusion"), sides):
-        embedded, _ = vectors.embed(side, cache, make_encoder)
-        similar = vectors.best_similarity(candidates, embedded.select("pmcid", "embedding"), ["pmcid"], "pos")
+    for name, side in sides.items():
+        own = vectors.embedded(side, known).select("pmcid", "embedding")
+        similar = vectors.best_similarity(candidates, own, ["pmcid"], "pos")
         best = best.join(similar.withColumnRenamed("similarity", name), ["pmcid", "pos"])
     return best.select("pmcid", "pos", "text", "embedding", ranking.weak_label(F.col("inclusion"), F.col("exclusion")).alias("label"))
 
@@ -31,7 +39,7 @@ def train(articles: DataFrame, gold: DataFrame, cache: DataFrame, make_encoder=v
     study_score = ml.cross_validated_accuracy(rows, "pmcid", "_lexical", "study_type", folds, **options)
     study = ml.fit_classifier(rows, "_lexical", "study_type", **options)
     sex, balanced, sex_score = ml.best_balance(rows, "pmcid", "_lexical", "sex", folds, **options)
-    sentences = labelled_sentences(articles, gold, cache, make_encoder).persist()
+    sentences = kept(labelled_sentences(articles, gold, cache, make_encoder))
     some = sentences.select("label").distinct().count() > 1
     f1 = ml.cross_validated_macro_f1(sentences, "pmcid", max_iter=options.get("max_iter", 100)) if some else None
     ranker = ml.fit_ranker(sentences) if some else None

@@ -555,9 +555,8 @@ SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) A
 def tfidf_weights(spark, sf_dir):
     """Weights of words and pairs of words, without stop words."""
     docs = table(spark, sf_dir, "documents")
-    found = ml.TfIdf.fit(docs, "text", stop_words=STOP_WORDS).weights(docs, "text")
-    own = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("_text"))
-    return own.join(found, "_text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    found = ml.TfIdf.fit(docs, "text", stop_words=STOP_WORDS).weights(docs.select("doc_id", "text"), "text")
+    return found.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS DOUBLE) AS label_index FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")

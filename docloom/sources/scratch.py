@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -19,3 +19,10 @@ def scratch_dir(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """rows from a table written once, for plans that read them several times."""
+    path = scratch_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

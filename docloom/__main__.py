@@ -20,7 +20,7 @@ from .operators.ranking import distinct_check
 from .operators.vectors import hashing_encoder
 from .plans import training
 from .plans.extract import Models, batched, inference
-from .sources.articles import read_articles, read_labels, read_submission, write_pairs, write_submission
+from .sources.articles import read_asked, read_labels, read_submission, write_pairs, write_submission
 
 
 def _factory(name: str | None, device: str | None) -> Callable | None:
@@ -57,7 +57,7 @@ def _infer(spark: SparkSession, args: list[str]) -> None:
         hooks["generate"] = batched(_factory(a.generator, a.device), a.batch)
     models = Models.load(spark, a.models, **hooks) if a.models else Models(**hooks)
     ids = read_labels(spark, a.ids, a.format)
-    write_submission(inference(ids, read_articles(spark, a.articles, a.parsed), models), a.out)
+    write_submission(inference(ids, read_asked(spark, a.articles, ids, a.parsed), models), a.out)
     row = distinct_check(read_submission(spark, a.out), "pmcids").first()
     if not row["unique"]:
         raise SystemExit(f"{row['n_rows']} rows but {row['n_keys']} ids")
@@ -71,7 +71,8 @@ def _train(spark: SparkSession, args: list[str]) -> None:
     p.add_argument("--max-iter", type=int, default=100)
     a = p.parse_args(args)
     none = spark.createDataFrame([], "text_sha1 string, embedding array<float>")
-    articles, gold = read_articles(spark, a.articles, a.parsed), read_labels(spark, a.gold, a.format)
+    gold = read_labels(spark, a.gold, a.format)
+    articles = read_asked(spark, a.articles, gold, a.parsed)
     models, meta = training.train(articles, gold, none, _factory(a.encoder, a.device) or hashing_encoder, folds=a.folds, max_iter=a.max_iter)
     models.save(a.models)
     meta.write.mode("overwrite").json(f"{a.models}/measured")
@@ -82,7 +83,8 @@ def _pairs(spark: SparkSession, args: list[str]) -> None:
     p.add_argument("--gold", required=True, help="table of labels")
     p.add_argument("--out", required=True, help="folder; gen_cond and gen_elig are written there")
     a = p.parse_args(args)
-    both = training.generator_pairs(read_articles(spark, a.articles, a.parsed), read_labels(spark, a.gold, a.format))
+    gold = read_labels(spark, a.gold, a.format)
+    both = training.generator_pairs(read_asked(spark, a.articles, gold, a.parsed), gold)
     for name, pairs in zip(("gen_cond", "gen_elig"), both):
         write_pairs(pairs, f"{a.out}/{name}")
 

@@ -1,6 +1,7 @@
 """Articles and tables from files, and the adapters of other tables to the article schema."""
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -58,19 +59,42 @@ def _columns(df: DataFrame, name: Column, fields: Column) -> DataFrame:
     return out.select("pmcid", *[c.alias(n) for n, c in record(F.col("f")).items()])
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+#: Files that are opened by their paths; more are read with their whole folder.
+LISTED = 10_000
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.nxml").load(path)
 
 
-def read_articles(spark: SparkSession, path: str, cache: str | None = None) -> DataFrame:
+def _file_id() -> Column:
+    return F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"^PMC|\.nxml$", "")
+
+
+def read_asked(spark: SparkSession, path: str, ids: DataFrame, cache: str | None = None, listed: int = LISTED) -> DataFrame:
+    """The articles of the ids (pmcids) that have a file, as `read_articles` gives them.
+
+    The folder is listed without its contents and joined with the ids, and only files of theirs are opened.  Their paths
+    go to the driver, up to `listed` of them; for more ids the folder is read and joined, with the same result.
+    """
+    asked = ids.select("pmcids").where("pmcids is not null").distinct()
+    names = _files(spark, path).select("path", _file_id().alias("pmcids"))
+    found = [r["path"] for r in names.join(asked, "pmcids", "left_semi").select("path").limit(listed + 1).collect()]
+    if len(found) > listed:
+        return read_articles(spark, path, cache).join(asked, F.col("pmcid") == F.col("pmcids"), "left_semi")
+    if not found:
+        return spark.createDataFrame([], ARTICLE)
+    return read_articles(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", x) for x in sorted(found)], cache)
+
+
+def read_articles(spark: SparkSession, path: str | list[str], cache: str | None = None) -> DataFrame:
     """One article for each PMC<id>.nxml file; unreadable ones have defaults and keep their id.
 
     With a cache (a folder of Parquet files), files that it holds as they are, by path, size and time, aren't parsed
     again, and new ones are added to it.  Spark doesn't list files of length zero; `lookup` gives their ids the same
     defaults.
     """
-    files = _files(spark, path)
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"^PMC|\.nxml$", "")
+    files, name = _files(spark, path), _file_id()
     if cache is None:
         return _columns(files, name, _article("content"))
     mark = ["path", "length", "modificationTime"]

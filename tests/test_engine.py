@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from jobs import queries as job_queries
 from docloom import fixed, queries
 from docloom.operators import ml, ranking, similarity, vectors
 from docloom.plans import extract, training
@@ -54,6 +55,27 @@ def test_body_without_sections(spark):
     assert got["sections"] == [{"title": "", "text": "all text"}] and deep["sections"] == [{"title": "", "text": "x"}]
 
 
+def test_only_asked_files_are_opened(spark, tmp_path):
+    """Files of other ids aren't among what is read; empty, missing and repeated ids, and odd folder names."""
+    folder = tmp_path / "a [b] {c}"
+    folder.mkdir()
+    for i in range(30):
+        (folder / f"PMC{i}.nxml").write_text(JATS.replace("77", str(i)))
+    (folder / "PMC40.nxml").write_text("")
+    (folder / "other.txt").write_text("x")
+    path = "file://" + str(folder).replace("[", "\\[").replace("]", "\\]").replace("{", "\\{").replace("}", "\\}")
+    ids = spark.createDataFrame([("3",), ("7",), ("7",), ("40",), ("99",), (None,)], "pmcids string")
+    found = articles.read_asked(spark, path, ids)
+    assert {f.rsplit("/", 1)[1] for f in found.inputFiles()} == {"PMC3.nxml", "PMC7.nxml"}
+    want = sorted((r.pmcid, r.pmid, r.title) for r in articles.read_articles(spark, path).where("pmcid in ('3', '7')").collect())
+    got = lambda **k: sorted((r.pmcid, r.pmid, r.title) for r in articles.read_asked(spark, path, ids, **k).collect())
+    assert got() == want == got(listed=1) == got(cache=f"file://{tmp_path}/kept") == got(cache=f"file://{tmp_path}/kept") and len(want) == 2
+    assert spark.read.parquet(f"file://{tmp_path}/kept").count() == 2
+    assert articles.read_asked(spark, path, ids.limit(0)).collect() == []
+    rows = articles.lookup(ids.where("pmcids is not null"), articles.read_asked(spark, path, ids)).collect()
+    assert sorted((r.pmcids, r.pmid) for r in rows) == [("3", "3"), ("40", ""), ("7", "7"), ("7", "7"), ("99", "")]
+
+
 def test_parsed_articles_are_cached(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "PMC1.nxml").write_text(JATS)
@@ -317,12 +339,13 @@ def test_entry_without_the_subpackage(tmp_path):
     import sys
     here = os.path.dirname(os.path.abspath(entry.__file__))
     shutil.copytree(f"{here}/docloom", tmp_path / "docloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(f"{here}/jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
 
     def run():
         return subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""},
                               capture_output=True, text=True)
-    assert run().stdout.split() == [str(len(queries.QUERIES)), str(len(queries.ORACLE_SQL))]
+    assert run().stdout.split() == [str(len(queries.QUERIES) + len(job_queries.QUERIES)), str(len(queries.ORACLE_SQL) + len(job_queries.ORACLE_SQL))]
     (tmp_path / "docloom" / "llm").mkdir()
     (tmp_path / "docloom" / "llm" / "__init__.py").write_text("")
     (tmp_path / "docloom" / "llm" / "queries.py").write_text("import not_installed_anywhere")

@@ -253,11 +253,19 @@ def fold_predictions(dealt: DataFrame, text: str, label: str, output: str, folds
     return [each[0] for each in Folds(dealt, text, label, folds, **options).predictions(output, (balanced,))]
 
 
+def mean_fold_score(rows: DataFrame, label: str, told: str) -> float:
+    """Mean over the folds (`fold`) of their shares of rows that are told right, to four places; rows without a label don't count."""
+    scores = rows.where(F.col(label).isNotNull()).groupBy("fold").agg(F.avg(F.coalesce(F.col(told) == F.col(label), F.lit(False)).cast("double")).alias("s"))
+    return scores.agg(F.round(F.avg("s"), 4)).first()[0] or 0.0
+
+
+def first_best(scores: list[float]) -> int:
+    """Which is the largest; the first of equal ones."""
+    return scores.index(max(scores))
+
+
 def _accuracy(told: list[DataFrame], label: str) -> float:
-    """Mean over the folds' shares of right rows, to four places."""
-    rows = reduce(DataFrame.unionByName, told).where(F.col(label).isNotNull())
-    scores = rows.groupBy("fold").agg(F.avg((F.col("_told") == F.col(label)).cast("double")).alias("s"))
-    return round(scores.agg(F.avg("s")).first()[0] or 0.0, 4)
+    return mean_fold_score(reduce(DataFrame.unionByName, told), label, "_told")
 
 
 def _dealt(docs: DataFrame, key: str, label: str, folds: int, seed: int) -> DataFrame:
@@ -274,7 +282,7 @@ def best_balance(docs: DataFrame, key: str, text: str, label: str, folds: int =
     choices = (False, True)
     told = Folds(_dealt(docs, key, label, folds, seed), text, label, folds, **options).predictions("_told", choices)
     scores = [_accuracy([each[i] for each in told], label) for i in range(len(choices))]
-    at = scores.index(max(scores))
+    at = first_best(scores)
     return fit_classifier(docs, text, label, balanced=choices[at], **options), choices[at], scores[at]
 
 

@@ -354,13 +354,15 @@ def _ranked(spark, sf_dir):
     return ranking.term_ranking(table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("pos", "term")), ["doc_id"])
 
 
-@query("WITH " + _RANKED + """, t AS (SELECT * FROM r WHERE rank <= 20)
-SELECT doc_id, string_agg(display, ' | ' ORDER BY rank) AS kept FROM t a
-WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.doc_id = a.doc_id AND b.display <> a.display AND contains(lower(b.display), lower(a.display))) GROUP BY doc_id""")
+@query(f"""WITH p AS (
+  SELECT doc_id, unnest(string_split_regex(text, '[.,;\\n]')) AS phrase, generate_subscripts(string_split_regex(text, '[.,;\\n]'), 1) - 1 AS pos FROM documents
+), w AS (SELECT doc_id, pos, list_filter(string_split(regexp_replace(phrase, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM p)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, array_to_string(list_filter(w, lambda t: len(list_filter(w, lambda u: u <> t AND contains(lower(u), lower(t)))) = 0), ' | ') AS kept FROM w WHERE len(w) > 1""")
 def drop_contained_terms(spark, sf_dir):
-    """Of each document's 20 commonest terms those that lie in no other."""
-    rows = ranking.in_document_order(_ranked(spark, sf_dir).where("rank <= 20"), ["doc_id"], "rank", "display")
-    return rows.select("doc_id", F.array_join(conditions.drop_contained(F.col("texts")), " | ").alias("kept")).where("kept <> ''")
+    """Of the words of every phrase those that lie in no other of it."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[.,;\n]")).alias("pos", "phrase"))
+    words = F.filter(F.split(F.regexp_replace("phrase", r"\s+", " "), " "), lambda x: x != "")
+    return parts.withColumn("w", words).where(F.size("w") > 1).select("doc_id", "pos", F.array_join(conditions.drop_contained(F.col("w")), " | ").alias("kept"))
 
 
 @query("""WITH p AS (
@@ -564,6 +566,34 @@ def class_names(spark, sf_dir):
     return ml.class_names(table(spark, sf_dir, "documents"), "lang")
 
 
+_DEALT = "(SELECT *, (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5 AS fold FROM labels)"
+
+
+@query(f"""WITH told AS (
+  SELECT 0 AS choice, fold, quality, 0 AS told FROM {_DEALT} UNION ALL SELECT 1, fold, quality, toxic FROM {_DEALT}
+  UNION ALL SELECT 2, fold, quality, 1 FROM {_DEALT} UNION ALL SELECT 3, fold, quality, 1 FROM {_DEALT}),
+s AS (SELECT choice, round(avg(score), 4) AS score FROM (SELECT choice, fold, avg(CASE WHEN quality = told THEN 1.0 ELSE 0.0 END) AS score FROM told GROUP BY choice, fold) GROUP BY choice)
+SELECT choice, score, row_number() OVER (ORDER BY score DESC, choice) = 1 AS best FROM s""")
+def fold_scores(spark, sf_dir):
+    """Mean accuracy over stratified folds of four guesses at `quality`, and which of them is best; the first wins ties."""
+    dealt = ranking.stratified_folds(table(spark, sf_dir, "labels"), "quality", F.col("doc_id"))
+    guesses = [F.lit(0), F.col("toxic"), F.lit(1), F.lit(1)]
+    scores = [ml.mean_fold_score(dealt.withColumn("told", g), "quality", "told") for g in guesses]
+    at = ml.first_best(scores)
+    return _rows(spark, [(i, x, i == at) for i, x in enumerate(scores)], "choice int, score double, best boolean")
+
+
+@query("""SELECT text_sha1, count(*) AS n FROM (SELECT sha1(coalesce(text, '')) AS text_sha1 FROM documents UNION SELECT sha1(coalesce(text, '')) FROM benchmark) GROUP BY text_sha1""")
+def embedding_cache(spark, sf_dir):
+    """A cache that gets the benchmark's texts, then the documents', then nothing new: each text lies in it once."""
+    path = scratch_dir(spark)
+    for name in ("benchmark", "documents", "documents"):
+        _, new = vectors.embed(table(spark, sf_dir, name).select("text"), vectors.read_cache(spark, path), lambda: vectors.hashing_encoder(16))
+        vectors.append_cache(new, path)
+    stored = spark.read.parquet(path)
+    return stored.where(F.size("embedding") == 16).groupBy("text_sha1").agg(F.count("*").alias("n"))
+
+
 @query()
 def tfidf_classifier(spark, sf_dir):
     """Predictions of `quality` for every labelled document by TF-IDF and logistic regression of the other four folds (rows only)."""

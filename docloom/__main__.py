@@ -20,7 +20,7 @@ from .operators.ranking import distinct_check
 from .operators.vectors import hashing_encoder
 from .plans import training
 from .plans.extract import Models, batched, inference
-from .sources.articles import read_asked, read_labels, read_submission, write_pairs, write_submission
+from .sources.articles import file_faults, read_asked, read_labels, read_submission, write_pairs, write_submission
 
 
 def _factory(name: str | None, device: str | None) -> Callable | None:
@@ -51,7 +51,10 @@ def _infer(spark: SparkSession, args: list[str]) -> None:
     p.add_argument("--models", help="folder with study_type, sex, ranker and cache; rules are used for what is absent")
     p.add_argument("--generator", help="module:function that lists conditions; rules are used without it")
     p.add_argument("--batch", type=int, default=16, help="texts that the generator gets at once")
+    p.add_argument("--faults", help="folder for a table of where files aren't well formed, and which rule was used there")
     a = p.parse_args(args)
+    if a.faults:
+        file_faults(spark, a.articles).write.mode("overwrite").parquet(a.faults)
     hooks = {"make_encoder": _factory(a.encoder, a.device) or hashing_encoder}
     if a.generator:
         hooks["generate"] = batched(_factory(a.generator, a.device), a.batch)

@@ -681,6 +681,24 @@ def article_sections(spark, sf_dir):
     return a.select(F.col("pmcid").cast("bigint").alias("doc_id"), F.posexplode("sections").alias("pos", "s")).select("doc_id", "pos", "s.title", F.md5("s.text").alias("text"))
 
 
+#: What is planted in an article's paragraph, and the rules it needs, with the place of each in it.
+_PLANTED = [("", []), ("a &nothing; b", [(2, "undeclared entity")]), ("AT&T", [(2, "bare ampersand")]), ("p < 0.05", [(2, "bare bracket")]), ("</kwd>", [(0, "stray end")]),
+            ("<b>c<i>d</b>", [(8, "wrong nesting")]), ("<x:y z=1/>", [(0, "undeclared prefix"), (5, "bad attribute")]), ("e&#2;f", [(1, "control character")])]
+_FAULT_HEAD, _FAULT_TAIL = "<Article><body><sec><title>Methods</title><p>", "</p></sec></body></Article>"
+_FAULT_ROWS = ", ".join(f"({i}, {_quoted(text)}, {at}, {_quoted(rule)})" for i, (text, faults) in enumerate(_PLANTED) for at, rule in faults)
+
+
+@query(f"""WITH planted(k, piece, place, rule) AS (VALUES {_FAULT_ROWS}),
+d AS (SELECT doc_id, doc_id % {len(_PLANTED)} AS k, {len(_FAULT_HEAD)} + octet_length(encode(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'))) AS start FROM documents)
+SELECT doc_id, CAST(start + place AS BIGINT) AS byte, rule FROM d JOIN planted p ON d.k = p.k""")
+def markup_faults(spark, sf_dir):
+    """Articles of every document with a fault planted behind its text: the byte and the rule of each."""
+    text_ = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    piece = F.element_at(F.array(*[F.lit(x) for x, _ in _PLANTED]), (F.col("doc_id") % len(_PLANTED) + 1).cast("int"))
+    xml = F.encode(F.concat(F.lit(_FAULT_HEAD), text_, piece, F.lit(_FAULT_TAIL)), "utf-8")
+    return articles.markup_faults(table(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), "doc_id", "xml")
+
+
 @query(r"""SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS title FROM pages""")
 def html_title(spark, sf_dir):
     return articles.from_pages(table(spark, sf_dir, "pages")).select(F.col("pmcid").cast("bigint").alias("page_id"), "title")

@@ -116,6 +116,22 @@ def parse_articles(df: DataFrame, key: str, data: str) -> DataFrame:
     return _columns(df, F.col(key).cast("string"), _article(F.col(data)))
 
 
+_FAULTS = T.ArrayType(T.StructType([T.StructField("byte", T.LongType()), T.StructField("rule", T.StringType())]))
+
+
+def markup_faults(df: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, byte, rule): where markup isn't well formed, and which rule (markup.RULES) was used there; well-formed rows have none."""
+    def one(x) -> list[dict]:
+        return [{"byte": b, "rule": r} for b, r in markup.recovered(x)[1]] if x else []
+    found = F.pandas_udf(lambda column: column.map(one), _FAULTS)
+    return df.select(F.col(key), F.explode(found(F.col(data))).alias("f")).select(key, "f.byte", "f.rule")
+
+
+def file_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(pmcid, byte, rule) of the files of a folder."""
+    return markup_faults(_files(spark, path).select(_file_id().alias("pmcid"), "content"), "pmcid", "content")
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
     """Web pages as articles: a section for each heading."""
     return _columns(pages, F.col("page_id").cast("string"), _page("html"))

@@ -1,16 +1,17 @@
 """Tolerant XML and HTML trees, and the labelled texts in them.
 
 `article_fields` and `page_fields` only find texts; the record is made of them by Column expressions
-(`sources.articles`).  A document is parsed as strict XML first.  Where that fails, an event parser builds a tree that
-closes what is open when an outer element ends and ignores stray end tags.  Documents without any
-element give the defaults.  Entities other than the predefined and HTML ones stay as they are; nothing
-external is ever read.
+(`sources.articles`).  An article is parsed as strict XML first.  Where that fails, one scan recovers what is there, by
+a rule for each kind of fault (RULES), and tells where it met which.  Names keep their case.  Web pages go to an event
+parser that closes what is open when an outer element ends.  Documents without any element give the defaults.
+Nothing external is ever read.
 """
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html.entities import html5
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -106,16 +107,13 @@ class _Strict(_Builder):
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-class _Lenient(HTMLParser):
-    def __init__(self, html: bool):
+class _Page(HTMLParser):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tree, self.html = _Builder(), html
-        if not html:
-            self.CDATA_CONTENT_ELEMENTS = ()
+        self.tree = _Builder()
 
     def handle_starttag(self, tag, attrs):
-        name = tag.rpartition(":")[2]
-        self.tree.begin(name, {k.rpartition(":")[2]: v or "" for k, v in attrs}, stays=not (self.html and name in _VOID))
+        self.tree.begin(tag.rpartition(":")[2], {k.rpartition(":")[2]: v or "" for k, v in attrs}, stays=tag.rpartition(":")[2] not in _VOID)
 
     def handle_startendtag(self, tag, attrs):
         self.tree.begin(tag.rpartition(":")[2], {k.rpartition(":")[2]: v or "" for k, v in attrs}, stays=False)
@@ -141,20 +139,181 @@ class _Lenient(HTMLParser):
             self.tree.add(data[6:])
 
 
+#: What is done about each kind of fault.
+RULES = {
+    "undeclared entity": "a name that HTML knows gives its character, another one nothing",
+    "bare ampersand": "is text",
+    "bare bracket": "is text",
+    "truncated tag": "is left out, with all that follows",
+    "bad attribute": "what can't be read as one is left out",
+    "undeclared prefix": "is left out, as declared ones are",
+    "stray end": "is left out",
+    "wrong nesting": "elements inside end with the outer one",
+    "left open": "ends with the document",
+    "after the end": "elements and text beyond the first element are left out",
+    "bad byte": "counts as U+FFFD",
+    "control character": "is left out",
+}
+_NAME = r"[A-Za-z_:\u0080-\U0010ffff][-.\w:\u00b7]*"
+_TOKEN = re.compile(rf"""<!--(?P<comment>.*?)-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<\?(?P<pi>.*?)\?>|<!(?P<declaration>[A-Za-z][^<>\[]*(?:\[.*?\]\s*)?)>
+|</(?P<end>{_NAME})\s*>|<(?P<start>{_NAME})(?P<attributes>(?:[^<>"']|"[^"<]*"|'[^'<]*')*?)(?P<empty>/?)>|(?P<text>[^<]+)|(?P<bare><)""".replace("\n", ""), re.S)
+#: What isn't text where it has no end.
+_BEGINS = re.compile(r"<(?:/?[A-Za-z_:]|[!?]|\Z)")
+_ATTRIBUTE = re.compile(rf"""\s*(?P<name>{_NAME})\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)')""")
+_REFERENCE = re.compile(rf"&(?:#(?P<number>[0-9]+);|#x(?P<hex>[0-9A-Fa-f]+);|(?P<name>{_NAME});)?")
+_CONTROL, _BYTE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]"), re.compile("[\udc80-\udcff]")
+_OWN = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+class _Recovering:
+    """One scan of an article that isn't well formed."""
+
+    def __init__(self, text: str):
+        self.tree, self.text, self.found = _Builder(), text, []
+        self.prefixes = {"xml", "xmlns", *re.findall(r"\sxmlns:([-.\w]+)\s*=", text)}
+        self.ended = False
+        last = {mark: text.rfind(end) for mark, end in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>"), ("<", ">"))}
+        at = 0
+        while at < len(text):
+            # What begins and never ends: a tag, comment or section that is cut off; each end is looked for once.
+            if text[at] == "<" and any(at > last[mark] and text.startswith(mark, at) for mark in last) and _BEGINS.match(text, at):
+                self._fault(at, "truncated tag")
+                break
+            m = _TOKEN.match(text, at)
+            self._take(m)
+            at = m.end()
+        if len(self.tree.open) > 1:
+            self._fault(len(text), "left open")
+
+    def _fault(self, at: int, rule: str) -> None:
+        self.found.append((at, rule))
+
+    def _take(self, m: re.Match) -> None:
+        kind, at = m.lastgroup, m.start()
+        if m["text"] is not None or m["cdata"] is not None:
+            if len(self.tree.open) > 1:
+                self.tree.add(self._characters(m["cdata"], m.start("cdata")) if m["text"] is None else self._text(m["text"], at))
+            elif m[0].strip("\ufeff \t\r\n"):
+                if self.ended:
+                    self._fault(at, "after the end")
+        elif kind in ("comment", "pi", "declaration"):
+            self.tree.part()
+        elif m["end"] is not None:
+            self._end(m["end"].rpartition(":")[2], at)
+        elif m["start"] is not None:
+            if self.ended and len(self.tree.open) == 1:
+                self._fault(at, "after the end")
+            stays = not m["empty"]
+            self.tree.begin(self._local(m["start"], at), self._attributes(m["attributes"], m.start("attributes")), stays)
+            self.ended = self.ended or (not stays and len(self.tree.open) == 1)
+        else:
+            self._bare(at)
+
+    def _bare(self, at: int) -> None:
+        self._fault(at, "bare bracket")
+        if len(self.tree.open) > 1:
+            self.tree.add("<")
+
+    def _local(self, name: str, at: int) -> str:
+        prefix, _, local = name.rpartition(":")
+        if prefix and prefix not in self.prefixes:
+            self._fault(at, "undeclared prefix")
+        return local
+
+    def _end(self, name: str, at: int) -> None:
+        opened = self.tree.open
+        k = next((i for i in range(len(opened) - 1, 0, -1) if opened[i].name == name), 0)
+        if not k:
+            self._fault(at, "stray end")
+            return
+        if k < len(opened) - 1:
+            self._fault(at, "wrong nesting")
+        del opened[k:]
+        self.ended = self.ended or k == 1
+        self.tree.part()
+
+    def _attributes(self, text: str, at: int) -> dict[str, str]:
+        out, end = {}, 0
+        for m in _ATTRIBUTE.finditer(text):
+            value = m["a"] if m["a"] is not None else m["b"]
+            name = m["name"]
+            self._rest(text[end:m.start()], at + end)
+            if name in out:
+                self._fault(at + m.start("name"), "bad attribute")
+            if not name.startswith("xmlns"):
+                out.setdefault(self._local(name, at + m.start("name")), self._text(value, at + m.end() - len(value) - 1))
+            end = m.end()
+        self._rest(text[end:], at + end)
+        return out
+
+    def _rest(self, text: str, at: int) -> None:
+        """What is no attribute."""
+        if text.strip():
+            self._fault(at + len(text) - len(text.lstrip()), "bad attribute")
+
+    def _text(self, text: str, at: int) -> str:
+        """Characters of a text with references."""
+        out, end = [], 0
+        for m in _REFERENCE.finditer(text):
+            out.append(self._characters(text[end:m.start()], at + end))
+            end = m.end()
+            name = m["name"]
+            if m["number"] or m["hex"]:
+                code = int(m["number"] or m["hex"], 10 if m["number"] else 16)
+                good = code <= 0x10FFFF and not 0xD800 <= code < 0xE000 and not _CONTROL.match(chr(code))
+                if not good:
+                    self._fault(at + m.start(), "control character")
+                out.append(chr(code) if good else "")
+            elif name in _OWN:
+                out.append(_OWN[name])
+            elif name:
+                self._fault(at + m.start(), "undeclared entity")
+                out.append(html5.get(name + ";", ""))
+            else:
+                self._fault(at + m.start(), "bare ampersand")
+                out.append("&")
+        return "".join([*out, self._characters(text[end:], at + end)])
+
+    def _characters(self, text: str, at: int) -> str:
+        if text.isprintable():
+            return text
+        for m in _CONTROL.finditer(text):
+            self._fault(at + m.start(), "control character")
+        for m in _BYTE.finditer(text):
+            self._fault(at + m.start(), "bad byte")
+        return _BYTE.sub("\ufffd", _CONTROL.sub("", text))
+
+    def faults(self) -> list[tuple[int, str]]:
+        """(byte, rule) in order."""
+        out, at, byte = [], 0, 0
+        for place, rule in sorted(self.found):
+            byte += len(self.text[at:place].encode("utf-8", "surrogateescape"))
+            at = place
+            out.append((byte, rule))
+        return out
+
+
+def recovered(data: bytes | str) -> tuple[Node | None, list[tuple[int, str]]]:
+    """The root element of an article, or null where there is none, and the faults in it as (byte, rule)."""
+    try:
+        parser = ElementTree.XMLParser(target=_Strict())
+        parser.feed(data)
+        return parser.close(), []
+    except (ElementTree.ParseError, ValueError, LookupError):
+        raw = data.encode("utf-8", "surrogatepass") if isinstance(data, str) else data
+        found = _Recovering(raw.decode("utf-8", "surrogateescape"))
+        return found.tree.root(), found.faults()
+
+
 def parse(data: bytes | str, html: bool = False) -> Node | None:
     """The root element of a document, or null where there is none."""
     if not html:
-        try:
-            parser = ElementTree.XMLParser(target=_Strict())
-            parser.feed(data)
-            return parser.close()
-        except (ElementTree.ParseError, ValueError, LookupError):
-            pass
+        return recovered(data)[0]
     text = data.decode("utf-8", "replace") if isinstance(data, bytes) else data
-    lenient = _Lenient(html)
-    lenient.feed(re.sub(r"<[^<>]*\Z", "", text))  # a tag that is cut off is no text
-    lenient.close()
-    return lenient.tree.root()
+    page = _Page()
+    page.feed(re.sub(r"<[^<>]*\Z", "", text))  # a tag that is cut off is no text
+    page.close()
+    return page.tree.root()
 
 
 #: The labelled texts of an article: element names and the attribute that tells their kind.

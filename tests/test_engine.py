@@ -37,6 +37,43 @@ def test_references_do_not_part_words(spark):
     assert loose["title"] == "AT&T café p<0.05 x y"
 
 
+@pytest.mark.parametrize("data, fields, faults", [
+    ("<a><kwd>x &foo; y &eacute; &amp; z</kwd></a>", "x y é & z", [(10, "undeclared entity"), (18, "undeclared entity")]),
+    ("<a><kwd>AT&T & co</kwd></a>", "AT&T & co", [(10, "bare ampersand"), (13, "bare ampersand")]),
+    ("<a><kwd>é < 0.05 <1</kwd></a>", "é < 0.05 <1", [(11, "bare bracket"), (18, "bare bracket")]),
+    ("<a><kwd>k</kwd><title", "k", [(15, "truncated tag"), (21, "left open")]),
+    ("<a><kwd>k</kw", "k", [(9, "truncated tag"), (13, "left open")]),
+    ("<a><kwd>k<!-- never <b> ended</kwd></a>", "k", [(9, "truncated tag"), (39, "left open")]),
+    ("<a><kwd>k<![CDATA[ never ended</kwd></a>", "k", [(9, "truncated tag"), (40, "left open")]),
+    ("<a><kwd x=1 y='2' y='3'>k</kwd></a>", "k", [(8, "bad attribute"), (18, "bad attribute")]),
+    ("<a><q:kwd>k</q:kwd></a>", "k", [(3, "undeclared prefix")]),
+    ("<a></b><kwd>k</kwd></a>", "k", [(3, "stray end")]),
+    ("<a><kwd><i>k</kwd></a>", "k", [(12, "wrong nesting")]),
+    ("<a><kwd>k", "k", [(9, "left open")]),
+    ("<a><kwd>k</kwd></a><kwd>l</kwd> tail", "k", [(19, "after the end"), (31, "after the end")]),
+    (b"<a><kwd>k\xff\xc3\xa9</kwd>\xfe</a>", "k\ufffdé", [(9, "bad byte"), (18, "bad byte")]),
+    ("<a><kwd>k\x01l&#1;</kwd></a>", "kl", [(9, "control character"), (11, "control character")]),
+    ("<A><KWD>no</KWD><kwd>yes</kwd><b></A>", "yes", [(33, "wrong nesting")]),
+    ("<?xml version='1.0'?><!DOCTYPE a PUBLIC 'x' 'y'><!-- c --><a><kwd>k<?p q?> l<![CDATA[<&]]></kwd></a", "k l<&", [(96, "truncated tag"), (99, "left open")]),
+    ("<a><kwd>fine</kwd></a>", "fine", [])])
+def test_rules_of_recovery(data, fields, faults):
+    assert [f[2] for f in markup.article_fields(data)] == [fields]
+    assert markup.recovered(data)[1] == faults and {r for _, r in faults} <= markup.RULES.keys()
+
+
+def test_recovery_takes_time_in_proportion():
+    import time
+
+    def seconds(piece, n):
+        data = "<a><body><sec>" + piece * n
+        began = time.perf_counter()
+        markup.article_fields(data)
+        return time.perf_counter() - began
+    for piece in ("<b> < c & ", "<!-- x ", "<![CDATA[ ", "<? ", "</q>", "<a b='", "<b>", "&x;", "< "):
+        seconds(piece, 2000)
+        assert seconds(piece, 40_000) < 40 * max(seconds(piece, 4_000), 0.01), piece
+
+
 def test_what_an_article_is_made_of(spark):
     got, = parsed(spark, "<a><article-id pub-id-type='pmid'>x1</article-id><article-id pub-id-type='pmid'>12<!-- c -->3</article-id><article-id pub-id-type='pmid'>9</article-id>"
                   "<abstract abstract-type='TEASER'>t</abstract><abstract>ABSTRACT :</abstract><abstract>abstracts</abstract><kwd> </kwd><kwd>a</kwd>"
@@ -72,6 +109,9 @@ def test_only_asked_files_are_opened(spark, tmp_path):
     assert got() == want == got(listed=1) == got(cache=f"file://{tmp_path}/kept") == got(cache=f"file://{tmp_path}/kept") and len(want) == 2
     assert spark.read.parquet(f"file://{tmp_path}/kept").count() == 2
     assert articles.read_asked(spark, path, ids.limit(0)).collect() == []
+    assert articles.file_faults(spark, path).collect() == []
+    (folder / "PMC41.nxml").write_text("<a>&")
+    assert [tuple(r) for r in articles.file_faults(spark, path).collect()] == [("41", 3, "bare ampersand"), ("41", 4, "left open")]
     rows = articles.lookup(ids.where("pmcids is not null"), articles.read_asked(spark, path, ids)).collect()
     assert sorted((r.pmcids, r.pmid) for r in rows) == [("3", "3"), ("40", ""), ("7", "7"), ("7", "7"), ("99", "")]
 

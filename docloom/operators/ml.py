@@ -48,6 +48,8 @@ def term_runs(terms: Column) -> Column:
     return let(F.sort_array(terms), runs)
 
 
+#: Rows whose terms are looked up at once.
+_LOOKED_UP = 256
 _PAIRS = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
 
 
@@ -87,6 +89,10 @@ class TfIdf:
         size = self.size
 
         def run(terms: pa.Array, tfs: pa.Array) -> pa.Array:
+            # A few rows at once: their numbers take some ten times the room of their terms.
+            return pa.concat_arrays([few(terms.slice(i, _LOOKED_UP), tfs.slice(i, _LOOKED_UP)) for i in range(0, len(terms), _LOOKED_UP)] or [few(terms, tfs)])
+
+        def few(terms: pa.Array, tfs: pa.Array) -> pa.Array:
             names, idf = shared.value
             n = len(terms)
             row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
@@ -211,11 +217,12 @@ class Folds:
     """
 
     def __init__(self, dealt: DataFrame, text: str, label: str, folds: int = 5, features: int = 30000, min_df: int = 2, ngrams: int = 2,
-                 stop_words: list[str] | None = None, c: float = 4.0, max_iter: int = 100, parallelism: int = 4):
+                 stop_words: list[str] | None = None, c: float = 4.0, max_iter: int = 100, parallelism: int = 2):
         self.parallelism = parallelism  # fits at once, each with its vectors in store
         self.stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
         self.label, self.folds, self.features, self.min_df, self.ngrams, self.c, self.max_iter = label, folds, features, min_df, ngrams, c, max_iter
-        self.rows = kept(dealt.withColumn("_r", term_runs(word_terms(F.col(text), self.stop, ngrams))))
+        # The texts themselves aren't needed any more.
+        self.rows = kept(dealt.withColumn("_r", term_runs(word_terms(F.col(text), self.stop, ngrams))).drop(text))
         rated = self.rows.where(F.col(label).isNotNull())
         pairs = rated.select("fold", F.explode(F.arrays_zip("_r.terms", "_r.tfs")).alias("p"))
         own = [f(F.when(F.col("fold") == k, x)).alias(f"{n}_{k}") for k in range(folds) for n, f, x in (("df", F.count, F.lit(1)), ("total", F.sum, F.col("p.tfs")))]
@@ -231,7 +238,7 @@ class Folds:
         return TfIdf.of_counts(self.terms.select("term", less("df"), less("total")), n, self.features, self.min_df, self.stop, self.ngrams)
 
     def predictions(self, output: str, balanced: tuple[bool, ...] = (True,)) -> list[list[DataFrame]]:
-        """For each fold and each choice of class weights the fold's rows and the label that the model of the other folds tells."""
+        """For each fold and each choice of class weights the fold's rows (without their texts) and the label that the model of the other folds tells."""
         def fold(k: int) -> list[DataFrame]:
             labels = sorted({x for (x, fold) in self.sizes if fold != k})
             own = F.col("fold") == k
@@ -249,7 +256,7 @@ class Folds:
 
 
 def fold_predictions(dealt: DataFrame, text: str, label: str, output: str, folds: int = 5, balanced: bool = True, **options) -> list[DataFrame]:
-    """For each fold its rows of dealt (with `fold`) and the label that the model of the other folds predicts."""
+    """For each fold its rows of dealt (with `fold`), without their texts, and the label that the model of the other folds predicts."""
     return [each[0] for each in Folds(dealt, text, label, folds, **options).predictions(output, (balanced,))]
 
 

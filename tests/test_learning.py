@@ -82,7 +82,7 @@ def test_folds_by_subtraction_equal_separate_fits(spark, docs):
         for i, balanced in enumerate((True, False)):
             want = ml.fit_classifier(rest, "text", "label", balanced=balanced, max_iter=15, stop_words=[]).predict(own, "text", "told")
             assert sorted(told[k][i].select("doc_id", "told").collect()) == sorted(want.select("doc_id", "told").collect())
-        assert told[k][0].columns == [*dealt.columns, "told"] and told[k][0].count() == own.count()
+        assert told[k][0].columns == [*[c for c in dealt.columns if c != "text"], "told"] and told[k][0].count() == own.count()
 
 
 def test_scores(spark, docs):

@@ -15,9 +15,14 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
 
 
 def term_ranking(terms: DataFrame, keys: list[str]) -> DataFrame:
-    """Terms (keys, term, pos) grouped ignoring case within keys: n, the first spelling, and the rank by (n, length, first place)."""
-    groups = terms.groupBy(*keys, F.lower("term").alias("key")).agg(
-        F.count("*").alias("n"), F.min_by("term", "pos").alias("display"), F.min("pos").alias("first"))
+    """Terms (keys, term, pos) grouped ignoring case within keys: n, the first spelling, and the rank by (n, length, first place).
+
+    Terms of rows that are dealt by the keys already (`repartition`) aren't shuffled any more.
+    """
+    # Spellings first, by numbers alone; only what is left of them is sorted.
+    spelled = terms.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    groups = spelled.groupBy(*keys, F.lower("term").alias("key")).agg(
+        F.sum("n").alias("n"), F.min_by("term", F.struct("first", "term")).alias("display"), F.min("first").alias("first"))
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), F.desc(F.length("key")), "first")
     return groups.withColumn("rank", F.row_number().over(order))
 
@@ -65,7 +70,7 @@ def top_in_order(df: DataFrame, keys: list[str], p: str, pos: str, k: int, least
 
 def in_document_order(df: DataFrame, keys: list[str], pos: str, text: str) -> DataFrame:
     """Each key's texts as one array in the order of pos."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(pos, text))).alias("rows"))
+    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(pos, text))).alias("rows"))
     return rows.select(*keys, F.transform("rows", lambda r: r[text]).alias("texts"))
 
 

@@ -54,15 +54,38 @@ def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-#: Rows whose values give the bounds of a text dimension's levels.
-BOUND_ROWS = 10_000
+def _text_bounds(df: DataFrame, column: str, levels: int) -> list[str]:
+    """The last text of each of `levels` even parts of all rows but the last part; nulls aside.
+
+    Different texts are counted, sorted by ranges and written; with the counts of the ranges each text's place among all
+    rows is known, and only the texts at the ends of parts go to the driver.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    with Workspace(df.sparkSession) as work:
+        runs = counts.repartitionByRange(partitions(df.sparkSession), "v").sortWithinPartitions("v")
+        runs = work.written(runs.withColumn("_at", F.monotonically_increasing_id()).withColumn("_run", F.shiftright("_at", 33)), "counts")
+        sums = sorted(tuple(r) for r in runs.groupBy("_run").agg(F.sum("n")).collect())  # one row for each sorted run
+        total = sum(n for _, n in sums)
+        begun, done = [], 0
+        for run, n in sums:
+            begun.append((run, done))
+            done += n
+        if not total:
+            return []
+        starts = df.sparkSession.createDataFrame(begun, "_run long, _before long")
+        upto = F.col("_before") + F.sum("n").over(Window.partitionBy("_run").orderBy("_at"))
+        placed = runs.join(F.broadcast(starts), "_run").select("v", upto.alias("upto"), (upto - F.col("n")).alias("before"))
+        # The row at which part i ends is one of the text's own rows.
+        ends = F.array(*[F.lit(max(-(-i * total // levels), 1)) for i in range(1, levels)])
+        found = placed.where(F.exists(ends, lambda e: (F.col("before") < e) & (e <= F.col("upto")))).select("v").collect()
+    return sorted({r[0] for r in found}, key=lambda v: v.encode())  # the order of Spark's texts
 
 
 def _bounds(df: DataFrame, dims: dict[str, str], bits: int) -> dict[str, list]:
-    """Bounds between the levels of each dimension (named by its column): at most 2**bits - 1 values.
+    """Bounds between the levels of each dimension (named by its column): at most 2**bits - 1 values, of all rows.
 
     Numbers have approximate quantiles.  Whole texts are compared, so those that begin alike are told apart; their
-    quantiles are those of BOUND_ROWS rows, picked by a hash and sorted in one task.
+    quantiles are exact.
     """
     levels = 1 << bits
     kinds = dict(df.dtypes)
@@ -72,14 +95,7 @@ def _bounds(df: DataFrame, dims: dict[str, str], bits: int) -> dict[str, list]:
         cuts = [(i + 1) / levels for i in range(levels - 1)]
         found = df.agg(*[F.percentile_approx(F.col(c).cast("double"), cuts, 10000).alias(k) for k, c in numbers.items()]).first()
         out |= {k: sorted(set(found[k] or [])) for k in numbers}
-    for k in [k for k in dims if k not in numbers]:
-        some = df.where(F.col(dims[k]).isNotNull()).select(F.col(dims[k]).alias("v"), F.xxhash64("_text", "doc_id").alias("h")).orderBy("h", "v").limit(BOUND_ROWS)
-        # The last value of each of `levels` even parts but the last: at most as many texts go to the driver.
-        at, n = F.row_number().over(Window.orderBy("v")), F.count("*").over(Window.partitionBy())
-        part = some.select("v", at.alias("at"), n.alias("n")).where(
-            F.exists(F.sequence(F.lit(1), F.lit(levels - 1)), lambda i: F.col("at") == F.greatest(F.ceil(i * F.col("n") / levels), F.lit(1))))
-        out[k] = sorted({r[0] for r in part.select("v").collect()}, key=lambda v: v.encode())  # the order of Spark's texts
-    return out
+    return out | {k: _text_bounds(df, dims[k], levels) for k in dims if k not in numbers}
 
 
 def curve_cells(df: DataFrame, dims: dict[str, str], bits: int) -> DataFrame:

@@ -28,21 +28,26 @@ def format_criteria(inclusion: Column, exclusion: Column) -> Column:
 
 def parse_bullets(c: Column) -> Column:
     """struct(inclusion, exclusion) of the bullets in a criteria text, whichever heading comes first."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), "\r", "\n")
-    low = F.lower(text)
-    inc, exc = F.locate("inclusion crit", low), F.locate("exclusion crit", low)
-
     def bullets(chunk: Column) -> Column:
         raw = F.transform(F.split(chunk, r"\n+|(?<=\.)(?U:\s)*\*"), lambda x: strip(F.regexp_replace(strip(strip_bullet(x)), _HEADING, "")))
         return F.transform(F.filter(raw, lambda x: F.length(x) >= 5), squeeze)
 
-    def upto(begin: Column, end: Column) -> Column:
-        return F.substring(text, begin, F.greatest(end - begin, F.lit(0)))
-    stop = F.length(text) + 1
-    none = F.lit("")
-    inc_text = (F.when((inc == 0) & (exc == 0), text).when(inc == 0, none).when((exc == 0) | (inc >= exc), upto(inc, stop)).otherwise(upto(inc, exc)))
-    exc_text = (F.when(exc == 0, none).when((inc == 0) | (inc < exc), upto(exc, stop)).otherwise(upto(exc, inc)))
-    return F.struct(bullets(inc_text).alias("inclusion"), bullets(exc_text).alias("exclusion"))
+    def sides(found: Column) -> Column:
+        text, inc, exc = found["text"], found["inc"], found["exc"]
+
+        def upto(begin: Column, end: Column) -> Column:
+            return F.substring(text, begin, F.greatest(end - begin, F.lit(0)))
+        stop = F.length(text) + 1
+        none = F.lit("")
+        inc_text = (F.when((inc == 0) & (exc == 0), text).when(inc == 0, none).when((exc == 0) | (inc >= exc), upto(inc, stop)).otherwise(upto(inc, exc)))
+        exc_text = (F.when(exc == 0, none).when((inc == 0) | (inc < exc), upto(exc, stop)).otherwise(upto(exc, inc)))
+        return F.struct(bullets(inc_text).alias("inclusion"), bullets(exc_text).alias("exclusion"))
+
+    def places(text: Column) -> Column:
+        find = lambda what: let(F.lower(text), lambda low: F.struct(*[F.locate(w, low).alias(n) for n, w in what.items()]))
+        return let(find({"inc": "inclusion crit", "exc": "exclusion crit"}), lambda at: F.struct(text.alias("text"), at["inc"].alias("inc"), at["exc"].alias("exc")))
+    # The text is made, and its headings are looked for, once: lambdas would do so at every mention.
+    return let(let(F.regexp_replace(F.coalesce(c, F.lit("")), "\r", "\n"), places), sides)
 
 
 def split_by_marker(parts: Column) -> Column:
@@ -99,8 +104,9 @@ def reconstructed_criteria(sections: Column, title_abstract: Column, inclusion:
 def candidate_sentences(sections: Column, abstract: Column, most: int = fixed.CANDIDATES) -> Column:
     """Sentences that may tell who was selected: criteria sections, methods, abstract; distinct, the first `most`."""
     sources = [section_by(sections, fixed.CANDIDATE_TITLES), methods_text(sections), abstract]
-    parts = F.flatten(F.array(*[sentences(s) for s in sources]))
-    clean = F.filter(F.transform(parts, lambda s: strip(strip_bullet(s))), fit_length)
+    # A text that is several of the sources is split once; its sentences would be repetitions.
+    parts = F.flatten(F.transform(F.array_distinct(F.array(*sources)), sentences))
+    clean = F.filter(F.transform(parts, strip_bullet), fit_length)  # neither sentences nor what follows a bullet begin or end with white space
     return first_distinct(clean, most)
 
 

@@ -343,7 +343,8 @@ def cross_validated_macro_f1(sentences: DataFrame, key: str, folds: int = 3, max
 
 def fit_ranker(sentences: DataFrame, label: str = "label", c: float = 1.0, max_iter: int = 100) -> Ranker:
     """A three-class balanced regression over embeddings and cues."""
-    rows, labels = _indexed(sentences.withColumn("features", sentence_features(F.col("embedding"), F.col("text"))), label)
+    # The fit reads its rows several times; cues are looked for once.
+    rows, labels = _indexed(kept(sentences.select(label, sentence_features(F.col("embedding"), F.col("text")).alias("features"))), label)
     return Ranker(_regression(rows, c, True, max_iter), labels)
 
 

@@ -169,10 +169,14 @@ def sentences_of(articles: DataFrame, key: str = "pmcid") -> DataFrame:
 
 def rank_eligibility(articles: DataFrame, models: Models, key: str = "pmcid") -> DataFrame:
     """(key, ranked): criteria of the ranker's best candidate sentences; "" where none is good enough."""
-    sentences = sentences_of(articles, key)
+    return rank_sentences(kept(sentences_of(articles, key)), models, key)
+
+
+def rank_sentences(sentences: DataFrame, models: Models, key: str = "pmcid") -> DataFrame:
+    """rank_eligibility of (key, pos, text), a table that is read several times."""
     cache = models.embedding_cache
     if cache is None:
-        cache = articles.sparkSession.createDataFrame([], "text_sha1 string, embedding array<float>")
+        cache = sentences.sparkSession.createDataFrame([], "text_sha1 string, embedding array<float>")
     embedded, _ = vectors.embed(sentences, cache, models.make_encoder)
     scored = kept(models.ranker.probabilities(embedded).select(key, "pos", "text", "p_inclusion", "p_exclusion"))  # both sides read it
     sides = ml.ranked_criteria(scored, key)

@@ -12,10 +12,10 @@ import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import fixed
 from ..functions.rules import cue_features
@@ -32,7 +32,7 @@ def word_terms(text: Column, stop_words: list[str], ngrams: int = 2) -> Column:
 
     def grams(w: Column, n: int) -> Column:
         places = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.transform(places, lambda i: F.concat_ws(" ", *[F.get(w, i + (k - 1)) for k in range(n)]))
     return let(words, lambda w: F.concat(w, *[grams(w, n) for n in range(2, ngrams + 1)]))
 
 
@@ -48,9 +48,8 @@ def term_runs(terms: Column) -> Column:
     return let(F.sort_array(terms), runs)
 
 
-#: Rows whose terms are looked up at once.
-_LOOKED_UP = 256
-_PAIRS = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
+#: Rows that are weighed at once.
+_WEIGHED = 256
 
 
 @dataclass
@@ -82,50 +81,51 @@ class TfIdf:
         index = F.row_number().over(Window.orderBy("term")) - 1
         return cls(kept(top.select("term", index.alias("index"), "df", idf.alias("idf"))), features, stop_words, ngrams)
 
-    def _weigh(self, vector: bool) -> Callable[[Column, Column], Column]:
-        """A UDF from a row's terms and counts to (1 + ln tf) * idf of length 1, by index; terms are looked up by Arrow for a batch at once."""
+    def _counted(self, rows: DataFrame, terms: Column) -> tuple[DataFrame, np.ndarray]:
+        """rows with `_counts`, struct(indices, values) of known terms in order, and the terms' idf.  Terms never leave the JVM."""
         found = self.vocabulary.select("term", "index", "idf").toArrow().sort_by("index")  # at most `features` rows
-        shared = self.vocabulary.sparkSession.sparkContext.broadcast((found.column("term").combine_chunks(), found.column("idf").to_numpy()))
-        size = self.size
-
-        def run(terms: pa.Array, tfs: pa.Array) -> pa.Array:
-            # A few rows at once: their numbers take some ten times the room of their terms.
-            return pa.concat_arrays([few(terms.slice(i, _LOOKED_UP), tfs.slice(i, _LOOKED_UP)) for i in range(0, len(terms), _LOOKED_UP)] or [few(terms, tfs)])
-
-        def few(terms: pa.Array, tfs: pa.Array) -> pa.Array:
-            names, idf = shared.value
-            n = len(terms)
-            row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
-            at = pc.fill_null(pc.index_in(terms.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
-            keep = at >= 0
-            row, at, tf = row[keep], at[keep], tfs.flatten().to_numpy(zero_copy_only=False)[keep]
-            weight = (1 + np.log(tf)) * idf[at]
-            weight /= np.sqrt(np.bincount(row, weight * weight, n))[row]
-            order = np.lexsort((at, row))
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
-            index, weight = pa.array(at[order].astype(np.int32)), pa.array(weight[order])
-            if not vector:
-                return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([index, weight], ["index", "weight"]))
-            return pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(ends, index),
-                                               pa.ListArray.from_arrays(ends, weight)], ["type", "size", "indices", "values"])
-        return F.arrow_udf(run, VectorUDT() if vector else _PAIRS)
+        model = CountVectorizerModel.from_vocabulary(found.column("term").to_pylist() or [""], inputCol="_terms", outputCol="_counts")  # no term is ""
+        counted = model.transform(rows.withColumn("_terms", terms)).drop("_terms").withColumn("_counts", F.unwrap_udt("_counts"))
+        return counted, found.column("idf").to_numpy()
 
-    def _runs(self, docs: DataFrame, text: str) -> DataFrame:
-        return docs.withColumn("_r", term_runs(word_terms(F.col(text), self.stop_words, self.ngrams)))
+    def _terms(self, text: str) -> Column:
+        return word_terms(F.col(text), self.stop_words, self.ngrams)
 
     def weights(self, docs: DataFrame, text: str) -> DataFrame:
         """The columns of docs with term, index and weight: a row for each known term of each row."""
-        pairs = self._runs(docs, text).withColumn("_p", F.explode(self._weigh(False)(F.col("_r.terms"), F.col("_r.tfs"))))
+        counted, idf = self._counted(docs, self._terms(text))
+
+        def weigh(c: Column) -> Column:
+            raw = F.transform(c["values"], lambda tf, i: (1 + F.log(tf)) * F.get(F.lit(idf), F.get(c["indices"], i)))
+            length = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, w: s + w * w))
+            return let(raw, lambda x: let(length(x), lambda n: F.transform(x, lambda w, i: F.struct(F.get(c["indices"], i).alias("index"), (w / n).alias("weight")))))
+        pairs = counted.withColumn("_p", F.explode(let(F.col("_counts"), weigh)))
         found = pairs.select(*docs.columns, "_p.index", "_p.weight").join(F.broadcast(self.vocabulary.select("term", "index")), "index")  # `features` rows at most
         return found.select(*docs.columns, "term", "index", "weight")
 
     def transform(self, docs: DataFrame, text: str) -> DataFrame:
         """docs with `features`; texts without known terms have the zero vector."""
-        return self.vectors(self._runs(docs, text), F.col("_r")).drop("_r")
+        return self.vectors(docs, self._terms(text))
+
+    def vectors(self, rows: DataFrame, terms: Column) -> DataFrame:
+        """rows with `features`, of terms as `word_terms` makes them: (1 + ln tf) * idf of length 1, by index."""
+        counted, idf = self._counted(rows, terms)
+        shared, size = rows.sparkSession.sparkContext.broadcast(idf), self.size
+
+        def few(indices: pa.Array, counts: pa.Array) -> pa.Array:
+            n = len(indices)
+            row = np.repeat(np.arange(n), pc.list_value_length(indices).to_numpy(zero_copy_only=False))
+            at = indices.flatten()
+            weight = (1 + np.log(counts.flatten().to_numpy(zero_copy_only=False))) * shared.value[at.to_numpy(zero_copy_only=False)]
+            weight /= np.sqrt(np.bincount(row, weight * weight, n))[row]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
+            return pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(ends, at),
+                                               pa.ListArray.from_arrays(ends, pa.array(weight))], ["type", "size", "indices", "values"])
 
-    def vectors(self, rows: DataFrame, runs: Column) -> DataFrame:
-        """rows with `features`, of runs as `term_runs` makes them."""
-        return rows.withColumn("features", self._weigh(True)(runs["terms"], runs["tfs"]))
+        def run(indices: pa.Array, counts: pa.Array) -> pa.Array:
+            # A few rows at once: their weights take some times the room of their counts.
+            return pa.concat_arrays([few(indices.slice(i, _WEIGHED), counts.slice(i, _WEIGHED)) for i in range(0, len(indices), _WEIGHED)] or [few(indices, counts)])
+        return counted.withColumn("features", F.arrow_udf(run, VectorUDT())("_counts.indices", "_counts.values")).drop("_counts")
 
 
 def read_if_there(spark: SparkSession, schema: str, path: str):
@@ -222,9 +222,9 @@ class Folds:
         self.stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
         self.label, self.folds, self.features, self.min_df, self.ngrams, self.c, self.max_iter = label, folds, features, min_df, ngrams, c, max_iter
         # The texts themselves aren't needed any more.
-        self.rows = kept(dealt.withColumn("_r", term_runs(word_terms(F.col(text), self.stop, ngrams))).drop(text))
+        self.rows = kept(dealt.withColumn("_t", word_terms(F.col(text), self.stop, ngrams)).drop(text))
         rated = self.rows.where(F.col(label).isNotNull())
-        pairs = rated.select("fold", F.explode(F.arrays_zip("_r.terms", "_r.tfs")).alias("p"))
+        pairs = rated.select("fold", term_runs(F.col("_t")).alias("r")).select("fold", F.explode(F.arrays_zip("r.terms", "r.tfs")).alias("p"))
         own = [f(F.when(F.col("fold") == k, x)).alias(f"{n}_{k}") for k in range(folds) for n, f, x in (("df", F.count, F.lit(1)), ("total", F.sum, F.col("p.tfs")))]
         terms = pairs.groupBy(F.col("p.terms").alias("term")).agg(F.count("*").alias("df"), F.sum("p.tfs").alias("total"), *own)
         self.terms = kept(terms.where(F.col("df") >= min_df))
@@ -243,9 +243,9 @@ class Folds:
             labels = sorted({x for (x, fold) in self.sizes if fold != k})
             own = F.col("fold") == k
             if not labels:
-                return [self.rows.where(own).drop("_r").withColumn(output, F.lit(None).cast("string"))] * len(balanced)
+                return [self.rows.where(own).drop("_t").withColumn(output, F.lit(None).cast("string"))] * len(balanced)
             names = F.array(*[F.lit(x) for x in labels])
-            seen = self.tfidf(k).vectors(self.rows, F.col("_r")).drop("_r").withColumn("label_index", (F.array_position(names, F.col(self.label)) - 1).cast("double"))
+            seen = self.tfidf(k).vectors(self.rows, F.col("_t")).drop("_t").withColumn("label_index", (F.array_position(names, F.col(self.label)) - 1).cast("double"))
             others = seen.where(~own & F.col("label_index").isNotNull()).select("label_index", "features").persist()
             models = [_regression(others, self.c, b, self.max_iter) for b in balanced]
             others.unpersist()
